@@ -7,9 +7,10 @@
 3. Each region takes its smallest document as pivot, and the distances of all its documents to the pivot are
    found; links to the pivot join its cell. What is left to compare lies in the windows of the triangle
    inequality: two documents of different components whose distances to the pivot differ by 0.2 at most.
-   Regions without such a pair are done. Small ones compare the pairs in the windows; large ones take their
-   next pivot without the last one, and so on until no pair is left. So no region lists all its pairs, and no
-   link between different components is lost.
+   Regions of one component are done. The others go on without the pivot: the next few documents are compared
+   with those in their windows and leave too, and so on until no region holds two components. A round lists
+   pairs in proportion to the regions' members, never all pairs of a group of copies, and no link between
+   different components is lost.
 4. Links are contracted to components by star contractions.
 
 Before texts are fetched for an exact comparison, counts of the hashes in a few bins bound the similarity from above.
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, slices, text_bytes
@@ -34,8 +35,8 @@ from .shingles import mix, shingle_sets
 
 #: Bits of the frequency sketch; a counter so many times the mean of its task counts as frequent there.
 SKETCH_BITS, FREQUENT = 22, 6
-#: Documents of a region whose pairs in the windows are compared at once.
-SMALL_REGION = 24
+#: Further pivots of a region in a round at least, and more while a round lists so many pairs for each first member at most.
+PIVOTS, PAIRS_PER_MEMBER = 24, 8
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
@@ -160,29 +161,26 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shared = heads.groupBy("tok").agg(F.min("doc").alias("p"), F.max("doc").alias("q")).filter("p <> q").select("tok")
     members = materialize(heads.join(shared, "tok").select("tok", "doc", "n"), "members")
 
-    known = None
-    while True:
-        regions = members.groupBy("tok").agg(F.min("doc").alias("p"), F.count(F.lit(1)).alias("size"), F.min_by("n", "doc").alias("np"))
-        if known is None:
-            todo = members.join(regions, "tok").filter("doc <> p").filter(_similar(F.col("n"), F.col("np"))).select(F.col("p").alias("a"), F.col("doc").alias("b")).distinct()
-            known = _measure(todo, about, texts)
-        else:
-            regions = materialize(regions, "regions")
-            todo = _next_pairs(members, regions).join(known.select("a", "b"), ["a", "b"], "left_anti")
-            known = materialize(known.union(_measure(todo, about, texts)), "known")
-            regions = regions.filter(F.col("size") > SMALL_REGION)  # the others are done
+    regions = members.groupBy("tok").agg(F.min("doc").alias("p"), F.min_by("n", "doc").alias("np"))
+    todo = members.join(regions, "tok").filter("doc <> p").filter(_similar(F.col("n"), F.col("np"))).select(F.col("p").alias("a"), F.col("doc").alias("b")).distinct()
+    known = _measure(todo, about, texts)
+    comps = materialize(connected(known.filter("linked").select("a", "b")), "components")
+    budget = PAIRS_PER_MEMBER * members.count()
+    left, members = _after_pivot(members, regions, known, comps), discard(members)
+    while remaining := left.count():
+        ranked = materialize(left.withColumn("rank", F.row_number().over(Window.partitionBy("tok").orderBy("doc"))), "ranked")
+        pivots = max(PIVOTS, budget // remaining)
+        todo = _window_pairs(ranked, pivots).join(known.select("a", "b"), ["a", "b"], "left_anti")
+        known = materialize(known.union(_measure(todo, about, texts)), "known")
         comps = materialize(connected(known.filter("linked").select("a", "b")), "components")
-        left = _remaining(members, regions, known, comps)
-        discard(members)
-        members = left
-        if not members.limit(1).count():
-            break
+        rest = ranked.filter(F.col("rank") > pivots).drop("rank", "comp").join(comps.select(F.col("id").alias("doc"), "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+        left, _, _ = materialize(_open_regions(rest), "members"), discard(left), discard(ranked)
     return rows.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep", "doc_id").alias("component_id"))
 
 
-def _remaining(members: DataFrame, regions: DataFrame, known: DataFrame, comps: DataFrame) -> DataFrame:
+def _after_pivot(members: DataFrame, regions: DataFrame, known: DataFrame, comps: DataFrame) -> DataFrame:
     """Members of regions that still hold a pair to compare: without the pivot, with component and bounds of the distance to it."""
-    r = members.select("tok", "doc", "n").join(regions.select("tok", "p"), "tok").filter("doc <> p")
+    r = members.join(regions.select("tok", "p"), "tok").filter("doc <> p")
     r = r.join(known.select(F.col("a").alias("p"), F.col("b").alias("doc"), "low", "high"), ["p", "doc"], "left")
     r = r.join(comps.select(F.col("id").alias("doc"), "comp"), "doc", "left")
     r = r.select("tok", "doc", "n", F.coalesce("comp", "doc").alias("comp"), F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high"))
@@ -194,11 +192,10 @@ def _open_regions(r: DataFrame) -> DataFrame:
     return r.join(mixed, "tok", "left_semi")
 
 
-def _next_pairs(members: DataFrame, regions: DataFrame) -> DataFrame:
-    """Pairs in the windows: all of small regions, those with the next pivot of large ones."""
-    m = members.join(regions.select("tok", F.col("p").alias("next"), F.col("size").alias("left")), "tok")
-    x = m.filter(f"left <= {SMALL_REGION} or doc = next").select("tok", *[F.col(c).alias(f"x_{c}") for c in ("doc", "n", "comp", "low", "high")])
-    y = m.select("tok", *[F.col(c).alias(f"y_{c}") for c in ("doc", "n", "comp", "low", "high")])
+def _window_pairs(ranked: DataFrame, pivots: int) -> DataFrame:
+    """Pairs in the windows between the first ``pivots`` documents of a region and all others of it."""
+    x = ranked.filter(F.col("rank") <= pivots).select("tok", *[F.col(c).alias(f"x_{c}") for c in ("doc", "n", "comp", "low", "high")])
+    y = ranked.select("tok", *[F.col(c).alias(f"y_{c}") for c in ("doc", "n", "comp", "low", "high")])
     near = (F.col("x_low") - F.col("y_high") <= 0.2 + 1e-9) & (F.col("y_low") - F.col("x_high") <= 0.2 + 1e-9)
     pairs = x.join(y, "tok").filter("x_doc < y_doc and x_comp <> y_comp").filter(near & _similar(F.col("x_n"), F.col("y_n")))
     return pairs.select(F.col("x_doc").alias("a"), F.col("y_doc").alias("b")).distinct()
