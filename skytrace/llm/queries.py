@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kmtree, maxscore, mixing, tokens
+from . import bpe, cotrain, jaccard, kmtree, licenses, maxscore, mixing, suffixes, tokens
 from .common import materialize, table
 
 #: Place of the public tokenizer files; a parameter, as the files are no part of the repository.
@@ -22,6 +22,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
+
+
+def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", digest=True)
 
@@ -36,12 +44,24 @@ def op8_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.maxscore_topk(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10, scale=1024.0)
 
 
+def op9_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_copies(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tree_search": op1_tree_search,
     "op2_token_counts": op2_token_counts,
+    "op3_license_scan": op3_license_scan,
+    "op5_suffix_repeats": op5_suffix_repeats,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_pareto_mix": op7_pareto_mix,
     "op8_maxscore": op8_maxscore,
+    "op9_co_training": op9_co_training,
+    "op10_jaccard_components": op10_jaccard_components,
 }
 
 ORACLE_SQL: dict[str, str] = {
