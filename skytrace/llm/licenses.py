@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 from .common import lower_ascii
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: Fixed values of the base: phrase and label.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 #: Licences: label, regex of its name in words, keywords of which a match holds one, versions.
 LICENCES = (
-    ("gpl", "gnu (?:general public licen[sc]e|gpl)", "gnu", ("1", "2", "3")), ("lgpl", "gnu (?:lesser|library) general public licen[sc]e", "gnu", ("2", "2 1", "3")),
-    ("agpl", "(?:gnu )?affero general public licen[sc]e", "affero", ("1", "3")), ("fdl", "gnu free documentation licen[sc]e", "gnu", ("1 1", "1 2", "1 3")),
+    ("gpl", "gnu (?:general public licen[sc]e|gpl)", "gnu general,gnu gpl", ("1", "2", "3")), ("lgpl", "gnu (?:lesser|library) general public licen[sc]e", "gnu lesser,gnu library", ("2", "2 1", "3")),
+    ("agpl", "(?:gnu )?affero general public licen[sc]e", "affero", ("1", "3")), ("fdl", "gnu free documentation licen[sc]e", "gnu free documentation", ("1 1", "1 2", "1 3")),
     ("apache", "apache (?:software )?licen[sc]e", "apache", ("1 0", "1 1", "2 0")), ("mit", "(?:the )?(?:mit|expat|x11) licen[sc]e", "mit licen,expat licen,x11 licen", ()),
     ("bsd-2-clause", "(?:simplified bsd|freebsd|bsd 2 clause) licen[sc]e", "bsd", ()), ("bsd-3-clause", "(?:new bsd|modified bsd|revised bsd|bsd 3 clause) licen[sc]e", "bsd", ()),
     ("bsd-4-clause", "(?:original bsd|bsd 4 clause) licen[sc]e", "bsd", ()), ("bsd", "bsd (?:style )?licen[sc]e", "bsd", ()), ("isc", "isc licen[sc]e", "isc", ()),
@@ -49,7 +50,7 @@ GATE, GATE_CC = ("licen", "domain", "gnu", "creative"), r"[cC][cC][\x00-\x40\x5B
 
 def rules() -> list[tuple[str, str, int, bool, str]]:
     """(label, keyword, priority, base, regex): every phrasing of every licence, without and with each version."""
-    out = [(label, phrase.split()[0], 45, True, f" {phrase}(?= )") for phrase, label in BASE]
+    out = [(label, phrase, 45, True, f" {phrase}(?= )") for phrase, label in BASE]
     for label, name, keyword, versions in LICENCES:
         for phrasing, priority in PHRASINGS:
             own = phrasing.replace("N", name)
@@ -89,15 +90,21 @@ def _survivors(found: Column) -> Column:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    n_words = F.regexp_count(text, F.lit(WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60"))).cast("long")
+    outside = [F.substring(text, i, 1).rlike(f"^{BETWEEN}").cast("int") for i in (1, -1)]  # an empty part at either end
+    n_words = F.when(text == "", 0).otherwise(F.size(F.split(text, f"{BETWEEN}+", -1)) - outside[0] - outside[1]).cast("long")
     low, gate = F.lower(text), text.rlike(GATE_CC)
     for k in GATE:
         gate |= F.contains(low, F.lit(k))
     line = F.when(gate, F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0)), " "), F.lit(" "))).otherwise("")
-    table = F.array(*[F.struct(F.lit(a).alias("label"), F.array(*[F.lit(x) for x in k.split(",")]).alias("keywords"), F.lit(p).alias("priority"), F.lit(b).alias("base"), F.lit(r).alias("regex")) for a, k, p, b, r in rules()])
+    families: dict[str, list[Column]] = {}
+    for label, keywords, priority, base, regex in rules():
+        rule = F.struct(F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.lit(base).alias("base"), F.lit(regex).alias("regex"))
+        families.setdefault(keywords, []).append(rule)
+    table = F.array(*[F.struct(F.array(*[F.lit(x) for x in k.split(",")]).alias("keywords"), F.array(*r).alias("rules")) for k, r in families.items()])
     # one-element arrays are exploded so that a line and its detections are made once
     out = docs.select(F.col(id_col), n_words.alias("n_words"), F.explode(F.array(line)).alias("line"))
-    hits = F.filter(table, lambda r: F.exists(r["keywords"], lambda k: F.contains(F.col("line"), k)))
+    open_families = F.filter(table, lambda f: F.exists(f["keywords"], lambda k: F.contains(F.col("line"), k)))
+    hits = F.flatten(F.transform(open_families, lambda f: f["rules"]))
     empty = F.array().cast("array<struct<first:int,size:int,label:string,priority:int,base:boolean>>")
     found = F.when(F.col("line") == "", empty).otherwise(F.flatten(F.transform(hits, lambda r: _places(F.col("line"), r))))
     out = out.select(id_col, "n_words", F.explode(F.array(found)).alias("found"))
