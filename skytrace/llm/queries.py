@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cotrain, jaccard, kmtree, licenses, maxscore, mixing, suffixes, tokens
+from . import bpe, cotrain, jaccard, kmtree, licenses, maxscore, mixing, ppm, suffixes, tokens
 from .common import materialize, table
 
 #: Place of the public tokenizer files; a parameter, as the files are no part of the repository.
@@ -26,6 +26,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op4_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tree_search": op1_tree_search,
     "op2_token_counts": op2_token_counts,
     "op3_license_scan": op3_license_scan,
+    "op4_ppm_scores": op4_ppm_scores,
     "op5_suffix_repeats": op5_suffix_repeats,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_pareto_mix": op7_pareto_mix,
