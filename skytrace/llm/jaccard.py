@@ -13,7 +13,8 @@
    different components is lost.
 4. Links are contracted to components by star contractions.
 
-Before texts are fetched for an exact comparison, counts of the hashes in a few bins bound the similarity from above.
+A pair counts in the region of its first common shingle; where too little is left after it in either set, it is passed
+over. Before texts are fetched for an exact comparison, counts of the hashes in a few bins bound the similarity from above.
 
 Nulls and odd cases: a document without words has no shingles and is linked with nothing; one of fewer than five
 words is one shingle. Rows with one id are one node: they are linked if any of their texts are. A null id gets a
@@ -34,9 +35,9 @@ from .components import connected
 from .shingles import mix, shingle_sets
 
 #: Bits of the frequency sketch; a counter so many times the mean of its task counts as frequent there.
-SKETCH_BITS, FREQUENT = 22, 6
+SKETCH_BITS, FREQUENT, LEAST_FREQUENT = 22, 6, 12
 #: Further pivots of a region in a round at least, and more while a round lists so many pairs for each first member at most.
-PIVOTS, PAIRS_PER_MEMBER = 24, 8
+PIVOTS, PAIRS_PER_MEMBER = 24, 100
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
@@ -50,11 +51,11 @@ def _frequent(docs: DataFrame) -> np.ndarray:
                 all_of = np.concatenate([np.empty(0, np.uint64), *shingle_sets(text_bytes(part.column("text")))])
                 counts += np.bincount((all_of >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=n)
                 total += len(all_of)
-        hot = np.flatnonzero(counts >= max(8, FREQUENT * total / n))
+        hot = np.flatnonzero(counts >= max(3, FREQUENT * total / n))
         yield pa.RecordBatch.from_arrays([pa.array(hot, pa.int32()), pa.array(counts[hot], pa.int64())], ["counter", "n"])
 
     found = docs.select("text").mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n"))
-    found = found.select("counter", (F.floor(F.log2("n")) + 1).cast("byte").alias("level"))
+    found = found.filter(f"n >= {LEAST_FREQUENT}").select("counter", (F.floor(F.log2("n")) + 1).cast("byte").alias("level"))
     level = np.zeros(n, np.uint8)
     for b in found.toArrow().to_batches():
         level[b.column("counter").to_numpy()] = b.column("level").to_numpy()
@@ -111,6 +112,11 @@ def _similar(a: Column, b: Column) -> Column:
     return (100 * F.least(a, b) >= 80 * F.greatest(a, b))
 
 
+def _ahead(n: Column, pos: Column, m: Column, at: Column) -> Column:
+    """Whether sets of ``n`` and ``m`` can be linked with their first common shingle at these places: enough must be left."""
+    return 9 * F.least(n - pos, m - at) >= 4 * (n + m)
+
+
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, na, nb, ba, bb) to (a, b, least distance by the bins)."""
     for batch in batches:
@@ -157,12 +163,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = materialize(about.select("doc_id", "n", "f1", "f2").join(leads, ["f1", "f2", "n"], "left").select("doc_id", "n", "rep"), "classes")
     reps = rows.filter("doc_id = rep").select("doc_id").distinct()
 
-    heads = about.join(reps, "doc_id", "left_semi").select(F.explode("head").alias("tok"), F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n"))
+    heads = about.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n"), F.posexplode("head").alias("pos", "tok"))
     shared = heads.groupBy("tok").agg(F.min("doc").alias("p"), F.max("doc").alias("q")).filter("p <> q").select("tok")
-    members = materialize(heads.join(shared, "tok").select("tok", "doc", "n"), "members")
+    members = materialize(heads.join(shared, "tok").select("tok", "doc", "n", "pos"), "members")
 
-    regions = members.groupBy("tok").agg(F.min("doc").alias("p"), F.min_by("n", "doc").alias("np"))
-    todo = members.join(regions, "tok").filter("doc <> p").filter(_similar(F.col("n"), F.col("np"))).select(F.col("p").alias("a"), F.col("doc").alias("b")).distinct()
+    regions = members.groupBy("tok").agg(F.min("doc").alias("p"), F.min_by("n", "doc").alias("np"), F.min_by("pos", "doc").alias("pp"))
+    todo = members.join(regions, "tok").filter("doc <> p").filter(_similar(F.col("n"), F.col("np")) & _ahead(F.col("n"), F.col("pos"), F.col("np"), F.col("pp"))).select(F.col("p").alias("a"), F.col("doc").alias("b")).distinct()
     known = _measure(todo, about, texts)
     comps = materialize(connected(known.filter("linked").select("a", "b")), "components")
     budget = PAIRS_PER_MEMBER * members.count()
@@ -183,7 +189,7 @@ def _after_pivot(members: DataFrame, regions: DataFrame, known: DataFrame, comps
     r = members.join(regions.select("tok", "p"), "tok").filter("doc <> p")
     r = r.join(known.select(F.col("a").alias("p"), F.col("b").alias("doc"), "low", "high"), ["p", "doc"], "left")
     r = r.join(comps.select(F.col("id").alias("doc"), "comp"), "doc", "left")
-    r = r.select("tok", "doc", "n", F.coalesce("comp", "doc").alias("comp"), F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high"))
+    r = r.select("tok", "doc", "n", "pos", F.coalesce("comp", "doc").alias("comp"), F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high"))
     return materialize(_open_regions(r), "members")
 
 
@@ -194,8 +200,8 @@ def _open_regions(r: DataFrame) -> DataFrame:
 
 def _window_pairs(ranked: DataFrame, pivots: int) -> DataFrame:
     """Pairs in the windows between the first ``pivots`` documents of a region and all others of it."""
-    x = ranked.filter(F.col("rank") <= pivots).select("tok", *[F.col(c).alias(f"x_{c}") for c in ("doc", "n", "comp", "low", "high")])
-    y = ranked.select("tok", *[F.col(c).alias(f"y_{c}") for c in ("doc", "n", "comp", "low", "high")])
+    x = ranked.filter(F.col("rank") <= pivots).select("tok", *[F.col(c).alias(f"x_{c}") for c in ("doc", "n", "pos", "comp", "low", "high")])
+    y = ranked.select("tok", *[F.col(c).alias(f"y_{c}") for c in ("doc", "n", "pos", "comp", "low", "high")])
     near = (F.col("x_low") - F.col("y_high") <= 0.2 + 1e-9) & (F.col("y_low") - F.col("x_high") <= 0.2 + 1e-9)
-    pairs = x.join(y, "tok").filter("x_doc < y_doc and x_comp <> y_comp").filter(near & _similar(F.col("x_n"), F.col("y_n")))
+    pairs = x.join(y, "tok").filter("x_doc < y_doc and x_comp <> y_comp").filter(near & _similar(F.col("x_n"), F.col("y_n")) & _ahead(F.col("x_n"), F.col("x_pos"), F.col("y_n"), F.col("y_pos")))
     return pairs.select(F.col("x_doc").alias("a"), F.col("y_doc").alias("b")).distinct()
