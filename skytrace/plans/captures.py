@@ -183,12 +183,12 @@ _RESULT = """sha256(path || '|' || timestamp_utc) as id, path as input_file, tim
 ORACLE_SQL = {
     "detect_captures": f"{_DETECT} select capture_id, {_ROUNDED}, detected, round(confidence, 6) as confidence, notes from dt",
     "slice_peaks": f"with {_SLICES} select capture_id, t_idx, bin, round(strongest_db, 6) as strongest_db, round(noise_db, 6) as noise_db, valid, round(trace_hz, 6) as trace_hz, round(width_hz, 6) as width_hz from pk",
-    "capture_traces": f"with {_SLICES}, {_smooth_sql('pk')} select capture_id, t_idx, round(trace_hz, 6) as trace_hz, round(filled, 6) as filled, round(smoothed, 6) as smoothed, round(jump, 6) as jump from sm",
+    "capture_traces": f"with {_SLICES}, {_smooth_sql('pk')} select capture_id, t_idx, round(trace_hz, 6) as trace_hz, round(filled, 6) as filled, round(smoothed, 6) as smoothed, round(jump, 6) + cast(0 as double) as jump from sm",
     "capture_features": f"{_FEATURES} select capture_id, {_ROUNDED} from fr",
     "model_inputs": "select event_id, round(case event_id % 5 when 0 then 1e6 when 1 then -1e6 when 2 then -1e6 else value end, 6) as smoothness_score, round(value, 6) as snr_db from events",
     "event_smoothing": f"""with tr as (select cast(user_id as varchar) as capture_id, row_number() over (partition by user_id order by ts, event_id) - 1 as t_idx,
         case when event_type <> 'error' then cast(value as double) end as trace_hz from events), {_smooth_sql('tr')}
-        select capture_id, t_idx, round(trace_hz, 6) as trace_hz, round(filled, 6) as filled, round(smoothed, 6) as smoothed, round(jump, 6) as jump from sm""",
+        select capture_id, t_idx, round(trace_hz, 6) as trace_hz, round(filled, 6) as filled, round(smoothed, 6) as smoothed, round(jump, 6) + cast(0 as double) as jump from sm""",
     "event_drift": f"""with tr as (select cast(user_id as varchar) as capture_id, row_number() over (partition by user_id order by ts, event_id) - 1 as t_idx,
         case when event_type <> 'error' then cast(value as double) end as trace_hz from events), {_smooth_sql('tr')}
         select capture_id, count(smoothed) as points,
