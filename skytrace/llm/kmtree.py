@@ -4,8 +4,10 @@ The tree is fitted on a bounded sample (``SAMPLE_ROWS`` rows by hash of the id);
 walks the tree through a priority queue ordered by inner product with the node centres. How many leaves a query
 visits is widened on the sample, against brute force there, until the wished recall is reached.
 
-Each leaf's rows are packed in blocks; queries go only to the leaves they visit. Scores are double inner
-products of the original vectors, summed the same way for every row, so that equal vectors tie exactly.
+Each leaf's rows are packed in blocks; queries go only to the leaves they visit. They search the first few leaves
+(the square root of all visits), and then, knowing the last score of that list, the others, where only rows that beat
+it are handed on. So a query's lists hold about 2 k sqrt(visits) rows, whatever the number of tasks. Scores are double
+inner products of the original vectors, summed the same way for every row, so that equal vectors tie exactly.
 
 Nulls: a null id, a null, empty or zero vector, or one with a null or non-finite component takes no part.
 Vectors meet only vectors of their own length; the tree is fitted for the commonest length, and vectors of
@@ -16,14 +18,16 @@ Other columns are ignored.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from .common import n_parts
+from .common import discard, materialize, n_parts
 from .vectors import HELD_QUERIES, TopK, matrices, merge_topk, usable
 
 #: Rows the tree is fitted on at most; queries it is calibrated with; children of a node; rows of a leaf in the sample.
@@ -128,51 +132,64 @@ def _indexer(tree: Tree, dim0: int):
     return run
 
 
-def _block(leaf: int, dim: int, ids: np.ndarray, m: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([leaf], pa.int32()), pa.array([dim], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([np.ascontiguousarray(m).tobytes()], pa.binary())], names)
+def _packer(kind: type):
+    """Rows sorted by leaf to blocks of one leaf, with components of the table's own type."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, leaf = np.asarray(batch.column("id")), np.asarray(batch.column("leaf"))
+            for dim, at, m in matrices(batch):
+                cuts = np.flatnonzero(np.diff(leaf[at])) + 1
+                for part in np.split(np.arange(len(at)), cuts):
+                    for i in range(0, len(part), BLOCK_ROWS):
+                        own = part[i : i + BLOCK_ROWS]
+                        yield pa.RecordBatch.from_pydict(
+                            {
+                                "leaf": pa.array([leaf[at[own[0]]]], pa.int32()), "dim": pa.array([dim], pa.int32()),
+                                "ids": pa.array([ids[at[own]].tobytes()], pa.binary()), "vecs": pa.array([m[own].astype(kind).tobytes()], pa.binary()),
+                            }
+                        )
+
+    return run
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by leaf to blocks of one leaf."""
-    for batch in batches:
-        ids, leaf = np.asarray(batch.column("id")), np.asarray(batch.column("leaf"))
-        for dim, at, m in matrices(batch):
-            cuts = np.flatnonzero(np.diff(leaf[at])) + 1
-            for part in np.split(np.arange(len(at)), cuts):
-                for i in range(0, len(part), BLOCK_ROWS):
-                    own = part[i : i + BLOCK_ROWS]
-                    yield _block(int(leaf[at[own[0]]]), dim, ids[at[own]], m[own], ["leaf", "dim", "ids", "vecs"])
 
+def _router(tree: Tree, dim0: int, start: int, stop: int):
+    """Queries (id, vec, score and vec_id to beat) to blocks for each leaf among their visits ``start`` to ``stop``."""
 
-def _router(tree: Tree, dim0: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(batch.column("id"))
+            own = {"qids": np.asarray(batch.column("id")), "qscores": np.asarray(batch.column("score")), "qlast": np.asarray(batch.column("last"))}
             for dim, at, m in matrices(batch):
                 goes: dict[int, list[int]] = {}
                 for i, q in enumerate(m):
-                    for leaf in tree.visits(q, n) if dim == dim0 else [-1]:
+                    for leaf in (tree.visits(q, stop) if dim == dim0 else [-1])[start:]:
                         goes.setdefault(leaf, []).append(i)
                 for leaf, rows in goes.items():
-                    yield _block(leaf, dim, ids[at[rows]], m[rows], ["leaf", "dim", "qids", "qvecs"])
+                    yield pa.RecordBatch.from_pydict(
+                        {"leaf": pa.array([leaf], pa.int32()), "dim": pa.array([dim], pa.int32()), "qvecs": pa.array([m[rows].tobytes()], pa.binary())}
+                        | {c: pa.array([v[at[rows]].tobytes()], pa.binary()) for c, v in own.items()}
+                    )
 
     return run
 
 
-def _searcher(k: int):
+def _searcher(k: int, kind: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = TopK(k, np.float64)
         for batch in batches:
-            for dim, ids, vecs, qids, qvecs in zip(*(batch.column(c).to_pylist() for c in ("dim", "ids", "vecs", "qids", "qvecs")), strict=True):
-                ids, qids = np.frombuffer(ids, np.int64), np.frombuffer(qids, np.int64)
-                x, qs = np.frombuffer(vecs, np.float64).reshape(-1, dim), np.frombuffer(qvecs, np.float64).reshape(-1, dim)
+            for r in batch.to_pylist():
+                ids, qids, last = (np.frombuffer(r[c], np.int64) for c in ("ids", "qids", "qlast"))
+                x = np.frombuffer(r["vecs"], kind).reshape(len(ids), -1).astype(np.float64)
+                qs, beat = np.frombuffer(r["qvecs"], np.float64).reshape(len(qids), -1), np.frombuffer(r["qscores"], np.float64)
                 rough = qs @ x.T
                 slack = 1e-9 * (1 + np.abs(rough).max(axis=1))
                 kth = np.partition(rough, -(k + 1), axis=1)[:, -(k + 1)] if x.shape[0] > k + 1 else np.full(len(qs), -np.inf)
                 for j, q in enumerate(qids.tolist()):
-                    at = np.flatnonzero((rough[j] >= max(kth[j], top.bound(q)) - slack[j]) & (ids != q))
-                    if len(at):
-                        top.add(q, ids[at], (x[at] * qs[j]).sum(axis=1))
+                    at = np.flatnonzero((rough[j] >= max(kth[j], beat[j], top.bound(q)) - slack[j]) & (ids != q))
+                    scores = (x[at] * qs[j]).sum(axis=1)
+                    better = (scores > beat[j]) | ((scores == beat[j]) & (ids[at] <= last[j]))
+                    if better.any():
+                        top.add(q, ids[at[better]], scores[better])
                 if len(top.held) > HELD_QUERIES:
                     yield top.flush()
         yield top.flush()
@@ -193,13 +210,26 @@ def tree_search(df: DataFrame, is_query: Column, k: int = 20, recall: float = RE
         sample = np.zeros((1, dim0))
     tree = Tree(sample)
     n = calibrate(tree, sample, k, recall)
+    first = min(n, max(1, math.isqrt(n)))
+    kind = np.float32 if isinstance(df.schema[vec_col].dataType.elementType, FloatType) else np.float64
     parts = n_parts(df.sparkSession)
-    blocks = (
+    blocks = materialize(
         rows.mapInArrow(_indexer(tree, dim0), "leaf int, id long, vec array<double>")
         .repartition(parts, "leaf", F.pmod(F.xxhash64("id"), F.lit(64)))
         .sortWithinPartitions("leaf", "id")
-        .mapInArrow(_pack, "leaf int, dim int, ids binary, vecs binary")
+        .mapInArrow(_packer(kind), "leaf int, dim int, ids binary, vecs binary"),
+        "tree-leaves",
     )
-    queries = rows.filter(is_query).mapInArrow(_router(tree, dim0, n), "leaf int, dim int, qids binary, qvecs binary")
-    found = blocks.join(queries, ["leaf", "dim"]).mapInArrow(_searcher(k), "query_id long, vec_id long, score double")
-    return merge_topk(found, k)
+
+    def search(queries: DataFrame, start: int, stop: int) -> DataFrame:
+        routed = queries.mapInArrow(_router(tree, dim0, start, stop), "leaf int, dim int, qvecs binary, qids binary, qscores binary, qlast binary")
+        return blocks.join(routed, ["leaf", "dim"]).mapInArrow(_searcher(k, kind), "query_id long, vec_id long, score double")
+
+    queries = rows.filter(is_query)
+    near = materialize(merge_topk(search(queries.withColumns({"score": F.lit(-math.inf), "last": F.lit(-1).cast("long")}), 0, first), k), "tree-first")
+    if first == n:
+        discard(blocks)
+        return near
+    last = near.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), "score", F.col("vec_id").alias("last"))
+    wider = queries.join(last, "id", "left").select("id", "vec", F.coalesce("score", F.lit(-math.inf)).alias("score"), F.coalesce("last", F.lit(-1).cast("long")).alias("last"))
+    return merge_topk(near.select("query_id", "vec_id", "score").union(search(wider, first, n)), k)
