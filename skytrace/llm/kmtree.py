@@ -33,6 +33,8 @@ from .vectors import HELD_QUERIES, TopK, matrices, merge_topk, usable
 #: Rows the tree is fitted on at most; queries it is calibrated with; children of a node; rows of a leaf in the sample.
 SAMPLE_ROWS, CALIBRATION_QUERIES, BRANCH, LEAF_ROWS = 20_000, 400, 8, 100
 BLOCK_ROWS, RECALL = 2048, 0.96
+#: A leaf is dealt out in pieces of about half a partition's rows, within these bounds.
+LEAST_PIECE, MOST_PIECE = 48, BLOCK_ROWS
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -120,14 +122,16 @@ def calibrate(tree: Tree, x: np.ndarray, k: int, recall: float, queries: int = C
     return n
 
 
-def _indexer(tree: Tree, dim0: int):
+def _indexer(tree: Tree, dim0: int, pieces: np.ndarray):
+    """Leaf of each row, and the number of pieces its leaf is dealt out in (the last number is for rows of other lengths)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             leaf = np.full(batch.num_rows, -1, np.int32)
             for dim, at, m in matrices(batch):
                 if dim == dim0:
                     leaf[at] = tree.assign(m)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf), batch.column("id"), batch.column("vec")], ["leaf", "id", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(pieces[leaf]), batch.column("id"), batch.column("vec")], ["leaf", "pieces", "id", "vec"])
 
     return run
 
@@ -213,9 +217,11 @@ def tree_search(df: DataFrame, is_query: Column, k: int = 20, recall: float = RE
     first = min(n, max(1, math.isqrt(n)))
     kind = np.float32 if isinstance(df.schema[vec_col].dataType.elementType, FloatType) else np.float64
     parts = n_parts(df.sparkSession)
+    expected = np.bincount(tree.assign(sample), minlength=tree.n_leaves) * (total / len(sample))
+    pieces = np.ceil(np.append(expected, total) / np.clip(total / parts / 2, LEAST_PIECE, MOST_PIECE)).clip(1).astype(np.int64)
     blocks = materialize(
-        rows.mapInArrow(_indexer(tree, dim0), "leaf int, id long, vec array<double>")
-        .repartition(parts, "leaf", F.pmod(F.xxhash64("id"), F.lit(64)))
+        rows.mapInArrow(_indexer(tree, dim0, pieces), "leaf int, pieces long, id long, vec array<double>")
+        .repartition(parts, "leaf", F.pmod(F.xxhash64("id"), F.col("pieces")))
         .sortWithinPartitions("leaf", "id")
         .mapInArrow(_packer(kind), "leaf int, dim int, ids binary, vecs binary"),
         "tree-leaves",
