@@ -38,6 +38,8 @@ from .shingles import mix, shingle_sets
 SKETCH_BITS, FREQUENT, LEAST_FREQUENT = 22, 6, 12
 #: Further pivots of a region in a round at least, and more while a round lists so many pairs for each first member at most.
 PIVOTS, PAIRS_PER_MEMBER = 24, 100
+#: Ids (8 bytes each) that are broadcast at most to pick the texts of an exact comparison; with more, the texts are shuffled.
+BROADCAST_IDS = 1_000_000
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
@@ -147,6 +149,9 @@ def _measure(pairs: DataFrame, about: DataFrame, texts: DataFrame) -> DataFrame:
     x = about.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bins").alias("ba"))
     y = about.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bins").alias("bb"))
     rough = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(_bounded, "a long, b long, ok boolean, low double"), "rough")
+    ids = rough.filter("ok").select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    if ids.count() <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
     tx, ty = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     exact = rough.filter("ok").select("a", "b").join(ty, "b").join(tx, "a").select("a", "b", "ta", "tb").mapInArrow(_compare, "a long, b long, common long, total long")
     exact = exact.groupBy("a", "b").agg(F.max(100 * F.col("common") >= 80 * F.col("total")).alias("linked"), F.min(1 - F.col("common") / F.col("total")).alias("d"))
