@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, slices, text_bytes
+from .common import discard, materialize, n_parts, slices, text_bytes
 from .components import connected
 from .shingles import mix, shingle_sets
 
@@ -40,6 +40,8 @@ SKETCH_BITS, FREQUENT, LEAST_FREQUENT = 22, 6, 12
 PIVOTS, PAIRS_PER_MEMBER = 24, 100
 #: Ids (8 bytes each) that are broadcast at most to pick the texts of an exact comparison; with more, the texts are shuffled.
 BROADCAST_IDS = 1_000_000
+#: Prefix shingles of a task that are sorted at once, and buckets of hashes for each partition.
+HELD_SHINGLES, BUCKETS = 1_000_000, 8
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
@@ -109,6 +111,54 @@ def _describe(level_of):
     return run
 
 
+def _bucketed(n_buckets: int):
+    """Prefixes to (bucket, distinct shingles as packed 64-bit numbers, those of them met twice already)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush() -> pa.RecordBatch:
+            toks, times = np.unique(np.concatenate(held).view(np.uint64), return_counts=True)
+            bucket = (toks % np.uint64(n_buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+            parts = [x for x in np.split(order, cuts) if len(x)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([bucket[x[0]] for x in parts], pa.int64()), pa.array([toks[x].tobytes() for x in parts], pa.binary()), pa.array([toks[x[times[x] > 1]].tobytes() for x in parts], pa.binary())],
+                ["bucket", "toks", "twice"],
+            )
+
+        for batch in batches:
+            held.append(np.asarray(batch.column("head").flatten()))
+            n += len(held[-1])
+            if n >= HELD_SHINGLES:
+                yield flush()
+                held, n = [], 0
+        if n:
+            yield flush()
+
+    return run
+
+
+def _met_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed shingles of whole buckets to those of two rows or more."""
+    toks, twice = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+    for batch in batches:
+        toks += [np.frombuffer(x, np.uint64) for x in batch.column("toks").to_pylist()]
+        twice += [np.frombuffer(x, np.uint64) for x in batch.column("twice").to_pylist()]
+    found, times = np.unique(np.concatenate(toks), return_counts=True)
+    shared = np.union1d(found[times > 1], np.concatenate(twice)).view(np.int64)
+    for i in range(0, len(shared), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(shared[i : i + 50_000], pa.int64())], ["tok"])
+
+
+def _shared(heads: DataFrame) -> DataFrame:
+    """Shingles in the prefixes of two rows or more: (tok). Only packed hashes are shuffled, once a task and shingle."""
+    parts = n_parts(heads.sparkSession)
+    packed = heads.select("head").mapInArrow(_bucketed(BUCKETS * parts), "bucket long, toks binary, twice binary")
+    return packed.repartition(parts, "bucket").mapInArrow(_met_twice, "tok long")
+
+
 def _similar(a: Column, b: Column) -> Column:
     """Sizes that allow a similarity of 0.8."""
     return (100 * F.least(a, b) >= 80 * F.greatest(a, b))
@@ -168,9 +218,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = materialize(about.select("doc_id", "n", "f1", "f2").join(leads, ["f1", "f2", "n"], "left").select("doc_id", "n", "rep"), "classes")
     reps = rows.filter("doc_id = rep").select("doc_id").distinct()
 
-    heads = about.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n"), F.posexplode("head").alias("pos", "tok"))
-    shared = heads.groupBy("tok").agg(F.min("doc").alias("p"), F.max("doc").alias("q")).filter("p <> q").select("tok")
+    own = about.join(reps, "doc_id", "left_semi")
+    heads = own.select(F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n"), F.posexplode("head").alias("pos", "tok"))
+    shared = materialize(_shared(own), "shared")
     members = materialize(heads.join(shared, "tok").select("tok", "doc", "n", "pos"), "members")
+    discard(shared)
 
     regions = members.groupBy("tok").agg(F.min("doc").alias("p"), F.min_by("n", "doc").alias("np"), F.min_by("pos", "doc").alias("pp"))
     todo = members.join(regions, "tok").filter("doc <> p").filter(_similar(F.col("n"), F.col("np")) & _ahead(F.col("n"), F.col("pos"), F.col("np"), F.col("pp"))).select(F.col("p").alias("a"), F.col("doc").alias("b")).distinct()

@@ -185,3 +185,16 @@ def test_near_copies(docs):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_copies(docs).collect()}
     assert got == {i: (len(sets[i]), comp[i]) for i in ids}
     assert jaccard.near_copies(empty(docs)).count() == 0
+
+
+@pytest.mark.parametrize("held", [3, 1_000_000])
+def test_shared_shingles(spark, held, monkeypatch):
+    monkeypatch.setattr(jaccard, "HELD_SHINGLES", held)
+    rows = [([RND.randrange(-40, 40) for _ in range(RND.randrange(4))],) for _ in range(60)]
+    rows = [(list(dict.fromkeys(x)),) for x, in rows] + [([],)]
+    times = {}
+    for x, in rows:
+        for t in x:
+            times[t] = times.get(t, 0) + 1
+    got = [r["tok"] for r in jaccard._shared(spark.createDataFrame(rows, "head array<long>")).collect()]
+    assert sorted(got) == sorted(t for t, n in times.items() if n > 1)
