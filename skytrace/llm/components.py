@@ -27,3 +27,15 @@ def connected(links: DataFrame) -> DataFrame:
         if not moved:
             roots = e.select(F.col("v").alias("id")).distinct()
             return e.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(roots.select("id", F.col("id").alias("comp")))
+
+
+def absorb(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (id, comp) after further links (a, b); only links between different components are contracted."""
+    own = lambda side: comps.select(F.col("id").alias(side), F.col("comp").alias(f"c_{side}"))
+    ends = links.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    between = materialize(ends.filter("a <> b").distinct(), "between")
+    if between.isEmpty():
+        return comps
+    merged = materialize(connected(between), "merged")
+    moved = comps.join(merged.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+    return materialize(moved.union(merged.join(comps.select("id"), "id", "left_anti").select("id", "comp")), "components")

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, n_parts, slices, text_bytes
-from .components import connected
+from .components import absorb, connected
 from .shingles import mix, shingle_sets
 
 #: Bits of the frequency sketch; a counter so many times the mean of its task counts as frequent there.
@@ -234,8 +234,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         ranked = materialize(left.withColumn("rank", F.row_number().over(Window.partitionBy("tok").orderBy("doc"))), "ranked")
         pivots = max(PIVOTS, budget // remaining)
         todo = _window_pairs(ranked, pivots).join(known.select("a", "b"), ["a", "b"], "left_anti")
-        known = materialize(known.union(_measure(todo, about, texts)), "known")
-        comps = materialize(connected(known.filter("linked").select("a", "b")), "components")
+        new = _measure(todo, about, texts)
+        comps = absorb(comps, new.filter("linked").select("a", "b"))
+        known = materialize(known.union(new), "known")
         rest = ranked.filter(F.col("rank") > pivots).drop("rank", "comp").join(comps.select(F.col("id").alias("doc"), "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
         left, _, _ = materialize(_open_regions(rest), "members"), discard(left), discard(ranked)
     return rows.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep", "doc_id").alias("component_id"))

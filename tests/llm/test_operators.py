@@ -187,6 +187,19 @@ def test_near_copies(docs):
     assert jaccard.near_copies(empty(docs)).count() == 0
 
 
+def test_absorbed_links_equal_whole_components(spark):
+    from skytrace.llm import components
+
+    for _ in range(3):
+        old, new = ([(RND.randrange(60), RND.randrange(60)) for _ in range(n)] for n in (25, 15))
+        frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+        first = components.connected(frame(old))
+        got = {(r["id"], r["comp"]) for r in components.absorb(first, frame(new)).collect()}
+        whole = {(r["id"], r["comp"]) for r in components.connected(frame(old + new)).collect()}
+        linked = {i for pair in old + new for i in pair if pair[0] != pair[1]}
+        assert got == whole and {i for i, _ in got} == linked
+
+
 @pytest.mark.parametrize("held", [3, 1_000_000])
 def test_shared_shingles(spark, held, monkeypatch):
     monkeypatch.setattr(jaccard, "HELD_SHINGLES", held)
