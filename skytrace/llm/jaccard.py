@@ -41,7 +41,9 @@ PIVOTS, PAIRS_PER_MEMBER = 24, 100
 #: Ids (8 bytes each) that are broadcast at most to pick the texts of an exact comparison; with more, the texts are shuffled.
 BROADCAST_IDS = 1_000_000
 #: Prefix shingles of a task that are sorted at once, and buckets of hashes for each partition.
-HELD_SHINGLES, BUCKETS = 1_000_000, 8
+HELD_SHINGLES, BUCKETS = 300_000, 8
+#: Bytes of text hashed at once, one text at least; hashing takes several dozen bytes for each of them.
+SLICE = 1_000_000
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
@@ -51,7 +53,7 @@ def _frequent(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, total = np.zeros(n, np.int64), 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 all_of = np.concatenate([np.empty(0, np.uint64), *shingle_sets(text_bytes(part.column("text")))])
                 counts += np.bincount((all_of >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=n)
                 total += len(all_of)
@@ -93,7 +95,7 @@ def _describe(level_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, odd = level_of.value, np.uint64(0x94D049BB133111EB)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 sets = shingle_sets(text_bytes(part.column("text")))
                 f1 = [int(np.sum(s, dtype=np.uint64).view(np.int64)) for s in sets]
                 f2 = [int(np.sum(mix(s ^ odd), dtype=np.uint64).view(np.int64)) for s in sets]
@@ -183,7 +185,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, ta, tb) to (a, b, common, total); the set of the last text of a side is kept, as rows come sorted by it."""
     last, of_last = None, np.empty(0, np.uint64)
     for batch in batches:
-        for part in slices(batch, "tb", 2_000_000):
+        for part in slices(batch, "tb", SLICE):
             common, total = [], []
             for x, own in zip(text_bytes(part.column("ta")), shingle_sets(text_bytes(part.column("tb"))), strict=True):
                 if x != last:

@@ -23,12 +23,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base^i and base^-i for i up to ``n``."""
     global _POWERS, _INVERSES
     if len(_POWERS) <= n:
-        size = max(1 << 16, 2 * n)
-        step = np.full(size + 1, _BASE, np.uint64)
-        step[0] = 1
-        back = np.full(size + 1, pow(_BASE, -1, 1 << 64), np.uint64)
-        back[0] = 1
-        _POWERS, _INVERSES = np.multiply.accumulate(step), np.multiply.accumulate(back)
+        size = max(1 << 16, n + n // 4)
+        _POWERS, _INVERSES = np.full(size + 1, _BASE, np.uint64), np.full(size + 1, pow(_BASE, -1, 1 << 64), np.uint64)
+        for x in (_POWERS, _INVERSES):
+            x[0] = 1
+            np.multiply.accumulate(x, out=x)
     return _POWERS[: n + 1], _INVERSES[: n + 1]
 
 
