@@ -115,9 +115,8 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, held: np.ndarr
     return {"models": models, "scale": scale, "join": join, "limit": float(min(low, limit))}
 
 
-def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
-    """(doc_id, text_score, meta_score, score, keep) of each row of documents (doc_id, text, lang, source, n_chars)."""
-    spark = docs.sparkSession
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> dict | None:
+    """The model of :func:`co_train`, or None without rows of both classes."""
     at = F.xxhash64("doc_id", F.lit(5))
     marks = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = marks.orderBy(at, "doc_id").limit(labelled)
@@ -141,23 +140,29 @@ def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool:
         use = ~in_pool
         if len(np.unique(y[use & ~held])) == 2 and len(np.unique(y[held])) == 2:
             model = co_train(tuple(v[use] for v in views), y[use], held[use], tuple(v[in_pool] for v in views))
-    shared = spark.sparkContext.broadcast(model)
+    return model
+
+
+def scores(part: pa.RecordBatch, model: dict | None) -> list[np.ndarray]:
+    """text_score, meta_score, score and keep of each row."""
+    n = part.num_rows
+    if model is None:
+        return [np.ones(n)] * 3 + [np.ones(n, bool)]
+    both = np.column_stack([decide(v.astype(np.float32).astype(float), b) for v, b in zip(_views(part), model["models"], strict=True)])
+    s = sigmoid(decide(both / model["scale"], model["join"]))
+    return [sigmoid(both[:, 0]), sigmoid(both[:, 1]), s, s >= model["limit"]]
+
+
+def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
+    """(doc_id, text_score, meta_score, score, keep) of each row of documents (doc_id, text, lang, source, n_chars)."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, labelled, pool))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
-                n = part.num_rows
-                if m is None:
-                    found = [np.ones(n)] * 3 + [np.ones(n, bool)]
-                else:
-                    x, z = _views(part)
-                    both = np.column_stack([decide(v.astype(np.float32).astype(float), b) for v, b in zip((x, z), m["models"], strict=True)])
-                    s = sigmoid(decide(both / m["scale"], m["join"]))
-                    found = [sigmoid(both[:, 0]), sigmoid(both[:, 1]), s, s >= m["limit"]]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, found)], ["doc_id", "text_score", "meta_score", "score", "keep"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, scores(part, shared.value))], ["doc_id", "text_score", "meta_score", "score", "keep"])
 
-    return docs.select(*columns).mapInArrow(score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_score double, meta_score double, score double, keep boolean")
+    return docs.select("doc_id", "text", "lang", "source", "n_chars").mapInArrow(score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_score double, meta_score double, score double, keep boolean")
 
 
 def _views(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -171,6 +176,12 @@ def _rows(part: pa.RecordBatch, first: list, names: list[str]) -> pa.RecordBatch
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that the classifier keeps, with their columns. Rows are scored where they are read: no join."""
-    scored = classify(docs, labels).filter("keep").select("doc_id").distinct()
-    return docs.join(scored, "doc_id", "left_semi")
+    """The rows that the classifier keeps, with their columns. Each row is judged by itself where it is read: no join."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield part.filter(pa.array(scores(part, shared.value)[-1]))
+
+    return docs.mapInArrow(good, docs.schema)

@@ -86,3 +86,25 @@ def test_empty_table_and_nulls(spark, tmp_path):
         spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
         got = {r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()}
         assert got <= {r[0] for r in rows}
+
+
+def test_quality_judges_each_row_by_itself(spark, tmp_path):
+    """Without labels every row stays, also with a null id; with labels a rejected row goes though its id has a kept one."""
+    schema = "doc_id long, quality int, toxic int"
+    for name, labels in (("none", []), ("some", [(i, int(i < 1000), 0) for i in (*range(0, 120), *range(1000, 1060))])):
+        spark.createDataFrame(labels, schema).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    rows = [(i, prose(60), "en", "a", 400) for i in range(160)] + [(1000 + i, prose(60).upper().replace(" ", "!! "), "en", "c", 500) for i in range(80)]
+    bad = prose(60).upper().replace(" ", "!! ")
+    odd = [(None, prose(60), "en", "a", 400), (None, bad, "en", "c", 500), (7000, prose(60), "en", "a", 400), (7000, bad, "en", "c", 500)]
+    docs = spark.createDataFrame(rows + odd, SCHEMA)
+    assert Counter(map(tuple, corpus_pipeline.quality(spark, docs, f"{tmp_path}/none").collect())) == Counter(rows + odd)
+    got = Counter(map(tuple, corpus_pipeline.quality(spark, docs, f"{tmp_path}/some").collect()))
+    assert [got[r] for r in odd] == [1, 0, 1, 0]
+
+
+def test_null_id_row_survives_the_first_three_stages(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(None, prose(30), "en", "a", 9), (3, prose(8), None, "b", 1)], SCHEMA)
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path))
+    assert {r["doc_id"] for r in docs.collect()} == {None, 3}
