@@ -2,8 +2,9 @@
 
 The text view sees the bytes of the whole text (frequencies of byte values, repetition and length of words); the
 metadata view sees language, source and sizes. Both are logistic regressions, fitted on at most ``LABELLED`` rows
-with labels, chosen by hash of the id. In each round each view labels the rows of a pool (at most ``POOL`` rows,
-labelled or not, whose labels it doesn't see) of which it is most sure, and the other one learns them. The views are calibrated and combined
+with labels, chosen by hash of the id. In each round each view labels the rows of a pool of which it is most sure, and
+the other one learns them. The pool holds only documents without a label of 0 or 1, at most ``POOL`` rows by hash of the
+id; all labelled rows serve fitting or calibration. The views are calibrated and combined
 by a logistic regression over their scores on a part of the labelled rows that no round has seen; the threshold
 leaves all but ``LOST`` of the good rows of that part. All documents are then scored.
 
@@ -26,12 +27,12 @@ from .common import slices, text_bytes
 
 #: Bounds of the rows that are fitted on; rounds; pseudo-labels of a class and round; share of good rows that may fall below the threshold.
 LABELLED, POOL, ROUNDS, TAUGHT, LOST = 8_000, 4_000, 4, 100, 0.0
-META_BINS = 48
+META_BINS, TEXT_SIZE = 48, 261
 
 
 def text_features(texts: list[bytes]) -> np.ndarray:
     """Per text: square roots of the byte frequencies, then word length, distinct words, the commonest word, doubled words."""
-    out = np.zeros((len(texts), 261))
+    out = np.zeros((len(texts), TEXT_SIZE))
     for i, t in enumerate(texts):
         if not t:
             out[i, 260] = 1.0
@@ -118,28 +119,31 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, held: np.ndarr
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> dict | None:
     """The model of :func:`co_train`, or None without rows of both classes."""
     at = F.xxhash64("doc_id", F.lit(5))
-    marks = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    marks = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     chosen = marks.orderBy(at, "doc_id").limit(labelled)
+    unlabelled = docs.select("doc_id").distinct().join(marks, "doc_id", "left_anti").orderBy(at, "doc_id").limit(pool).withColumnRenamed("doc_id", "id")
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
-    # at most `labelled` small rows, so the chosen ids may be sent to all tasks
-    sample = docs.select(*columns).join(F.broadcast(chosen), "doc_id")
+    # at most `labelled` and `pool` small rows, so the chosen ids may be sent to all tasks
+    known = docs.select(*columns).join(F.broadcast(chosen), "doc_id")
+    others = docs.select(*columns).join(F.broadcast(unlabelled), F.col("doc_id").eqNullSafe(F.col("id"))).select(*columns, F.lit(None).cast("int").alias("quality"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 yield _rows(part, [part.column("doc_id"), part.column("quality")], ["doc_id", "quality"])
 
-    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, tx binary, mt binary"
-    got = sample.withColumn("quality", F.col("quality").cast("int")).mapInArrow(features, kind).orderBy(at, "doc_id").limit(labelled + pool).toArrow()
-    y = np.array(got.column("quality").to_pylist(), float)
+    def fetch(rows: DataFrame, most: int) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, tx binary, mt binary"
+        got = rows.mapInArrow(features, kind).orderBy(at, "doc_id").limit(most).toArrow()
+        views = tuple(np.frombuffer(b"".join(got.column(c).to_pylist()), np.float32).reshape(got.num_rows, n).astype(float) for c, n in (("tx", TEXT_SIZE), ("mt", META_BINS + 4)))
+        return np.array(got.column("quality").to_pylist(), float), views
+
+    y, views = fetch(known, labelled)
     model = None
     if len(y) >= 20 and 0 < y.sum() < len(y):
-        views = tuple(np.array([np.frombuffer(b, np.float32) for b in got.column(c).to_pylist()], float) for c in ("tx", "mt"))
-        turn = np.arange(len(y)) % 4
-        held, in_pool = turn == 0, (turn == 1) & (np.cumsum(turn == 1) <= pool)
-        use = ~in_pool
-        if len(np.unique(y[use & ~held])) == 2 and len(np.unique(y[held])) == 2:
-            model = co_train(tuple(v[use] for v in views), y[use], held[use], tuple(v[in_pool] for v in views))
+        held = np.arange(len(y)) % 4 == 0
+        if len(np.unique(y[~held])) == 2 and len(np.unique(y[held])) == 2:
+            model = co_train(views, y, held, fetch(others, pool)[1])
     return model
 
 

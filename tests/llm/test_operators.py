@@ -167,6 +167,23 @@ def test_classifier_separates_and_survives_no_labels(spark, docs):
     assert len(none) == docs.count() and all(r["keep"] for r in none)
 
 
+def test_classifier_learns_from_documents_without_label(spark, monkeypatch):
+    """The pool holds the unlabelled documents and only them, all labelled rows are fitted or held, and the views teach each other rows of it."""
+    good = [(i, prose(60), "en", "s", 300) for i in range(160)] + [(None, prose(60), "en", "s", 300)]
+    bad = [(1000 + i, prose(60).upper().replace(" ", "!! "), "en", "t", 900) for i in range(80)]
+    df = spark.createDataFrame(good + bad, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = df.filter("doc_id % 4 = 0").select("doc_id", (F.col("doc_id") < 1000).cast("int").alias("quality")).union(spark.createDataFrame([(1, None)], "doc_id long, quality int"))
+    seen, fits, fit, own = [], [], cotrain.fit_logistic, cotrain.co_train
+    monkeypatch.setattr(cotrain, "co_train", lambda *a: seen.append(a) or own(*a))
+    monkeypatch.setattr(cotrain, "fit_logistic", lambda x, *a, **k: fits.append(len(x)) or fit(x, *a, **k))
+    got = cotrain.classify(df, labels).collect()
+    (_, y, held, pool), = seen
+    assert len(y) == 60 and held.sum() == 15 and [len(v) for v in pool] == [181, 181]
+    assert max(fits) > 45 and all(r["keep"] == ((r["doc_id"] or 0) < 1000) for r in got)
+    few = cotrain.train(df.filter("doc_id % 4 = 0"), labels)
+    assert few is not None and len(seen[-1][3][0]) == 0
+
+
 def test_near_copies(docs):
     import re
 
