@@ -3,8 +3,9 @@
 The model is a byte-context trie of depth ``ORDER``, pretrained on the training documents. A context with n
 occurrences and d distinct successors gives a known successor c / (n + d) and escapes with the rest (method C);
 an escape goes to the context without its first byte, where the successors already known are excluded and the
-others share its mass. So every context's chances sum to 1. The trie's deep nodes are pruned by count, at a power
-of two chosen per depth so that at most ``NODES`` stay; what is pruned joins the escape. Counts cover all training documents.
+others share its mass. So every context's chances sum to 1. Nothing is pruned: every gram of the training documents
+counts, at every size. The chances are a table by gram, made depth by depth with joins; documents are dealt out in
+pieces by hash, a piece's distinct grams are joined with the table and brought to its documents.
 
 The base is the sum over words and one end of log10((c + 1) / (N + 1 * (V + 1))). Counts of frequent words (at most
 ``FREQUENT``) are sent to all tasks; all other words of a document are joined with the counts.
@@ -21,14 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, slices, text_bytes
+from .common import discard, materialize, n_parts, slices, text_bytes
 
-ORDER, NODES, FREQUENT = 5, 400_000, 100_000
-#: Bytes scored at once; words and grams a task gathers before it hands them on; byte that ends a text.
-AT_ONCE, WORDS_HELD, GRAMS_HELD, END = 6_000_000, 400_000, 3_000_000, 0
+ORDER, FREQUENT = 5, 100_000
+#: Bytes scored at once; words a task gathers before it hands them on; grams it gathers before it merges them; byte that ends a text.
+AT_ONCE, WORDS_HELD, GRAMS_HELD, END = 2_000_000, 400_000, 2_000_000, 0
+#: Least bytes of text a piece; more and smaller pieces would only repeat the frequent grams.
+PIECE = 3_000_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -49,18 +53,29 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key[keep], np.concatenate([[0], np.cumsum(counts)[:-1]])
 
 
-def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, n = np.empty(0, np.uint64), np.empty(0, np.int64)
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of several lists and the sums of their counts."""
+    g, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return g, np.bincount(inverse, weights=np.concatenate([c for _, c in parts]), minlength=len(g)).astype(np.int64)
+
+
+def _piece_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(piece, text, held_out) to (piece, gram, occurrences in training texts) of the distinct grams of each piece."""
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for batch in batches:
         for part in slices(batch, "text", AT_ONCE):
-            k, c = np.unique(grams([t.translate(_LOWER) for t in text_bytes(part.column("text"))])[0], return_counts=True)
-            both = np.concatenate([held, k])
-            held, inverse = np.unique(both, return_inverse=True)
-            n = np.bincount(inverse, weights=np.concatenate([n, c])).astype(np.int64)
-            if len(held) > GRAMS_HELD:
-                yield pa.RecordBatch.from_arrays([pa.array(held.view(np.int64)), pa.array(n)], ["g", "n"])
-                held, n = np.empty(0, np.uint64), np.empty(0, np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(held.view(np.int64)), pa.array(n)], ["g", "n"])
+            for own in pc.unique(part.column("piece")).to_pylist():
+                of_piece = held.setdefault(own, [])
+                for out in (False, True):
+                    texts = part.filter(pc.and_(pc.equal(part.column("piece"), own), pc.equal(part.column("held_out"), out))).column("text")
+                    if len(texts):
+                        k, c = np.unique(grams([t.translate(_LOWER) for t in text_bytes(texts)])[0], return_counts=True)
+                        of_piece.append((k, np.zeros_like(c) if out else c))
+                if sum(len(k) for k, _ in of_piece) > GRAMS_HELD:
+                    of_piece[:] = [_merged(of_piece)]
+    for own, parts in held.items():
+        g, n = _merged(parts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), own, np.int64)), pa.array(g.view(np.int64)), pa.array(n)], ["piece", "g", "n"])
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +94,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Trie:
-    """Chances as sorted arrays: for each depth the known grams with log10 chances, and the contexts with log10 escapes."""
+    """The model of a small training set in memory, with the chances that :func:`chances` has. Chances as sorted arrays: for each depth the known grams with log10 chances, and the contexts with log10 escapes."""
 
     def __init__(self, by_depth: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> None:
         """``by_depth[k]``: (gram of k + 1 bytes, its count, occurrences and distinct successors of its context)."""
@@ -118,13 +133,6 @@ class Trie:
                 out[rest[seen]] += self.escapes[k][at[seen]]
         return out
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        if not texts:
-            return np.empty(0)
-        key, first = grams([t.translate(_LOWER) for t in texts])
-        distinct, inverse = np.unique(key, return_inverse=True)
-        return np.add.reduceat(self.log(len(self.grams) - 1, distinct)[inverse], first)
-
 
 def _limit(counts: DataFrame, column: str, most: int) -> int:
     """Least power of two of a count that at most ``most`` rows reach."""
@@ -139,23 +147,49 @@ def _limit(counts: DataFrame, column: str, most: int) -> int:
 
 
 def train(training: DataFrame) -> Trie:
-    """The pruned trie of all training texts."""
-    full = materialize(training.select("text").mapInArrow(_count_grams, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")), "grams")
+    """The trie of a few training texts in memory."""
+    texts = [t.translate(_LOWER) for row in training.select(F.col("text").cast("binary")).collect() for t in [bytes(row[0] or b"")]]
+    full, n = np.unique(grams(texts)[0] if texts else np.empty(0, np.uint64), return_counts=True)
     by_depth = []
     for k in range(ORDER + 1):
-        g = F.col("g").bitwiseAND((1 << (8 * (k + 1))) - 1)
-        here = full.groupBy(g.alias("g")).agg(F.sum("n").alias("c"))
-        here = materialize(here, "depth") if k > 1 else here
-        limit = _limit(here, "c", NODES) if k > 1 else 1
-        about = here.groupBy(F.shiftright("g", 8).alias("x")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("d"))
-        kept = here.filter(F.col("c") >= limit).withColumn("x", F.shiftright("g", 8)).join(about, "x").select("g", "c", "n", "d").toArrow()
-        by_depth.append(tuple(kept.column(c).to_numpy().astype(np.uint64) for c in ("g", "c", "n", "d")))
-        if k > 1:
-            discard(here)
-    discard(full)
+        g, where = np.unique(full & np.uint64((1 << (8 * (k + 1))) - 1), return_inverse=True)
+        c = np.bincount(where, weights=n, minlength=len(g))
+        _, ctx = np.unique(g >> np.uint64(8), return_inverse=True)
+        by_depth.append((g, c, np.bincount(ctx, weights=c)[ctx], np.bincount(ctx)[ctx]))
     return Trie(by_depth)
 
 
+def chances(counted: DataFrame) -> DataFrame:
+    """(g, n) of distinct grams of ORDER + 1 bytes, n = 0 where only texts to be scored hold them, to (g, log10 chance)."""
+    below = None
+    for k in range(ORDER + 1):
+        own = F.col("g").bitwiseAND((1 << (8 * (k + 1))) - 1)
+        here = counted if k == ORDER else counted.groupBy(own.alias("g")).agg(F.sum("n").alias("n"))
+        if below is None:
+            here = here.withColumn("low", F.lit(float(-np.log10(256.0))))
+        else:
+            here = here.withColumn("s", F.col("g").bitwiseAND((1 << (8 * k)) - 1)).join(below.select(F.col("g").alias("s"), F.col("log").alias("low")), "s")
+        # a context has at most 256 successors; its free share is that of the successors it doesn't know
+        about = Window.partitionBy(F.shiftright("g", 8))
+        known = F.col("n") > 0
+        here = here.select("g", "n", "low", F.sum("n").over(about).alias("t"), F.count_if(known).over(about).alias("d"), (1 - F.coalesce(F.sum(F.when(known, F.pow(F.lit(10.0), "low"))).over(about), F.lit(0.0))).alias("free"))
+        full = F.col("free") < 1e-9  # every byte is known here: no escape is left to share
+        p = F.try_divide(F.col("n"), F.when(full, F.col("t")).otherwise(F.col("t") + F.col("d")))
+        escape = F.log10(F.try_divide(F.col("d"), F.col("t") + F.col("d")) / F.greatest("free", F.lit(1e-9)))
+        log = F.when(known, F.log10(p)).when(F.col("t") > 0, escape + F.col("low")).otherwise(F.col("low"))
+        made = materialize(here.select("g", log.alias("log")), "chances")
+        if below is not None:
+            discard(below)
+        below = made
+    return below
+
+
+def _spread(spark: SparkSession, n: int) -> list[int]:
+    """A key for each of n partitions that the hash of a shuffle deals there, so that pieces are dealt evenly."""
+    rows = spark.range(40 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).collect()
+    return sorted(r["id"] for r in rows)
+
+
 def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes) of each row."""
     spark = docs.sparkSession
@@ -169,13 +203,29 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: st
     limit = _limit(words, "n", FREQUENT)
     common = words.filter(F.col("n") >= limit).toArrow()
     frequent = dict(zip(common.column("w").to_pylist(), np.log10(common.column("n").to_numpy() + 1.0).tolist(), strict=True))
-    shared = spark.sparkContext.broadcast((train(training), frequent))
+    shared = spark.sparkContext.broadcast(frequent)
+    size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    keys = _spread(spark, n_parts(spark))[: 1 + size // PIECE]
+    place = F.pmod(F.xxhash64(id_col, "text"), F.lit(len(keys))).cast("int")
+    dealt = base.withColumn("piece", F.get(F.lit(keys).cast("array<bigint>"), place))
+    by_piece = materialize(dealt.select("piece", "text", "held_out").repartition(n_parts(spark), "piece").mapInArrow(_piece_grams, "piece long, g long, n long"), "grams")
+    counted = materialize(by_piece.groupBy("g").agg(F.sum("n").alias("n")), "counted")
+    model = chances(counted)
+    discard(counted)
+
+    def score(piece: pa.Table, found: pa.Table) -> pa.Table:
+        own = found.column("g").to_numpy().view(np.uint64)
+        order = np.argsort(own)
+        return pa.Table.from_batches(list(score_rows(piece, own[order], found.column("log").to_numpy()[order])))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, logs = shared.value
-        for batch in batches:
+    def score_rows(piece: pa.Table, known_grams: np.ndarray, chance: np.ndarray) -> Iterator[pa.RecordBatch]:
+        logs = shared.value
+        for batch in piece.to_batches():
             for part in slices(batch, "text", AT_ONCE):
                 texts = text_bytes(part.column("text"))
+                key, first = grams([t.translate(_LOWER) for t in texts])
+                different, inverse = np.unique(key, return_inverse=True)
+                scores = np.add.reduceat(chance[np.searchsorted(known_grams, different)][inverse], first)
                 n, known, sums, rare = [], [], [], []
                 for t in texts:
                     own = t.translate(_LOWER).split()
@@ -189,13 +239,16 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: st
                     pa.StructArray.from_arrays([pa.array([w for r in rare for w, _ in r], pa.binary()), pa.array([c for r in rare for _, c in r], pa.int64())], ["w", "k"]),
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(id_col), part.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(trie.score(texts)), pa.array([len(t) for t in texts], pa.int64()), lists],
+                    [part.column(id_col), part.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores), pa.array([len(t) for t in texts], pa.int64()), lists],
                     [id_col, "held_out", "n_tokens", "known", "sums", "score", "n_bytes", "rare"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = base.mapInArrow(score, f"{id_col} {kind}, held_out boolean, n_tokens long, known long, sums double, score double, n_bytes long, rare array<struct<w:binary,k:long>>")
+    found = by_piece.join(model, "g").select("piece", "g", "log")
+    scored = dealt.groupBy("piece").cogroup(found.groupBy("piece")).applyInArrow(score, f"{id_col} {kind}, held_out boolean, n_tokens long, known long, sums double, score double, n_bytes long, rare array<struct<w:binary,k:long>>")
     scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    discard(by_piece)
+    discard(model)
     rare = scored.filter(F.size("rare") > 0).select("row", F.explode("rare").alias("r")).select("row", F.col("r.w").alias("w"), F.col("r.k").alias("k"))
     found = rare.join(words.filter(F.col("n") < limit), "w").groupBy("row").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("logs"))
     ends = int(n_docs > 0)
