@@ -76,7 +76,7 @@ def _slice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forest fitted on the training part, scored on the test part."""
     rows = TN.split(_slice_rows(spark, sf_dir), "capture_id")
-    model = TN.fit_forest(TN.assemble(rows.filter("not is_test")), balanced=True, trees=20)
+    model = TN.fit_forest(TN.assemble(rows.filter("not is_test")), balanced=True)
     return TN.score(rows.filter("is_test").drop("is_test"), model, "v1").select("capture_id", "label", "ml_status", "ml_detection_result", F.round("ml_confidence_score", 6).alias("ml_confidence_score"), "model_version")
 
 
@@ -84,8 +84,8 @@ def training_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row: metrics of the test part, cross-validation and the most important feature."""
     rows = TN.assemble(_slice_rows(spark, sf_dir)).persist()
     parts = TN.split(rows, "capture_id")
-    model = TN.fit_forest(parts.filter("not is_test"), trees=10)
-    cv = TN.cross_validate(rows, "capture_id", k=3, trees=5)
+    model = TN.fit_forest(parts.filter("not is_test"))
+    cv = TN.cross_validate(rows, "capture_id")
     m = TN.metrics(model.transform(parts.filter("is_test")), "label", "prediction")
     return m.withColumns({"cv_folds": F.lit(cv.get("folds")), "cv_mean_f1": F.lit(cv.get("mean_f1")), "cv_std_f1": F.lit(cv.get("std_f1")), "cv_skipped": F.lit(cv.get("skipped")), "top_feature": F.lit(TN.importance(model)[0][0])})
 
