@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from skytrace.functions import FEATURE_NAMES
 
 from .features import project_features
+from .order import numbered
 
 #: Fewest rows of the rarer class for a cross-validation; it isn't the number of folds.
 MINORITY = 5
+#: Leading hex digits of the hash by which the rows of a class are dealt out for numbering.
+HASH_DIGITS = 3
 
 
 def column_violations(df: DataFrame, names: tuple[str, ...] = (*FEATURE_NAMES, "label")) -> list[str]:
@@ -67,16 +70,16 @@ def hash_order(key: str, seed: str) -> Column:
 
 def split(df: DataFrame, key: str, fraction: float = 0.25, seed: str = "42", label: str = "label", stratified: bool = True) -> DataFrame:
     """Adds is_test: the first ceil(fraction * n) rows of each class by hash order."""
-    by = [label] if stratified else []
-    n = F.row_number().over(Window.partitionBy(*by).orderBy(hash_order(key, seed), key))
-    total = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    return df.withColumn("is_test", n <= F.ceil(total * F.lit(fraction)))
+    h = hash_order(key, seed)
+    out = numbered(df, [label] if stratified else [], F.substring(h, 1, HASH_DIGITS), [h, key])
+    return out.withColumn("is_test", F.col("_n") <= F.ceil(F.col("_total") * F.lit(fraction))).drop("_n", "_total")
 
 
 def folds(df: DataFrame, key: str, k: int, seed: str = "42", label: str = "label") -> DataFrame:
     """Adds fold in 0..k-1, dealt in turn within each class."""
-    n = F.row_number().over(Window.partitionBy(label).orderBy(hash_order(key, seed), key))
-    return df.withColumn("fold", F.pmod(n - 1, F.lit(k)).cast("int"))
+    h = hash_order(key, seed)
+    out = numbered(df, [label], F.substring(h, 1, HASH_DIGITS), [h, key])
+    return out.withColumn("fold", F.pmod(F.col("_n") - 1, F.lit(k)).cast("int")).drop("_n", "_total")
 
 
 def metrics(pairs: DataFrame, truth: str, guess: str) -> DataFrame:

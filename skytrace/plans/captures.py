@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from skytrace.functions import FEATURE_NAMES
 from skytrace.operators import features as FT
 from skytrace.operators import trace as TR
+from skytrace.operators.order import numbered
 from skytrace.sources import scan, store
 
 RATE, CENTER, BINS, THRESHOLD = 240_000.0, 136_800_000.0, 64, 0.25
@@ -93,20 +94,26 @@ def matrix_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
 NPERSEG, NOVERLAP, FS = 8, 4, 8.0
 
 
+def event_frames(events: DataFrame) -> DataFrame:
+    """(user_id, t_idx, v): the NPERSEG values of each whole frame. Rows are numbered by hours, so no user is one task or one array."""
+    step = NPERSEG - NOVERLAP
+    e = numbered(events.select("user_id", "ts", "event_id", F.col("value").cast("double").alias("value")), ["user_id"], F.date_trunc("hour", "ts"), ["ts", "event_id", "value"])
+    e = e.withColumn("i", F.col("_n") - 1).withColumn("t_idx", F.explode(F.expr(f"sequence(i div {step} - {NPERSEG // step - 1}, i div {step})")))
+    e = e.filter((F.col("t_idx") >= 0) & (step * F.col("t_idx") + NPERSEG <= F.col("_total")))
+    return e.groupBy("user_id", "t_idx").agg(F.sort_array(F.collect_list(F.struct("i", "value"))).alias("v")).select("user_id", "t_idx", F.transform("v", lambda x: x["value"]).alias("v"))
+
+
 def event_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Power spectra of each user's event values (framing, window, FFT, dB, shift) in Arrow batches."""
-    frames = (
-        table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))).alias("v"))
-        .select("user_id", F.transform("v", lambda x: x["value"].cast("double")).alias("v"))
-    )
+    """Power spectra of each user's event values (framing, window, FFT, dB, shift) in Arrow batches of frames."""
 
     def spectra(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for user, v in zip(batch["user_id"], batch["v"], strict=True):
-                db = scan.power_db(np.asarray(v, float), FS, NPERSEG, NOVERLAP)
-                k, b = np.indices(db.shape)
-                yield pd.DataFrame({"user_id": user, "t_idx": k.ravel(), "bin": b.ravel(), "time_s": (k.ravel() * (NPERSEG - NOVERLAP) + NPERSEG / 2) / FS, "power": db.ravel()})
+            if len(batch):
+                db = scan.power_db(np.concatenate([np.asarray(v, float) for v in batch["v"]]), FS, NPERSEG, 0)
+                k, b = np.repeat(batch["t_idx"].to_numpy(), NPERSEG), np.tile(np.arange(NPERSEG), len(batch))
+                yield pd.DataFrame({"user_id": batch["user_id"].repeat(NPERSEG).to_numpy(), "t_idx": k, "bin": b, "time_s": (k * (NPERSEG - NOVERLAP) + NPERSEG / 2) / FS, "power": db.ravel()})
 
+    frames = event_frames(table(spark, sf_dir, "events"))
     return frames.mapInPandas(spectra, "user_id long, t_idx long, bin long, time_s double, power double").select("user_id", "t_idx", "bin", "time_s", F.round("power", 4).alias("power"))
 
 
