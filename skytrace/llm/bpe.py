@@ -1,11 +1,9 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash cuts the bytes of a text into chunks, so that documents which share a passage share the chunks
-inside it. A chunk is encoded once and kept; documents are joined from their chunks. A join is wrong where a cut
-fell inside a word, so each join is repaired: the bytes from the last space before the cut to the first space
-after it are encoded again, further on when a chunk has no space, until both ends agree with the chunks' own
-encodings. They agree at every space (blank, tab, newline), as the tokenizer drops white space and never joins
-across it. Words inside new chunks are kept too, so a chunk costs little where its words are known.
+inside it. A chunk's split into words is kept, not its ids: ids are kept by word, and a word that a cut fell into is
+glued from its halves. Words are what the tokenizer encodes apart (it drops blank, tab and newline and never joins
+across them), so ids are those of the whole text; chunks as such are never encoded nor compared at their ends.
 
 A Python worker keeps both tables between its tasks, bounded and cleared when full; nothing is shuffled.
 
