@@ -1,24 +1,24 @@
 """Exact components of near copies: a metric-space join under the Jaccard distance of word shingles.
 
-1. Documents with equal shingle sets are one class, led by the smallest id.
-2. Two sets with similarity 0.8 or more share one of their rarest fifth of shingles (and one more), in any order
-   common to all documents. Frequent shingles come last in that order, by a sketch of counts over all documents.
-   The documents under one such shingle form a region.
-3. Each region takes its smallest document as pivot, and the distances of all its documents to the pivot are
-   found; links to the pivot join its cell. What is left to compare lies in the windows of the triangle
-   inequality: two documents of different components whose distances to the pivot differ by 0.2 at most.
-   Regions of one component are done. The others go on without the pivot: the next few documents are compared
-   with those in their windows and leave too, and so on until no region holds two components. A round lists
-   pairs in proportion to the regions' members, never all pairs of a group of copies, and no link between
-   different components is lost.
-4. Links are contracted to components by star contractions.
-
-A pair counts in the region of its first common shingle; where too little is left after it in either set, it is passed
-over. Before texts are fetched for an exact comparison, counts of the hashes in a few bins bound the similarity from above.
+1. Documents with equal shingle sets are one class, led by the smallest id; only leads go on.
+2. Two sets with similarity 0.8 or more share one of their rarest fifth of shingles (and one more), in any order common
+   to all documents. Frequent shingles come last in that order, by a sketch of counts over all documents. The first
+   pivots are the leaders of those shingles: of the documents that hold one, the one that shares most. A leader's
+   region is every document that shares such a shingle with it or under it. Pivots drawn at random would lie at
+   distance 1 from nearly all documents, and no window would exclude anything; these don't.
+3. A region is joined exactly by pivots: distances to a few pivots give Voronoi cells; a document is at home with its
+   nearest pivot and is replicated to every other cell within the window of the triangle inequality, in which a
+   linked document may be at home; the cells are joined in the same way in turn. Documents of one component
+   needn't be compared any more, and a region of one component is done.
+4. A region that fits a task is joined there. A larger one is dealt out in pieces: each piece meets the region's next
+   pivots, the cells are the regions of the next round, and so on until no region holds two components.
+5. Links are contracted to components by star contractions. A region gives at most one link a document.
+
+Only ids and sets of hashes travel, never texts nor pairs of documents.
 
 Nulls and odd cases: a document without words has no shingles and is linked with nothing; one of fewer than five
-words is one shingle. Rows with one id are one node: they are linked if any of their texts are. A null id gets a
-null component. An empty table gives no rows. Other columns are ignored.
+words is one shingle. Rows with one id are one node: they are linked if any of their texts are, and so are the classes
+they belong to. A null id takes no part and gets a null component. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,16 +32,17 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize, n_parts, slices, text_bytes
 from .components import absorb, connected
+from .regions import Region, voronoi
 from .shingles import mix, shingle_sets
 
 #: Bits of the frequency sketch; a counter so many times the mean of its task counts as frequent there.
 SKETCH_BITS, FREQUENT, LEAST_FREQUENT = 22, 6, 12
-#: Further pivots of a region in a round at least, and more while a round lists so many pairs for each first member at most.
-PIVOTS, PAIRS_PER_MEMBER = 24, 100
-#: Ids (8 bytes each) that are broadcast at most to pick the texts of an exact comparison; with more, the texts are shuffled.
+#: Documents and shingles of a piece of a region; pivots of a large region in a round, and those of them with a cell (bits of a long).
+PIECE_DOCS, PIECE_SHINGLES, ROUND_PIVOTS, CELLS = 400, 1_000_000, 256, 32
+#: Documents under one shingle, up to which those without a partner of the right size and place are told apart.
+FEW = 64
+#: Ids (8 bytes each) that are broadcast at most to pick the texts whose sets are needed; with more, the texts are shuffled.
 BROADCAST_IDS = 1_000_000
-#: Prefix shingles of a task that are sorted at once, and buckets of hashes for each partition.
-HELD_SHINGLES, BUCKETS = 300_000, 8
 #: Bytes of text hashed at once, one text at least; hashing takes several dozen bytes for each of them.
 SLICE = 1_000_000
 
@@ -51,12 +52,12 @@ def _frequent(docs: DataFrame) -> np.ndarray:
     n = 1 << SKETCH_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, total = np.zeros(n, np.int64), 0
+        counts, total = np.zeros(n, np.int32), 0
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                all_of = np.concatenate([np.empty(0, np.uint64), *shingle_sets(text_bytes(part.column("text")))])
-                counts += np.bincount((all_of >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=n)
-                total += len(all_of)
+                for s in shingle_sets(text_bytes(part.column("text"))):
+                    np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int32), 1)
+                    total += len(s)
         hot = np.flatnonzero(counts >= max(3, FREQUENT * total / n))
         yield pa.RecordBatch.from_arrays([pa.array(hot, pa.int32()), pa.array(counts[hot], pa.int64())], ["counter", "n"])
 
@@ -73,24 +74,8 @@ def prefix_length(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
-def bins(s: np.ndarray) -> bytes:
-    """Counts of the hashes in about n/4 bins (a power of two), at most 255 each."""
-    b = max(4, min(10, int(len(s)).bit_length() - 2))
-    return np.minimum(np.bincount((s >> np.uint64(64 - b)).astype(np.int64), minlength=1 << b), 255).astype(np.uint8).tobytes()
-
-
-def most_common(a: bytes, b: bytes, na: int, nb: int) -> int:
-    """Upper bound of the intersection from two bin counts."""
-    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
-    if (x == 255).any() or (y == 255).any():
-        return min(na, nb)
-    if len(x) > len(y):
-        x, y = y, x
-    return int(np.minimum(x, y.reshape(len(x), -1).sum(axis=1)).sum())
-
-
 def _describe(level_of):
-    """(doc_id, n, fingerprints of the set, bins, shingles of the prefix)."""
+    """(doc_id, n, fingerprints of the set, shingles of the prefix)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, odd = level_of.value, np.uint64(0x94D049BB133111EB)
@@ -105,163 +90,178 @@ def _describe(level_of):
                     ordered = s[np.argsort(own, kind="stable")] if own.any() else s
                     heads.append(ordered[: prefix_length(len(s))].view(np.int64) if len(s) else np.empty(0, np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, heads)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *heads])))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array([bins(s) for s in sets], pa.binary()), lists],
-                    ["doc_id", "n", "f1", "f2", "bins", "head"],
-                )
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), lists], ["doc_id", "n", "f1", "f2", "head"])
 
     return run
 
 
-def _bucketed(n_buckets: int):
-    """Prefixes to (bucket, distinct shingles as packed 64-bit numbers, those of them met twice already)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-
-        def flush() -> pa.RecordBatch:
-            toks, times = np.unique(np.concatenate(held).view(np.uint64), return_counts=True)
-            bucket = (toks % np.uint64(n_buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-            parts = [x for x in np.split(order, cuts) if len(x)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([bucket[x[0]] for x in parts], pa.int64()), pa.array([toks[x].tobytes() for x in parts], pa.binary()), pa.array([toks[x[times[x] > 1]].tobytes() for x in parts], pa.binary())],
-                ["bucket", "toks", "twice"],
-            )
-
-        for batch in batches:
-            held.append(np.asarray(batch.column("head").flatten()))
-            n += len(held[-1])
-            if n >= HELD_SHINGLES:
-                yield flush()
-                held, n = [], 0
-        if n:
-            yield flush()
-
-    return run
-
-
-def _met_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed shingles of whole buckets to those of two rows or more."""
-    toks, twice = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to (doc, set as packed hashes)."""
     for batch in batches:
-        toks += [np.frombuffer(x, np.uint64) for x in batch.column("toks").to_pylist()]
-        twice += [np.frombuffer(x, np.uint64) for x in batch.column("twice").to_pylist()]
-    found, times = np.unique(np.concatenate(toks), return_counts=True)
-    shared = np.union1d(found[times > 1], np.concatenate(twice)).view(np.int64)
-    for i in range(0, len(shared), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(shared[i : i + 50_000], pa.int64())], ["tok"])
-
+        for part in slices(batch, "text", SLICE):
+            sets = shingle_sets(text_bytes(part.column("text")))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "set"])
+
+
+def _partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by shingle, without those of rare shingles that no other document under the shingle can be linked with by it.
+
+    Sets of n and m with their first common shingle at the places p and q need n - p and m - q to hold all that is common.
+    """
+    held: list[pa.RecordBatch] = []
+
+    def kept(parts: list[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        tok, n, left = t.column("tok").to_numpy(), t.column("n").to_numpy(), (t.column("n").to_numpy() - t.column("pos").to_numpy())
+        end = len(tok) if last else int(np.searchsorted(tok, tok[-1], "left"))
+        if end < len(tok):
+            held[:] = t.slice(end).to_batches()
+        tok, n, left = tok[:end], n[:end], left[:end]
+        ok = t.column("times").to_numpy()[:end] > FEW
+        for step in range(1, FEW):
+            same = np.flatnonzero(tok[step:] == tok[:-step])
+            same = same[~ok[same] | ~ok[same + step]]
+            if not len(same) and not (tok[step:] == tok[:-step]).any():
+                break
+            a, b = same, same + step
+            fit = (100 * np.minimum(n[a], n[b]) >= 80 * np.maximum(n[a], n[b])) & (9 * np.minimum(left[a], left[b]) >= 4 * (n[a] + n[b]))
+            ok[a[fit]] = ok[b[fit]] = True
+        yield from t.slice(0, end).select(["tok", "doc", "n", "times"]).filter(pa.array(ok)).to_batches()
 
-def _shared(heads: DataFrame) -> DataFrame:
-    """Shingles in the prefixes of two rows or more: (tok). Only packed hashes are shuffled, once a task and shingle."""
-    parts = n_parts(heads.sparkSession)
-    packed = heads.select("head").mapInArrow(_bucketed(BUCKETS * parts), "bucket long, toks binary, twice binary")
-    return packed.repartition(parts, "bucket").mapInArrow(_met_twice, "tok long")
-
-
-def _similar(a: Column, b: Column) -> Column:
-    """Sizes that allow a similarity of 0.8."""
-    return (100 * F.least(a, b) >= 80 * F.greatest(a, b))
-
-
-def _ahead(n: Column, pos: Column, m: Column, at: Column) -> Column:
-    """Whether sets of ``n`` and ``m`` can be linked with their first common shingle at these places: enough must be left."""
-    return 9 * F.least(n - pos, m - at) >= 4 * (n + m)
-
-
-def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, na, nb, ba, bb) to (a, b, least distance by the bins)."""
     for batch in batches:
-        na, nb = batch.column("na").to_pylist(), batch.column("nb").to_pylist()
-        most = [most_common(x, y, p, q) for x, y, p, q in zip(batch.column("ba").to_pylist(), batch.column("bb").to_pylist(), na, nb, strict=True)]
-        ok = [100 * m >= 80 * (p + q - m) for m, p, q in zip(most, na, nb, strict=True)]
-        low = [1 - m / (p + q - m) for m, p, q in zip(most, na, nb, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_()), pa.array(low, pa.float64())], ["a", "b", "ok", "low"])
+        if batch.num_rows:
+            held.append(batch)
+            if sum(b.num_rows for b in held) > 50_000:
+                parts, held = held, []
+                yield from kept(parts, False)
+    if held:
+        yield from kept(held, True)
+
+
+def _joined_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by region and piece, pivots first, to links (r, a, b) and, for regions in pieces, cells (r, a, n, cells as bits)."""
+    held: list[tuple] = []
+
+    def done() -> pa.RecordBatch:
+        r, _, whole = held[0][:3]
+        region = Region(np.array([x[4] for x in held]), np.array([x[5] for x in held]), [np.frombuffer(x[6], np.uint64) for x in held])
+        links, cells, own = region.links, None, np.arange(len(held))
+        if whole:
+            region.join(own)
+        else:
+            pivots = own[[x[3] for x in held]]
+            rest = own[len(pivots) :]
+            region.measure(pivots, pivots)
+            if len(rest):
+                near = voronoi(region.measure(rest, pivots)[:, :CELLS])
+                cells = near @ (1 << np.arange(near.shape[1], dtype=np.int64))
+        n, m = len(links), 0 if cells is None else len(cells)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([r] * (n + m), pa.int64()), pa.array([a for a, _ in links] + (region.docs[rest].tolist() if m else []), pa.int64()), pa.array([b for _, b in links] + [None] * m, pa.int64()),
+                pa.array([None] * n + (region.n[rest].tolist() if m else []), pa.int64()), pa.array([None] * n + (cells.tolist() if m else []), pa.int64()),
+            ],
+            ["r", "a", "b", "n", "cells"],
+        )
 
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, ta, tb) to (a, b, common, total); the set of the last text of a side is kept, as rows come sorted by it."""
-    last, of_last = None, np.empty(0, np.uint64)
     for batch in batches:
-        for part in slices(batch, "tb", SLICE):
-            common, total = [], []
-            for x, own in zip(text_bytes(part.column("ta")), shingle_sets(text_bytes(part.column("tb"))), strict=True):
-                if x != last:
-                    last, of_last = x, shingle_sets([x])[0]
-                both = len(np.intersect1d(of_last, own, assume_unique=True))
-                common.append(both)
-                total.append(len(of_last) + len(own) - both)
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(common, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "common", "total"])
-
-
-def _measure(pairs: DataFrame, about: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) to (a, b, low, high, linked): bounds of the distance, exact where the bins allow a link."""
-    x = about.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bins").alias("ba"))
-    y = about.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bins").alias("bb"))
-    rough = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(_bounded, "a long, b long, ok boolean, low double"), "rough")
-    ids = rough.filter("ok").select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
-    tx, ty = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    exact = rough.filter("ok").select("a", "b").join(ty, "b").join(tx, "a").select("a", "b", "ta", "tb").mapInArrow(_compare, "a long, b long, common long, total long")
-    exact = exact.groupBy("a", "b").agg(F.max(100 * F.col("common") >= 80 * F.col("total")).alias("linked"), F.min(1 - F.col("common") / F.col("total")).alias("d"))
-    done = exact.select("a", "b", F.col("d").alias("low"), F.col("d").alias("high"), "linked")
-    return materialize(done.union(rough.filter("not ok").select("a", "b", "low", F.lit(1.0), F.lit(False))), "distances")
+        for part in slices(batch, "set"):
+            for row in zip(*(part.column(c).to_pylist() for c in ("r", "piece", "whole", "pivot", "doc", "comp", "set")), strict=True):
+                if held and held[0][:2] != row[:2]:
+                    yield done()
+                    held = []
+                if not held or held[-1] != row:  # rows may repeat
+                    held.append(row)
+    if held:
+        yield done()
+
+
+def _round(regions: DataFrame, sets: DataFrame) -> DataFrame:
+    """One round of all open regions (r, doc, n, comp): links and cells, see :func:`_joined_regions`.
+
+    A region in pieces has as pivots ``ROUND_PIVOTS`` documents outside its commonest component, or any if all are alone.
+    """
+    parts = n_parts(regions.sparkSession)
+    sizes = regions.groupBy("r", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).groupBy("r").agg(F.sum("k").alias("k"), F.sum("n").alias("n"), F.max_by("comp", F.struct("k", "comp")).alias("main"), F.max("k").alias("most"))
+    sizes = sizes.withColumn("pieces", F.ceil(F.greatest(F.col("k") / PIECE_DOCS, F.col("n") / PIECE_SHINGLES)).cast("int")).select("r", "pieces", F.when(F.col("most") > 1, F.col("main")).alias("main"))
+    whole = F.col("pieces") == 1
+    dealt = materialize(regions.join(sizes, "r").select("r", "doc", "n", "comp", "weight", "pieces", "main"), "dealt")
+    chosen = dealt.filter(~whole & ~F.col("comp").eqNullSafe(F.col("main")))
+    order = Window.partitionBy("r").orderBy(F.desc("weight"), "doc")
+    chosen = materialize(chosen.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= ROUND_PIVOTS).drop("at"), "pivots")
+    piece = F.when(whole, 0).otherwise(F.pmod(F.xxhash64("doc"), F.col("pieces"))).cast("int")
+    members = dealt.join(chosen.select("r", "doc"), ["r", "doc"], "left_anti").select("r", piece.alias("piece"), whole.alias("whole"), F.lit(False).alias("pivot"), "doc", "comp")
+    copies = chosen.select("r", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.lit(False).alias("whole"), F.lit(True).alias("pivot"), "doc", "comp")
+    rows = members.union(copies).join(sets, "doc").select("r", "piece", "whole", "pivot", "doc", "comp", "set")
+    rows = rows.repartition(parts, "r", "piece").sortWithinPartitions("r", "piece", F.desc("pivot"), "doc", "set")
+    out = materialize(rows.mapInArrow(_joined_regions, "r long, a long, b long, n long, cells long"), "round")
+    discard(dealt)
+    discard(chosen)
+    return out
+
+
+def _next_regions(found: DataFrame, comps: DataFrame, weights: DataFrame) -> DataFrame:
+    """Cells of regions in pieces as the next regions (r, doc, n, comp, weight); cells that tell too little apart stay one region."""
+    cells = found.filter("b is null").select("r", F.col("a").alias("doc"), "n", "cells")
+    apart = cells.groupBy("r").agg((F.sum(F.bit_count("cells")) <= 1.5 * F.count(F.lit(1))).alias("apart"))
+    bits = F.filter(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda j: F.getbit("cells", j) == 1)
+    own = cells.join(apart, "r").select(F.explode(F.when(F.col("apart"), bits).otherwise(F.array(F.lit(-1)))).alias("j"), "r", "doc", "n")
+    own = own.select(F.when(F.col("j") < 0, F.col("r")).otherwise(F.xxhash64("r", "j")).alias("r"), "doc", "n")
+    own = own.join(comps.select(F.col("id").alias("doc"), "comp"), "doc", "left").join(weights, "doc").select("r", "doc", "n", F.coalesce("comp", "doc").alias("comp"), "weight")
+    mixed = own.groupBy("r").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("r")
+    return materialize(own.join(mixed, "r", "left_semi"), "regions")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row."""
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    level = docs.sparkSession.sparkContext.broadcast(_frequent(texts))
-    about = materialize(texts.mapInArrow(_describe(level), "doc_id long, n long, f1 long, f2 long, bins binary, head array<long>"), "about")
-    leads = about.filter("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
-    rows = materialize(about.select("doc_id", "n", "f1", "f2").join(leads, ["f1", "f2", "n"], "left").select("doc_id", "n", "rep"), "classes")
-    reps = rows.filter("doc_id = rep").select("doc_id").distinct()
-
-    own = about.join(reps, "doc_id", "left_semi")
-    heads = own.select(F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n"), F.posexplode("head").alias("pos", "tok"))
-    shared = materialize(_shared(own), "shared")
-    members = materialize(heads.join(shared, "tok").select("tok", "doc", "n", "pos"), "members")
+    level = spark.sparkContext.broadcast(_frequent(texts))
+    about = materialize(texts.mapInArrow(_describe(level), "doc_id long, n long, f1 long, f2 long, head array<long>"), "about")
+    leads = materialize(about.filter("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.any_value("head").alias("head")), "leads")
+    rows = materialize(about.select("doc_id", "n", "f1", "f2").join(leads.drop("head"), ["f1", "f2", "n"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "classes")
+    discard(about)
+    links = _one_id(rows)
+
+    heads = leads.select(F.col("rep").alias("doc"), F.col("n").cast("int").alias("n"), F.posexplode("head").alias("pos", "tok"))
+    shared = materialize(heads.groupBy("tok").agg(F.count(F.lit(1)).cast("int").alias("times")).filter("times > 1"), "shared")
+    members = heads.join(shared, "tok").select("tok", "doc", "n", "pos", "times")
+    salt = F.when(F.col("times") > FEW, F.xxhash64("doc")).otherwise(0)
+    members = members.repartition(n_parts(spark), "tok", salt).sortWithinPartitions("tok").mapInArrow(_partnered, "tok long, doc long, n int, times int")
+    members = materialize(members, "members")
     discard(shared)
-
-    regions = members.groupBy("tok").agg(F.min("doc").alias("p"), F.min_by("n", "doc").alias("np"), F.min_by("pos", "doc").alias("pp"))
-    todo = members.join(regions, "tok").filter("doc <> p").filter(_similar(F.col("n"), F.col("np")) & _ahead(F.col("n"), F.col("pos"), F.col("np"), F.col("pp"))).select(F.col("p").alias("a"), F.col("doc").alias("b")).distinct()
-    known = _measure(todo, about, texts)
-    comps = materialize(connected(known.filter("linked").select("a", "b")), "components")
-    budget = PAIRS_PER_MEMBER * members.count()
-    left, members = _after_pivot(members, regions, known, comps), discard(members)
-    while remaining := left.count():
-        ranked = materialize(left.withColumn("rank", F.row_number().over(Window.partitionBy("tok").orderBy("doc"))), "ranked")
-        pivots = max(PIVOTS, budget // remaining)
-        todo = _window_pairs(ranked, pivots).join(known.select("a", "b"), ["a", "b"], "left_anti")
-        new = _measure(todo, about, texts)
-        comps = absorb(comps, new.filter("linked").select("a", "b"))
-        known = materialize(known.union(new), "known")
-        rest = ranked.filter(F.col("rank") > pivots).drop("rank", "comp").join(comps.select(F.col("id").alias("doc"), "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-        left, _, _ = materialize(_open_regions(rest), "members"), discard(left), discard(ranked)
+    discard(leads)
+
+    weights = materialize(members.groupBy("doc").agg(F.sum(F.floor(F.log2("times"))).alias("weight")), "weights")
+    pivots = members.join(weights, "doc").groupBy("tok").agg(F.min(F.struct((-F.col("weight")).alias("light"), "doc")).alias("p")).select("tok", F.col("p.doc").alias("r"))
+    regions = members.join(pivots, "tok").groupBy("r", "doc").agg(F.max("n").alias("n"))
+    regions = materialize(regions.join(weights, "doc").select("r", "doc", "n", F.col("doc").alias("comp"), "weight"), "regions")
+    discard(members)
+
+    if weights.count() <= BROADCAST_IDS:
+        needed = texts.join(F.broadcast(weights.select(F.col("doc").alias("doc_id"))), "doc_id", "left_semi")
+    else:
+        needed = texts.join(weights.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
+    sets = materialize(needed.mapInArrow(_sets, "doc long, set binary"), "sets")
+
+    comps, more = None, not regions.isEmpty()
+    while more:
+        found = _round(regions, sets)
+        discard(regions)
+        new = found.filter("b is not null").select("a", "b")
+        comps = materialize(connected(new.union(links)), "components") if comps is None else absorb(comps, new)
+        more = not found.filter("b is null").isEmpty()
+        if more:
+            regions = _next_regions(found, comps, weights)
+            more = not regions.isEmpty()
+        discard(found)
+    if comps is None:
+        comps = connected(links)
+    discard(sets)
     return rows.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep", "doc_id").alias("component_id"))
 
 
-def _after_pivot(members: DataFrame, regions: DataFrame, known: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members of regions that still hold a pair to compare: without the pivot, with component and bounds of the distance to it."""
-    r = members.join(regions.select("tok", "p"), "tok").filter("doc <> p")
-    r = r.join(known.select(F.col("a").alias("p"), F.col("b").alias("doc"), "low", "high"), ["p", "doc"], "left")
-    r = r.join(comps.select(F.col("id").alias("doc"), "comp"), "doc", "left")
-    r = r.select("tok", "doc", "n", "pos", F.coalesce("comp", "doc").alias("comp"), F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high"))
-    return materialize(_open_regions(r), "members")
-
-
-def _open_regions(r: DataFrame) -> DataFrame:
-    mixed = r.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tok")
-    return r.join(mixed, "tok", "left_semi")
-
-
-def _window_pairs(ranked: DataFrame, pivots: int) -> DataFrame:
-    """Pairs in the windows between the first ``pivots`` documents of a region and all others of it."""
-    x = ranked.filter(F.col("rank") <= pivots).select("tok", *[F.col(c).alias(f"x_{c}") for c in ("doc", "n", "pos", "comp", "low", "high")])
-    y = ranked.select("tok", *[F.col(c).alias(f"y_{c}") for c in ("doc", "n", "pos", "comp", "low", "high")])
-    near = (F.col("x_low") - F.col("y_high") <= 0.2 + 1e-9) & (F.col("y_low") - F.col("x_high") <= 0.2 + 1e-9)
-    pairs = x.join(y, "tok").filter("x_doc < y_doc and x_comp <> y_comp").filter(near & _similar(F.col("x_n"), F.col("y_n")) & _ahead(F.col("x_n"), F.col("x_pos"), F.col("y_n"), F.col("y_pos")))
-    return pairs.select(F.col("x_doc").alias("a"), F.col("y_doc").alias("b")).distinct()
+def _one_id(rows: DataFrame) -> DataFrame:
+    """Links (a, b) between the leads of classes that share an id."""
+    several = rows.filter("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b")
+    return rows.join(several.select("doc_id", "a"), "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b"))

@@ -233,14 +233,66 @@ def test_absorbed_links_equal_whole_components(spark):
         assert got == whole and {i for i, _ in got} == linked
 
 
-@pytest.mark.parametrize("held", [3, 1_000_000])
-def test_shared_shingles(spark, held, monkeypatch):
-    monkeypatch.setattr(jaccard, "HELD_SHINGLES", held)
-    rows = [([RND.randrange(-40, 40) for _ in range(RND.randrange(4))],) for _ in range(60)]
-    rows = [(list(dict.fromkeys(x)),) for x, in rows] + [([],)]
-    times = {}
-    for x, in rows:
-        for t in x:
-            times[t] = times.get(t, 0) + 1
-    got = [r["tok"] for r in jaccard._shared(spark.createDataFrame(rows, "head array<long>")).collect()]
-    assert sorted(got) == sorted(t for t, n in times.items() if n > 1)
+def brute_components(rows):
+    """{id: component} of (id, text) rows: rows with one id are one node."""
+    import re
+
+    sets = []
+    for i, t in rows:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode().split()
+        sets.append((i, {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())))
+    comp = {i: i for i, _ in sets if i is not None}
+    pairs = [(a, b) for k, (a, x) in enumerate(sets) for b, y in sets[:k] if a is not None and b is not None and x and y and a != b and 100 * len(x & y) >= 80 * len(x | y)]
+    for _ in comp:
+        for a, b in pairs:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    return comp
+
+
+def near_copy_rows(rnd):
+    """Groups of near copies of several distances, a hot one among them, passages that many share, repeated and null ids."""
+    rows, words = [], [f"w{i}" for i in range(3000)]
+    shared = [rnd.choice(words) for _ in range(40)]
+    for group, size in ((0, 70), (1, 12), (2, 9), (3, 2)):
+        base = [rnd.choice(words) for _ in range(rnd.randrange(60, 140))] + shared * (group % 2)
+        for _ in range(size):
+            own = list(base)
+            for _ in range(rnd.randrange(0, 6)):
+                own[rnd.randrange(len(own))] = rnd.choice(words)
+            rows.append(" ".join(own[rnd.randrange(0, 4) :]))
+    rows += [" ".join([*(rnd.choice(words) for _ in range(rnd.randrange(3, 60))), *shared]) for _ in range(40)]
+    rnd.shuffle(rows)
+    rows = [(100 + i, t) for i, t in enumerate(rows)]
+    return rows + [(7, rows[0][1]), (7, rows[9][1]), (None, rows[3][1]), (None, "alone"), (8, None), (8, "a b"), (9, ""), (10, "a  b"), rows[5], rows[5]]
+
+
+@pytest.mark.parametrize("bounds", [{}, {"PIECE_DOCS": 8, "ROUND_PIVOTS": 5, "CELLS": 4, "FEW": 3, "BROADCAST_IDS": 10}])
+def test_near_copies_of_hot_groups(spark, bounds, monkeypatch):
+    for name, value in bounds.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rows = near_copy_rows(random.Random(11))
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, n long, comp long")
+    want = brute_components(rows)
+    got = jaccard.near_copies(df).collect()
+    assert len(got) == len(rows)
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == want
+    assert all(r["component_id"] is None for r in got if r["doc_id"] is None)
+
+
+def test_region_join_links_every_component():
+    from skytrace.llm import regions
+
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        base = [rng.choice(5000, rng.integers(3, 60), replace=False) for _ in range(6)]
+        sets = [np.unique(np.where(rng.random(len(b)) < rng.choice([0, 0.05, 0.1, 0.2]), rng.integers(0, 5000, len(b)), b)).astype(np.uint64) for b in base for _ in range(rng.integers(1, 15))]
+        region = regions.Region(np.arange(len(sets)), np.arange(len(sets)), sets)
+        region.join(rng.permutation(len(sets)))
+        comp = np.arange(len(sets))
+        for _ in sets:
+            for i, x in enumerate(sets):
+                for j in range(i):
+                    both = len(np.intersect1d(x, sets[j]))
+                    if 100 * both >= 80 * (len(x) + len(sets[j]) - both):
+                        comp[i] = comp[j] = min(comp[i], comp[j])
+        assert len(np.unique(np.stack([comp, region.comp]), axis=1).T) == len(np.unique(comp)) == len(np.unique(region.comp))
