@@ -1,16 +1,18 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
-A rolling hash cuts the bytes of a text into chunks, so that documents which share a passage share the chunks
-inside it. A chunk's split into words is kept, not its ids: ids are kept by word, and a word that a cut fell into is
-glued from its halves. Words are what the tokenizer encodes apart (it drops blank, tab and newline and never joins
-across them), so ids are those of the whole text; chunks as such are never encoded nor compared at their ends.
+A rolling hash cuts the bytes of a text into chunks, so that documents which share a passage share the chunks inside
+it. A chunk is encoded once, from its first white space to its last, and its ids are kept. At a join of two chunks
+the bytes about the cut are encoded again, outwards from the cut until each side has reached a place from which on
+the ids are those of the chunk kept: its outermost white space, which the tokenizer drops and never joins words across.
+A chunk without white space is passed over, and the join goes on into the next one. So ids are those of the whole text.
+Words of a chunk that were met before are taken from a table, as tokenizers do themselves.
 
-A Python worker keeps both tables between its tasks, bounded and cleared when full; nothing is shuffled.
-
-Decoding joins the tokens as the file's decoder does: it has none, so tokens are joined by one space.
+Chunks are shared by all documents that a Python worker meets, in bounded tables that are cleared when full; nothing is
+shuffled. Decoding joins the tokens as the file's decoder does: it has none, so tokens are joined by one space.
 
 Nulls: a null text is an empty one and has no tokens. Texts of any length are encoded whole. Rows that repeat stay. An
-empty table gives no rows. Input columns named like an added one are replaced.
+empty table gives no rows. Input columns named like an added one are replaced. The tokenizer's file is read once, by
+the driver, and its text (a few MB) is sent to the tasks.
 """
 
 from __future__ import annotations
@@ -60,13 +62,13 @@ def _visible_bytes() -> dict[int, int]:
 
 
 class Encoder:
-    """Texts to ids (little-endian unsigned 32-bit) and decoded bytes."""
+    """Texts to ids (little-endian unsigned 32-bit) and decoded bytes, by the text of a tokenizer's file."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, text: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(text)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         spec = json.loads(self.tokenizer.to_str())
@@ -82,7 +84,8 @@ class Encoder:
         #: Each token with the space before it.
         self.token = {i: b" " + t.encode() for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
         self.words: dict[bytes, tuple[bytes, bytes]] = {}
-        self.chunks: dict[bytes, tuple[bytes, bytes, list[bytes], bytes]] = {}
+        #: Of each chunk: the bytes before its first white space and after its last, ids and tokens of what lies between.
+        self.chunks: dict[bytes, tuple[bytes, bytes, bytes, bytes]] = {}
 
     def piece(self, text: str) -> tuple[bytes, bytes]:
         """One piece of the pre-tokenizer, by the tokenizer's own merges."""
@@ -109,62 +112,80 @@ class Encoder:
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
                 self.words[w] = array("I", ids).tobytes(), b"".join([self.token[i] for i in ids])
 
-    def units(self, data: bytes) -> list[bytes]:
-        """The words of a text, through its chunks."""
-        out: list[bytes] = []
-        pending, start = b"", 0
-        for end in cuts(data):
-            chunk, start = data[start:end], end
-            got = self.chunks.get(chunk)
-            if got is None:
+    def codes(self, words: list[bytes]) -> tuple[bytes, bytes]:
+        """Ids and tokens of whole words."""
+        try:
+            found = [self.words[u] for u in words]
+        except KeyError:
+            self.learn([u for u in dict.fromkeys(words) if u not in self.words])
+            try:
+                found = [self.words[u] for u in words]
+            except KeyError:  # the table was cleared
+                self.learn(list(dict.fromkeys(words)))
+                found = [self.words[u] for u in words]
+        return b"".join([x for x, _ in found]), b"".join([x for _, x in found])
+
+    def chunk(self, data: bytes) -> tuple[bytes, bytes, bytes, bytes] | None:
+        """A chunk's entry, encoded when it is met first; None if it holds no white space."""
+        got = self.chunks.get(data)
+        if got is None:
+            parts = data.translate(BLANKS).split(b" ")
+            if len(parts) == 1:
+                return None
+            got = (parts[0], parts[-1], *self.codes([x for x in parts[1:-1] if x]))
+            if len(data) <= 1 << 12:
                 if len(self.chunks) >= KEPT_CHUNKS:
                     self.chunks.clear()
-                parts = chunk.translate(BLANKS).split(b" ")
-                got = (parts[0], parts[-1], [x for x in parts[1:-1] if x], len(parts) == 1)
-                if len(chunk) <= 1 << 12:
-                    self.chunks[chunk] = got
-            first, last, inner, whole = got
-            if whole:
-                pending += chunk
-                continue
-            if pending or first:
-                out.append(pending + first)  # the repaired join
-            out += inner
-            pending = last
-        if pending:
-            out.append(pending)
-        return out
+                self.chunks[data] = got
+        return got
 
     def encode(self, texts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         for data in texts:
-            units = self.units(data)
-            try:
-                found = [self.words[u] for u in units]
-            except KeyError:
-                self.learn([u for u in dict.fromkeys(units) if u not in self.words])
-                try:
-                    found = [self.words[u] for u in units]
-                except KeyError:  # the table was cleared
-                    self.learn(list(dict.fromkeys(units)))
-                    found = [self.words[u] for u in units]
-            yield b"".join([x for x, _ in found]), b"".join([x for _, x in found])[1:]
+            ids, tokens, open_, start = [], [], [], 0
+            for end in cuts(data):
+                own, start = data[start:end], end
+                got = self.chunk(own)
+                if got is None:
+                    open_.append(own)
+                    continue
+                first, last, inner, back = got
+                open_.append(first)
+                join = b"".join(open_)
+                if join:  # from the last white space before the cut to the first after it
+                    x, y = self.codes([join])
+                    ids.append(x)
+                    tokens.append(y)
+                ids.append(inner)
+                tokens.append(back)
+                open_ = [last]
+            join = b"".join(open_)
+            if join:
+                x, y = self.codes([join])
+                ids.append(x)
+                tokens.append(y)
+            yield b"".join(ids), b"".join(tokens)[1:]
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
+def _encoder(text: str) -> Encoder:
+    """The worker's encoder; it is kept between tasks."""
+    key = hashlib.sha256(text.encode()).hexdigest()
+    if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+        _ENCODERS[key] = Encoder(text)
+    return _ENCODERS[key]
 
 
 def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", digest: bool = False) -> DataFrame:
     """(doc_id, n_tokens, token_ids as binary, decoded), or the SHA-256 of both in hex when ``digest``."""
 
+    with open(path, encoding="utf-8") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder = _encoder(shared.value)
         for batch in batches:
             for part in slices(batch, "text"):
                 n, ids, back = [], [], []

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from . import bpe, cotrain, jaccard, kmtree, licenses, maxscore, mixing, ppm, su
 from .common import materialize, table
 
 #: Place of the public tokenizer files; a parameter, as the files are no part of the repository.
-TOKENIZERS = "/opt/tokenizers"
+TOKENIZERS = os.path.dirname(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op1_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
