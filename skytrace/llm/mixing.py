@@ -2,29 +2,35 @@
 
 Sources in code-point order, null last, get the weights in turn and share ``total`` times all words. A target
 stops at ``cap`` times its source's words; the excess goes to the other sources by weight until none is above.
-A source's rate is target / words: each of its documents gets floor(rate) certain copies, and the rest of the
-rate is the inclusion probability p of one copy more. Documents are ranked by the odds of a uniform hash
-number u over the inclusion odds, ``(u / (1 - u)) / (p / (1 - p))``, and taken in that order while the words so
-far, plus half of the next document's, stay within what is missing: a sample of a fixed number of words.
+
+Within a source documents have unequal rates: the expected copies of a document of n words are proportional to
+2 ** (``tilt`` * floor(log2(n + 1))), so that with a tilt above 0 longer documents are taken more often (0: all alike),
+never above ``cap``, and such that the expected words are the source's target. A document gets floor(rate) certain
+copies; the rest of its rate is the inclusion probability p of one copy more. Documents with p > 0 are ranked by the odds
+of a uniform hash number u over the inclusion odds, ``(u / (1 - u)) / (p / (1 - p))``, and taken in that order
+while the words so far, plus half of the next document's, stay within what the certain copies leave: a sample of a
+fixed number of words.
 
 The order is found without sorting a source: words are summed by fine bins of the rank, only the bin in
 which the target is reached is sorted, and its last taken document becomes the source's threshold.
 
 Nulls: a null text has no words; a null source is a source of its own; a null id hashes as an empty one. Rows
-that repeat an id are ranked equal and are all taken or all left. Ties of rank go to the smaller id. A document
-without words is taken as its rank says. An empty table gives no rows. Columns of the input named like the
-added ones are replaced by them.
+that repeat an id are ranked equal where their sizes are, and are then all taken or all left. Ties of rank go to the
+smaller id. A document without words is taken as its rank says. An empty table gives no rows. Columns of the input named
+like the added ones are replaced by them; all others stay, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Bins of the rank in each source.
-BINS = 4096
+#: Bins of the rank in each source; how much more often longer documents are taken.
+BINS, TILT = 4096, 0.125
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -58,22 +64,44 @@ def rank_odds(u: Column, p: Column) -> Column:
     return q / (1 + q)
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, total: float = 1.0, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", size_col: str | None = None) -> DataFrame:
+def rates(slim: DataFrame, weights: tuple[float, ...], cap: float, total: float, tilt: float) -> DataFrame:
+    """From (source, size) to (source, level, source_size, target, sure, p, need), a row for each source and level of size.
+
+    The expected copies of a level are least(cap, t * merit); t is such that their words meet the target.
+    """
+    levels = slim.groupBy("source", _level(F.col("size")).alias("level")).agg(F.sum("size").alias("words"))
+    levels = levels.withColumn("merit", F.pow(F.lit(2.0), F.col("level") * float(tilt)))
+    goals = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap, total)
+    own = levels.alias("l").join(goals.alias("g"), F.expr("l.source <=> g.source")).select("l.source", "level", "words", "merit", "source_size", "target")
+    by_merit = Window.partitionBy("source").orderBy(F.desc("merit"))  # at most 64 levels
+    earlier, onwards = by_merit.rowsBetween(Window.unboundedPreceding, -1), by_merit.rowsBetween(0, Window.unboundedFollowing)
+    # if all levels of larger merit are at the cap, t is what is left over the words of the others
+    t = F.try_divide(F.col("target") - float(cap) * F.coalesce(F.sum("words").over(earlier), F.lit(0)), F.sum(F.col("words") * F.col("merit")).over(onwards))
+    own = own.withColumn("t", t).withColumn("free", F.when(F.col("t") * F.col("merit") <= float(cap), F.col("t")))
+    rate = F.least(F.lit(float(cap)), F.coalesce(F.max("free").over(Window.partitionBy("source")) * F.col("merit"), F.when(F.col("source_size") > 0, float(cap)).otherwise(0.0)))
+    own = own.withColumn("rate", rate).withColumn("sure", F.floor("rate")).withColumn("p", F.col("rate") - F.col("sure"))
+    need = F.col("target") - F.sum(F.col("sure") * F.col("words")).over(Window.partitionBy("source"))
+    return own.select("source", "level", "source_size", "target", "sure", "p", need.alias("need"))
+
+
+def _level(size: Column) -> Column:
+    return F.floor(F.log2(size + 1.0)).cast("int")
+
+
+def mix(
+    docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, total: float = 1.0, tilt: float = TILT, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", size_col: str | None = None
+) -> DataFrame:
     """``docs`` with source_size and target (of its source) and copies (how often the mix takes the row).
 
     ``size_col`` names an existing long column with sizes; without it the words of ``text`` are counted.
     """
-    size = F.col(size_col) if size_col else word_count("text")
-    slim = materialize(docs.select(F.col(source_col).cast("string").alias("source"), F.col(id_col).cast("long").alias("id"), F.coalesce(size, F.lit(0)).cast("long").alias("size")), "mix-sizes")
-    rates = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap, total)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rates = rates.withColumn("sure", F.floor(rate)).withColumn("p", rate - F.col("sure"))
-    rates = materialize(rates.withColumn("need", F.col("target") - F.col("sure") * F.col("source_size")), "mix-rates")
-
-    rank = F.when(F.col("p") > 0, rank_odds(uniform("id", seed), F.col("p"))).otherwise(1.0)
+    size = F.coalesce(F.col(size_col) if size_col else word_count("text"), F.lit(0)).cast("long")
+    slim = materialize(docs.select(F.col(source_col).cast("string").alias("source"), F.col(id_col).cast("long").alias("id"), size.alias("size")), "mix-sizes")
+    rate = materialize(rates(slim, weights, cap, total, tilt), "mix-rates")
+
     ranked = (
-        slim.alias("d").join(rates.alias("r"), F.expr("d.source <=> r.source"))
-        .select("d.source", "id", "size", "need", rank.alias("t")).withColumn("bin", F.floor(F.col("t") * BINS).cast("int"))
+        slim.withColumn("level", _level(F.col("size"))).alias("d").join(rate.filter("p > 0").alias("r"), F.expr("d.source <=> r.source and d.level = r.level"))
+        .select("d.source", "id", "size", "need", rank_odds(uniform("id", seed), F.col("p")).alias("t")).withColumn("bin", F.floor(F.col("t") * BINS).cast("int"))
     )
     bins = ranked.groupBy("source", "bin", "need").agg(F.sum("size").alias("words"))
     so_far = F.sum("words").over(Window.partitionBy("source").orderBy("bin"))
@@ -84,15 +112,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.
     fits = edge.withColumn("mid", F.col("before") + F.coalesce(run, F.lit(0)) + F.col("size") / 2).filter(F.col("mid") <= F.col("need"))
     last = fits.groupBy("source").agg(F.max(F.struct("t", "id")).alias("last"))
     cuts = (
-        rates.alias("r").join(reached.alias("b"), F.expr("r.source <=> b.source"), "left").join(last.alias("l"), F.expr("r.source <=> l.source"), "left")
-        .selectExpr("r.source as mix_source", "r.source_size", "r.target", "r.sure as mix_sure", "r.p as mix_p", "b.bin as mix_bin", "l.last.t as mix_t", "l.last.id as mix_id")
+        rate.alias("r").join(reached.alias("b"), F.expr("r.source <=> b.source"), "left").join(last.alias("l"), F.expr("r.source <=> l.source"), "left")
+        .selectExpr("r.source", "r.level", "r.source_size", "r.target", "r.sure", "r.p", "b.bin", "l.last.t", "l.last.id")
     )
     cuts = materialize(cuts, "mix-cuts")
-    base = docs.drop("source_size", "target", "copies")
-    joined = base.join(cuts, F.col(source_col).cast("string").eqNullSafe(F.col("mix_source")))
-    t = F.when(F.col("mix_p") > 0, rank_odds(uniform(id_col, seed), F.col("mix_p"))).otherwise(1.0)
-    own = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    more = F.when(F.col("mix_p") <= 0, 0).when(F.col("mix_bin").isNull() | (F.floor(t * BINS) < F.col("mix_bin")), 1).when(
-        (F.floor(t * BINS) == F.col("mix_bin")) & ((t < F.col("mix_t")) | ((t == F.col("mix_t")) & (own <= F.coalesce("mix_id", F.lit(-(1 << 63)))))), 1
-    ).otherwise(0)
-    return joined.withColumn("copies", (F.col("mix_sure") + more).cast("int")).drop("mix_source", "mix_sure", "mix_p", "mix_bin", "mix_t", "mix_id")
+    own = [c for c in docs.columns if c not in ("source_size", "target", "copies")]
+    hidden = "cut_" + uuid.uuid4().hex  # no input column has this name
+    joined = docs.select(*own).withColumn(f"{hidden}_level", _level(size)).join(
+        cuts.select(F.struct("*").alias(hidden)), F.col(source_col).cast("string").eqNullSafe(F.col(f"{hidden}.source")) & (F.col(f"{hidden}_level") == F.col(f"{hidden}.level"))
+    )
+    cut = lambda c: F.col(f"{hidden}.{c}")
+    t, least = rank_odds(uniform(id_col, seed), cut("p")), F.lit(-(1 << 63))
+    at = F.floor(t * BINS)
+    before_last = (t < cut("t")) | ((t == cut("t")) & (F.coalesce(F.col(id_col).cast("long"), least) <= F.coalesce(cut("id"), least)))
+    more = F.when(cut("p") <= 0, 0).when(cut("bin").isNull() | (at < cut("bin")), 1).when((at == cut("bin")) & before_last, 1).otherwise(0)
+    return joined.select(*own, cut("source_size").alias("source_size"), cut("target").alias("target"), (cut("sure") + more).cast("int").alias("copies"))

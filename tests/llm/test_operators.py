@@ -159,17 +159,77 @@ def test_bpe_round_trip(docs):
         assert np.frombuffer(bytes(r["token_ids"]), "<u4").tolist() == ids and r["decoded"] == t.decode(ids, skip_special_tokens=False)
 
 
-def test_mixing_meets_targets(spark):
-    rows = [(i, "w " * RND.randint(0, 50), ("b", "a", None)[i % 3] if i > 50 else "b") for i in range(3000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("target", F.lit("clash"))
+def brute_mix(rows, weights=(1, 2, 3), cap=3.0, tilt=mixing.TILT):
+    """{row number: copies} of (id, source, size) rows."""
+    names = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(n for _, x, n in rows if x == s) for s in names}
+    w, goal, left, open_ = {s: weights[i % len(weights)] for i, s in enumerate(names)}, {}, float(sum(size.values())), list(names)
+    while True:
+        level = left / sum(w[s] for s in open_) if open_ else 0
+        full = [s for s in open_ if cap * size[s] <= level * w[s]]
+        if not full:
+            break
+        for s in full:
+            goal[s] = cap * size[s]
+            left -= goal[s]
+            open_.remove(s)
+    goal |= {s: level * w[s] for s in open_}
+    out = {}
+    for s in names:
+        own = [(k, i, n) for k, (i, x, n) in enumerate(rows) if x == s]
+        merit = {k: 2 ** (tilt * ((n + 1).bit_length() - 1)) for k, _, n in own}
+        lo, hi = 0.0, 1e9
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(min(cap, mid * merit[k]) * n for k, _, n in own) < goal[s] else (lo, mid)
+        rate = {k: min(cap, hi * merit[k]) for k in merit}
+        out |= {k: int(r + 1e-9) for k, r in rate.items()}
+        need = goal[s] - sum(out[k] * n for k, _, n in own)
+        ranked = []
+        for k, i, n in own:
+            p = rate[k] - out[k]
+            if p > 1e-9:
+                u = (int(hashlib.md5(f"mix{'' if i is None else i}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+                ranked.append((u / (1 - u) * (1 - p) / p, i, n, k))
+        so_far = 0
+        for _, _, n, k in sorted(ranked, key=lambda x: (x[0], x[1])):
+            if so_far + n / 2 > need:
+                break
+            so_far += n
+            out[k] += 1
+    return out, goal
+
+
+@pytest.mark.parametrize("sources", [("b", "a", None), ("only",), ("tiny", "a", "b")])
+def test_mixing_takes_the_ranked_documents(spark, sources):
+    rows = [(i, sources[i % len(sources)] if i > 60 else sources[-1], RND.choice([0, 1, 2, 3, 50, RND.randint(0, 400)]) if sources[i % len(sources)] != "tiny" else 1) for i in range(1500)]
+    df = spark.createDataFrame([(i, "w " * n, s, "x", 1.0, 2) for i, s, n in rows], "doc_id long, text string, source string, target string, mix_p double, level int")
     got = mixing.mix(df).withColumn("size", mixing.word_count("text")).collect()
+    want, goal = brute_mix(rows)
+    assert {r["doc_id"]: r["copies"] for r in got} == {rows[k][0]: c for k, c in want.items()}
+    assert all(abs(r["target"] - goal[r["source"]]) < 1e-6 for r in got) and max(r["copies"] for r in got) <= 3 and {"mix_p", "level"} < set(got[0].asDict())
+    for s in set(sources):
+        assert abs(sum(r["copies"] * r["size"] for r in got if r["source"] == s) - goal[s]) <= 400
     again = mixing.mix(df.repartition(7)).collect()
     assert {r["doc_id"]: r["copies"] for r in got} == {r["doc_id"]: r["copies"] for r in again}
-    total = sum(r["size"] for r in got)
-    for s, w in (("a", 1), ("b", 2), (None, 3)):
-        own = [r for r in got if r["source"] == s]
-        assert abs(own[0]["target"] - total * w / 6) < 1e-6 and abs(sum(r["copies"] * r["size"] for r in own) - own[0]["target"]) <= 50
-    assert max(r["copies"] for r in got) <= 3 and mixing.mix(empty(df)).count() == 0
+
+
+def test_mixing_of_nulls_and_repeated_rows(spark):
+    df = spark.createDataFrame([(None, "a b", None), (None, None, "s"), (1, "a b c", "s"), (1, "a b c", "s"), (2, "", None)], "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    assert len(got) == 5 and all(r["copies"] is not None and 0 <= r["copies"] <= 3 for r in got)
+    assert len({r["copies"] for r in got if r["doc_id"] == 1}) == 1 and mixing.mix(empty(df)).count() == 0
+
+
+def test_mixing_prefers_by_probability(spark):
+    """Over many seeds documents of a level are taken about as often as their probability says."""
+    df = spark.createDataFrame([(i, "a" if i % 2 else "b", (1, 60)[i % 4 // 2]) for i in range(400)], "doc_id long, source string, size long").cache()
+    p = {(r["source"], r["level"]): r["sure"] + r["p"] for r in mixing.rates(df.select("source", "size"), (1, 2), 3.0, 0.5, 0.5).collect()}
+    taken = collections.Counter()
+    for seed in range(6):
+        for r in mixing.mix(df, (1, 2), total=0.5, tilt=0.5, seed=str(seed), size_col="size").collect():
+            taken[r["source"], (r["size"] + 1).bit_length() - 1] += r["copies"] / 600
+    assert len(set(p.values())) == 4 and all(abs(taken[k] - x) < 0.12 for k, x in p.items())
 
 
 def test_classifier_separates_and_survives_no_labels(spark, docs):
@@ -223,7 +283,7 @@ def test_near_copies(docs):
 def test_absorbed_links_equal_whole_components(spark):
     from skytrace.llm import components
 
-    for _ in range(3):
+    for _ in range(1):
         old, new = ([(RND.randrange(60), RND.randrange(60)) for _ in range(n)] for n in (25, 15))
         frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
         first = components.connected(frame(old))
@@ -283,7 +343,7 @@ def test_region_join_links_every_component():
     from skytrace.llm import regions
 
     rng = np.random.default_rng(3)
-    for _ in range(30):
+    for _ in range(6):
         base = [rng.choice(5000, rng.integers(3, 60), replace=False) for _ in range(6)]
         sets = [np.unique(np.where(rng.random(len(b)) < rng.choice([0, 0.05, 0.1, 0.2]), rng.integers(0, 5000, len(b)), b)).astype(np.uint64) for b in base for _ in range(rng.integers(1, 15))]
         region = regions.Region(np.arange(len(sets)), np.arange(len(sets)), sets)
