@@ -1,7 +1,7 @@
 """Quality classifier by co-training: a text view and a metadata view teach each other.
 
-The text view sees the bytes of the whole text (frequencies of byte values, repetition and length of words); the
-metadata view sees language, source and sizes. Both are logistic regressions, fitted on at most ``LABELLED`` rows
+The text view sees the whole text and nothing else: frequencies of byte values, hashed words and word pairs,
+repetition and length of words. The metadata view sees the language, source and size columns and nothing of the text. Both are logistic regressions, fitted on at most ``LABELLED`` rows
 with labels, chosen by hash of the id. In each round each view labels the rows of a pool of which it is most sure, and
 the other one learns them. The pool holds only documents without a label of 0 or 1, at most ``POOL`` rows by hash of the
 id; all labelled rows serve fitting or calibration. The views are calibrated and combined
@@ -24,15 +24,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, text_bytes
+from .shingles import mix, word_hashes
 
 #: Bounds of the rows that are fitted on; rounds; pseudo-labels of a class and round; share of good rows that may fall below the threshold.
 LABELLED, POOL, ROUNDS, TAUGHT, LOST = 8_000, 4_000, 4, 100, 0.0
-META_BINS, TEXT_SIZE = 48, 261
+#: Bins of hashed languages and sources, of words and of word pairs; features of the two views; bytes of text hashed at once.
+META_BINS, WORD_BINS, PAIR_BINS = 48, 192, 64
+TEXT_SIZE, META_SIZE, SLICE = 261 + WORD_BINS + PAIR_BINS, META_BINS + 2, 1_000_000
 
 
 def text_features(texts: list[bytes]) -> np.ndarray:
-    """Per text: square roots of the byte frequencies, then word length, distinct words, the commonest word, doubled words."""
+    """Per text: square roots of the byte frequencies, then word length, distinct words, repeated words, doubled words, emptiness, and square roots of the frequencies of hashed words and word pairs."""
     out = np.zeros((len(texts), TEXT_SIZE))
+    words, owner = word_hashes(texts)
+    pairs, first = mix(words[:-1] * np.uint64(0xD6E8FEB86659FD93) + words[1:]), np.flatnonzero(owner[1:] == owner[:-1])
+    for at, own, h, bins in ((261, owner, words, WORD_BINS), (261 + WORD_BINS, owner[first], pairs[first], PAIR_BINS)):
+        n = np.bincount(own * bins + (h % np.uint64(bins)).astype(np.int64), minlength=len(texts) * bins).reshape(len(texts), bins)
+        out[:, at : at + bins] = np.sqrt(n / np.maximum(1, n.sum(axis=1, keepdims=True)))
     for i, t in enumerate(texts):
         if not t:
             out[i, 260] = 1.0
@@ -48,15 +56,14 @@ def text_features(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def meta_features(langs: list, sources: list, sizes: list, lengths: list[int]) -> np.ndarray:
-    out = np.zeros((len(langs), META_BINS + 4))
-    for i, (a, b, n, m) in enumerate(zip(langs, sources, sizes, lengths, strict=True)):
+def meta_features(langs: list, sources: list, sizes: list) -> np.ndarray:
+    """Per row: hashed language and source, the size column and whether it is null."""
+    out = np.zeros((len(langs), META_SIZE))
+    for i, (a, b, n) in enumerate(zip(langs, sources, sizes, strict=True)):
         out[i, zlib.crc32(f"lang:{a}".encode()) % META_BINS] = 1.0
         out[i, zlib.crc32(f"source:{b}".encode()) % META_BINS] = 1.0
-        out[i, -4] = np.log1p(max(0, n or 0)) / 10
-        out[i, -3] = n is None
-        out[i, -2] = np.log1p(m) / 10
-        out[i, -1] = m / max(1, n or 0) if n else 0.0
+        out[i, -2] = np.log1p(max(0, n or 0)) / 10
+        out[i, -1] = n is None
     return out
 
 
@@ -129,13 +136,13 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 yield _rows(part, [part.column("doc_id"), part.column("quality")], ["doc_id", "quality"])
 
     def fetch(rows: DataFrame, most: int) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
         kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, tx binary, mt binary"
         got = rows.mapInArrow(features, kind).orderBy(at, "doc_id").limit(most).toArrow()
-        views = tuple(np.frombuffer(b"".join(got.column(c).to_pylist()), np.float32).reshape(got.num_rows, n).astype(float) for c, n in (("tx", TEXT_SIZE), ("mt", META_BINS + 4)))
+        views = tuple(np.frombuffer(b"".join(got.column(c).to_pylist()), np.float32).reshape(got.num_rows, n).astype(float) for c, n in (("tx", TEXT_SIZE), ("mt", META_SIZE)))
         return np.array(got.column("quality").to_pylist(), float), views
 
     y, views = fetch(known, labelled)
@@ -163,7 +170,7 @@ def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, scores(part, shared.value))], ["doc_id", "text_score", "meta_score", "score", "keep"])
 
     return docs.select("doc_id", "text", "lang", "source", "n_chars").mapInArrow(score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_score double, meta_score double, score double, keep boolean")
@@ -171,7 +178,7 @@ def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool:
 
 def _views(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     texts = text_bytes(part.column("text"))
-    return text_features(texts), meta_features(part.column("lang").to_pylist(), part.column("source").to_pylist(), part.column("n_chars").to_pylist(), [len(t) for t in texts])
+    return text_features(texts), meta_features(*(part.column(c).to_pylist() for c in ("lang", "source", "n_chars")))
 
 
 def _rows(part: pa.RecordBatch, first: list, names: list[str]) -> pa.RecordBatch:
@@ -185,7 +192,7 @@ def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 yield part.filter(pa.array(scores(part, shared.value)[-1]))
 
     return docs.mapInArrow(good, docs.schema)
