@@ -12,7 +12,7 @@ The base is the sum over words and one end of log10((c + 1) / (N + 1 * (V + 1)))
 
 Nulls: a null text is empty and still has its end; a null id counts as an empty text in the split. Rows that repeat
 are separate documents. Without training documents all chances are even (1/256 a byte) and N = V = 0. An empty
-table gives no rows. Texts of any length are read whole.
+table gives no rows. Texts of any length are read whole. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -135,15 +135,15 @@ class Trie:
 
 
 def _limit(counts: DataFrame, column: str, most: int) -> int:
-    """Least power of two of a count that at most ``most`` rows reach."""
+    """Least power of two that at most ``most`` of the counts reach, above all counts if even the largest are too many."""
     rows = sorted(counts.groupBy(F.floor(F.log2(column)).cast("int").alias("b")).count().collect(), reverse=True)
-    total, limit = 0, 64
+    total, limit = 0, rows[0][0] + 1 if rows else 0
     for b, n in rows:
         total += n
         if total > most:
             break
         limit = b
-    return 1 << limit if rows else 1
+    return 1 << min(limit, 62)
 
 
 def train(training: DataFrame) -> Trie:
