@@ -10,7 +10,8 @@ Candidates are packed into shards where they are read; the stated query set goes
 
 Nulls: a null id, a null or empty vector or one with a null or non-finite component takes no part. Vectors
 meet only vectors of their own length. Repeated rows with one id are separate candidates. An empty table
-gives no rows. Other columns are ignored. Scores must fit a long.
+gives no rows. Other columns are ignored. Components after scaling and scores must fit a long. Shards are dealt out by a
+hash of their first id and place.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import n_parts
+from .shingles import mix
 from .vectors import HELD_QUERIES, TopK, matrices, merge_topk, usable
 
 #: Candidates in a shard and queries in a block; terms probed between two tests of competitiveness.
@@ -38,7 +40,7 @@ def _packer(rows: int, scale: float, groups: int):
                 for i in range(0, len(at), rows):
                     own = ids[at[i : i + rows]]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(own[0]) % groups], pa.int32()), pa.array([dim], pa.int32()), pa.array([own.tobytes()], pa.binary()), pa.array([np.ascontiguousarray(x[i : i + rows].T).tobytes()], pa.binary())],
+                        [pa.array([int(mix(own[:1].view(np.uint64) + np.uint64(i))[0] % np.uint64(groups))], pa.int32()), pa.array([dim], pa.int32()), pa.array([own.tobytes()], pa.binary()), pa.array([np.ascontiguousarray(x[i : i + rows].T).tobytes()], pa.binary())],
                         ["g", "dim", "ids", "comps"],
                     )
 
@@ -46,10 +48,18 @@ def _packer(rows: int, scale: float, groups: int):
 
 
 def search_shard(q: np.ndarray, lists: np.ndarray, low: np.ndarray, high: np.ndarray, bound: float, probe: int = PROBE) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates (positions, scores) of one shard that may reach ``bound``. ``lists``: terms x candidates."""
+    """Candidates (positions, scores) of one shard that may reach ``bound``. ``lists``: terms x candidates, as doubles where these hold every partial sum, else as integers.
+
+    Integers are bounded by rounded doubles with a slack above their error; the scores themselves are integer sums.
+    """
+    if lists.dtype != np.float64:
+        doubles = [x.astype(np.float64) for x in (q, lists, low, high)]
+        error = 4 * (len(q) + 2) * np.finfo(np.float64).eps * (float((np.abs(doubles[0]) * np.maximum(np.abs(doubles[2]), np.abs(doubles[3]))).sum()) + (abs(bound) if np.isfinite(bound) else 0.0))
+        alive, _ = search_shard(*doubles, bound - error, probe)
+        return alive, q @ lists[:, alive]
     a, b = q * low, q * high
     least, most = np.minimum(a, b), np.maximum(a, b)
-    spans = (most - least).astype(np.float64)
+    spans = most - least
     order = np.argsort(-spans, kind="stable")
     tail = np.append(np.cumsum(spans[order][::-1])[::-1], 0.0)  # bound of the terms from here on
     need = bound - float(least.sum())

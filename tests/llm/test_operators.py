@@ -57,6 +57,48 @@ def test_maxscore_is_exact(spark):
     assert maxscore.maxscore_topk(empty(df), F.col("id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("size", [3, 1 << 20, 1 << 28, 1 << 29])
+def test_maxscore_keeps_every_candidate_that_may_compete(size):
+    rng = np.random.default_rng(size)
+    for _ in range(60):
+        lists = rng.integers(-size, size, (6, 200))
+        q = rng.integers(-size, size, 6)
+        lists[:, 50:60] = lists[:, :1]
+        true = q @ lists
+        bound = int(np.sort(true)[-10])
+        own = (q, lists) if size > 1 << 22 else (q.astype(float), lists.astype(float))
+        at, score = maxscore.search_shard(*own, own[1].min(axis=1), own[1].max(axis=1), float(bound), probe=2)
+        found = dict(zip(at.tolist(), score.tolist(), strict=True))
+        assert all(found.get(int(i)) == true[i] for i in np.flatnonzero(true >= bound))
+
+
+def test_maxscore_of_large_values_other_lengths_and_repeated_rows(spark):
+    rng = np.random.default_rng(8)
+    x = np.floor(rng.normal(size=(120, 6)) * 2**26)
+    x[60:70] = x[60]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5, x[5].tolist()), (200, [1.0, 2.0]), (201, [3.0, 4.0]), (202, [3.0, 4.0])]
+    got = collections.defaultdict(list)
+    for r in maxscore.maxscore_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0, 10, 1.0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    q = [(i, np.array(v, np.int64)) for i, v in rows]
+    for i, v in q:
+        if i % 20 == 0:
+            assert got[i] == [(j, -s) for s, j in sorted((-int(v @ w), j) for j, w in q if j != i and len(w) == len(v))[:10]]
+
+
+def test_shards_are_dealt_evenly():
+    import pyarrow as pa
+
+    batch = lambda a: pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + 10_000)), pa.array([[1.0]] * 10_000)], ["id", "vec"])
+    groups = [g for b in maxscore._packer(4096, 1.0, 64)(batch(10_000 * k) for k in range(40)) for g in b.column("g").to_pylist()]
+    assert len(set(groups)) > 45
+
+
+def test_frequent_words_have_a_bound(spark):
+    flat = spark.createDataFrame([(1,)] * 30 + [(5,)] * 3, "n long")
+    assert (ppm._limit(flat, "n", 10), ppm._limit(flat, "n", 2), ppm._limit(flat, "n", 100), ppm._limit(flat.filter("n = 1"), "n", 10), ppm._limit(flat.filter("n > 9"), "n", 1)) == (4, 8, 1, 2, 1)
+
+
 def test_tree_search_recall(spark):
     x, df = vectors(spark)
     hits, n = 0, 0
