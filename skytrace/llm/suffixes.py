@@ -9,20 +9,22 @@ id, or earlier in the same one.
 2. Runs with equal contents are one class; all but its first occurrence repeat throughout. Where an anchor
    has one class, nothing else is to be done.
 3. Else the first occurrences of its classes are compared: the texts right of the anchor, and those left of it read
-   backwards, are the suffixes to sort. Multikey quicksort by words of 8 bytes orders them to a shallow depth;
-   groups that still agree are ordered by blind tries. Neighbours' common prefixes then tell, for each place of a
+   backwards, are the suffixes to sort. Multikey quicksort, of all anchors at once with keys of 8 bytes, orders them to
+   a shallow depth; groups that still agree are ordered by blind tries. Neighbours' common prefixes then tell, for each place of a
    window about the anchor, which windows are equal, and all but the earliest repeat.
 4. An anchor with very many classes (the edge of a passage that many documents share) isn't sorted in one task:
    its windows are grouped by hash, with partial aggregation.
 
 Classes and windows of step 4 are equal by two 64-bit hashes. Nulls: a null text is empty. Rows with one id are the
-same document: what is first in one is first in the other. A null id comes before all others. An empty table
-gives no rows. Other columns stay as they are in ``remove_repeats``.
+same document: equal texts are at the same places, and what is first in one is first in the other; of different texts
+one comes before the other. A null id comes before all others. An empty table
+gives no rows. ``remove_repeats`` returns the id, the columns named in ``keep`` as they are, and its own; all others go.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,6 +76,11 @@ def anchor_runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     return text[first], first - starts[text[first]], size, place, grams[anchors[first]], content
 
 
+def text_tag(text: bytes) -> int:
+    """Fifteen bits that tell texts with one id apart; they stand above a start, so that places of two texts differ."""
+    return zlib.crc32(text) & 0x7FFF
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
@@ -81,7 +88,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.cumsum([len(t) for t in texts])
             text, start, size, place, gram, content = anchor_runs(np.frombuffer(b"".join(texts), np.uint8), ends)
             if len(text):
-                at = (start << 16) | (size << 8) | place
+                tags = np.array([text_tag(t) for t in texts], np.int64)
+                at = (tags[text] << 48) | (start << 16) | (size << 8) | place
                 yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(content.view(np.int64)), part.column("doc_id").take(pa.array(text)), pa.array(at)], ["h", "c", "doc", "at"])
 
 
@@ -132,27 +140,41 @@ class BlindTrie:
         return out
 
 
-def deep_shallow(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the rows (bytes, equal lengths, a multiple of 8) within their groups, and the common prefix of each with the one before (-1 at a group's start)."""
-    words = rows.view(">u8").astype(np.uint64)
+def multikey_quicksort(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows within their groups by their first ``SHALLOW`` bytes, and the number of each place's run of equal ones.
+
+    All segments are split at once, three ways about a pivot: smaller and larger rows go on at the same depth, equal ones
+    a key (8 bytes) deeper. A segment is done when it has one row or has reached the depth.
+    """
+    keys = rows[:, :SHALLOW].view(">u8").astype(np.uint64)
     order = np.argsort(group, kind="stable")
-    same = np.zeros(len(order), np.int64)
-    same[1:] = np.cumsum(group[order][1:] != group[order][:-1])
+    segment = np.cumsum(np.concatenate([[False], group[order][1:] != group[order][:-1]])[: len(order)])
+    depth = np.zeros(len(order), np.int64)  # of the segment that each place belongs to
     live = np.arange(len(order))
-    for w in range(SHALLOW // 8):
-        if len(live):
-            counts = np.bincount(same[live])
-            live = live[counts[same[live]] > 1]  # a single member is in its place
+    while len(live):
+        sizes = np.bincount(segment[live])
+        live = live[(sizes[segment[live]] > 1) & (depth[live] < keys.shape[1])]
         if not len(live):
             break
-        key = words[order[live], w]
-        by = np.lexsort((key, same[live]))
-        order[live], key = order[live][by], key[by]
-        cut = np.zeros(len(live), bool)
-        cut[1:] = (same[live][1:] == same[live][:-1]) & (key[1:] != key[:-1])
+        own = segment[live]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        size = np.diff(np.append(first, len(own)))
+        key = keys[order[live], depth[live]]
+        three = np.sort(np.stack([key[first], key[first + size // 2], key[first + size - 1]]), axis=0)
+        pivot = np.repeat(three[1], size)
+        way = (key > pivot).astype(np.int64) - (key < pivot)
+        by = np.lexsort((way, own))
+        order[live], way, own = order[live][by], way[by], own[by]
+        depth[live] += way == 0
         part = np.zeros(len(order), np.int64)
-        part[live] = cut
-        same = same + np.cumsum(part)
+        part[live[1:]] = (own[1:] == own[:-1]) & (way[1:] != way[:-1])
+        segment = segment + np.cumsum(part)
+    return order, segment
+
+
+def deep_shallow(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Multikey quicksort, then blind tries: order of the rows (bytes, equal lengths, a multiple of 8) within their groups, and the common prefix of each with the one before (-1 at a group's start)."""
+    order, same = multikey_quicksort(group, rows)
     counts = np.bincount(same, minlength=1)
     deep = np.flatnonzero(counts[same] > 1)
     if len(deep):
@@ -238,12 +260,20 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the runs' bytes; texts of one document come one after another."""
+    """(doc, runs, text) to a row for each run with its bytes; runs of another text with the same id are told by their hash."""
     for batch in batches:
         for part in slices(batch, "text"):
-            at = part.column("at").to_pylist()
-            body = [t[a >> 16 : (a >> 16) + ((a >> 8) & 255) + WIDTH - 1] for t, a in zip(text_bytes(part.column("text")), at, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("h"), part.column("doc"), part.column("at"), pa.array(body, pa.binary()), part.column("many")], ["h", "doc", "at", "body", "many"])
+            out: list[tuple] = []
+            for doc, runs, t in zip(part.column("doc").to_pylist(), part.column("runs").to_pylist(), text_bytes(part.column("text")), strict=True):
+                for r in runs:
+                    start, size, place = (r["at"] >> 16) & 0xFFFFFFFF, (r["at"] >> 8) & 255, r["at"] & 255
+                    body = t[start : start + size + WIDTH - 1]
+                    if len(body) == size + WIDTH - 1:
+                        total, _ = prefix_hash(np.frombuffer(body, np.uint8))
+                        if mix(total[-1:] + np.uint64(size * 256 + place)).view(np.int64)[0] == r["c"]:
+                            out.append((r["h"], doc, r["at"], body, r["many"]))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["h", "doc", "at", "body", "many"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,12 +300,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     firsts = materialize(found.groupBy("h", "c").agg(F.min(F.struct("doc", "at")).alias("f")).select("h", "c", "f.doc", "f.at"), "classes")
     first = firsts.select("h", "c", F.col("doc").alias("d0"), F.col("at").alias("a0"))
     copies = found.join(first, ["h", "c"]).filter("doc <> d0 or at <> a0").select("doc", F.shiftright("at", 16).alias("lo"), (F.shiftright("at", 16) + F.shiftright("at", 8).bitwiseAND(255) + WIDTH - 1).alias("hi"))
-    copies = materialize(_joined(copies), "copies")
+    copies = materialize(copies, "copies")
     discard(found)
     several = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", (F.col("n") > MANY_CLASSES).alias("many"))
-    todo = firsts.join(several, "h").select("h", "doc", "at", "many")
+    todo = firsts.join(several, "h").groupBy("doc").agg(F.collect_list(F.struct("h", "c", "at", "many")).alias("runs"))  # of one document each
     texts = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "text")
-    bodies = todo.join(texts, "doc").select("h", "doc", "at", "many", "text").mapInArrow(_bodies, "h long, doc long, at long, body binary, many boolean")
+    bodies = todo.join(texts, "doc").select("doc", "runs", "text").mapInArrow(_bodies, "h long, doc long, at long, body binary, many boolean")
     bodies = materialize(bodies, "bodies")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     few = bodies.filter("not many").select("h", "doc", "at", "body").repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_sorted_groups, "doc long, lo long, hi long")
@@ -287,23 +317,20 @@ def repeats(docs: DataFrame) -> DataFrame:
     return copies.union(more)
 
 
-def _joined(spans: DataFrame) -> DataFrame:
-    return spans.select("doc", "lo", "hi")
-
-
 def _cut(digest: bool, names: list[str], schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 out = []
                 for t, spans in zip(text_bytes(part.column("text")), part.column("spans").to_pylist(), strict=True):
-                    if not spans:
+                    lo, hi = np.array([(s["lo"], s["hi"]) for s in spans or ()], np.int64).reshape(-1, 2).T
+                    own = (lo >> 32 == text_tag(t)) & ((hi & 0xFFFFFFFF) <= len(t))
+                    if not own.any():
                         out.append((len(t), 0, 0, t))
                         continue
                     gone = np.zeros(len(t) + 1, np.int64)
-                    lo, hi = np.array([(s["lo"], s["hi"]) for s in spans]).T
-                    np.add.at(gone, lo, 1)
-                    np.add.at(gone, np.minimum(hi, len(t)), -1)
+                    np.add.at(gone, lo[own] & 0xFFFFFFFF, 1)
+                    np.add.at(gone, hi[own] & 0xFFFFFFFF, -1)
                     gone = np.cumsum(gone)[:-1] > 0
                     out.append((len(t), int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), np.frombuffer(t, np.uint8)[~gone].tobytes()))
                 last = [hashlib.sha256(x[3]).hexdigest() if digest else x[3].decode("utf-8", "ignore") for x in out]

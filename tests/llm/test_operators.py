@@ -179,6 +179,28 @@ def test_suffix_repeats(docs, many, monkeypatch):
     assert suffixes.remove_repeats(empty(docs)).count() == 0
 
 
+def test_suffix_repeats_of_repeated_and_null_ids(spark):
+    """Rows of one id are one document, each with its own text; a null id comes first; clashing columns don't matter."""
+    a, b = prose(60), prose(60)
+    rows = [(5, a + " x", 1), (5, b, 2), (5, b, 2), (None, prose(20) + b, 3), (9, "z" + a, 4), (9, None, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_removed int")
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffixes.remove_repeats(df, digest=True).collect()]
+    size = lambda t: len(t.encode())
+    assert sorted(got, key=str) == sorted([(5, size(a) + 2, 0), (5, size(b), size(b)), (5, size(b), size(b)), (None, size(rows[3][1]), 0), (9, size(a) + 1, size(a)), (9, 0, 0)], key=str)
+
+
+def test_multikey_quicksort_orders_by_shallow_keys():
+    rng = np.random.default_rng(9)
+    for n, high in ((1, 3), (2, 2), (500, 2), (500, 256)):
+        rows = rng.integers(0, high, (n, 104)).astype(np.uint8)
+        rows[: n // 2, :10] = 1
+        group = rng.integers(0, 4, n)
+        order, segment = suffixes.multikey_quicksort(group, rows)
+        keyed = [(group[i], rows[i, : suffixes.SHALLOW].tobytes()) for i in order]
+        assert keyed == sorted(keyed) and sorted(order.tolist()) == list(range(n))
+        assert all((x == y) == (s == t) for x, y, s, t in zip(keyed, keyed[1:], segment, segment[1:], strict=False))
+
+
 def test_deep_shallow_order():
     rng = np.random.default_rng(4)
     rows = np.repeat(rng.integers(0, 3, (40, 104)).astype(np.uint8), 3, axis=0)
