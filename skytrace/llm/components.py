@@ -11,6 +11,7 @@ from .common import discard, materialize
 def connected(links: DataFrame) -> DataFrame:
     """Links (a, b) to (id, comp): the smallest id that each linked node reaches."""
     e = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    state = _state(e)
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -21,14 +22,18 @@ def connected(links: DataFrame) -> DataFrame:
         tied = large.filter("u <> v").join(small_low, "u")
         small = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).union(tied.select("u", F.col("m").alias("v")))
         new = materialize(small.filter("u <> v").distinct(), "edges")
-        moved = new.join(e, ["u", "v"], "left_anti").limit(1).count() or e.join(new, ["u", "v"], "left_anti").limit(1).count()
         discard(e)
-        e = new
-        if not moved:
+        e, before, state = new, state, _state(new)
+        if state == before:
             roots = e.select(F.col("v").alias("id")).distinct()
             return e.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(roots.select("id", F.col("id").alias("comp")))
 
 
+def _state(e: DataFrame) -> tuple:
+    """Number and fingerprint of distinct edges."""
+    return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+
 def absorb(comps: DataFrame, links: DataFrame) -> DataFrame:
     """Components (id, comp) after further links (a, b); only links between different components are contracted."""
     own = lambda side: comps.select(F.col("id").alias(side), F.col("comp").alias(f"c_{side}"))

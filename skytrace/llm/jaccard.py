@@ -5,7 +5,8 @@
    to all documents. Frequent shingles come last in that order, by a sketch of counts over all documents. The first
    pivots are the leaders of those shingles: of the documents that hold one, the one that shares most. A leader's
    region is every document that shares such a shingle with it or under it. Pivots drawn at random would lie at
-   distance 1 from nearly all documents, and no window would exclude anything; these don't.
+   distance 1 from nearly all documents, and no window would exclude anything; these don't. Counts of the hashes in
+   a few bins (a coarser metric, never above the distance) tell which members have no partner there.
 3. A region is joined exactly by pivots: distances to a few pivots give Voronoi cells; a document is at home with its
    nearest pivot and is replicated to every other cell within the window of the triangle inequality, in which a
    linked document may be at home; the cells are joined in the same way in turn. Documents of one component
@@ -74,8 +75,66 @@ def prefix_length(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
+def bins(s: np.ndarray) -> bytes:
+    """Counts of the hashes in about n/4 bins (a power of two), at most 255 each."""
+    b = bin_bits(len(s))
+    return np.minimum(np.bincount((s >> np.uint64(64 - b)).astype(np.int64), minlength=1 << b), 255).astype(np.uint8).tobytes()
+
+
+def bin_bits(n: int) -> int:
+    return max(3, min(12, n.bit_length() - 2))
+
+
+def partners(n: np.ndarray, counts: list[bytes]) -> np.ndarray:
+    """Which sets may be linked with another one, by sizes and bins: counts of common bins bound the intersection from above."""
+    ok = np.zeros(len(n), bool)
+    bits = np.array([bin_bits(int(x)) for x in n])
+    rows = {int(b): np.flatnonzero(bits == b) for b in np.unique(bits)}
+    full = {b: np.frombuffer(b"".join([counts[i] for i in r]), np.uint8).reshape(len(r), -1).astype(np.int16) for b, r in rows.items()}
+    for b, own in rows.items():
+        for above in (b, b + 1):  # sizes within a fifth differ by one bit at most
+            if above not in rows:
+                continue
+            other = full[above] if above == b else full[above].reshape(len(rows[above]), -1, 2).sum(axis=2)
+            for k, i in enumerate(own.tolist()):
+                js = rows[above][k + 1 :] if above == b else rows[above]
+                near = (100 * np.minimum(n[js], n[i]) >= 80 * np.maximum(n[js], n[i])) & ~(ok[js] & ok[i])
+                js = np.flatnonzero(near) + (k + 1 if above == b else 0)
+                if len(js):
+                    most = np.minimum(other[js], full[b][k]).sum(axis=1)
+                    capped = (full[above][js] == 255).any(axis=1) | (full[b][k] == 255).any()
+                    js = rows[above][js]
+                    most = np.where(capped, np.minimum(n[js], n[i]), most)
+                    js = js[100 * most >= 80 * (n[js] + n[i] - most)]
+                    ok[js] = True
+                    ok[i] |= len(js) > 0
+    return ok
+
+
+def _with_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (r, piece, whole, doc, n, weight, bins) sorted by region, without those that :func:`partners` excludes from a whole region."""
+    held: list[tuple] = []
+
+    def done() -> pa.RecordBatch:
+        rows = held
+        if rows[0][2]:
+            ok = partners(np.array([x[4] for x in rows], np.int64), [x[6] for x in rows])
+            rows = [x for x, good in zip(rows, ok, strict=True) if good]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in (0, 3, 4, 5)], ["r", "doc", "n", "weight"])
+
+    for batch in batches:
+        for part in slices(batch, "bins"):
+            for row in zip(*(part.column(c).to_pylist() for c in ("r", "piece", "whole", "doc", "n", "weight", "bins")), strict=True):
+                if held and held[0][:2] != row[:2]:
+                    yield done()
+                    held = []
+                held.append(row)
+    if held:
+        yield done()
+
+
 def _describe(level_of):
-    """(doc_id, n, fingerprints of the set, shingles of the prefix)."""
+    """(doc_id, n, fingerprints of the set, bins, shingles of the prefix)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, odd = level_of.value, np.uint64(0x94D049BB133111EB)
@@ -90,7 +149,7 @@ def _describe(level_of):
                     ordered = s[np.argsort(own, kind="stable")] if own.any() else s
                     heads.append(ordered[: prefix_length(len(s))].view(np.int64) if len(s) else np.empty(0, np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, heads)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *heads])))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), lists], ["doc_id", "n", "f1", "f2", "head"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array([bins(s) for s in sets], pa.binary()), lists], ["doc_id", "n", "f1", "f2", "bins", "head"])
 
     return run
 
@@ -217,9 +276,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     level = spark.sparkContext.broadcast(_frequent(texts))
-    about = materialize(texts.mapInArrow(_describe(level), "doc_id long, n long, f1 long, f2 long, head array<long>"), "about")
-    leads = materialize(about.filter("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.any_value("head").alias("head")), "leads")
-    rows = materialize(about.select("doc_id", "n", "f1", "f2").join(leads.drop("head"), ["f1", "f2", "n"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "classes")
+    about = materialize(texts.mapInArrow(_describe(level), "doc_id long, n long, f1 long, f2 long, bins binary, head array<long>"), "about")
+    leads = materialize(about.filter("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.any_value("head").alias("head"), F.any_value("bins").alias("bins")), "leads")
+    rows = materialize(about.select("doc_id", "n", "f1", "f2").join(leads.drop("head", "bins"), ["f1", "f2", "n"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "classes")
     discard(about)
     links = _one_id(rows)
 
@@ -230,18 +289,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     members = members.repartition(n_parts(spark), "tok", salt).sortWithinPartitions("tok").mapInArrow(_partnered, "tok long, doc long, n int, times int")
     members = materialize(members, "members")
     discard(shared)
-    discard(leads)
 
     weights = materialize(members.groupBy("doc").agg(F.sum(F.floor(F.log2("times"))).alias("weight")), "weights")
     pivots = members.join(weights, "doc").groupBy("tok").agg(F.min(F.struct((-F.col("weight")).alias("light"), "doc")).alias("p")).select("tok", F.col("p.doc").alias("r"))
     regions = members.join(pivots, "tok").groupBy("r", "doc").agg(F.max("n").alias("n"))
-    regions = materialize(regions.join(weights, "doc").select("r", "doc", "n", F.col("doc").alias("comp"), "weight"), "regions")
+    regions = materialize(regions.join(weights, "doc").select("r", "doc", "n", "weight"), "regions")
     discard(members)
+    regions, _ = _excluded(regions, leads.select(F.col("rep").alias("doc"), F.col("n").alias("of"), "bins")), discard(regions)
+    discard(leads)
 
-    if weights.count() <= BROADCAST_IDS:
-        needed = texts.join(F.broadcast(weights.select(F.col("doc").alias("doc_id"))), "doc_id", "left_semi")
-    else:
-        needed = texts.join(weights.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
+    ids = materialize(regions.select(F.col("doc").alias("doc_id")).distinct(), "ids")
+    needed = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
     sets = materialize(needed.mapInArrow(_sets, "doc long, set binary"), "sets")
 
     comps, more = None, not regions.isEmpty()
@@ -261,6 +319,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep", "doc_id").alias("component_id"))
 
 
+def _excluded(regions: DataFrame, bins_of: DataFrame) -> DataFrame:
+    """Regions (r, doc, n, comp, weight) without the members whose bins leave no partner; regions of more than a piece stay whole."""
+    sizes = regions.groupBy("r").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").withColumn("pieces", F.ceil(F.col("k") / PIECE_DOCS).cast("int"))
+    whole = F.col("pieces") == 1
+    piece = F.when(whole, 0).otherwise(F.pmod(F.xxhash64("doc"), F.col("pieces"))).cast("int")
+    # ids with several sets have several bins and stay where one of them has a partner
+    rows = regions.join(sizes, "r").select("r", piece.alias("piece"), whole.alias("whole"), "doc", "weight").join(bins_of.join(regions.select("doc").distinct(), "doc", "left_semi"), "doc")
+    rows = rows.select("r", "piece", "whole", "doc", F.col("of").alias("n"), "weight", "bins").repartition(n_parts(regions.sparkSession), "r", "piece").sortWithinPartitions("r", "piece")
+    kept = rows.mapInArrow(_with_partners, "r long, doc long, n long, weight long").groupBy("r", "doc").agg(F.max("n").alias("n"), F.max("weight").alias("weight"))
+    return materialize(kept.select("r", "doc", "n", F.col("doc").alias("comp"), "weight"), "regions")
+
+
 def _one_id(rows: DataFrame) -> DataFrame:
     """Links (a, b) between the leads of classes that share an id."""
     several = rows.filter("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b")
