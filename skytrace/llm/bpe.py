@@ -30,10 +30,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import slices, text_bytes
+from .common import bounded_batches, slices, text_bytes
 
-#: Words and chunks a worker keeps; a chunk ends where so many bits of the hash are 0.
-KEPT_WORDS, KEPT_PIECES, KEPT_CHUNKS, CUT_BITS = 800_000, 200_000, 20_000, 8
+#: Words and chunks a worker keeps, and words up to which it keeps them after a task; a chunk ends where so many bits of the hash are 0.
+KEPT_WORDS, KEPT_PIECES, KEPT_CHUNKS, CUT_BITS = 400_000, 100_000, 20_000, 8
+LEFT_WORDS = 50_000
 #: Below it, letters, digits and case are alike in all Unicode versions.
 LATIN_END = "\u0250"
 BLANKS = bytes.maketrans(b"\t\n\r", b"   ")
@@ -112,6 +113,11 @@ class Encoder:
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
                 self.words[w] = array("I", ids).tobytes(), b"".join([self.token[i] for i in ids])
 
+    def release(self) -> None:
+        """Drop large tables after a task: an idle worker holds memory that other work needs."""
+        if len(self.words) > LEFT_WORDS:
+            self.words, self.pieces, self.chunks = {}, {}, {}
+
     def codes(self, words: list[bytes]) -> tuple[bytes, bytes]:
         """Ids and tokens of whole words."""
         try:
@@ -181,6 +187,7 @@ def _encoder(text: str) -> Encoder:
 def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", digest: bool = False) -> DataFrame:
     """(doc_id, n_tokens, token_ids as binary, decoded), or the SHA-256 of both in hex when ``digest``."""
 
+    bounded_batches(docs.sparkSession)
     with open(path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -195,6 +202,7 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", digest: b
                     back.append(hashlib.sha256(text).hexdigest() if digest else text.decode())
                 kind = pa.string() if digest else pa.binary()
                 yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(n, pa.int64()), pa.array(ids, kind), pa.array(back, pa.string())], names)
+        encoder.release()
 
     names = [id_col, "n_tokens", *(("ids_sha256", "decoded_sha256") if digest else ("token_ids", "decoded"))]
     kind = docs.schema[id_col].dataType.simpleString()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes
+from .common import bounded_batches, slices, text_bytes
 from .shingles import mix, word_hashes
 
 #: Bounds of the rows that are fitted on; rounds; pseudo-labels of a class and round; share of good rows that may fall below the threshold.
@@ -125,6 +125,7 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, held: np.ndarr
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> dict | None:
     """The model of :func:`co_train`, or None without rows of both classes."""
+    bounded_batches(docs.sparkSession)
     at = F.xxhash64("doc_id", F.lit(5))
     marks = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     chosen = marks.orderBy(at, "doc_id").limit(labelled)

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import bounded_batches, slices
 
 SPACE, UNKNOWN_COST = "▁", 10.0
 #: Words whose counts a task keeps.
@@ -128,6 +128,7 @@ def _counter(vocabulary: list[tuple[str, float]]) -> Counter:
 
 def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, n_tokens) of each row."""
+    bounded_batches(docs.sparkSession)
     vocabulary = docs.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary_path))  # as large as the vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
