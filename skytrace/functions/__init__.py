@@ -84,3 +84,19 @@ def file_kind(path: Column) -> Column:
 def sanitise(x: Column) -> Column:
     """Non-finite numbers to the limits; NaN and null to the lower one. NaN is tested first, as Spark ranks it above all numbers."""
     return F.when(x.isNull() | F.isnan(x), -SANITISED_LIMIT).when(x == float("inf"), SANITISED_LIMIT).when(x == float("-inf"), -SANITISED_LIMIT).otherwise(x)
+
+
+def to_utc(x: Column) -> Column:
+    """Text to a timestamp: a time without a zone is UTC, whatever the session's zone; null and unreadable texts are null."""
+    zoned = x.rlike(r"(?i)(z|utc|[+-]\d{2}(:?\d{2})?)$") & x.contains(":")
+    return F.try_to_timestamp(F.when(zoned, x).otherwise(F.concat(F.when(x.contains(":"), x).otherwise(F.concat(x, F.lit("T00:00:00"))), F.lit("Z"))))
+
+
+def utc_iso(t: Column) -> Column:
+    """A timestamp as ISO 8601 text in UTC with microseconds where there are any; null stays null. Made from the epoch, so the session's zone doesn't matter."""
+    us = F.unix_micros(t)
+    second, rest = F.floor(us / 1_000_000), F.pmod(us, F.lit(1_000_000))
+    day, of_day = F.floor(second / 86_400).cast("int"), F.pmod(second, F.lit(86_400))
+    clock = F.format_string("%02d:%02d:%02d", F.floor(of_day / 3600), F.floor(of_day / 60) % 60, of_day % 60)
+    text = F.concat(F.date_add(F.lit("1970-01-01").cast("date"), day).cast("string"), F.lit("T"), clock, F.when(rest > 0, F.format_string(".%06d", rest)).otherwise(""), F.lit("+00:00"))
+    return F.when(t.isNotNull(), text)

@@ -37,10 +37,10 @@ def parameter_violations(catalog: DataFrame, key: str = "recording_id") -> DataF
 
 def with_sidecar(manifest: DataFrame, sidecars: DataFrame) -> DataFrame:
     """Every file with its sidecar's rate and frequency, or the defaults."""
-    s = sidecars.select("file_name", F.col("sample_rate").alias("_r"), F.col("frequency_hz").alias("_f"))
+    s = sidecars.select("file_name", F.col("sample_rate").alias("_r"), F.col("frequency_hz").alias("_f"), F.lit(True).alias("_has"))
     return manifest.join(s, "file_name", "left").withColumns(
-        {"sample_rate": F.coalesce("_r", F.lit(DEFAULT_SAMPLE_RATE)), "frequency_hz": F.coalesce("_f", F.lit(DEFAULT_CENTER_HZ)), "has_sidecar": F.col("_r").isNotNull()}
-    ).drop("_r", "_f")
+        {"sample_rate": F.coalesce("_r", F.lit(DEFAULT_SAMPLE_RATE)), "frequency_hz": F.coalesce("_f", F.lit(DEFAULT_CENTER_HZ)), "has_sidecar": F.coalesce("_has", F.lit(False))}
+    ).drop("_r", "_f", "_has")
 
 
 def verify(sidecars: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -82,18 +82,26 @@ def lifecycle_audit(events: DataFrame, transitions: dict[str, tuple[str, ...]] =
 
 
 def unique_names(names: DataFrame, base: str = "base", order: tuple[str, ...] = ("recording_id",), taken: DataFrame | None = None) -> DataFrame:
-    """Adds unique_name: the first keeps the base, later ones get _2, _3 and so on, past names already taken."""
-    n = F.row_number().over(Window.partitionBy(base).orderBy(*order))
-    out = names.withColumn("_n", n)
-    if taken is None:
-        place = F.col("_n")
-    else:
-        t = taken.select(F.regexp_replace("name", r"_(\d+)$", "").alias("_b"), F.coalesce(F.nullif(F.regexp_extract("name", r"_(\d+)$", 1), F.lit("")).cast("int"), F.lit(1)).alias("_k"))
-        t = t.union(taken.select(F.col("name").alias("_b"), F.lit(1).alias("_k"))).distinct()
-        used = t.groupBy("_b").agg(F.max("_k").alias("_used"))
-        out = out.join(used, out[base] == used["_b"], "left").drop("_b")
-        place = F.col("_n") + F.coalesce("_used", F.lit(0))
-    return out.withColumn("unique_name", F.when(place == 1, F.col(base)).otherwise(F.concat_ws("_", base, place.cast("string")))).drop("_n", "_used")
+    """Adds unique_name: the first free one of base, base_2, base_3 and so on for each row in turn.
+
+    ``taken`` (name) holds names in use; a new base that looks like a numbered name of another new base counts as in use too.
+    The k-th taken number s of a base leaves s - k free ones before it, so the n-th row's number is n plus the
+    taken ones with s - k < n: one running count over rows and taken numbers together.
+    """
+    number = r"_([1-9]\d{0,8})$"
+    bases = names.select(F.col(base).alias("_b")).distinct()
+    used = bases.select(F.col("_b").alias("name"))
+    as_is = None if taken is None else taken.select(F.col("name").alias("_b"), F.lit(1).alias("_s"))
+    used = used if taken is None else used.union(taken.select("name"))
+    slots = used.filter(F.col("name").rlike(number)).select(F.regexp_replace("name", number, "").alias("_b"), F.regexp_extract("name", number, 1).cast("int").alias("_s")).filter("_s > 1")
+    slots = (slots if as_is is None else slots.union(as_is)).distinct().join(bases, "_b", "left_semi")
+    by = Window.partitionBy("_b").orderBy("_s")
+    gaps = slots.select("_b", (F.col("_s") - F.row_number().over(by)).alias("_at"), F.lit(1).alias("_taken"))
+    rows = names.withColumns({"_b": F.col(base), "_at": F.row_number().over(Window.partitionBy(base).orderBy(*order)), "_taken": F.lit(0)})
+    both = rows.unionByName(gaps, allowMissingColumns=True)
+    before = F.sum("_taken").over(Window.partitionBy("_b").orderBy("_at", "_taken").rowsBetween(Window.unboundedPreceding, 0))
+    out = both.withColumn("_place", F.col("_at") + before).filter("_taken = 0")
+    return out.withColumn("unique_name", F.when(F.col("_place") == 1, F.col(base)).otherwise(F.concat_ws("_", base, F.col("_place").cast("string")))).select(*names.columns, "unique_name")
 
 
 def status_rollup(recordings: DataFrame, keys: tuple[str, ...] = ("satellite", "device")) -> DataFrame:

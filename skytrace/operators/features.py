@@ -32,11 +32,15 @@ def extract_features(smoothed: DataFrame) -> DataFrame:
     return out.withColumn("drift_rate_hz_per_second", rate).select("capture_id", *FEATURE_NAMES)
 
 
+def peak_rows(slices: DataFrame, threshold_db: float, f0: float | Column, df: float | Column) -> DataFrame:
+    """What features need of each slice, without its bins. No shuffle."""
+    s = T.strongest(slices, threshold_db, f0, df)
+    return s.withColumn("power_sum", F.aggregate("power_db", F.lit(0.0), lambda a, x: a + x)).withColumn("n_bins", F.size("power_db")).drop("power_db")
+
+
 def slice_features(slices: DataFrame, threshold_db: float, f0: float | Column, df: float | Column, kernel: int = 7) -> DataFrame:
     """Slices (capture_id, t_idx, time_s, power_db) to features. Only slim trace rows are shuffled."""
-    s = T.strongest(slices, threshold_db, f0, df)
-    s = s.withColumn("power_sum", F.aggregate("power_db", F.lit(0.0), lambda a, x: a + x)).withColumn("n_bins", F.size("power_db"))
-    return extract_features(T.smooth(s.drop("power_db"), kernel))
+    return extract_features(T.smooth(peak_rows(slices, threshold_db, f0, df), kernel))
 
 
 def detect(features: DataFrame, min_ratio: float = MIN_VALID_RATIO, min_drift: float = MIN_DRIFT_HZ, max_smoothness: float = MAX_SMOOTHNESS_HZ) -> DataFrame:

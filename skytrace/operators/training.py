@@ -15,6 +15,8 @@ from .order import numbered
 
 #: Fewest rows of the rarer class for a cross-validation; it isn't the number of folds.
 MINORITY = 5
+#: Parts of the scores in the rank statistic.
+AUC_PARTS = 64
 #: Leading hex digits of the hash by which the rows of a class are dealt out for numbering.
 HASH_DIGITS = 3
 
@@ -24,11 +26,17 @@ def column_violations(df: DataFrame, names: tuple[str, ...] = (*FEATURE_NAMES, "
 
 
 def validate(df: DataFrame, features: tuple[str, ...] = FEATURE_NAMES, order: str | None = None) -> DataFrame:
-    """Violations (rule, column, capture_id) of a training set read as strings. A row's faults stay a row each: nothing is gathered."""
+    """Violations (rule, column, capture_id) of a training set read as strings. A row's faults stay a row each: nothing is gathered.
+
+    Missing columns are reported together with the faults of those that are there; a set without rows has the violation empty.
+    """
     missing = column_violations(df, (*features, "label"))
-    if missing:
-        rows = [("missing_column", n, None) for n in missing]
-        return df.sparkSession.createDataFrame(rows, "rule string, column string, capture_id string")
+    shape = "rule string, column string, capture_id string"
+    found = df.sparkSession.createDataFrame([("missing_column", n, None) for n in missing], shape)
+    nothing = df.agg(F.count(F.lit(1)).alias("n")).filter("n = 0")
+    found = found.union(nothing.select(F.lit("empty"), F.lit(None).cast("string"), F.lit(None).cast("string")))
+    own = F.col("capture_id").cast("string") if "capture_id" not in missing else F.lit(None).cast("string")
+    there = [c for c in (*features, "label") if c not in missing]
 
     def fault(c: str) -> Column:
         x = F.expr(f"try_cast(`{c}` as double)")
@@ -36,11 +44,17 @@ def validate(df: DataFrame, features: tuple[str, ...] = FEATURE_NAMES, order: st
         rule = F.when(raw.isNull() | (F.trim(raw) == ""), "missing").when(x.isNull() | F.isnan(x), "non_numeric").when(F.abs(x) == float("inf"), "infinite")
         return F.when(rule.isNotNull(), F.struct(rule.alias("rule"), F.lit(c).alias("column")))
 
-    label = F.expr("try_cast(label as double)")
-    bad_label = F.when(label.isNotNull() & ~F.isnan(label) & ~label.isin(0.0, 1.0), F.struct(F.lit("bad_label").alias("rule"), F.lit("label").alias("column")))
-    cells = df.select(F.col("capture_id").cast("string").alias("capture_id"), F.explode(F.filter(F.array(*[fault(c) for c in (*features, "label")], bad_label), lambda x: x.isNotNull())).alias("f"))
+    faults = [fault(c) for c in there]
+    if "label" in there:
+        label = F.expr("try_cast(label as double)")
+        faults.append(F.when(label.isNotNull() & ~F.isnan(label) & ~label.isin(0.0, 1.0), F.struct(F.lit("bad_label").alias("rule"), F.lit("label").alias("column"))))
+    if faults:
+        cells = df.select(own.alias("capture_id"), F.explode(F.filter(F.array(*faults), lambda x: x.isNotNull())).alias("f"))
+        found = found.union(cells.select("f.rule", "f.column", "capture_id"))
+    if "capture_id" in missing:
+        return found
     twice = duplicates(df, "capture_id", order or "capture_id").select(F.lit("duplicate").alias("rule"), F.lit("capture_id").alias("column"), F.col("capture_id").cast("string"))
-    return cells.select("f.rule", "f.column", "capture_id").unionByName(twice)
+    return found.union(twice)
 
 
 def duplicates(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -69,7 +83,10 @@ def hash_order(key: str, seed: str) -> Column:
 
 
 def split(df: DataFrame, key: str, fraction: float = 0.25, seed: str = "42", label: str = "label", stratified: bool = True) -> DataFrame:
-    """Adds is_test: the first ceil(fraction * n) rows of each class by hash order."""
+    """Adds is_test: the first ceil(fraction * n) rows of each class by hash order, or of all rows where there is one class or one of a single row."""
+    if stratified:
+        counts = df.groupBy(label).count().agg(F.count(F.lit(1)), F.min("count")).first()
+        stratified = counts[0] > 1 and counts[1] >= 2
     h = hash_order(key, seed)
     out = numbered(df, [label] if stratified else [], F.substring(h, 1, HASH_DIGITS), [h, key])
     return out.withColumn("is_test", F.col("_n") <= F.ceil(F.col("_total") * F.lit(fraction))).drop("_n", "_total")
@@ -96,9 +113,15 @@ def metrics(pairs: DataFrame, truth: str, guess: str) -> DataFrame:
 def roc_auc(scored: DataFrame, truth: str, score: str) -> DataFrame:
     """One row: auc by the Mann-Whitney statistic over distinct scores, ties counted half; null with one class."""
     by = scored.filter(F.col(score).isNotNull()).groupBy(score).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # scores are dealt out by quantiles; only the sums of the parts meet in one task
+    cuts = sorted(set(by.approxQuantile(score, [i / AUC_PARTS for i in range(1, AUC_PARTS)], 0.01)))
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c < F.col(score))) if cuts else F.lit(0)
+    by = by.withColumn("part", part)
+    sums = by.groupBy("part").agg(F.sum("neg").alias("own"))
+    sums = sums.select("part", F.coalesce(F.sum("own").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    inside = F.coalesce(F.sum("neg").over(Window.partitionBy("part").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     wins = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0))
-    return by.withColumn("below", below).agg(F.try_divide(wins, (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
+    return by.withColumn("inside", inside).join(sums, "part").withColumn("below", F.col("inside") + F.col("earlier")).agg(F.try_divide(wins, (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
 
 
 def assemble(df: DataFrame, names: tuple[str, ...] = FEATURE_NAMES) -> DataFrame:
@@ -137,6 +160,45 @@ def importance(model, names: tuple[str, ...] = FEATURE_NAMES) -> list[tuple[str,
     return sorted(zip(names, (float(x) for x in model.featureImportances.toArray()), strict=True), key=lambda x: -x[1])
 
 
+def importance_table(spark, model, names: tuple[str, ...] = FEATURE_NAMES) -> DataFrame:
+    """(feature, importance), a row for each feature, largest first."""
+    return spark.createDataFrame(importance(model, names), "feature string, importance double")
+
+
+def report(rows: DataFrame, key: str, dataset: str, trees: int = 100, seed: int = 42, fraction: float = 0.25, allow_synthetic: bool = True) -> DataFrame:
+    """One row: metrics of the test part, cross-validation, most important feature, counts, parameters and where the rows came from."""
+    synthetic = guard_synthetic(rows, allow_synthetic)
+    whole = assemble(rows).persist()
+    parts = split(whole, key, fraction, str(seed)).persist()
+    model = fit_forest(parts.filter("not is_test"), trees=trees, seed=seed)
+    cv = cross_validate(whole, key, trees=trees)
+    counts = parts.agg(F.count_if(~F.col("is_test")), F.count_if("is_test"), F.count_if(F.col("label") == 1)).first()
+    found = metrics(model.transform(parts.filter("is_test")), "label", "prediction").first()
+    parts.unpersist()
+    whole.unpersist()
+    own = {
+        "cv_folds": cv.get("folds"), "cv_mean_f1": cv.get("mean_f1"), "cv_std_f1": cv.get("std_f1"), "cv_skipped": cv.get("skipped"), "top_feature": importance(model)[0][0],
+        "n_training": counts[0], "n_test": counts[1], "n_total": counts[0] + counts[1], "positives": counts[2], "trees": trees, "max_depth": 30, "seed": seed, "test_fraction": fraction, "synthetic": synthetic, "dataset": dataset,
+    }
+    kinds = "cv_folds int, cv_mean_f1 double, cv_std_f1 double, cv_skipped string, top_feature string, n_training long, n_test long, n_total long, positives long, trees int, max_depth int, seed int, test_fraction double, synthetic boolean, dataset string"
+    figures = "tn long, fp long, fn long, tp long, n long, accuracy double, precision double, recall double, f1 double"
+    return rows.sparkSession.createDataFrame([(*(found[c.split()[0]] for c in figures.split(", ")), *own.values())], f"{figures}, {kinds}")
+
+
+def score_by_path(features: DataFrame, path: str | None, names: tuple[str, ...] = FEATURE_NAMES) -> DataFrame:
+    """:func:`score` by the bundle at ``path``: MODEL_NOT_AVAILABLE if there is none or a part is missing or broken, MODEL_INVALID if its features are others or in another order."""
+    from skytrace.sources.store import load_bundle
+
+    try:
+        model, sidecar = load_bundle(features.sparkSession, path) if path else (None, None)
+    except ValueError:
+        model, sidecar = None, None
+    if model is None:
+        return score(features, status="MODEL_NOT_AVAILABLE", names=names)
+    fits = list(sidecar["feature_names"]) == list(names)
+    return score(features, model, sidecar.get("model_version"), None if fits else "MODEL_INVALID", names)
+
+
 def score(features: DataFrame, model=None, version: str | None = None, status: str | None = None, names: tuple[str, ...] = FEATURE_NAMES) -> DataFrame:
     """Adds ml_status, ml_detection_result, ml_confidence_score and model_version; never raises for a missing or unfit model."""
     if status is None:

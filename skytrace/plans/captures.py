@@ -24,10 +24,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each label is a capture, its vectors by id are the slices."""
-    n = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    return table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("capture_id"), n.cast("long").alias("t_idx"), n.cast("double").alias("time_s"), F.col("embedding").cast("array<double>").alias("power_db"))
+    return table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("capture_id"), "vec_id", F.col("embedding").cast("array<double>").alias("power_db"))
+
+
+def ordered(slim: DataFrame) -> DataFrame:
+    """Numbers the slices of each capture: the one shuffle, by capture, of rows without bins; windows after it share it."""
+    n = F.row_number().over(Window.partitionBy("capture_id").orderBy("vec_id")) - 1
+    return slim.withColumns({"t_idx": n.cast("long"), "time_s": n.cast("double")}).drop("vec_id")
+
+
+def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered(FT.peak_rows(spectra(spark, sf_dir), THRESHOLD, F0, DF))
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FT.extract_features(TR.smooth(peaks(spark, sf_dir)))
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -35,21 +48,20 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 
 
 def slice_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = TR.strongest(slices(spark, sf_dir), THRESHOLD, F0, DF)
-    return rounded(out.select("capture_id", "t_idx", "bin", "strongest_db", "noise_db", "valid", "trace_hz", "width_hz"), "strongest_db", "noise_db", "trace_hz", "width_hz")
+    return rounded(peaks(spark, sf_dir).select("capture_id", "t_idx", "bin", "strongest_db", "noise_db", "valid", "trace_hz", "width_hz"), "strongest_db", "noise_db", "trace_hz", "width_hz")
 
 
 def capture_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = TR.smooth(TR.strongest(slices(spark, sf_dir), THRESHOLD, F0, DF).select("capture_id", "t_idx", "trace_hz"))
+    out = TR.smooth(peaks(spark, sf_dir).select("capture_id", "t_idx", "trace_hz"))
     return rounded(out, "trace_hz", "filled", "smoothed", "jump")
 
 
 def capture_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(FT.slice_features(slices(spark, sf_dir), THRESHOLD, F0, DF), *FEATURE_NAMES)
+    return rounded(features(spark, sf_dir), *FEATURE_NAMES)
 
 
 def detect_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = FT.detect(FT.slice_features(slices(spark, sf_dir), THRESHOLD, F0, DF), max_smoothness=80_000.0)
+    out = FT.detect(features(spark, sf_dir), max_smoothness=80_000.0)
     return rounded(out, *FEATURE_NAMES, "confidence")
 
 
@@ -62,9 +74,9 @@ def model_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    e = table(spark, sf_dir, "events")
-    return e.select(F.col("user_id").cast("string").alias("capture_id"), n.cast("long").alias("t_idx"), F.when(F.col("event_type") != "error", F.col("value").cast("double")).alias("trace_hz"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("capture_id"), "ts", "event_id", F.when(F.col("event_type") != "error", F.col("value").cast("double")).alias("trace_hz"))
+    n = F.row_number().over(Window.partitionBy("capture_id").orderBy("ts", "event_id")) - 1
+    return e.select("capture_id", n.cast("long").alias("t_idx"), "trace_hz")
 
 
 def event_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +98,7 @@ def lineitem_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def matrix_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequency and time of every bin's maximum over the captures, on the matrix axis."""
-    s = slices(spark, sf_dir).select("capture_id", "t_idx", F.posexplode("power_db").alias("bin", "p"))
+    s = spectra(spark, sf_dir).select(F.posexplode("power_db").alias("bin", "p"))
     out = s.groupBy("bin").agg(F.max("p").alias("max_power"), F.avg("p").alias("mean_power"), F.count(F.lit(1)).alias("n"))
     return rounded(out.withColumn("frequency_hz", F.lit(F0) + F.lit(DF) * F.col("bin")), "max_power", "mean_power", "frequency_hz")
 
@@ -118,7 +130,7 @@ def event_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    det = FT.detect(FT.slice_features(slices(spark, sf_dir), THRESHOLD, F0, DF), max_smoothness=80_000.0)
+    det = FT.detect(features(spark, sf_dir), max_smoothness=80_000.0)
     return FT.retained(det.withColumns({"path": F.concat(F.lit("captures/"), "capture_id", F.when(F.col("capture_id").cast("int") % 2 == 0, ".iq").otherwise(".csv")), "timestamp_utc": F.lit("2026-01-01T00:00:00+0000"), "kind": F.when(F.col("capture_id").cast("int") % 2 == 0, "iq").otherwise("spectrogram"), "ml_status": F.lit("SKIPPED"), "ml_detection_result": F.lit(None).cast("int"), "ml_confidence_score": F.lit(None).cast("double"), "model_version": F.lit(None).cast("string")}))
 
 

@@ -90,6 +90,20 @@ def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.unique_names(p)
 
 
+def names_past_taken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free names for parts where every third part's name, plain or numbered, is in use already."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("recording_id"), FN.sanitise_name(F.regexp_extract("p_name", r"^(\S+)", 1)).alias("base"), "p_size")
+    number = F.when(F.col("p_size") % 4 > 0, F.concat(F.lit("_"), (F.col("p_size") % 4 + 1).cast("string"))).otherwise("")
+    return C.unique_names(p.select("recording_id", "base"), taken=p.filter("recording_id % 3 = 0").select(F.concat("base", number).alias("name")))
+
+
+def utc_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of orders in four spellings, as ISO texts in UTC."""
+    k, day = F.col("o_orderkey") % 4, F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM-dd")
+    text = F.when(k == 0, F.concat(day, F.lit("T10:00:00"))).when(k == 1, F.concat(day, F.lit("T10:00:00+02:00"))).when(k == 2, F.concat(day, F.lit(" 23:59:59.250000Z")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("given")).withColumn("utc", FN.utc_iso(FN.to_utc(F.col("given"))))
+
+
 def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     suffix = F.element_at(F.array(*[F.lit(x) for x in ("iq", "CSV", "npy", "wav", "Dat")]), (F.col("doc_id") % 5 + 1).cast("int"))
     d = table(spark, sf_dir, "documents").select(F.concat(F.lit("in/"), F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), suffix).alias("path"), "n_chars")
@@ -102,7 +116,7 @@ def status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.status_rollup(r).withColumn("completeness", F.round("completeness", 6))
 
 
-QUERIES = {f.__name__: f for f in (parameter_violations, catalog_join, verified_recordings, pass_labels, overlapping_recordings, lifecycle_audit, log_classes, names_and_sizes, safe_names, unique_names, file_manifest, status_rollup)}
+QUERIES = {f.__name__: f for f in (parameter_violations, catalog_join, verified_recordings, pass_labels, overlapping_recordings, lifecycle_audit, log_classes, names_and_sizes, safe_names, unique_names, names_past_taken, utc_times, file_manifest, status_rollup)}
 
 _REC = """r as (select o_orderkey as recording_id, o_custkey as device, 'SAT ' || (o_custkey % 7) as satellite, cast(o_orderdate as timestamp) as start,
   cast(o_orderdate as timestamp) + interval 30 day as stop, cast(o_totalprice as double) as price, o_orderstatus as code from orders)"""
@@ -143,6 +157,18 @@ ORACLE_SQL = {
     "safe_names": f"select doc_id, {_SAFE.format('text')} as name from documents",
     "unique_names": f"""with p as (select p_partkey as recording_id, {_SAFE.format("regexp_extract(p_name, '^([^ ]+)', 1)")} as base from part),
         n as (select *, row_number() over (partition by base order by recording_id) as n from p) select recording_id, base, case when n = 1 then base else base || '_' || n end as unique_name from n""",
+    "names_past_taken": f"""with p as (select p_partkey as recording_id, {_SAFE.format("regexp_extract(p_name, '^([^ ]+)', 1)")} as base, p_size from part),
+        b as (select base, count(*) as c from p group by 1),
+        t as (select distinct base || case when p_size % 4 > 0 then '_' || (p_size % 4 + 1) else '' end as name from p where recording_id % 3 = 0),
+        used as (select name from t union select base from b),
+        slot as (select regexp_replace(name, '_([1-9][0-9]{{0,8}})$', '') as base, cast(regexp_extract(name, '_([1-9][0-9]{{0,8}})$', 1) as bigint) as s from used where regexp_matches(name, '_([1-9][0-9]{{0,8}})$') union select name, 1 from t),
+        try as (select base, unnest(range(1, c + 1 + (select count(*) from slot x where x.base = b.base))) as s from b),
+        free as (select base, s, row_number() over (partition by base order by s) as n from try anti join slot using (base, s)),
+        n as (select *, row_number() over (partition by base order by recording_id) as n from p)
+        select recording_id, n.base, case when s = 1 then n.base else n.base || '_' || s end as unique_name from n join free on free.base = n.base and free.n = n.n""",
+    "utc_times": """with t as (select o_orderkey, strftime(cast(o_orderdate as date), '%Y-%m-%d') as d, o_orderkey % 4 as k from orders)
+        select o_orderkey, case k when 0 then d || 'T10:00:00' when 1 then d || 'T10:00:00+02:00' when 2 then d || ' 23:59:59.250000Z' end as given,
+          case k when 0 then d || 'T10:00:00+00:00' when 1 then d || 'T08:00:00+00:00' when 2 then d || 'T23:59:59.250000+00:00' end as utc from t""",
     "file_manifest": """with d as (select 'in/' || coalesce(source, 'none') || '/' || doc_id || '.' || ['iq', 'CSV', 'npy', 'wav', 'Dat'][doc_id % 5 + 1] as path, doc_id, n_chars from documents)
         select path, ['iq', 'spectrogram', 'npy', 'rejected', 'iq'][doc_id % 5 + 1] as kind, n_chars as length from d""",
     "status_rollup": f"""with {_REC}, x as (select satellite, device % 3 as device, case code when 'F' then 'SUCCESS' when 'O' then 'FAILED' else 'CANCELLED' end as status, cast(floor(price) as bigint) as size, price + 1000 as expected from r)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skytrace.functions import FEATURE_NAMES
 from skytrace.operators import training as TN
-from skytrace.plans.captures import DF, F0, THRESHOLD, slices
+from skytrace.plans.captures import DF, F0, THRESHOLD, ordered, spectra
 from skytrace.operators import trace as TR
 
 
@@ -68,9 +68,10 @@ def synthetic_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _slice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slices as training rows: nine figures of each, labelled by validity."""
-    s = TR.strongest(slices(spark, sf_dir), THRESHOLD, F0, DF)
+    s = TR.strongest(spectra(spark, sf_dir), THRESHOLD, F0, DF)
     figures = {n: F.get("power_db", F.lit(i)) for i, n in enumerate(FEATURE_NAMES)}
-    return s.select(F.concat_ws("-", "capture_id", F.col("t_idx").cast("string")).alias("capture_id"), *[c.alias(n) for n, c in figures.items()], (F.col("noise_db") > 0).cast("int").alias("label"))
+    slim = ordered(s.select("capture_id", "vec_id", *[c.alias(n) for n, c in figures.items()], (F.col("noise_db") > 0).cast("int").alias("label")))
+    return slim.select(F.concat_ws("-", "capture_id", F.col("t_idx").cast("string")).alias("capture_id"), *figures, "label")
 
 
 def forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,13 +82,10 @@ def forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def training_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row: metrics of the test part, cross-validation and the most important feature."""
-    rows = TN.assemble(_slice_rows(spark, sf_dir)).persist()
-    parts = TN.split(rows, "capture_id")
-    model = TN.fit_forest(parts.filter("not is_test"))
-    cv = TN.cross_validate(rows, "capture_id")
-    m = TN.metrics(model.transform(parts.filter("is_test")), "label", "prediction")
-    return m.withColumns({"cv_folds": F.lit(cv.get("folds")), "cv_mean_f1": F.lit(cv.get("mean_f1")), "cv_std_f1": F.lit(cv.get("std_f1")), "cv_skipped": F.lit(cv.get("skipped")), "top_feature": F.lit(TN.importance(model)[0][0])})
+    """One row: metrics of the test part, cross-validation, the most important feature, row counts, parameters and provenance."""
+    return TN.report(_slice_rows(spark, sf_dir), "capture_id", f"{sf_dir}/embeddings.parquet").select(
+        "tn", "fp", "fn", "tp", "n", "accuracy", "precision", "recall", "f1", "cv_folds", "cv_mean_f1", "cv_std_f1", "cv_skipped", "top_feature", "n_training", "n_test", "n_total", "positives", "trees", "max_depth", "seed", "test_fraction", "synthetic"
+    )
 
 
 QUERIES = {f.__name__: f for f in (label_join, label_metrics, label_auc, label_counts, detector_agreement, duplicate_ids, train_test_split, fold_assignment, validation_report, synthetic_guard, forest_scores, training_report)}

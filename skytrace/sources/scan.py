@@ -33,7 +33,8 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sidecars(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SIDECAR).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    """Sidecars as rows; times without a zone are UTC, whatever the session's zone."""
+    return spark.read.schema(SIDECAR).option("multiLine", True).option("timeZone", "UTC").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
 
 
 def training_set(spark: SparkSession, path: str) -> DataFrame:
@@ -115,7 +116,7 @@ def iq_slices(files: DataFrame, fs: float, nperseg: int = 1024, noverlap: int =
 
 
 def npy_files(files: DataFrame) -> DataFrame:
-    """Adds fmt, offset, rows, cols and verdict (iq, spectrogram or rejected) from the headers of .npy files."""
+    """Adds fmt, offset, rows, cols, by_column (Fortran order) and verdict (iq, spectrogram or rejected) from the headers of .npy files."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -125,29 +126,36 @@ def npy_files(files: DataFrame) -> DataFrame:
                     with _open(path) as f:
                         kind, shape, offset, columns = npy_header(f.read(4096))
                     compl, rank = kind.kind == "c", len(shape)
-                    verdict = "iq" if rank == 1 else "spectrogram" if rank == 2 and not compl and not columns else "rejected"
-                    out.append((kind.name, offset, shape[0] if shape else 0, shape[1] if rank == 2 else 1, verdict))
+                    verdict = "iq" if rank == 1 else "spectrogram" if rank == 2 and not compl else "rejected"
+                    out.append((kind.name, offset, shape[0] if shape else 0, shape[1] if rank == 2 else 1, bool(columns) and rank == 2, verdict))
                 except (ValueError, SyntaxError, IndexError, TypeError):
-                    out.append((None, 0, 0, 0, "rejected"))
-            head = pd.DataFrame(out, columns=["fmt", "offset", "rows", "cols", "verdict"])
+                    out.append((None, 0, 0, 0, False, "rejected"))
+            head = pd.DataFrame(out, columns=["fmt", "offset", "rows", "cols", "by_column", "verdict"])
             yield pd.concat([batch.reset_index(drop=True), head], axis=1)
 
-    schema = T.StructType([*files.schema.fields, *T.StructType.fromDDL("fmt string, offset long, rows long, cols long, verdict string").fields])
+    schema = T.StructType([*files.schema.fields, *T.StructType.fromDDL("fmt string, offset long, rows long, cols long, by_column boolean, verdict string").fields])
     return files.mapInPandas(read, schema)
 
 
 def npy_slices(files: DataFrame, rows_per_chunk: int = 4096) -> DataFrame:
-    """2-D real .npy files (path, capture_id, fmt, offset, rows, cols) to slices, by ranges of rows."""
+    """2-D real .npy files (path, capture_id, fmt, offset, rows, cols, by_column) to slices, by ranges of rows; by column, a range is read from each column."""
     parts = files.filter("rows > 0").withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(rows_per_chunk).cast("long"))))
-    parts = parts.withColumn("hi", F.least(F.col("lo") + rows_per_chunk, F.col("rows"))).select("path", "capture_id", "fmt", "offset", "cols", "lo", "hi")
+    parts = parts.withColumn("hi", F.least(F.col("lo") + rows_per_chunk, F.col("rows"))).select("path", "capture_id", "fmt", "offset", "rows", "cols", "by_column", "lo", "hi")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
                 kind = np.dtype(r.fmt)
                 with _open(r.path) as f:
-                    f.seek(int(r.offset + r.lo * r.cols * kind.itemsize))
-                    m = np.frombuffer(f.read(int((r.hi - r.lo) * r.cols * kind.itemsize)), kind).reshape(-1, int(r.cols)).astype(float)
+                    if r.by_column:
+                        ranges = []
+                        for c in range(int(r.cols)):
+                            f.seek(int(r.offset + (c * r.rows + r.lo) * kind.itemsize))
+                            ranges.append(np.frombuffer(f.read(int((r.hi - r.lo) * kind.itemsize)), kind))
+                        m = np.stack(ranges, axis=1).astype(float)
+                    else:
+                        f.seek(int(r.offset + r.lo * r.cols * kind.itemsize))
+                        m = np.frombuffer(f.read(int((r.hi - r.lo) * r.cols * kind.itemsize)), kind).reshape(-1, int(r.cols)).astype(float)
                 t = np.arange(r.lo, r.lo + len(m))
                 yield pd.DataFrame({"capture_id": r.capture_id, "t_idx": t, "time_s": t.astype(float), "power_db": list(m)})
 

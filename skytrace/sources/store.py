@@ -62,11 +62,21 @@ def read_summaries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def labelled_rows(features: DataFrame, labels: DataFrame, provenance: dict | None = None) -> DataFrame:
-    """Features with their labels, sanitised, as training rows; captures without a label are skipped."""
-    out = project_features(features).join(labels.select("capture_id", F.col("label").cast("int").alias("label")), "capture_id").withColumn("is_synthetic", F.lit(0))
+    """Features with their labels, sanitised, as training rows; captures without a label are skipped. The smoothness as measured stays as raw_smoothness_score."""
+    out = project_features(features.withColumn("raw_smoothness_score", F.col("smoothness_score"))).join(labels.select("capture_id", F.col("label").cast("int").alias("label")), "capture_id").withColumn("is_synthetic", F.lit(0))
     return out.withColumns({k: F.lit(v) for k, v in (provenance or {}).items()})
 
 
+def append_labelled(rows: DataFrame, path: str) -> None:
+    """Adds rows of :func:`labelled_rows` to a training set of CSV files with a header."""
+    rows.write.mode("append").option("header", True).csv(path)
+
+
+def save_importance(table: DataFrame, path: str) -> None:
+    """The importance table (a few rows) as one CSV file, in its order."""
+    table.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
 def save_bundle(model, path: str, metadata: dict, names: tuple[str, ...] = FEATURE_NAMES) -> None:
     spark = SparkSession.getActiveSession()
     model.write().overwrite().save(f"{path}/model")

@@ -14,7 +14,7 @@ from skytrace.sources.scan import SIDECAR
 
 def ingest(spark: SparkSession, sidecar_dir: str, pipeline: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
     """Runs ``pipeline`` over newly finished recordings and writes its rows under their batch, so that a replayed batch replaces itself."""
-    arrived = spark.readStream.schema(SIDECAR).option("multiLine", True).json(sidecar_dir).filter("recording_status = 'SUCCESS'")
+    arrived = spark.readStream.schema(SIDECAR).option("multiLine", True).option("timeZone", "UTC").json(sidecar_dir).filter("recording_status = 'SUCCESS'")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         pipeline(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out)
@@ -23,7 +23,11 @@ def ingest(spark: SparkSession, sidecar_dir: str, pipeline: Callable[[DataFrame]
 
 
 class Monitor(StatefulProcessor):
-    """Ends a recording once: cancelled, then stopped, then crashed, else when its duration has passed in event time."""
+    """Ends each recording once: cancelled, then stopped, then crashed, else when its duration has passed in event time.
+
+    Events are walked in the order of their times; precedence holds among the events of one open recording. Events of a
+    recorder with none open are passed over. A START ends an open recording: SUCCESS if its duration had passed, else FAILED.
+    """
 
     OUTCOMES = (("CANCEL", "CANCELLED"), ("STOP", "SUCCESS"), ("CRASH", "FAILED"))
 
@@ -31,18 +35,29 @@ class Monitor(StatefulProcessor):
         self.handle, self.open = handle, handle.getValueState("open", "until long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen = pd.concat(list(rows)).sort_values("ts")
-        kinds = set(seen["event"])
-        for event, outcome in self.OUTCOMES:
-            if event in kinds and (self.open.exists() or "START" in kinds):
-                self._close()
-                yield pd.DataFrame({"recorder_id": [key[0]], "outcome": [outcome]})
-                return
-        for r in seen[seen["event"] == "START"].itertuples():
-            until = int(r.ts.timestamp() * 1000 + r.duration_s * 1000)
-            self._close()
-            self.open.update((until,))
-            self.handle.registerTimer(until)
+        seen = pd.concat(list(rows)).sort_values("ts", kind="stable")
+        number = (seen["event"] == "START").cumsum()  # 0: events before the first START belong to the recording that is open
+        for _, own in seen.groupby(number, sort=True):
+            first = own.iloc[0]
+            if first["event"] == "START":
+                at = int(first["ts"].timestamp() * 1000)
+                if self.open.exists():
+                    yield self._end(key, "SUCCESS" if self.open.get()[0] <= at else "FAILED")
+                until = at + int(first["duration_s"] * 1000)
+                self.open.update((until,))
+                self.handle.registerTimer(until)
+            if self.open.exists():
+                until, kinds = self.open.get()[0], {}
+                for event, ts in zip(own["event"], own["ts"], strict=True):
+                    kinds.setdefault(event, int(ts.timestamp() * 1000))
+                ends = [(kinds[event], outcome) for event, outcome in self.OUTCOMES if event in kinds]
+                if ends:  # what comes after the duration has passed ends nothing any more
+                    in_time = [outcome for ts, outcome in ends if ts <= until]
+                    yield self._end(key, in_time[0] if in_time else "SUCCESS")
+
+    def _end(self, key, outcome: str) -> pd.DataFrame:
+        self._close()
+        return pd.DataFrame({"recorder_id": [key[0]], "outcome": [outcome]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.open.exists():

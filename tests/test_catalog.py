@@ -35,6 +35,38 @@ def test_unique_names_past_taken(spark):
     assert [r["unique_name"] for r in got] == ["a_4", "a_5", "b"]
 
 
+def test_first_free_name(spark):
+    """Against names tried one after the other."""
+    cases = ((["NOAA"], ["NOAA_19"]), (["a", "a", "a"], ["a", "a_5"]), (["b"], ["b_2"]), (["c"] * 6, ["c_2", "c_4", "c_5", "c_02"]), (["d", "d", "d_2"], []), (["e_2", "e_2"], ["e_2", "e"]))
+    new = [(100 * k + i, b) for k, (own, _) in enumerate(cases) for i, b in enumerate(own)]
+    taken = [(t,) for _, names in cases for t in names]
+    got = {r["recording_id"]: r["unique_name"] for r in C.unique_names(spark.createDataFrame(new, "recording_id long, base string"), taken=spark.createDataFrame(taken, "name string")).collect()}
+    used = {t for t, in taken} | {"d_2"}
+    for i, b in new:
+        if b == "d_2":
+            want = b
+        else:
+            want, n = b, 1
+            while want in used:
+                n += 1
+                want = f"{b}_{n}"
+        used.add(want)
+        assert got[i] == want
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_utc_in_any_session_zone(spark, zone, tmp_path):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        table = {"2026-03-08T02:30:00": "2026-03-08T02:30:00+00:00", "2026-01-01T12:00:00+05:30": "2026-01-01T06:30:00+00:00", "2026-01-01 00:00:00.5Z": "2026-01-01T00:00:00.500000+00:00", "1969-12-31T23:59:59": "1969-12-31T23:59:59+00:00", "nonsense": None, None: None}
+        df = spark.createDataFrame(list(table.items()), "x string, want string").withColumn("got", FN.utc_iso(FN.to_utc(F.col("x"))))
+        assert all(r["got"] == r["want"] for r in df.collect())
+        (tmp_path / "s.json").write_text('{"satellite_name": "A", "scheduled_aos": "2026-03-08T02:30:00", "recording_status": "SUCCESS"}')
+        assert scan.sidecars(spark, str(tmp_path)).select(FN.utc_iso(F.col("scheduled_aos"))).first()[0] == "2026-03-08T02:30:00+00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_lifecycle(spark):
     rows = [("r", i, s) for i, s in enumerate(("STARTING", "RECORDING", "STOPPING", "COMPLETED", "RECORDING"))]
     got = C.lifecycle_audit(spark.createDataFrame(rows, "recorder_id string, ts long, state string")).orderBy("ts").collect()
@@ -56,7 +88,12 @@ def test_validation_and_splits(spark):
     df = spark.createDataFrame(rows, "capture_id string, snr_db string, label string")
     got = sorted((r[0], r[2]) for r in TN.validate(df, names).collect())
     assert got == [("bad_label", "d"), ("duplicate", "a"), ("duplicate", "a"), ("infinite", "d"), ("missing", "b"), ("non_numeric", "c")]
-    assert TN.validate(df.drop("label"), names).first()["rule"] == "missing_column"
+    both = sorted((r[0], r[2]) for r in TN.validate(df.drop("label"), names).collect())
+    assert both == [("duplicate", "a"), ("duplicate", "a"), ("infinite", "d"), ("missing", "b"), ("missing_column", None), ("non_numeric", "c")]
+    assert [tuple(r) for r in TN.validate(df.filter("false"), names).collect()] == [("empty", None, None)]
+    assert {r[1] for r in TN.validate(df.drop("capture_id"), names).collect() if r[0] == "missing_column"} == {"capture_id"}
+    lone = spark.createDataFrame([(i, int(i == 3)) for i in range(8)], "id long, label int")
+    assert TN.split(lone, "id").filter("is_test").count() == 2
     many = spark.range(100).select(F.col("id"), (F.col("id") % 5 == 0).cast("int").alias("label"))
     parts = TN.split(many, "id").groupBy("label").agg(F.count_if("is_test").alias("n")).collect()
     assert {r["label"]: r["n"] for r in parts} == {0: 20, 1: 5}
@@ -103,3 +140,29 @@ def test_result_migration_and_lookup(spark, tmp_path):
     assert new.columns == list(store.RESULT_COLUMNS) and new.first()["rule_detection_result"] is None
     store.append_results(new, str(tmp_path / "r"))
     assert store.get_result(spark, str(tmp_path / "r"), "x").count() == 1 and store.get_result(spark, str(tmp_path / "r"), "y").count() == 0
+
+
+def test_sidecar_with_null_rate_counts(spark):
+    files = spark.createDataFrame([("a",), ("b",)], "file_name string")
+    side = spark.createDataFrame([("a", None, 5)], "file_name string, sample_rate int, frequency_hz int")
+    assert {r["file_name"]: r["has_sidecar"] for r in C.with_sidecar(files, side).collect()} == {"a": True, "b": False}
+
+
+def test_npy_matrices_of_either_order(spark, tmp_path):
+    m = np.arange(35, dtype=np.float32).reshape(7, 5)
+    np.save(tmp_path / "rows.npy", m)
+    np.save(tmp_path / "columns.npy", np.asfortranarray(m))
+    files = scan.npy_files(spark.createDataFrame([(str(tmp_path / f"{x}.npy"), x) for x in ("rows", "columns")], "path string, capture_id string"))
+    got = {}
+    for r in scan.npy_slices(files, 3).collect():
+        got.setdefault(r["capture_id"], {})[r["t_idx"]] = r["power_db"]
+    assert {k: [v[i] for i in range(7)] for k, v in got.items()} == {"rows": m.tolist(), "columns": m.tolist()}
+
+
+def test_unsigned_bytes_are_centred(spark, tmp_path):
+    raw = np.random.default_rng(2).integers(0, 256, 400).astype(np.uint8)
+    raw.tofile(tmp_path / "a.bin")
+    x = (raw.astype(float) - 127.5) / 127.5
+    files = spark.createDataFrame([(str(tmp_path / "a.bin"), "a", "cu8", 0, 400)], "path string, capture_id string, fmt string, offset long, length long")
+    got = scan.iq_slices(files, 1000.0, 64, 32).orderBy("t_idx").collect()
+    assert np.allclose([r["power_db"] for r in got], scan.power_db(x[0::2] + 1j * x[1::2], 1000.0, 64, 32))

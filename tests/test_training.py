@@ -2,6 +2,9 @@
 
 import inspect
 
+from pyspark.sql import functions as F
+
+from skytrace.operators import training as TN
 from skytrace.plans import training
 
 
@@ -27,3 +30,49 @@ def test_forests_have_all_trees_and_folds(spark, monkeypatch):
     assert training.forest_scores(spark, "/root/testdata/sf0.001").count() > 0
     assert training.training_report(spark, "/root/testdata/sf0.001").count() == 1
     assert seen == [("trees", 100), ("trees", 100), ("folds", 5, 100)]
+
+
+def test_bundle_status_by_path(spark, tmp_path):
+    from skytrace.sources import store
+
+    names = ("snr_db", "peak_power")
+    rows = spark.createDataFrame([(float(i % 7), float(i), int(i > 10)) for i in range(24)], "snr_db double, peak_power double, label int")
+    model = TN.fit_forest(TN.assemble(rows, names), trees=3)
+    path = str(tmp_path / "bundle")
+    store.save_bundle(model, path, {"model_version": "v7"}, names)
+    r = TN.score_by_path(rows, path, names).first()
+    assert (r["ml_status"], r["model_version"]) == ("AVAILABLE", "v7") and r["ml_detection_result"] in (0, 1)
+    status = lambda p, n=names: TN.score_by_path(rows, p, n).first()["ml_status"]
+    assert status(path, names[::-1]) == "MODEL_INVALID"
+    assert status(None) == status(str(tmp_path / "none")) == "MODEL_NOT_AVAILABLE"
+    spark.createDataFrame([("{}",)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/sidecar")
+    assert status(path) == "MODEL_NOT_AVAILABLE"
+    spark.createDataFrame([("no json",)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/sidecar")
+    assert status(path) == "MODEL_NOT_AVAILABLE"
+    found = TN.importance_table(spark, model, names)
+    store.save_importance(found, str(tmp_path / "importance"))
+    back = spark.read.csv(str(tmp_path / "importance"), header=True, inferSchema=True).collect()
+    assert [r["feature"] for r in back] == [r["feature"] for r in found.collect()] and back[0]["importance"] >= back[1]["importance"]
+
+
+def test_report_counts_and_labelled_append(spark, tmp_path):
+    from skytrace.functions import FEATURE_NAMES
+    from skytrace.sources import store
+
+    rows = spark.createDataFrame([(f"c{i}", *(float((i * (k + 3)) % 11) + 5 * (i % 2) for k in range(len(FEATURE_NAMES))), i % 2) for i in range(40)], ", ".join(["capture_id string", *(f"{n} double" for n in FEATURE_NAMES), "label int"]))
+    r = TN.report(rows, "capture_id", "here", trees=3).first()
+    assert (r["n_training"], r["n_test"], r["n_total"], r["positives"], r["trees"], r["dataset"], r["n"]) == (30, 10, 40, 20, 3, "here", 10)
+    assert abs(r["accuracy"] - (r["tp"] + r["tn"]) / r["n"]) < 1e-9 and r["cv_folds"] == 5
+    odd = rows.drop("label").withColumn("smoothness_score", F.lit(float("inf")))
+    made = store.labelled_rows(odd, rows.filter("label = 1").select("capture_id", "label"), {"annotator": "x"})
+    store.append_labelled(made, str(tmp_path / "set"))
+    store.append_labelled(made, str(tmp_path / "set"))
+    from skytrace.sources import scan
+
+    back = scan.training_set(spark, str(tmp_path / "set"))
+    assert back.count() == 40 and {(r["smoothness_score"], r["raw_smoothness_score"]) for r in back.collect()} == {("1000000.0", "Infinity")}
+    many = spark.createDataFrame([(float(i * i % 13), i % 2) for i in range(300)], "s double, y int")
+    got = TN.roc_auc(many, "y", "s").first()["auc"]
+    x = [(r["s"], r["y"]) for r in many.collect()]
+    wins = [(a > b) + (a == b) / 2 for a, p in x for b, q in x if p == 1 and q == 0]
+    assert abs(got - sum(wins) / len(wins)) < 1e-12
