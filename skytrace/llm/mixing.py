@@ -118,7 +118,8 @@ def mix(
     cuts = materialize(cuts, "mix-cuts")
     own = [c for c in docs.columns if c not in ("source_size", "target", "copies")]
     hidden = "cut_" + uuid.uuid4().hex  # no input column has this name
-    joined = docs.select(*own).withColumn(f"{hidden}_level", _level(size)).join(
+    # exploded from an array of one, so that the words are counted once and not in each expression that needs the level
+    joined = docs.select(*own, F.explode(F.array(_level(size))).alias(f"{hidden}_level")).join(
         cuts.select(F.struct("*").alias(hidden)), F.col(source_col).cast("string").eqNullSafe(F.col(f"{hidden}.source")) & (F.col(f"{hidden}_level") == F.col(f"{hidden}.level"))
     )
     cut = lambda c: F.col(f"{hidden}.{c}")
