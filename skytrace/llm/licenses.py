@@ -1,12 +1,15 @@
 """Licence scans with DataFrame functions only.
 
-Texts that hold none of a few keywords are passed over. In the others, words (lower-cased A-Z) are put in one line
-with single blanks, and every rule whose own keyword occurs there is matched. Rules are regexes over words with a
-label and a priority. A detection is an interval of words; one that lies inside another is suppressed, of equal
-intervals the one of the lower priority. The base phrases are counted before suppression, and their labels stay.
+Texts that hold none of a few keywords are passed over. In the others, words (lower-cased A-Z) are put in one line with
+single blanks, and every rule whose own keyword occurs there is matched, in the order of ``license_rules``. Rules are
+hand-written regexes over words with a label and a priority. A detection is an interval of words. One that lies inside
+another is suppressed, of equal intervals the one of the lower priority (then the later label); of two that overlap in
+part, from left to right, the one of the higher priority stays, the earlier if both are alike. The base phrases are
+counted before suppression, and their labels stay.
 
 Everything happens inside a row: no shuffle, no join. Nulls: a null text has no words and no detections. Rows that
-repeat stay. A word or text of any length is scanned whole. An empty table gives no rows.
+repeat stay. A word or text of any length is scanned whole. An empty table gives no rows. Other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -15,76 +18,77 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import lower_ascii
+from .license_rules import signatures
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: Fixed values of the base: phrase and label.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-#: Licences: label, regex of its name in words, keywords of which a match holds one, versions.
-LICENCES = (
-    ("gpl", "gnu (?:general public licen[sc]e|gpl)", "gnu general,gnu gpl", ("1", "2", "3")), ("lgpl", "gnu (?:lesser|library) general public licen[sc]e", "gnu lesser,gnu library", ("2", "2 1", "3")),
-    ("agpl", "(?:gnu )?affero general public licen[sc]e", "affero", ("1", "3")), ("fdl", "gnu free documentation licen[sc]e", "gnu free documentation", ("1 1", "1 2", "1 3")),
-    ("apache", "apache (?:software )?licen[sc]e", "apache", ("1 0", "1 1", "2 0")), ("mit", "(?:the )?(?:mit|expat|x11) licen[sc]e", "mit licen,expat licen,x11 licen", ()),
-    ("bsd-2-clause", "(?:simplified bsd|freebsd|bsd 2 clause) licen[sc]e", "bsd", ()), ("bsd-3-clause", "(?:new bsd|modified bsd|revised bsd|bsd 3 clause) licen[sc]e", "bsd", ()),
-    ("bsd-4-clause", "(?:original bsd|bsd 4 clause) licen[sc]e", "bsd", ()), ("bsd", "bsd (?:style )?licen[sc]e", "bsd", ()), ("isc", "isc licen[sc]e", "isc", ()),
-    ("mpl", "mozilla public licen[sc]e", "mozilla", ("1 0", "1 1", "2 0")), ("epl", "eclipse public licen[sc]e", "eclipse", ("1 0", "2 0")), ("cpl", "common public licen[sc]e", "common", ("1 0",)),
-    ("cddl", "common development and distribution licen[sc]e", "common", ("1 0", "1 1")), ("eupl", "european union public licen[sc]e", "european", ("1 1", "1 2")),
-    ("artistic", "artistic licen[sc]e", "artistic", ("1 0", "2 0")), ("boost", "boost software licen[sc]e", "boost", ("1 0",)), ("zlib", "zlib(?: libpng)? licen[sc]e", "zlib", ()),
-    ("unlicense", "(?:the )?unlicen[sc]e", "unlicen", ()), ("wtfpl", "do what the fuck you want to public licen[sc]e", "want", ("2",)), ("psf", "python (?:software foundation )?licen[sc]e", "python", ("2",)),
-    ("php", "php licen[sc]e", "php", ("3 0", "3 01")), ("postgresql", "postgresql licen[sc]e", "postgresql", ()), ("openssl", "openssl licen[sc]e", "openssl", ()),
-    ("ofl", "(?:sil )?open font licen[sc]e", "font", ("1 0", "1 1")), ("odbl", "open (?:data commons open )?database licen[sc]e", "database", ("1 0",)), ("ms-pl", "microsoft public licen[sc]e", "microsoft", ()),
-    ("cc0", "(?:cc0|creative commons zero)", "cc0", ("1 0",)), ("public-domain", "(?:in the|dedicated to the) public domain", "domain", ()),
-    ("cc-by-nc-sa", "(?:cc|creative commons) (?:by nc sa|attribution non ?commercial share ?alike)", "cc by nc,non commercial,noncommercial", ("2 0", "2 5", "3 0", "4 0")), ("cc-by-nc-nd", "(?:cc|creative commons) (?:by nc nd|attribution non ?commercial no ?deriv(?:ative)?s)", "cc by nc,non commercial,noncommercial", ("2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc", "(?:cc|creative commons) (?:by nc|attribution non ?commercial)", "cc by,creative commons", ("2 0", "2 5", "3 0", "4 0")), ("cc-by-sa", "(?:cc|creative commons) (?:by sa|attribution share ?alike)", "cc by,creative commons", ("2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nd", "(?:cc|creative commons) (?:by nd|attribution no ?deriv(?:ative)?s)", "cc by,creative commons", ("2 0", "2 5", "3 0", "4 0")), ("cc-by", "(?:cc by|creative commons attribution)", "cc by,creative commons", ("2 0", "2 5", "3 0", "4 0")),
-)
-#: Phrasings about a licence's name N: regex, priority.
-PHRASINGS = (
-    ("N", 40), ("(?:licensed|released|distributed|published|available) under (?:the )?(?:terms of (?:the )?)?N", 70), ("under the terms of (?:the )?N", 65),
-    ("spdx licen[sc]e identifier N", 90), ("(?:see|read|a copy of) (?:the )?N", 50), ("this (?:work|file|program|software|library|project) is (?:licensed|distributed|available|free software) under (?:the )?N", 80),
-)
-VERSION = "(?: v| version| ver)? V(?: only| or (?:any )?(?:later|newer)(?: version)?)?"
 #: A text without any of these (or "cc" before an ASCII character that isn't a letter) holds no detection.
-GATE, GATE_CC = ("licen", "domain", "gnu", "creative"), r"[cC][cC][\x00-\x40\x5B-\x60\x7B-\x7F]"
+GATE = ("licen", "domain", "gnu", "creative", "permission", "redistribut", "mozilla", "perl", "classpath", "beer", "evil")
+GATE_CC = r"[cC][cC][\x00-\x40\x5B-\x60\x7B-\x7F]"
+#: Steps of a walk along an array that are taken before their results are joined to those before.
+BLOCK = 256
 
 
 def rules() -> list[tuple[str, str, int, bool, str]]:
-    """(label, keyword, priority, base, regex): every phrasing of every licence, without and with each version."""
-    out = [(label, phrase, 45, True, f" {phrase}(?= )") for phrase, label in BASE]
-    for label, name, keyword, versions in LICENCES:
-        for phrasing, priority in PHRASINGS:
-            own = phrasing.replace("N", name)
-            out.append((label, keyword, priority, False, f" {own}(?= )"))
-            out += [(f"{label}-{v.replace(' ', '.')}", keyword, priority + 5, False, f" {own}{VERSION.replace('V', v)}(?= )") for v in versions]
-    return out
+    """(label, keyword, priority, base, regex) of each rule."""
+    out = [(label, phrase, 45, True, phrase) for phrase, label in BASE] + [(label, keyword, priority, False, regex) for label, priority, keyword, regex in signatures()]
+    return [(*x[:4], f" {x[4]}(?= )") for x in out]
 
 
 def _blanks(x: Column) -> Column:
     return F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
 
 
+def _walk(items: Column, first: Column, step, kind: str) -> Column:
+    """Along an array with a state: step(state, item) gives the next state and a struct to put out, or null. (state, out) at the end.
+
+    Arrays are made by blocks, so that a long walk doesn't copy all it has put out at each step.
+    """
+    none = F.array().cast(f"array<{kind}>")
+    start = F.struct(first.alias("s"), none.alias("out"))
+
+    def one(a: Column, x: Column) -> Column:
+        state, made = step(a["s"], x)
+        return F.struct(state.alias("s"), F.when(made.isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(made))).cast(f"array<{kind}>").alias("out"))
+
+    def block(a: Column, i: Column) -> Column:
+        own = F.aggregate(F.slice(items, i, F.lit(BLOCK)), F.struct(a["s"].alias("s"), none.alias("out")), one)
+        return F.struct(own["s"].alias("s"), F.concat(a["out"], own["out"]).cast(f"array<{kind}>").alias("out"))
+
+    return F.when(F.size(items) > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(BLOCK)), start, block)).otherwise(start)
+
+
+DETECTION = "struct<first:int,size:int,label:string,priority:int,base:boolean>"
+
+
 def _places(line: Column, rule: Column) -> Column:
     """All matches of a rule as structs (first, size, label, priority, base): words before a match are the blanks before it."""
     between, found = F.split(line, rule["regex"], -1), F.regexp_extract_all(line, rule["regex"], F.lit(0))
     steps = F.arrays_zip(F.transform(F.slice(between, F.lit(1), F.size(found)), _blanks).alias("gap"), F.transform(found, _blanks).alias("size"))
-    kind = "array<struct<first:int,size:int,label:string,priority:int,base:boolean>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    walk = lambda a, s: F.struct(
-        (a["at"] + s["gap"] + s["size"]).alias("at"),
-        F.concat(a["out"], F.array(F.struct((a["at"] + s["gap"]).alias("first"), s["size"].alias("size"), rule["label"].alias("label"), rule["priority"].alias("priority"), rule["base"].alias("base")))).cast(kind).alias("out"),
-    )
-    return F.aggregate(steps, start, walk, lambda a: a["out"])
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        first = at + x["gap"]
+        return first + x["size"], F.struct(first.alias("first"), x["size"].alias("size"), rule["label"].alias("label"), rule["priority"].alias("priority"), rule["base"].alias("base"))
+
+    return _walk(steps, F.lit(0), step, DETECTION)["out"]
 
 
 def _survivors(found: Column) -> Column:
-    """Detections that lie in no other, in order of their first word."""
+    """Detections (first, until, rank: priority below 0, label) that lie in no other and win where they overlap, by their first word."""
+    kind = "struct<first:int,until:int,rank:int,label:string>"
+    # sorted by first word, the longest first: a later one can't contain an earlier one
     keyed = F.array_sort(F.transform(found, lambda d: F.struct(d["first"].alias("first"), (-(d["first"] + d["size"])).alias("until"), (-d["priority"]).alias("rank"), d["label"].alias("label"))))
-    kind = "array<struct<label:string,priority:int>>"
-    start = F.struct(F.lit(-1).alias("end"), F.array().cast(kind).alias("out"))
-    walk = lambda a, d: F.when(-d["until"] <= a["end"], a).otherwise(
-        F.struct((-d["until"]).alias("end"), F.concat(a["out"], F.array(F.struct(d["label"].alias("label"), (-d["rank"]).alias("priority")))).cast(kind).alias("out"))
-    )
-    return F.aggregate(keyed, start, walk, lambda a: a["out"])
+    keyed = F.transform(keyed, lambda d: F.struct(d["first"].alias("first"), (-d["until"]).alias("until"), d["rank"].alias("rank"), d["label"].alias("label")))
+
+    def step(last: Column, d: Column) -> tuple[Column, Column]:
+        apart = d["first"] >= last["until"]
+        wins = apart | ((d["until"] > last["until"]) & (d["rank"] < last["rank"]))
+        return F.when(last.isNull() | wins, d).otherwise(last), F.when(apart, last)
+
+    out = _walk(keyed, F.lit(None).cast(kind), step, kind)
+    return F.concat(out["out"], F.filter(F.array(out["s"]), lambda x: x.isNotNull()))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,10 +109,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = docs.select(F.col(id_col), n_words.alias("n_words"), F.explode(F.array(line)).alias("line"))
     open_families = F.filter(table, lambda f: F.exists(f["keywords"], lambda k: F.contains(F.col("line"), k)))
     hits = F.flatten(F.transform(open_families, lambda f: f["rules"]))
-    empty = F.array().cast("array<struct<first:int,size:int,label:string,priority:int,base:boolean>>")
+    empty = F.array().cast(f"array<{DETECTION}>")
     found = F.when(F.col("line") == "", empty).otherwise(F.flatten(F.transform(hits, lambda r: _places(F.col("line"), r))))
     out = out.select(id_col, "n_words", F.explode(F.array(found)).alias("found"))
-    out = out.select(id_col, "n_words", "found", F.filter("found", lambda d: d["base"]).alias("base"), F.explode(F.array(_survivors(F.col("found")))).alias("kept"))
+    out = out.select(id_col, "n_words", "found", F.filter("found", lambda d: d["base"]).alias("base"), F.explode(F.array(_survivors(F.col("found")))).alias("won"))
+    out = out.withColumn("kept", F.transform("won", lambda d: F.struct(d["label"].alias("label"), (-d["rank"]).alias("priority"), d["first"].alias("first"), d["until"].alias("until"))))
     names = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     base_labels = F.transform("base", lambda d: d["label"])
     starts = F.transform("base", lambda d: d["first"].cast("long"))

@@ -133,6 +133,53 @@ def test_license_scan(docs):
     assert got[7]["n_words"] == 0 and got[7]["first_word"] is None and got[7]["labels"] == "" and got[8]["score"] == 0
 
 
+LICENCE_TEXTS = [
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: GPL-2.0-or-later", "// SPDX-Licence-Identifier: MIT",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: " + "x " * 50 + "Neither the name of", "see CC-BY-SA 4.0 and the GNU Lesser General Public License v2.1",
+    "gnu general public license version 3 or any later version", "The MIT License apache license cc by", "gnu\tgpl; Mozilla Public License, v. 2.0 " * 3, "word " * 2000 + "cc by " * 700, "no lic here", "ac cc\u00e9 by", "permission redistribution gnu", "CC BY\x00CC-BY", "  ", "licensed under the mit license agreement",
+]
+
+
+def brute_licences(text):
+    import re
+
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    base = sorted((i, label) for phrase, label in licenses.BASE for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split())
+    line, found = " " + " ".join(words) + " ", []
+    for label, _, priority, _, regex in licenses.rules():
+        for m in re.finditer(regex, line):
+            first = line.count(" ", 0, m.start())
+            found.append((first, -first - m[0].count(" "), -priority, label))
+    kept = []
+    for first, until, rank, label in sorted(found):
+        if not kept or first >= kept[-1][1]:
+            kept.append((first, -until, rank, label))
+        elif -until > kept[-1][1] and rank < kept[-1][2]:
+            kept[-1] = (first, -until, rank, label)
+    names = {label for _, label in base}
+    return len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(sorted(names)), ",".join(sorted(names | {x[3] for x in kept})), max([-x[2] / 100 for x in kept], default=0.0)
+
+
+def test_license_scan_against_brute_force(spark):
+    rnd = random.Random(3)
+    pieces = [r for t in LICENCE_TEXTS for r in (t, t.upper())] + ["GNU General Public License", "version 2", "or later", "MIT", "license", "cc-by", "licensed under the", "public domain", "Creative Commons Attribution"]
+    texts = LICENCE_TEXTS + [rnd.choice((" ", "\n* ", ", ")).join(rnd.choice(pieces) for _ in range(rnd.randrange(1, 6))) for _ in range(60)] + [None, "", "MIT License", "MIT License"]
+    df = spark.createDataFrame([(i // 2, t, "x", 1, 2.0) for i, t in enumerate(texts)] + [(None, "gnu gpl", "x", 1, 2.0)], "doc_id long, text string, line string, found int, score double")
+    got = sorted((str(r["doc_id"]), *[r[c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")]) for r in licenses.scan_licenses(df).collect())
+    want = sorted((str(i // 2), *brute_licences(t)) for i, t in enumerate(texts))
+    assert sorted(map(str, got)) == sorted(map(str, [*want, ("None", *brute_licences("gnu gpl"))]))
+    assert licenses.scan_licenses(df.filter("false")).count() == 0
+
+
+def test_license_rules_hold_their_keyword():
+    from skytrace.llm.license_rules import signatures
+
+    own = signatures()
+    assert len(own) > 200 and len({x[3] for x in own}) == len(own)
+    assert {brute_licences(t)[5] for t in LICENCE_TEXTS[:4]} == {"mit", "apache,apache-2.0", "gpl-2.0-or-later"} and brute_licences(LICENCE_TEXTS[4])[5] == "bsd-3-clause"
+
+
 def test_ppm_base_and_total_chance(spark, docs):
     got = ppm.score_documents(docs.union(docs.filter("doc_id = 3"))).collect()
     assert len(got) == docs.count() + 1 and all(r["score"] < 0 for r in got)
