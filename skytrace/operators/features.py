@@ -40,7 +40,13 @@ def peak_rows(slices: DataFrame, threshold_db: float, f0: float | Column, df: fl
 
 def slice_features(slices: DataFrame, threshold_db: float, f0: float | Column, df: float | Column, kernel: int = 7) -> DataFrame:
     """Slices (capture_id, t_idx, time_s, power_db) to features. Only slim trace rows are shuffled."""
-    return extract_features(T.smooth(peak_rows(slices, threshold_db, f0, df), kernel))
+    return peak_features(peak_rows(slices, threshold_db, f0, df), kernel)
+
+
+def peak_features(peaks: DataFrame, kernel: int = 7) -> DataFrame:
+    """Rows of ``peak_rows`` to features. Columns that features don't read go first, so that all passes of the smoothing read one shuffle."""
+    used = ("capture_id", "t_idx", "time_s", "valid", "strongest_db", "noise_db", "trace_hz", "width_hz", "power_sum", "n_bins")
+    return extract_features(T.smooth(peaks.select(*used), kernel))
 
 
 def detect(features: DataFrame, min_ratio: float = MIN_VALID_RATIO, min_drift: float = MIN_DRIFT_HZ, max_smoothness: float = MAX_SMOOTHNESS_HZ) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Slices of a cell, cells of a block: a block is what one task smooths.
+CELL, CELLS = 1024, 64
+
 
 def any_nan(p: Column) -> Column:
     return F.exists(p, lambda x: F.isnan(x))
@@ -35,18 +38,22 @@ def strongest_long(points: DataFrame, slice_col: str, bin_col: str, power_col: s
     return points.groupBy(slice_col).agg(first.alias("bin"), F.max(power_col).alias("strongest_db"), F.percentile(power_col, F.lit(0.5)).alias("noise_db"))
 
 
-def fill_gaps(trace: DataFrame, capture: str = "capture_id", index: str = "t_idx", value: str = "trace_hz") -> DataFrame:
-    """Adds filled: linear between the nearest points by slice index, flat beyond the ends, null for a capture without points."""
+def fill_gaps(trace: DataFrame, capture: str | list[str] = "capture_id", index: str = "t_idx", value: str = "trace_hz", before: str | None = None, after: str | None = None) -> DataFrame:
+    """Adds filled: linear between the nearest points by slice index, flat beyond the ends, null for a capture without points.
+
+    ``before`` and ``after`` name columns (v, i) with the last point before the rows at hand and the first one behind them.
+    """
     back = Window.partitionBy(capture).orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(capture).orderBy(index).rowsBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy(capture).orderBy(F.desc(index)).rowsBetween(Window.unboundedPreceding, 0)  # a frame that only grows is cheap
     at = F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), F.col(index).alias("i")))
-    out = trace.withColumn("_p", F.last(at, ignorenulls=True).over(back)).withColumn("_n", F.first(at, ignorenulls=True).over(ahead))
+    p, n = F.last(at, ignorenulls=True).over(back), F.last(at, ignorenulls=True).over(ahead)
+    out = trace.withColumn("_p", F.coalesce(p, before) if before else p).withColumn("_n", F.coalesce(n, after) if after else n)
     p, n = F.col("_p"), F.col("_n")
     mixed = p["v"] + (n["v"] - p["v"]) * (F.col(index) - p["i"]) / F.nullif(n["i"] - p["i"], F.lit(0))
     return out.withColumn("filled", F.coalesce(F.col(value), mixed, p["v"], n["v"])).drop("_p", "_n")
 
 
-def median_filter(trace: DataFrame, kernel: int = 7, capture: str = "capture_id", index: str = "t_idx", value: str = "filled", mask: str = "trace_hz") -> DataFrame:
+def median_filter(trace: DataFrame, kernel: int = 7, capture: str | list[str] = "capture_id", index: str = "t_idx", value: str = "filled", mask: str = "trace_hz") -> DataFrame:
     """Adds smoothed: median over ``kernel`` rows (even: one more), ends repeated; null where ``mask`` is."""
     half = (kernel if kernel % 2 else kernel + 1) // 2
     w = Window.partitionBy(capture).orderBy(index)
@@ -58,14 +65,49 @@ def median_filter(trace: DataFrame, kernel: int = 7, capture: str = "capture_id"
     return out.withColumn("smoothed", F.when(F.col(mask).isNotNull(), F.element_at(F.array_sort("_near"), half + 1))).drop("_first", "_last", "_near")
 
 
-def jumps(trace: DataFrame, capture: str = "capture_id", index: str = "t_idx", value: str = "smoothed") -> DataFrame:
+def jumps(trace: DataFrame, capture: str | list[str] = "capture_id", index: str = "t_idx", value: str = "smoothed") -> DataFrame:
     """Adds jump: difference to the last point before that isn't null; gaps are skipped."""
     before = Window.partitionBy(capture).orderBy(index).rowsBetween(Window.unboundedPreceding, -1)
     return trace.withColumn("jump", F.col(value) - F.last(value, ignorenulls=True).over(before))
 
 
-def smooth(trace: DataFrame, kernel: int = 7, **names: str) -> DataFrame:
-    """Gap filling, median filter and jumps: one shuffle by capture, as all windows share it."""
-    value = names.get("value", "trace_hz")
-    keys = {k: v for k, v in names.items() if k in ("capture", "index")}
-    return jumps(median_filter(fill_gaps(trace, value=value, **keys), kernel, mask=value, **keys), **keys)
+def smooth(trace: DataFrame, kernel: int = 7, capture: str = "capture_id", index: str = "t_idx", value: str = "trace_hz", cell: int = CELL, cells: int = CELLS) -> DataFrame:
+    """Gap filling, median filter and jumps of captures of any length, in blocks of ``cell * cells`` slices with a halo of one cell on either side.
+
+    ``index`` counts a capture's slices from 0 without gaps. The rows are shuffled once, by capture and block. What a block must
+    know of the others (the points next to its halo, then the last smoothed point before it) comes from one slim row a block.
+    A null capture is one capture of its own.
+    """
+    cell = max(cell, kernel // 2, 1)
+    block = cell * cells
+    names, i = trace.columns, F.col(index)
+    span = F.expr(f"sequence(greatest(`{index}` - {cell}, 0) div {block}, (`{index}` + {cell}) div {block})")
+    rows = trace.withColumn("_block", F.explode(span))
+    keys = ["_capture", "_block"]  # never null, so that joins keep the partitioning
+    rows = rows.withColumn("_capture", F.coalesce(F.concat(F.lit("="), F.col(capture).cast("string")), F.lit(""))).repartition(*keys)
+    home, place = F.expr(f"`{index}` div {block}") == F.col("_block"), i % block
+
+    def point(pick, where: Column) -> Column:
+        # With all columns, so that this pass reads the same shuffle as the others.
+        return pick(F.struct(F.col(value).alias("v"), i.alias("i"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(names)]), F.when(home & F.col(value).isNotNull() & where, i))
+
+    ever = F.lit(True)
+    edges = rows.groupBy(*keys).agg(
+        point(F.max_by, ever).alias("hi"), point(F.max_by, place < block - cell).alias("hi_inner"), point(F.min_by, ever).alias("lo"), point(F.min_by, place >= cell).alias("lo_inner")
+    )
+    w = Window.partitionBy("_capture").orderBy("_block")
+    down = Window.partitionBy("_capture").orderBy(F.desc("_block"))
+    far = (Window.unboundedPreceding, -2)
+    vi = lambda p: F.when(p.isNotNull(), F.struct(p["v"].alias("v"), p["i"].alias("i")))
+    edges = edges.select(*keys, *[vi(F.col(c)).alias(c) for c in ("hi", "hi_inner", "lo", "lo_inner")]).select(
+        *keys,
+        F.coalesce(F.lag("hi_inner").over(w), F.last("hi", ignorenulls=True).over(w.rowsBetween(*far))).alias("_before"),
+        F.coalesce(F.lag("lo_inner").over(down), F.last("lo", ignorenulls=True).over(down.rowsBetween(*far))).alias("_after"),
+    )
+    out = fill_gaps(rows.join(edges, keys), keys, index, value, "_before", "_after").drop("_before", "_after")
+    out = median_filter(out, kernel, keys, index, mask=value).filter(home)
+    out = jumps(out, keys, index)
+    own = F.struct(F.col("smoothed").alias("v"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(names)])
+    lasts = out.groupBy(*keys).agg(F.max_by(own, F.when(F.col("smoothed").isNotNull(), i)).alias("last"))
+    lasts = lasts.select(*keys, F.last(F.col("last")["v"], ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_left"))
+    return out.join(lasts, keys).select(*names, "filled", "smoothed", F.coalesce("jump", F.col("smoothed") - F.col("_left")).alias("jump"))

@@ -18,6 +18,8 @@ from skytrace.sources import scan, store
 RATE, CENTER, BINS, THRESHOLD = 240_000.0, 136_800_000.0, 64, 0.25
 F0, DF = scan.matrix_axis(RATE, CENTER, BINS)
 ROUND = 6
+#: Ids of a range in which slices are numbered.
+ID_RANGE = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,9 +32,9 @@ def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ordered(slim: DataFrame) -> DataFrame:
-    """Numbers the slices of each capture: the one shuffle, by capture, of rows without bins; windows after it share it."""
-    n = F.row_number().over(Window.partitionBy("capture_id").orderBy("vec_id")) - 1
-    return slim.withColumns({"t_idx": n.cast("long"), "time_s": n.cast("double")}).drop("vec_id")
+    """Numbers the slices of each capture, by ranges of ids: only rows without bins are shuffled, and no capture is one task."""
+    n = F.col("_n") - 1
+    return numbered(slim, ["capture_id"], F.expr(f"vec_id div {ID_RANGE}"), ["vec_id"]).withColumns({"t_idx": n.cast("long"), "time_s": n.cast("double")}).drop("vec_id", "_n", "_total")
 
 
 def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FT.extract_features(TR.smooth(peaks(spark, sf_dir)))
+    return FT.peak_features(peaks(spark, sf_dir))
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -74,9 +76,10 @@ def model_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events by time are a trace, numbered by days, so no user is one task."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("capture_id"), "ts", "event_id", F.when(F.col("event_type") != "error", F.col("value").cast("double")).alias("trace_hz"))
-    n = F.row_number().over(Window.partitionBy("capture_id").orderBy("ts", "event_id")) - 1
-    return e.select("capture_id", n.cast("long").alias("t_idx"), "trace_hz")
+    e = numbered(e, ["capture_id"], F.date_trunc("day", "ts"), ["ts", "event_id"])
+    return e.select("capture_id", (F.col("_n") - 1).cast("long").alias("t_idx"), "trace_hz")
 
 
 def event_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:

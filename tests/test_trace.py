@@ -24,16 +24,23 @@ def smooth(x, kernel=7):
     return np.where(np.isnan(x), np.nan, m)
 
 
-def test_smoothing_equals_numpy(spark):
-    rng = np.random.default_rng(3)
+def traces(rng):
     rows, want = [], {}
     for c in range(25):
-        n = int(rng.integers(1, 30))
+        n = int(rng.integers(1, 60))
         x = rng.normal(size=n) * 100
         x[rng.random(n) < rng.choice([0, 0.3, 0.9, 1.0])] = np.nan
-        rows += [(str(c), t, None if np.isnan(v) else float(v)) for t, v in enumerate(x.tolist())]
-        want[str(c)] = smooth(x)
-    got = TR.smooth(spark.createDataFrame(rows, "capture_id string, t_idx long, trace_hz double")).orderBy("capture_id", "t_idx").collect()
+        name = None if c == 24 else str(c)
+        rows += [(name, t, None if np.isnan(v) else float(v)) for t, v in enumerate(x.tolist())]
+        want[name] = smooth(x)
+    return rows, want
+
+
+@pytest.mark.parametrize("size", [{}, {"cell": 3, "cells": 1}, {"cell": 3, "cells": 2}, {"cell": 5, "cells": 3}])
+def test_smoothing_equals_numpy(spark, size):
+    rows, want = traces(np.random.default_rng(3))
+    got = TR.smooth(spark.createDataFrame(rows, "capture_id string, t_idx long, trace_hz double"), **size).orderBy("capture_id", "t_idx").collect()
+    assert len(got) == len(rows)
     for c, w in want.items():
         mine = [r for r in got if r["capture_id"] == c]
         assert np.allclose([math.nan if r["smoothed"] is None else r["smoothed"] for r in mine], w, equal_nan=True)
@@ -41,6 +48,16 @@ def test_smoothing_equals_numpy(spark):
         assert np.allclose([r["jump"] for r in mine if r["jump"] is not None], np.diff(finite))
 
 
+def test_blocks_of_a_long_capture_fill_gaps_longer_than_a_block(spark):
+    points = {7: 1.0, 8: 5.0, 90: 46.0, 91: 40.0}
+    rows = [("a", t, points.get(t)) for t in range(120)]
+    got = TR.smooth(spark.createDataFrame(rows, "capture_id string, t_idx long, trace_hz double"), cell=3, cells=2).orderBy("t_idx").collect()
+    x = np.array([math.nan if v is None else v for _, _, v in rows])
+    assert np.allclose([r["filled"] for r in got], fill(x))
+    assert np.allclose([r["smoothed"] for r in got if r["smoothed"] is not None], smooth(x)[sorted(points)])
+    assert np.allclose([r["jump"] for r in got if r["jump"] is not None], np.diff(smooth(x)[sorted(points)]))
+
+
 def slices(spark, rows):
     return spark.createDataFrame([(c, t, float(t), p) for c, t, p in rows], "capture_id string, t_idx long, time_s double, power_db array<double>")
 
