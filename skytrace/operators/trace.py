@@ -71,8 +71,22 @@ def jumps(trace: DataFrame, capture: str | list[str] = "capture_id", index: str
     return trace.withColumn("jump", F.col(value) - F.last(value, ignorenulls=True).over(before))
 
 
-def smooth(trace: DataFrame, kernel: int = 7, capture: str = "capture_id", index: str = "t_idx", value: str = "trace_hz", cell: int = CELL, cells: int = CELLS) -> DataFrame:
-    """Gap filling, median filter and jumps of captures of any length, in blocks of ``cell * cells`` slices with a halo of one cell on either side.
+def smooth(trace: DataFrame, kernel: int = 7, capture: str = "capture_id", index: str = "t_idx", value: str = "trace_hz", length: str | None = None, cell: int = CELL, cells: int = CELLS) -> DataFrame:
+    """Gap filling, median filter and jumps of captures of any length.
+
+    ``length`` names a column with the slices of a row's capture, which is dropped: captures of one block or less then need one
+    window each, and only longer ones go through ``smooth_blocks``. Without it all do. The rows are the same either way.
+    """
+    if length is None:
+        return smooth_blocks(trace, kernel, capture, index, value, cell, cells)
+    is_long = F.col(length) > cell * cells
+    short = fill_gaps(trace.filter(~is_long).drop(length), capture, index, value)
+    short = jumps(median_filter(short, kernel, capture, index, mask=value), capture, index)
+    return short.unionByName(smooth_blocks(trace.filter(is_long).drop(length), kernel, capture, index, value, cell, cells))
+
+
+def smooth_blocks(trace: DataFrame, kernel: int = 7, capture: str = "capture_id", index: str = "t_idx", value: str = "trace_hz", cell: int = CELL, cells: int = CELLS) -> DataFrame:
+    """The same in blocks of ``cell * cells`` slices with a halo of one cell on either side, so that no capture is one task.
 
     ``index`` counts a capture's slices from 0 without gaps. The rows are shuffled once, by capture and block. What a block must
     know of the others (the points next to its halo, then the last smoothed point before it) comes from one slim row a block.

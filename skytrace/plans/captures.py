@@ -34,7 +34,7 @@ def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ordered(slim: DataFrame) -> DataFrame:
     """Numbers the slices of each capture, by ranges of ids: only rows without bins are shuffled, and no capture is one task."""
     n = F.col("_n") - 1
-    return numbered(slim, ["capture_id"], F.expr(f"vec_id div {ID_RANGE}"), ["vec_id"]).withColumns({"t_idx": n.cast("long"), "time_s": n.cast("double")}).drop("vec_id", "_n", "_total")
+    return numbered(slim, ["capture_id"], F.expr(f"vec_id div {ID_RANGE}"), ["vec_id"]).withColumns({"t_idx": n.cast("long"), "time_s": n.cast("double"), "n_slices": F.col("_total")}).drop("vec_id", "_n", "_total")
 
 
 def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FT.peak_features(peaks(spark, sf_dir))
+    return FT.peak_features(peaks(spark, sf_dir), length="n_slices")
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -54,7 +54,7 @@ def slice_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capture_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = TR.smooth(peaks(spark, sf_dir).select("capture_id", "t_idx", "trace_hz"))
+    out = TR.smooth(peaks(spark, sf_dir).select("capture_id", "t_idx", "trace_hz", "n_slices"), length="n_slices")
     return rounded(out, "trace_hz", "filled", "smoothed", "jump")
 
 
@@ -79,15 +79,15 @@ def event_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events by time are a trace, numbered by days, so no user is one task."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("capture_id"), "ts", "event_id", F.when(F.col("event_type") != "error", F.col("value").cast("double")).alias("trace_hz"))
     e = numbered(e, ["capture_id"], F.date_trunc("day", "ts"), ["ts", "event_id"])
-    return e.select("capture_id", (F.col("_n") - 1).cast("long").alias("t_idx"), "trace_hz")
+    return e.select("capture_id", (F.col("_n") - 1).cast("long").alias("t_idx"), "trace_hz", F.col("_total").alias("n_slices"))
 
 
 def event_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(TR.smooth(event_trace(spark, sf_dir)), "trace_hz", "filled", "smoothed", "jump")
+    return rounded(TR.smooth(event_trace(spark, sf_dir), length="n_slices"), "trace_hz", "filled", "smoothed", "jump")
 
 
 def event_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = TR.smooth(event_trace(spark, sf_dir)).withColumn("p", F.when(F.col("smoothed").isNotNull(), F.col("t_idx")))
+    t = TR.smooth(event_trace(spark, sf_dir), length="n_slices").withColumn("p", F.when(F.col("smoothed").isNotNull(), F.col("t_idx")))
     drift = F.when(F.count("p") >= 2, F.abs(F.max_by("smoothed", "p") - F.min_by("smoothed", "p"))).otherwise(0.0)
     rough = F.when(F.count("p") >= 3, F.stddev_pop("jump")).otherwise(float("inf"))
     return rounded(t.groupBy("capture_id").agg(F.count("p").alias("points"), drift.alias("drift"), rough.alias("smoothness")), "drift", "smoothness")

@@ -36,10 +36,11 @@ def traces(rng):
     return rows, want
 
 
-@pytest.mark.parametrize("size", [{}, {"cell": 3, "cells": 1}, {"cell": 3, "cells": 2}, {"cell": 5, "cells": 3}])
+@pytest.mark.parametrize("size", [{}, {"cell": 3, "cells": 1}, {"cell": 3, "cells": 2}, {"cell": 5, "cells": 4, "length": "n_slices"}])
 def test_smoothing_equals_numpy(spark, size):
     rows, want = traces(np.random.default_rng(3))
-    got = TR.smooth(spark.createDataFrame(rows, "capture_id string, t_idx long, trace_hz double"), **size).orderBy("capture_id", "t_idx").collect()
+    df = spark.createDataFrame([(*r, len(want[r[0]])) for r in rows], "capture_id string, t_idx long, trace_hz double, n_slices long")
+    got = TR.smooth(df, **size).orderBy("capture_id", "t_idx").collect()
     assert len(got) == len(rows)
     for c, w in want.items():
         mine = [r for r in got if r["capture_id"] == c]
