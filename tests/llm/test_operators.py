@@ -115,6 +115,45 @@ def test_tree_search_recall(spark):
     assert kmtree.tree_search(empty(df), F.col("id") % 20 == 0).count() == 0
 
 
+def test_tree_search_beyond_its_sample(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16))
+    x = centres[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 16)) * 0.4
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in kmtree.tree_search(df, F.col("id") % 20 == 0, 20, sample_rows=1500).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for i in range(0, 6000, 20):
+        s = x @ x[i]
+        s[i] = -np.inf
+        hits += len(set(np.lexsort((np.arange(6000), -s))[:20].tolist()) & got[i])
+    assert set(map(len, got.values())) == {20} and len(got) == 300 and hits >= 0.9 * 20 * 300
+
+
+def test_tree_search_of_ties_repeated_rows_and_other_lengths(spark):
+    rows = [(i, [1.0, float(i % 3)]) for i in range(30)] + [(7, [1.0, 1.0])] * 2 + [(i, [1.0, 2.0, 3.0]) for i in (100, 101, 120)] + [(140, [2.0] * 5)]
+    df = spark.createDataFrame([(i, v, 0.5, 1) for i, v in rows], "vec_id long, embedding array<double>, score double, leaf int")
+    got = collections.defaultdict(list)
+    for r in kmtree.tree_search(df, F.col("id") % 20 == 0, 40, recall=1.0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    vec = [np.array(v) for _, v in rows]
+    for q in (0, 20, 100, 120):
+        own = vec[[i for i, _ in rows].index(q)]
+        want = sorted((-float(own @ v), i) for (i, _), v in zip(rows, vec, strict=True) if i != q and len(v) == len(own))
+        assert got[q] == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+    assert 140 not in got
+
+
+@pytest.mark.parametrize("run", [lambda d: tokens.count_tokens(d, f"{TOKENIZERS}/piece_bpe_32k.model"), licenses.scan_licenses, lambda d: bpe.bpe_round_trip(d, f"{TOKENIZERS}/word_bpe_49k.json")])
+def test_by_document_operators_of_empty_tables_and_repeated_rows(docs, run):
+    assert run(empty(docs)).count() == 0
+    more = docs.select("doc_id", "text", "lang").filter("doc_id < 10")
+    more = more.union(more).union(docs.sparkSession.createDataFrame([(None, "the MIT license", "x"), (None, None, None)], more.schema))
+    got = collections.Counter(tuple(map(str, r)) for r in run(more).collect())
+    assert sum(got.values()) == 22 and sum(n for r, n in got.items() if r[0] != "None") == 20 and all(n % 2 == 0 for r, n in got.items() if r[0] != "None")
+
+
 def test_token_counts(docs):
     from tokenizers import Tokenizer, models, normalizers
 
