@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,13 +12,11 @@ def numbered(df: DataFrame, by: list[str], bucket: Column, order: list) -> DataF
     ``bucket`` must not fall as ``order`` rises. Rows are numbered within (key, bucket) and moved on by the counts of the
     buckets before, so only slim counts of a key meet in one task.
     """
-    rows = df.withColumn("_bucket", bucket)
-    keys = [*by, "_bucket"]
-    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
-    starts = counts.select(
-        *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy(*by)).alias("_total")
-    )
-    inside = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)))
-    return inside.join(starts, same).select(*df.columns, (F.col("_n") + F.col("_before")).alias("_n"), "_total")
+    parts = [F.col(c).alias(f"k{i}") for i, c in enumerate(by)]
+    rows = df.withColumn("_bucket", F.struct(*parts, bucket.alias("b")))  # a struct is never null, so the join keeps the rows' partitioning
+    key = [F.col("_bucket")[f"k{i}"] for i in range(len(by))]
+    before = Window.partitionBy(*key).orderBy(F.col("_bucket")["b"]).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_c"))
+    starts = counts.select("_bucket", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy(*key)).alias("_total"))
+    inside = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)))
+    return inside.join(starts, "_bucket").select(*df.columns, (F.col("_n") + F.col("_before")).alias("_n"), "_total")
