@@ -44,3 +44,9 @@ def absorb(comps: DataFrame, links: DataFrame) -> DataFrame:
     merged = materialize(connected(between), "merged")
     moved = comps.join(merged.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
     return materialize(moved.union(merged.join(comps.select("id"), "id", "left_anti").select("id", "comp")), "components")
+
+
+def same_id(rows: DataFrame) -> DataFrame:
+    """Links (a, b) between the leads of classes that share an id, from rows (doc_id, rep)."""
+    several = rows.filter("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b")
+    return rows.join(several.select("doc_id", "a"), "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b"))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, n_parts, slices, text_bytes
-from .components import absorb, connected
+from .components import absorb, connected, same_id
 from .regions import Region, voronoi
 from .shingles import mix, shingle_sets
 
@@ -280,7 +280,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     leads = materialize(about.filter("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.any_value("head").alias("head"), F.any_value("bins").alias("bins")), "leads")
     rows = materialize(about.select("doc_id", "n", "f1", "f2").join(leads.drop("head", "bins"), ["f1", "f2", "n"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "classes")
     discard(about)
-    links = _one_id(rows)
+    links = same_id(rows)
 
     heads = leads.select(F.col("rep").alias("doc"), F.col("n").cast("int").alias("n"), F.posexplode("head").alias("pos", "tok"))
     shared = materialize(heads.groupBy("tok").agg(F.count(F.lit(1)).cast("int").alias("times")).filter("times > 1"), "shared")
@@ -329,9 +329,3 @@ def _excluded(regions: DataFrame, bins_of: DataFrame) -> DataFrame:
     rows = rows.select("r", "piece", "whole", "doc", F.col("of").alias("n"), "weight", "bins").repartition(n_parts(regions.sparkSession), "r", "piece").sortWithinPartitions("r", "piece")
     kept = rows.mapInArrow(_with_partners, "r long, doc long, n long, weight long").groupBy("r", "doc").agg(F.max("n").alias("n"), F.max("weight").alias("weight"))
     return materialize(kept.select("r", "doc", "n", F.col("doc").alias("comp"), "weight"), "regions")
-
-
-def _one_id(rows: DataFrame) -> DataFrame:
-    """Links (a, b) between the leads of classes that share an id."""
-    several = rows.filter("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b")
-    return rows.join(several.select("doc_id", "a"), "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b"))
