@@ -17,7 +17,7 @@ gets a null component. An empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import discard, materialize, n_parts, slices, text_bytes
 from .components import connected, same_id
 
-SEED, REACH = 42, 3
-#: Leads that one task compares with one another; hashes whose bits are counted at once.
+SEED, REACH, ALL = 42, 3, (1 << 64) - 1
+#: Leads that one task compares with one another (8 at least: a bucket with b bits left holds 2^b); hashes whose bits are counted at once.
 BUCKET, AT_ONCE = 2048, 1 << 16
 #: Buckets up to this size are compared together, place by place.
 SMALL = 16
@@ -66,8 +66,9 @@ def blocks(left: int, parts: int = REACH + 1) -> list[int]:
     return [sum(1 << b for b in bits[len(bits) * i // parts : len(bits) * (i + 1) // parts]) for i in range(parts)]
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+@lru_cache(maxsize=100_000)
+def _left_blocks(mask: int) -> list[int]:
+    return blocks(~mask & ALL)
 
 
 def near(prints: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
@@ -129,32 +130,32 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield kept(True)
 
 
-def _dealt(leads: DataFrame, masks: dict[int, list[int]] | None) -> DataFrame:
-    """Leads (mask, print, rep) in the buckets of the blocks of the bits that their mask leaves: (mask, key, print, rep)."""
-    if masks is None:
-        rows = leads.select(F.explode(F.array(*[F.lit(_signed(m)) for m in blocks((1 << 64) - 1)])).alias("mask"), "print", "rep")
-    else:  # at most 4^7 rows
-        deeper = leads.sparkSession.createDataFrame([(_signed(m), _signed(m | x)) for m, more in masks.items() for x in more], "mask long, next long")
-        rows = leads.join(F.broadcast(deeper), "mask").select(F.col("next").alias("mask"), "print", "rep")
-    return rows.select("mask", F.col("print").bitwiseAND(F.col("mask")).alias("key"), "print", "rep")
+def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Leads of too large a bucket to the buckets of the blocks of the bits that their mask leaves."""
+    for batch in batches:
+        mask, prints = batch.column("mask").to_numpy().view(np.uint64), batch.column("print").to_numpy().view(np.uint64)
+        for part in range(REACH + 1):
+            more = mask | np.array([_left_blocks(m)[part] for m in mask.tolist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(more.view(np.int64)), pa.array((prints & more).view(np.int64)), batch.column("print"), batch.column("rep")], ["mask", "key", "print", "rep"])
 
 
 def links_of(leads: DataFrame) -> DataFrame:
     """Links (a, b) that tie together all leads (print, rep) within reach."""
     spark = leads.sparkSession
-    rows, masks, out = _dealt(leads, None), blocks((1 << 64) - 1), []
-    while True:
+    first = F.explode(F.array(*[F.lit(x - (1 << 64) if x >> 63 else x) for x in blocks(ALL)]))
+    rows = leads.select(first.alias("mask"), "print", "rep").select("mask", F.col("print").bitwiseAND(F.col("mask")).alias("key"), "print", "rep")
+    out, more = [], True
+    while more:
         full = materialize(rows.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter(f"n > {BUCKET}").select("mask", "key"), "full")
         more = not full.isEmpty()
         now = rows.join(full, ["mask", "key"], "left_anti") if more else rows
         now = now.repartition(n_parts(spark), "mask", "key").sortWithinPartitions("mask", "key", "print")
         out.append(materialize(now.mapInArrow(_bucket_links, "a long, b long"), "links"))
-        if not more:
-            discard(full)
-            return reduce(DataFrame.union, out)
-        deeper = {m: blocks(~m & (1 << 64) - 1) for m in masks}
-        masks = sorted({m | x for m, more_bits in deeper.items() for x in more_bits})
-        rows = materialize(_dealt(rows.join(full, ["mask", "key"], "left_semi").drop("key"), deeper), "buckets")
+        if more:
+            again = rows.join(full, ["mask", "key"], "left_semi").select("mask", "print", "rep")
+            rows = materialize(again.mapInArrow(_again, "mask long, key long, print long, rep long"), "buckets")
+        discard(full)
+    return reduce(DataFrame.union, out)
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:

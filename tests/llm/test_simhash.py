@@ -45,13 +45,13 @@ def prose(n):
     return " ".join(RND.choice(WORDS) for _ in range(n))
 
 
-@pytest.mark.parametrize("bucket", [simhash.BUCKET, 3])
+@pytest.mark.parametrize("bucket", [simhash.BUCKET, 24])
 def test_near_copies_equal_all_pairs(spark, monkeypatch, bucket):
     monkeypatch.setattr(simhash, "BUCKET", bucket)
     base = [prose(n) for n in (60, 300, 900, 4000)]
     texts = [*base, base[1], base[1].upper(), None, "", " \n", "one", "One Two", "one\x0btwo three", "a" * 3000]
-    for b in base[1:]:
-        for _ in range(12):
+    for b in [*base[1:], base[3], base[3]]:
+        for _ in range(14):
             words = b.split()
             for _ in range(RND.choice([1, 1, 2, 5])):
                 words[RND.randrange(len(words))] = "changed"
@@ -63,7 +63,7 @@ def test_near_copies_equal_all_pairs(spark, monkeypatch, bucket):
     assert simhash.near_copies(df.filter("false")).collect() == []
 
 
-@pytest.mark.parametrize("bucket", [simhash.BUCKET, 4])
+@pytest.mark.parametrize("bucket", [simhash.BUCKET, 24])
 def test_links_tie_all_prints_within_reach(spark, monkeypatch, bucket):
     """Clusters of prints a few bits apart, more of them than fit a bucket."""
     monkeypatch.setattr(simhash, "BUCKET", bucket)
