@@ -16,6 +16,7 @@ BUSY_MARKERS = ("usb_claim_interface error", "usb_open error", "error claiming",
 NOT_FOUND_MARKERS = ("no supported devices found",)
 FOUND_MARKERS = ("found 1 device", "found device", "detached kernel driver")
 RAW_SUFFIXES = ("bin", "iq", "dat")
+RETAINED_SUFFIXES = ("npy", "bin", "iq", "dat")
 
 
 def sanitise_name(name: Column) -> Column:
@@ -25,13 +26,15 @@ def sanitise_name(name: Column) -> Column:
 
 
 def base_name(name: Column, start: Column, frequency_hz: Column) -> Column:
-    return F.concat_ws("_", sanitise_name(name), F.date_format(start, "yyyyMMdd"), F.date_format(start, "HHmmss"), F.concat(frequency_hz.cast("string"), F.lit("Hz")))
+    """NAME_YYYYMMDD_HHMMSS_<f>Hz with the time in UTC, whatever the session's zone."""
+    time = F.regexp_replace(F.substring(utc_iso(start), 1, 19), "[-:]", "")
+    return F.concat_ws("_", sanitise_name(name), F.translate(time, "T", "_"), F.concat(frequency_hz.cast("string"), F.lit("Hz")))
 
 
 def parse_base_name(base: Column) -> Column:
     """Struct (name, start, frequency_hz), null where the name has another form."""
     part = lambda g: F.nullif(F.regexp_extract(base, r"^(.+)_(\d{8}_\d{6})_(\d+)Hz(?:_\d+)?$", g), F.lit(""))
-    return F.struct(part(1).alias("name"), F.try_to_timestamp(part(2), F.lit("yyyyMMdd_HHmmss")).alias("start"), part(3).cast("long").alias("frequency_hz"))
+    return F.struct(part(1).alias("name"), F.try_to_timestamp(F.concat(part(2), F.lit("Z")), F.lit("yyyyMMdd_HHmmssX")).alias("start"), part(3).cast("long").alias("frequency_hz"))
 
 
 def capture_id(stem: Column, timestamp: Column) -> Column:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skytrace.functions import DEFAULT_CENTER_HZ, DEFAULT_SAMPLE_RATE, DURATION_RANGE, FREQUENCY_RANGE, GAIN_RANGE, SAMPLE_RATE_RANGES, SIZE_TOLERANCE
+from skytrace.operators.order import carried
 
 # Allowed moves between lifecycle states; an idle or ended recorder may start.
 TRANSITIONS = {
@@ -35,73 +36,80 @@ def parameter_violations(catalog: DataFrame, key: str = "recording_id") -> DataF
     return catalog.select(key, F.explode(found).alias("f")).select(key, "f.rule", "f.value")
 
 
+def latest(sidecars: DataFrame) -> DataFrame:
+    """One sidecar a file name: that of the latest creation_timestamp, where there is such a column, else the largest row."""
+    others = [c for c in sidecars.columns if c not in ("file_name", "creation_timestamp") and not sidecars.schema[c].dataType.typeName() == "map"]
+    order = F.struct(*[c for c in ("creation_timestamp",) if c in sidecars.columns], *sorted(others))
+    return sidecars.groupBy("file_name").agg(F.max_by(F.struct(*sidecars.columns), order).alias("s")).select("s.*")
+
+
 def with_sidecar(manifest: DataFrame, sidecars: DataFrame) -> DataFrame:
-    """Every file with its sidecar's rate and frequency, or the defaults."""
-    s = sidecars.select("file_name", F.col("sample_rate").alias("_r"), F.col("frequency_hz").alias("_f"), F.lit(True).alias("_has"))
+    """Every file with its sidecar's rate and frequency, or the defaults; of several sidecars of a file, the latest."""
+    own = sidecars.select("file_name", "sample_rate", "frequency_hz", *[c for c in ("creation_timestamp",) if c in sidecars.columns])
+    s = latest(own).select("file_name", F.col("sample_rate").alias("_r"), F.col("frequency_hz").alias("_f"), F.lit(True).alias("_has"))
     return manifest.join(s, "file_name", "left").withColumns(
         {"sample_rate": F.coalesce("_r", F.lit(DEFAULT_SAMPLE_RATE)), "frequency_hz": F.coalesce("_f", F.lit(DEFAULT_CENTER_HZ)), "has_sidecar": F.coalesce("_has", F.lit(False))}
     ).drop("_r", "_f", "_has")
 
 
 def verify(sidecars: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Adds file_size and verified: missing, empty or too small files fail; there is no upper bound."""
-    both = sidecars.join(manifest.select("file_name", F.col("length").alias("file_size")), "file_name", "left")
+    """Adds file_size and verified: missing, empty or too small files fail; there is no upper bound. A file listed twice counts once, by its largest size."""
+    files = manifest.groupBy("file_name").agg(F.max("length").alias("file_size"))
+    both = sidecars.join(files, "file_name", "left")
     timed = ~F.col("simulated") & F.col("start").isNotNull() & F.col("stop").isNotNull() & (F.col("expected_size") > 0)
     short = timed & (F.try_divide(F.col("file_size"), F.col("expected_size")) < 1 - SIZE_TOLERANCE)
     bad = F.col("file_size").isNull() | (F.col("file_size") <= 0) | F.coalesce(short, F.lit(False))
     return both.withColumn("verified", F.when(bad, "FAILED").otherwise("SUCCESS"))
 
 
-def pass_labels(recordings: DataFrame, passes: DataFrame, pre_s: float, post_s: float, key: str = "recording_id") -> DataFrame:
+def pass_labels(recordings: DataFrame, passes: DataFrame, pre_s: float, post_s: float) -> DataFrame:
     """label 1 where [start, stop] overlaps a pass of the same satellite, widened by the buffers; else 0.
 
-    Satellite and hour are the hash key: both sides are dealt to the hours they touch, so no satellite is one task.
+    A recording overlaps a pass if the latest end of the passes that begin by its stop isn't before its start: one
+    segmented scan over beginnings and stops, a row each, however long the intervals are.
     """
-    def hours(a: Column, b: Column) -> Column:
-        return F.explode(F.sequence(F.floor(F.unix_seconds(a) / 3600), F.floor(F.unix_seconds(b) / 3600)))
-
-    p = passes.select("satellite", F.timestamp_seconds(F.unix_seconds("aos") - pre_s).alias("lo"), F.timestamp_seconds(F.unix_seconds("los") + post_s).alias("hi"))
-    p = p.withColumn("hour", hours(F.col("lo"), F.col("hi")))
-    r = recordings.select(key, "satellite", "start", "stop").withColumn("hour", hours(F.col("start"), F.col("stop")))
-    hit = r.join(p, ["satellite", "hour"]).filter((F.col("start") <= F.col("hi")) & (F.col("stop") >= F.col("lo"))).select(key).distinct().withColumn("label", F.lit(1))
-    return recordings.join(hit, key, "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    at = lambda t: F.unix_micros(t)
+    edge = lambda t, s: (F.unix_seconds(t) + F.lit(s)) * 1_000_000
+    p = passes.select("satellite", edge(F.col("aos"), -pre_s).cast("long").alias("_t"), F.lit(0).alias("_kind"), edge(F.col("los"), post_s).cast("long").alias("_hi")).dropna(subset=["_t", "_hi"])
+    r = recordings.withColumns({"_t": at(F.col("stop")), "_kind": F.lit(1)})
+    seen = carried(r.unionByName(p, allowMissingColumns=True), ["satellite"], ["_t", "_kind"], _until=("max", F.col("_hi"))).filter("_kind = 1")
+    return seen.withColumn("label", F.coalesce((F.col("_until") >= at(F.col("start"))) & F.col("satellite").isNotNull() & F.col("_t").isNotNull(), F.lit(False)).cast("int")).select(*recordings.columns, "label")
 
 
 def overlaps(recordings: DataFrame, key: str = "recording_id") -> DataFrame:
     """Recordings that start while an earlier one of the same device still runs."""
-    earlier = Window.partitionBy("device").orderBy("start", key).rowsBetween(Window.unboundedPreceding, -1)
-    return recordings.withColumn("busy_until", F.max("stop").over(earlier)).filter(F.col("busy_until") > F.col("start"))
+    return carried(recordings, ["device"], ["start", key], busy_until=("max", F.col("stop"))).filter(F.col("busy_until") > F.col("start"))
 
 
 def lifecycle_audit(events: DataFrame, transitions: dict[str, tuple[str, ...]] = TRANSITIONS, recorder: str = "recorder_id", order: tuple[str, ...] = ("ts",)) -> DataFrame:
     """Adds previous and allowed. A recorder's first event counts as following IDLE."""
-    out = events.withColumn("previous", F.lag("state").over(Window.partitionBy(recorder).orderBy(*order)))
+    out = carried(events, [recorder], list(order), previous=("last", F.col("state")))
     pairs = F.array(*[F.lit(f"{a}>{b}") for a, to in transitions.items() for b in to])
     move = F.concat(F.coalesce("previous", F.lit("IDLE")), F.lit(">"), "state")
     return out.withColumn("allowed", F.coalesce(F.array_contains(pairs, move), F.lit(False)))
 
 
 def unique_names(names: DataFrame, base: str = "base", order: tuple[str, ...] = ("recording_id",), taken: DataFrame | None = None) -> DataFrame:
-    """Adds unique_name: the first free one of base, base_2, base_3 and so on for each row in turn.
+    """Adds unique_name: the first free one of base, base_2, base_3 and so on for each row in turn; a null base has no name.
 
     ``taken`` (name) holds names in use; a new base that looks like a numbered name of another new base counts as in use too.
     The k-th taken number s of a base leaves s - k free ones before it, so the n-th row's number is n plus the
-    taken ones with s - k < n: one running count over rows and taken numbers together.
+    taken ones with s - k < n: one running count over rows and taken numbers together. All counts are segmented scans.
     """
     number = r"_([1-9]\d{0,8})$"
-    bases = names.select(F.col(base).alias("_b")).distinct()
+    bases = names.select(F.col(base).alias("_b")).filter("_b is not null").distinct()
     used = bases.select(F.col("_b").alias("name"))
     as_is = None if taken is None else taken.select(F.col("name").alias("_b"), F.lit(1).alias("_s"))
     used = used if taken is None else used.union(taken.select("name"))
     slots = used.filter(F.col("name").rlike(number)).select(F.regexp_replace("name", number, "").alias("_b"), F.regexp_extract("name", number, 1).cast("int").alias("_s")).filter("_s > 1")
     slots = (slots if as_is is None else slots.union(as_is)).distinct().join(bases, "_b", "left_semi")
-    by = Window.partitionBy("_b").orderBy("_s")
-    gaps = slots.select("_b", (F.col("_s") - F.row_number().over(by)).alias("_at"), F.lit(1).alias("_taken"))
-    rows = names.withColumns({"_b": F.col(base), "_at": F.row_number().over(Window.partitionBy(base).orderBy(*order)), "_taken": F.lit(0)})
-    both = rows.unionByName(gaps, allowMissingColumns=True)
-    before = F.sum("_taken").over(Window.partitionBy("_b").orderBy("_at", "_taken").rowsBetween(Window.unboundedPreceding, 0))
-    out = both.withColumn("_place", F.col("_at") + before).filter("_taken = 0")
-    return out.withColumn("unique_name", F.when(F.col("_place") == 1, F.col(base)).otherwise(F.concat_ws("_", base, F.col("_place").cast("string")))).select(*names.columns, "unique_name")
+    one = F.lit(1).cast("long")
+    gaps = carried(slots, ["_b"], ["_s"], _k=("sum", one)).select("_b", (F.col("_s") - F.col("_k") - 1).alias("_at"), one.alias("_taken"))
+    rows = carried(names.withColumn("_b", F.col(base)), ["_b"], list(order), _k=("sum", one)).withColumns({"_at": F.col("_k") + 1, "_taken": F.lit(0).cast("long")}).drop("_k")
+    # at one place rows come before taken numbers
+    both = carried(rows.unionByName(gaps, allowMissingColumns=True), ["_b"], ["_at", "_taken"], _before=("sum", F.col("_taken"))).filter("_taken = 0")
+    place = F.col("_at") + F.col("_before")
+    return both.withColumn("unique_name", F.when(place == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), place.cast("string")))).select(*names.columns, "unique_name")
 
 
 def status_rollup(recordings: DataFrame, keys: tuple[str, ...] = ("satellite", "device")) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skytrace.functions import FEATURE_NAMES, MAX_SMOOTHNESS_HZ, MIN_DRIFT_HZ, MIN_VALID_RATIO, sanitise
+from skytrace.functions import FEATURE_NAMES, MAX_SMOOTHNESS_HZ, MIN_DRIFT_HZ, MIN_VALID_RATIO, RETAINED_SUFFIXES, sanitise
 
 from . import trace as T
 
@@ -58,6 +58,7 @@ def detect(features: DataFrame, min_ratio: float = MIN_VALID_RATIO, min_drift: f
     calm = F.when(finite, F.greatest(F.lit(0.0), 1 - rough / max(max_smoothness, 1e-9))).otherwise(0.0)
     parts = F.least(ratio / max(min_ratio, 1e-9), F.lit(1.0)) + F.least(drift / max(min_drift, 1e-9), F.lit(1.0)) + calm
     good = ok_ratio & ok_drift & ok_rough
+    # fixed values: notes as the recordings' consumers know them
     notes = F.when(good, "candidate satellite Doppler-like drift").otherwise(
         F.concat_ws("; ", F.when(~ok_ratio, "not enough valid signal points"), F.when(~ok_drift, "frequency drift below threshold"), F.when(~ok_rough, "trace too noisy"))
     )
@@ -75,5 +76,5 @@ def project_features(features: DataFrame, names: tuple[str, ...] = FEATURE_NAMES
 
 def retained(results: DataFrame) -> DataFrame:
     """Adds raw_iq_file_path: kept only for detected captures of raw I/Q."""
-    raw = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin("bin", "iq", "dat")
+    raw = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*RETAINED_SUFFIXES)
     return results.withColumn("raw_iq_file_path", F.when(F.col("detected") & (F.col("kind") == "iq") & raw, F.col("path")))

@@ -133,8 +133,9 @@ def event_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    det = FT.detect(features(spark, sf_dir), max_smoothness=80_000.0)
-    return FT.retained(det.withColumns({"path": F.concat(F.lit("captures/"), "capture_id", F.when(F.col("capture_id").cast("int") % 2 == 0, ".iq").otherwise(".csv")), "timestamp_utc": F.lit("2026-01-01T00:00:00+0000"), "kind": F.when(F.col("capture_id").cast("int") % 2 == 0, "iq").otherwise("spectrogram"), "ml_status": F.lit("SKIPPED"), "ml_detection_result": F.lit(None).cast("int"), "ml_confidence_score": F.lit(None).cast("double"), "model_version": F.lit(None).cast("string")}))
+    det, k = FT.detect(features(spark, sf_dir), max_smoothness=80_000.0), F.col("capture_id").cast("int") % 4
+    suffix = F.when(k == 0, ".iq").when(k == 1, ".csv").when(k == 2, ".NPY").otherwise(".npy")
+    return FT.retained(det.withColumns({"path": F.concat(F.lit("captures/"), "capture_id", suffix), "timestamp_utc": F.lit("2026-01-01T00:00:00+0000"), "kind": F.when(k % 2 == 0, "iq").otherwise("spectrogram"), "ml_status": F.lit("SKIPPED"), "ml_detection_result": F.lit(None).cast("int"), "ml_confidence_score": F.lit(None).cast("double"), "model_version": F.lit(None).cast("string")}))
 
 
 def result_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,7 +197,7 @@ tt as (select *, valid_signal_ratio >= 0.45 as a, frequency_drift_hz >= 1500 as
 dt as (select *, a and b and c as detected,
   (least(valid_signal_ratio / 0.45, 1) + least(frequency_drift_hz / 1500, 1) + case when isfinite(smoothness_score) then greatest(0, 1 - smoothness_score / 80000) else 0 end) / 3 as confidence,
   case when a and b and c then 'candidate satellite Doppler-like drift' else concat_ws('; ', case when not a then 'not enough valid signal points' end, case when not b then 'frequency drift below threshold' end, case when not c then 'trace too noisy' end) end as notes from tt),
-sc as (select *, 'captures/' || capture_id || case when cast(capture_id as int) % 2 = 0 then '.iq' else '.csv' end as path, '2026-01-01T00:00:00+0000' as timestamp_utc,
+sc as (select *, 'captures/' || capture_id || ['.iq', '.csv', '.NPY', '.npy'][cast(capture_id as int) % 4 + 1] as path, '2026-01-01T00:00:00+0000' as timestamp_utc,
   case when cast(capture_id as int) % 2 = 0 then 'iq' else 'spectrogram' end as kind from dt)"""
 _RESULT = """sha256(path || '|' || timestamp_utc) as id, path as input_file, timestamp_utc, cast(detected as int) as detection_result, round(confidence, 6) as confidence_score,
   round(valid_signal_ratio, 6) as valid_signal_ratio, round(frequency_drift_hz, 6) as frequency_drift_hz, round(smoothness_score, 6) as smoothness_score, cast(null as varchar) as spectrogram_image_path,

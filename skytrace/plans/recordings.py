@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skytrace import functions as FN
 from skytrace.operators import catalog as C
+from skytrace.operators import monitor
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +59,13 @@ def lifecycle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.lifecycle_audit(e, order=("ts", "event_id")).groupBy("previous", "state", "allowed").agg(F.count(F.lit(1)).alias("n"))
 
 
+def recorder_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of recordings: clicks start one for some hours, signups one without an end; polls are an hour apart."""
+    event = F.element_at(F.create_map(*[F.lit(x) for p in (("click", "START"), ("signup", "START"), ("view", "STOP"), ("purchase", "CANCEL"), ("error", "CRASH")) for x in p]), F.col("event_type"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("recorder_id"), "ts", event.alias("event"), F.when(F.col("event_type") == "click", F.floor("value") * 3600.0).alias("duration_s"))
+    return monitor.outcomes(e, poll_s=3600.0)
+
+
 def log_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failure and probe classes of log texts; markers are put into some of them."""
     n = F.col("doc_id") % 6
@@ -76,7 +84,7 @@ def names_and_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "recording_id", "base", F.col("parsed.name").alias("name"), F.col("parsed.start").alias("start"), F.col("parsed.frequency_hz").alias("frequency_hz"), FN.seconds_between(F.col("start"), F.col("stop")).alias("seconds"),
         FN.expected_size(F.col("price"), F.lit(1.5)).alias("expected_size"), FN.final_state(status).alias("state"), FN.stop_status(F.col("recording_id") % 5 == 0, F.col("recording_id") % 3 == 0, F.lit("SUCCESS")).alias("stop_status"),
-        FN.capture_id(F.col("base"), F.date_format("start", "yyyy-MM-dd'T'HH:mm:ss'+0000'")).alias("capture_id"),
+        FN.capture_id(F.col("base"), F.concat(F.substring(FN.utc_iso(F.col("start")), 1, 19), F.lit("+0000"))).alias("capture_id"),
     )
 
 
@@ -116,7 +124,7 @@ def status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.status_rollup(r).withColumn("completeness", F.round("completeness", 6))
 
 
-QUERIES = {f.__name__: f for f in (parameter_violations, catalog_join, verified_recordings, pass_labels, overlapping_recordings, lifecycle_audit, log_classes, names_and_sizes, safe_names, unique_names, names_past_taken, utc_times, file_manifest, status_rollup)}
+QUERIES = {f.__name__: f for f in (parameter_violations, catalog_join, verified_recordings, pass_labels, overlapping_recordings, lifecycle_audit, recorder_outcomes, log_classes, names_and_sizes, safe_names, unique_names, names_past_taken, utc_times, file_manifest, status_rollup)}
 
 _REC = """r as (select o_orderkey as recording_id, o_custkey as device, 'SAT ' || (o_custkey % 7) as satellite, cast(o_orderdate as timestamp) as start,
   cast(o_orderdate as timestamp) + interval 30 day as stop, cast(o_totalprice as double) as price, o_orderstatus as code from orders)"""
@@ -146,6 +154,23 @@ ORACLE_SQL = {
     "lifecycle_audit": """with e as (select user_id, ts, event_id, case event_type when 'click' then 'STARTING' when 'view' then 'RECORDING' when 'purchase' then 'STOPPING' when 'error' then 'FAILED' else 'COMPLETED' end as state from events),
         l as (select *, lag(state) over (partition by user_id order by ts, event_id) as previous from e)
         select previous, state, coalesce(previous, 'IDLE') || '>' || state in ('IDLE>STARTING', 'COMPLETED>STARTING', 'FAILED>STARTING', 'CANCELLED>STARTING', 'STARTING>RECORDING', 'STARTING>FAILED', 'STARTING>STOPPING', 'RECORDING>STOPPING', 'STOPPING>COMPLETED', 'STOPPING>FAILED', 'STOPPING>CANCELLED') as allowed, count(*) as n from l group by all""",
+    "recorder_outcomes": """with recursive e as (
+          select user_id as r, epoch_us(ts) as t, case event_type when 'purchase' then 0 when 'view' then 1 when 'error' then 2 else 3 end as rank,
+                 case when event_type = 'click' then cast(floor(value) * 3600000000 as bigint) end as dur, event_id from events where ts is not null and event_type is not null),
+        o as (select *, row_number() over (partition by r order by t, rank, dur nulls first, event_id) as k from e),
+        -- s, u, c: start of the running recording, end of its duration, poll that sees its crash; a, b: what has ended
+        w(r, k, s, u, c, a, b) as (
+          select distinct r, 0::bigint, null::bigint, null::bigint, null::bigint, null::struct(s bigint, e bigint, o varchar), null::struct(s bigint, e bigint, o varchar) from o
+          union all
+          select r, k, case when rank = 3 and s is null then t when rank < 2 then null else s end, case when rank = 3 and s is null then t + dur when rank < 2 then null else u end,
+                 case when rank = 3 and s is null or rank < 2 then null when rank = 2 and s is not null then coalesce(c, least(s + cast(ceil((t - s) / 3600000000.0) as bigint) * 3600000000, u)) else c end,
+                 a, case when s is null then null when rank = 3 then {s: t, e: t, o: 'DEVICE_BUSY'} when rank = 0 then {s: s, e: t, o: 'CANCELLED'} when rank = 1 then {s: s, e: t, o: 'SUCCESS'} end
+          from (select r, k, t, rank, dur, case when over then null else s end as s, case when over then null else u end as u, case when over then null else c end as c,
+                       case when over then {s: s, e: least(u, c), o: case when c <= u or u is null then 'FAILED' else 'SUCCESS' end} end as a
+                from (select w.r, o.k, o.t, o.rank, o.dur, s, u, c, coalesce(s is not null and (least(u, c) < o.t or least(u, c) = o.t and o.rank = 3), false) as over from w join o on o.r = w.r and o.k = w.k + 1))),
+        x as (select r, unnest([a, b]) as z from w
+          union all select r, {s: s, e: least(u, c), o: case when c <= u or u is null then 'FAILED' else 'SUCCESS' end} from w where s is not null and least(u, c) is not null and k = (select max(k) from o where o.r = w.r))
+        select r as recorder_id, make_timestamp(z.s) as started, make_timestamp(z.e) as ended, z.o as outcome from x where z is not null""",
     "log_classes": f"""with d as (select doc_id, coalesce(text, '') || case doc_id % 6 when 0 then ' usb_claim_interface error -6' when 1 then ' No Supported Devices Found.' when 2 then ' no supported devices found; resource busy' when 3 then ' Found 1 device' else '' end as log, doc_id % 5 as code from documents)
         select doc_id, case when {_markers('log', FN.BUSY_MARKERS)} then 'DEVICE_BUSY' when {_markers('log', FN.NOT_FOUND_MARKERS)} then 'DEVICE_NOT_FOUND' else 'PROCESS_ERROR' end as failure,
         case when {_markers('log', FN.NOT_FOUND_MARKERS)} then 'NOT_FOUND' when {_markers('log', FN.BUSY_MARKERS)} then 'BUSY' when {_markers('log', FN.FOUND_MARKERS)} or code = 0 then 'FOUND' else 'UNKNOWN' end as probe from d""",

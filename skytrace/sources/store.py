@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,8 +91,14 @@ def load_bundle(spark: SparkSession, path: str):
         text = "\n".join(r[0] for r in spark.read.text(f"{path}/sidecar").collect())
         sidecar = json.loads(text)
         model = RandomForestClassificationModel.load(f"{path}/model")
-    except Exception as e:
+    except (AnalysisException, IllegalArgumentException, ValueError) as e:  # no such path, no model of this kind, no JSON
         raise ValueError(f"no usable model at {path}: {e}") from e
+    except Py4JJavaError as e:  # MLlib reads a model's parts itself; what isn't a missing or broken part stays an error
+        if not any(x in str(e.java_exception) for x in ("InvalidInputException", "FileNotFoundException", "NoSuchElementException", "ParseException", "JsonParseException", "UnsupportedOperationException: empty collection")):
+            raise
+        raise ValueError(f"no usable model at {path}: {e.java_exception}") from e
+    if not isinstance(sidecar, dict):
+        raise ValueError("the sidecar is no object")
     names = sidecar.get("feature_names")
     if not isinstance(names, list) or not names or not all(isinstance(n, str) for n in names):
         raise ValueError("the sidecar has no list of feature names")

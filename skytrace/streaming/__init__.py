@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from skytrace.operators.monitor import POLL_S, RANK, due, settle, step
 from skytrace.sources.scan import SIDECAR
 
+#: Stands for null in the state of a running recording.
+NEVER = -(1 << 63)
+
 
 def ingest(spark: SparkSession, sidecar_dir: str, pipeline: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
     """Runs ``pipeline`` over newly finished recordings and writes its rows under their batch, so that a replayed batch replaces itself."""
@@ -23,58 +27,66 @@ def ingest(spark: SparkSession, sidecar_dir: str, pipeline: Callable[[DataFrame]
 
 
 class Monitor(StatefulProcessor):
-    """Ends each recording once: cancelled, then stopped, then crashed, else when its duration has passed in event time.
+    """Events to outcomes as in :mod:`skytrace.operators.monitor`, whatever the batches they come in.
 
-    Events are walked in the order of their times; precedence holds among the events of one open recording. Events of a
-    recorder with none open are passed over. A START ends an open recording: SUCCESS if its duration had passed, else FAILED.
+    Events wait in a list until the watermark has passed them and are then walked in the order of time, so an event that comes
+    late, but within the watermark's delay, counts at its time. One timer a recorder, at the first waiting event or at the
+    end that is due, wakes it up.
     """
 
-    OUTCOMES = (("CANCEL", "CANCELLED"), ("STOP", "SUCCESS"), ("CRASH", "FAILED"))
+    def __init__(self, poll_s: float = POLL_S) -> None:
+        self.poll_s = poll_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.open = handle, handle.getValueState("open", "until long")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, event string, duration_s double")
+        self.running = handle.getValueState("running", "start long, until long, crash long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen = pd.concat(list(rows)).sort_values("ts", kind="stable")
-        number = (seen["event"] == "START").cumsum()  # 0: events before the first START belong to the recording that is open
-        for _, own in seen.groupby(number, sort=True):
-            first = own.iloc[0]
-            if first["event"] == "START":
-                at = int(first["ts"].timestamp() * 1000)
-                if self.open.exists():
-                    yield self._end(key, "SUCCESS" if self.open.get()[0] <= at else "FAILED")
-                until = at + int(first["duration_s"] * 1000)
-                self.open.update((until,))
-                self.handle.registerTimer(until)
-            if self.open.exists():
-                until, kinds = self.open.get()[0], {}
-                for event, ts in zip(own["event"], own["ts"], strict=True):
-                    kinds.setdefault(event, int(ts.timestamp() * 1000))
-                ends = [(kinds[event], outcome) for event, outcome in self.OUTCOMES if event in kinds]
-                if ends:  # what comes after the duration has passed ends nothing any more
-                    in_time = [outcome for ts, outcome in ends if ts <= until]
-                    yield self._end(key, in_time[0] if in_time else "SUCCESS")
-
-    def _end(self, key, outcome: str) -> pd.DataFrame:
-        self._close()
-        return pd.DataFrame({"recorder_id": [key[0]], "outcome": [outcome]})
+        for frame in rows:
+            frame = frame[frame["event"].isin(list(RANK)) & frame["at"].notna()]
+            if len(frame):
+                self.waiting.appendList([(int(at), event, None if pd.isna(d) else float(d)) for at, event, d in zip(frame["at"], frame["event"], frame["duration_s"], strict=True)])
+        yield from self._walk(key, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.open.exists():
-            self.open.clear()
-            yield pd.DataFrame({"recorder_id": [key[0]], "outcome": ["SUCCESS"]})
-
-    def _close(self) -> None:
-        if self.open.exists():
-            self.handle.deleteTimer(self.open.get()[0])
-            self.open.clear()
+        yield from self._walk(key, timerValues)
+
+    def _walk(self, key, timerValues) -> Iterator[pd.DataFrame]:
+        """What the watermark has passed; the rest waits on."""
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(self.waiting.get(), key=lambda e: (e[0], RANK[e[1]], e[2] is not None, e[2] or 0.0)) if self.waiting.exists() else []
+        running = tuple(None if x == NEVER else x for x in self.running.get()) if self.running.exists() else None
+        was, found, n = running, [], 0
+        for at, event, duration in waiting:
+            if at > now:
+                break
+            running, out = step(running, at, event, duration, self.poll_s)
+            found += out
+            n += 1
+        running, out = settle(running, now)
+        found += out
+        if n:
+            self.waiting.put(waiting[n:]) if n < len(waiting) else self.waiting.clear()
+        if running != was:
+            self.running.update(tuple(NEVER if x is None else x for x in running)) if running else self.running.clear()
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        ahead = [x for x in (waiting[n][0] if n < len(waiting) else None, due(running)[0] if running else None) if x is not None]
+        if ahead:
+            self.handle.registerTimer(-(-min(ahead) // 1000))
+        if found:
+            yield pd.DataFrame({"recorder_id": key[0], "started": [x[0] for x in found], "ended": [x[1] for x in found], "outcome": [x[2] for x in found]})
 
     def close(self) -> None:
         pass
 
 
-def monitor(events: DataFrame, delay: str = "10 seconds") -> DataFrame:
-    """Event stream (recorder_id, ts, event, duration_s) to one outcome per recording."""
-    return events.withWatermark("ts", delay).groupBy("recorder_id").transformWithStateInPandas(
-        statefulProcessor=Monitor(), outputStructType="recorder_id string, outcome string", outputMode="Append", timeMode="EventTime"
+def monitor(events: DataFrame, delay: str = "10 seconds", poll_s: float = POLL_S) -> DataFrame:
+    """Event stream (recorder_id, ts, event, duration_s) to (recorder_id, started, ended, outcome), one row a recording that has ended or was refused."""
+    kind = events.schema["recorder_id"].dataType.simpleString()
+    e = events.withWatermark("ts", delay).select("recorder_id", "ts", F.unix_micros("ts").alias("at"), "event", F.col("duration_s").cast("double").alias("duration_s"))
+    out = e.groupBy("recorder_id").transformWithStateInPandas(
+        statefulProcessor=Monitor(poll_s), outputStructType=f"recorder_id {kind}, started long, ended long, outcome string", outputMode="Append", timeMode="EventTime"
     )
+    return out.select("recorder_id", F.timestamp_micros("started").alias("started"), F.timestamp_micros("ended").alias("ended"), "outcome")
