@@ -191,6 +191,8 @@ ft as (select capture_id,
   case when count(case when valid then 1 end) >= 2 then cast(max(case when valid then t_idx end) - min(case when valid then t_idx end) as double) else 0 end as signal_duration_seconds
   from sm group by capture_id),
 fr as (select *, case when signal_duration_seconds > 0 then frequency_drift_hz / signal_duration_seconds else 0 end as drift_rate_hz_per_second from ft)"""
+#: The same of windows of 5 slices of a capture.
+WINDOW_FEATURES_SQL = "with s as (select 'SAT ' || c as satellite, c || '-' || (n // 5) as capture_id, n % 5 as t_idx, p, vec_id from (select cast(label as varchar) as c, row_number() over (partition by label order by vec_id) - 1 as n, list_transform(embedding, lambda x: cast(x as double)) as p, vec_id from embeddings)),\nk as" + _FEATURES.partition("\nk as")[2]
 _ROUNDED = ", ".join(f"round({n}, 6) as {n}" for n in FEATURE_NAMES)
 _DETECT = f"""{_FEATURES},
 tt as (select *, valid_signal_ratio >= 0.45 as a, frequency_drift_hz >= 1500 as b, smoothness_score <= 80000 as c from fr),

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skytrace.functions import FEATURE_NAMES
+from skytrace.operators import catalog as C
+from skytrace.operators import features as FT
 from skytrace.operators import training as TN
-from skytrace.plans.captures import DF, F0, THRESHOLD, ordered, spectra
-from skytrace.operators import trace as TR
+from skytrace.plans.captures import DF, F0, THRESHOLD, WINDOW_FEATURES_SQL, ordered, spectra
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,29 +67,43 @@ def synthetic_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(TN.synthetic_rows(rows).alias("synthetic"), F.count(F.lit(1)).alias("n"))
 
 
-def _slice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slices as training rows: nine figures of each, labelled by validity."""
-    s = TR.strongest(spectra(spark, sf_dir), THRESHOLD, F0, DF)
-    figures = {n: F.get("power_db", F.lit(i)) for i, n in enumerate(FEATURE_NAMES)}
-    slim = ordered(s.select("capture_id", "vec_id", *[c.alias(n) for n, c in figures.items()], (F.col("noise_db") > 0).cast("int").alias("label")))
-    return slim.select(F.concat_ws("-", "capture_id", F.col("t_idx").cast("string")).alias("capture_id"), *figures, "label")
+#: Slices of a training window; seconds between two vectors.
+WINDOW, SECONDS = 5, 20
+
+
+def labelled_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training rows: captures cut in windows of slices, the nine features of each, labelled by the passes (errors of the events) that they overlap."""
+    rows = FT.peak_rows(spectra(spark, sf_dir), THRESHOLD, F0, DF).withColumn("at", F.col("vec_id"))
+    cut = F.expr(f"t_idx div {WINDOW}")
+    windows = ordered(rows).withColumns({"satellite": F.concat(F.lit("SAT "), "capture_id"), "capture_id": F.concat_ws("-", "capture_id", cut.cast("string")), "t_idx": F.col("t_idx") % WINDOW, "time_s": F.col("time_s") % WINDOW, "n_slices": F.lit(WINDOW).cast("long")})
+    time = lambda x: F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01T00:00:00Z").cast("timestamp")) + x * SECONDS)
+    recordings = windows.groupBy("capture_id").agg(F.any_value("satellite").alias("satellite"), time(F.min("at")).alias("start"), time(F.max("at")).alias("stop"))
+    ts = F.col("ts").cast("timestamp")
+    passes = table(spark, sf_dir, "events").filter("event_type = 'error'").select(F.concat(F.lit("SAT "), (F.col("user_id") % 10).cast("string")).alias("satellite"), ts.alias("aos"), F.timestamp_seconds(F.unix_seconds(ts) + 300).alias("los"))
+    labels = C.pass_labels(recordings, passes, 60, 120).select("capture_id", "label")
+    return FT.peak_features(windows, length="n_slices").join(labels, "capture_id")
+
+
+def training_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training rows with their part of the split."""
+    return TN.split(labelled_windows(spark, sf_dir), "capture_id").withColumns({n: F.round(n, 6) for n in FEATURE_NAMES})
 
 
 def forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forest fitted on the training part, scored on the test part."""
-    rows = TN.split(_slice_rows(spark, sf_dir), "capture_id")
+    rows = TN.split(labelled_windows(spark, sf_dir), "capture_id")
     model = TN.fit_forest(TN.assemble(rows.filter("not is_test")), balanced=True)
     return TN.score(rows.filter("is_test").drop("is_test"), model, "v1").select("capture_id", "label", "ml_status", "ml_detection_result", F.round("ml_confidence_score", 6).alias("ml_confidence_score"), "model_version")
 
 
 def training_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row: metrics of the test part, cross-validation, the most important feature, row counts, parameters and provenance."""
-    return TN.report(_slice_rows(spark, sf_dir), "capture_id", f"{sf_dir}/embeddings.parquet").select(
+    return TN.report(labelled_windows(spark, sf_dir), "capture_id", f"{sf_dir}/embeddings.parquet").select(
         "tn", "fp", "fn", "tp", "n", "accuracy", "precision", "recall", "f1", "cv_folds", "cv_mean_f1", "cv_std_f1", "cv_skipped", "top_feature", "n_training", "n_test", "n_total", "positives", "trees", "max_depth", "seed", "test_fraction", "synthetic"
     )
 
 
-QUERIES = {f.__name__: f for f in (label_join, label_metrics, label_auc, label_counts, detector_agreement, duplicate_ids, train_test_split, fold_assignment, validation_report, synthetic_guard, forest_scores, training_report)}
+QUERIES = {f.__name__: f for f in (label_join, label_metrics, label_auc, label_counts, detector_agreement, duplicate_ids, train_test_split, fold_assignment, validation_report, synthetic_guard, training_windows, forest_scores, training_report)}
 
 ORACLE_SQL = {
     "label_join": "select d.doc_id, d.source, d.n_chars, l.* exclude (doc_id) from documents d join labels l on l.doc_id = d.doc_id",
@@ -108,4 +123,10 @@ ORACLE_SQL = {
         union all select 'bad_label', 'label', capture_id from p where p_partkey % 60 = 3
         union all select 'duplicate', 'capture_id', capture_id from d where n > 1""",
     "synthetic_guard": "select count(*) filter (event_type = 'error') as synthetic, count(*) as n from events",
+    "training_windows": f"""{WINDOW_FEATURES_SQL},
+        rec as (select capture_id, any_value(satellite) as satellite, epoch(timestamp '2024-01-01') + min(vec_id) * {SECONDS} as a, epoch(timestamp '2024-01-01') + max(vec_id) * {SECONDS} as b from s group by 1),
+        ps as (select 'SAT ' || (user_id % 10) as satellite, epoch(date_trunc('second', ts)) - 60 as lo, epoch(date_trunc('second', ts)) + 420 as hi from events where event_type = 'error'),
+        lb as (select capture_id, cast(exists (select 1 from ps where ps.satellite = rec.satellite and rec.a <= ps.hi and rec.b >= ps.lo) as int) as label from rec)
+        select capture_id, {", ".join(f"round({n}, 6) as {n}" for n in FEATURE_NAMES)}, label,
+          row_number() over (partition by label order by md5('42' || capture_id), capture_id) <= ceil(count(*) over (partition by label) * 0.25) as is_test from fr join lb using (capture_id)""",
 }

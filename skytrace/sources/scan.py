@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skytrace.functions import file_kind
+from skytrace.operators.order import numbered
 
 EPS = 2.220446049250313e-16
 SLICES = "capture_id string, t_idx long, time_s double, power_db array<double>"
@@ -53,7 +54,7 @@ def npy_header(raw: bytes) -> tuple[np.dtype, tuple[int, ...], int, bool]:
     return np.dtype(head["descr"]), head["shape"], start + size, head["fortran_order"]
 
 
-def _open(path: str):
+def open_file(path: str):
     """Bytes of a local file or, elsewhere, of whatever file system pyarrow knows by the URI."""
     from pyarrow import fs
 
@@ -94,6 +95,16 @@ def chunks(files: DataFrame, nperseg: int = 1024, noverlap: int = 512, frames: i
     return files.filter(total > 0).withColumn("lo", F.explode(starts)).withColumn("hi", F.least(F.col("lo") + frames, total))
 
 
+def read_frames(path: str, fmt: str, offset: int, lo: int, hi: int, fs: float, nperseg: int, noverlap: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slice numbers, power in dB) of frames lo to hi of a file; only their bytes are read."""
+    hop, width = nperseg - noverlap, sample_bytes(fmt)
+    with open_file(path) as f:
+        f.seek(int(offset + lo * hop * width))
+        raw = f.read(int(((hi - lo - 1) * hop + nperseg) * width))
+    db = power_db(decode(raw, fmt), fs, nperseg, noverlap)
+    return np.arange(lo, lo + len(db)), db
+
+
 def iq_slices(files: DataFrame, fs: float, nperseg: int = 1024, noverlap: int = 512, frames: int = FRAMES_PER_CHUNK) -> DataFrame:
     """Files (path, capture_id, fmt, offset, length) to slices. Each task reads its own byte ranges, with a halo of ``noverlap`` samples."""
     size = F.when(F.col("fmt") == "cu8", 2).when(F.col("fmt") == "complex128", 16).otherwise(8)
@@ -104,12 +115,7 @@ def iq_slices(files: DataFrame, fs: float, nperseg: int = 1024, noverlap: int =
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
-                width = sample_bytes(r.fmt)
-                with _open(r.path) as f:
-                    f.seek(int(r.offset + r.lo * hop * width))
-                    raw = f.read(int(((r.hi - r.lo - 1) * hop + nperseg) * width))
-                db = power_db(decode(raw, r.fmt), fs, nperseg, noverlap)
-                t = np.arange(r.lo, r.lo + len(db))
+                t, db = read_frames(r.path, r.fmt, r.offset, r.lo, r.hi, fs, nperseg, noverlap)
                 yield pd.DataFrame({"capture_id": r.capture_id, "t_idx": t, "time_s": (t * hop + nperseg / 2) / fs, "power_db": list(db)})
 
     return parts.repartition("path", "lo").mapInPandas(read, SLICES)
@@ -123,7 +129,7 @@ def npy_files(files: DataFrame) -> DataFrame:
             out = []
             for path in batch["path"]:
                 try:
-                    with _open(path) as f:
+                    with open_file(path) as f:
                         kind, shape, offset, columns = npy_header(f.read(4096))
                     compl, rank = kind.kind == "c", len(shape)
                     verdict = "iq" if rank == 1 else "spectrogram" if rank == 2 and not compl else "rejected"
@@ -146,7 +152,7 @@ def npy_slices(files: DataFrame, rows_per_chunk: int = 4096) -> DataFrame:
         for batch in batches:
             for r in batch.itertuples(index=False):
                 kind = np.dtype(r.fmt)
-                with _open(r.path) as f:
+                with open_file(r.path) as f:
                     if r.by_column:
                         ranges = []
                         for c in range(int(r.cols)):
@@ -163,18 +169,25 @@ def npy_slices(files: DataFrame, rows_per_chunk: int = 4096) -> DataFrame:
 
 
 def text_matrices(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(slices, rejected files) of .csv (commas) and .txt (blanks) matrices; ragged, non-numeric, one-row or one-column files are rejected."""
-    raw = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    raw = raw.withColumn("capture_id", F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.[^.]*$", ""))
-    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
-    cell = lambda line: F.when(F.lower("path").endswith(".csv"), F.split(line, r"\s*,\s*")).otherwise(F.split(F.trim(line), r"\s+"))
-    rows = F.transform(lines, lambda line: F.transform(cell(line), lambda x: F.trim(x).try_cast("double")))
-    m = raw.select("path", "capture_id", rows.alias("m"))
-    width = F.size(F.get("m", F.lit(0)))
-    good = (F.size("m") >= 2) & (width >= 2) & F.forall("m", lambda r: (F.size(r) == width) & F.forall(r, lambda x: x.isNotNull()))
-    m = m.withColumn("good", F.coalesce(good, F.lit(False)))
-    slices = m.filter("good").select("capture_id", F.posexplode("m").alias("t_idx", "power_db")).selectExpr("capture_id", "cast(t_idx as long) t_idx", "cast(t_idx as double) time_s", "power_db")
-    return slices, m.filter("not good").select("path", "capture_id")
+    """(slices, rejected files) of .csv (commas) and .txt (blanks) matrices; ragged, non-numeric, one-row or one-column files are rejected.
+
+    Files are read in Spark's byte ranges, so a large one is many tasks; rows are numbered within their range and moved on by the
+    counts of the ranges before. What follows a # is a comment; lines without anything else are no rows. Spark lists no file of 0 bytes.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[cCtT][sSxX][vVtT]").load(folder).select(F.col("_metadata.file_path").alias("path"))
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[cCtT][sSxX][vVtT]").text(folder)
+    raw = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("from"), F.monotonically_increasing_id().alias("at"), F.trim(F.regexp_replace("value", r"#.*|[\r\ufeff]", "")).alias("line"))
+    raw = raw.filter(F.trim(F.translate("line", "\t\x0b\x0c", "   ")) != "")
+    cells = F.when(F.lower("path").endswith(".csv"), F.split("line", r"\s*,\s*")).otherwise(F.split(F.regexp_replace("line", r"^\s+|\s+$", ""), r"\s+"))
+    number = lambda x: F.when(~x.rlike("[0-9.][dDfF]$"), F.trim(x).try_cast("double"))
+    rows = numbered(raw.select("path", "from", "at", F.transform(cells, number).alias("power_db")), ["path"], F.col("from"), ["at"])
+    size = F.size("power_db")
+    good = (F.count(F.lit(1)) >= 2) & (F.min(size) >= 2) & (F.min(size) == F.max(size)) & F.every(F.forall("power_db", lambda x: x.isNotNull()))
+    verdicts = rows.groupBy("path").agg(good.alias("good")).filter("good").select("path")
+    name = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.[^.]*$", "").alias("capture_id")
+    t = F.col("_n") - 1
+    slices = rows.join(verdicts, "path").select(name, t.cast("long").alias("t_idx"), t.cast("double").alias("time_s"), "power_db")
+    return slices, files.join(verdicts, "path", "left_anti").select("path", name)
 
 
 def matrix_axis(sample_rate: float, center_hz: float, n_bins: int) -> tuple[float, float]:

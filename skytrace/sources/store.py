@@ -18,6 +18,8 @@ RESULT_COLUMNS = {
     "frequency_drift_hz": "double", "smoothness_score": "double", "spectrogram_image_path": "string", "raw_iq_file_path": "string", "notes": "string",
     "rule_detection_result": "int", "rule_confidence_score": "double", "ml_detection_result": "int", "ml_confidence_score": "double", "model_version": "string",
 }
+#: Digits of an id by which the result table is dealt into folders.
+ID_DIGITS = 1
 
 
 def result_rows(scored: DataFrame) -> DataFrame:
@@ -35,12 +37,32 @@ def migrate(old: DataFrame) -> DataFrame:
 
 
 def append_results(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+    """Adds result rows whose id isn't in the table yet, one an id, so that a replay changes nothing.
+
+    The table is dealt by the first digit of the ids, sorted, with Bloom filters on them: only the parts that
+    the new ids fall in are looked at, and they are read for their ids alone.
+    """
+    spark = rows.sparkSession
+    new = rows.dropDuplicates(["id"]).withColumn("id_part", F.substring("id", 1, ID_DIGITS))
+    try:
+        old = results(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        new = new.join(old.select("id_part", "id"), ["id_part", "id"], "left_anti")
+    new = new.select(*rows.columns, "id_part").repartition("id_part").sortWithinPartitions("id_part", "id")
+    new.write.mode("append").option("parquet.bloom.filter.enabled#id", "true").partitionBy("id_part").parquet(path)
+
+
+def results(spark: SparkSession, path: str) -> DataFrame:
+    """The result table; its part is text even where all ids begin with digits."""
+    return spark.read.schema(", ".join(f"{c} {t}" for c, t in RESULT_COLUMNS.items()) + ", id_part string").parquet(path)
 
 
 def get_result(spark: SparkSession, path: str, id_: str) -> DataFrame:
-    """One row or none; the filter reaches the Parquet scan."""
-    return spark.read.parquet(path).filter(F.col("id") == id_)
+    """One row or none: the id's part is picked by its folder, and within it the filter reaches the Parquet scan."""
+    return results(spark, path).filter((F.col("id_part") == id_[:ID_DIGITS]) & (F.col("id") == id_)).drop("id_part")
 
 
 def summaries(scored: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skytrace import functions as FN
 from skytrace.operators import catalog as C
 from skytrace.operators import training as TN
-from skytrace.sources import scan, store
+from skytrace.sources import iq, scan, store
 
 
 def test_names(spark):
@@ -124,22 +124,98 @@ def test_iq_chunks_equal_one_chunk(spark, tmp_path):
     assert (head["fmt"], head["verdict"], head["rows"]) == ("complex64", "iq", 5000)
 
 
-def test_text_matrices(spark, tmp_path):
-    (tmp_path / "good.csv").write_text("1,2\n3,4\n")
-    (tmp_path / "good2.txt").write_text("1 2 3\n4 5 6\n")
-    (tmp_path / "ragged.csv").write_text("1,2\n3\n")
-    (tmp_path / "onerow.csv").write_text("1,2\n")
-    good, bad = scan.text_matrices(spark, str(tmp_path))
-    assert {(r["capture_id"], r["t_idx"], tuple(r["power_db"])) for r in good.collect()} == {("good", 0, (1.0, 2.0)), ("good", 1, (3.0, 4.0)), ("good2", 0, (1.0, 2.0, 3.0)), ("good2", 1, (4.0, 5.0, 6.0))}
-    assert {r["capture_id"] for r in bad.collect()} == {"ragged", "onerow"}
-
-
-def test_result_migration_and_lookup(spark, tmp_path):
-    old = spark.createDataFrame([("x", "f", 1)], "id string, input_file string, detection_result int")
-    new = store.migrate(old)
-    assert new.columns == list(store.RESULT_COLUMNS) and new.first()["rule_detection_result"] is None
-    store.append_results(new, str(tmp_path / "r"))
-    assert store.get_result(spark, str(tmp_path / "r"), "x").count() == 1 and store.get_result(spark, str(tmp_path / "r"), "y").count() == 0
+@pytest.mark.parametrize("split", [64, 1 << 20])
+def test_text_matrices(spark, tmp_path, split):
+    rng = np.random.default_rng(3)
+    large = rng.normal(size=(200, 3)).round(4)
+    files = {
+        "good.csv": "# header, by hand\n1,2\n\n3 , 4  # last\n", "good2.txt": "1 2 3\r\n 4\t5 6 \n", "Upper.CSV": "1e3,-inf\nnan,.5", "large.csv": "\n".join(",".join(map(str, r)) for r in large.tolist()),
+        "ragged.csv": "1,2\n3\n", "onerow.csv": "1,2\n", "onecolumn.txt": "1\n2\n3\n", "words.csv": "a,b\n1,2\n", "suffix.csv": "1d,2\n1,2\n", "open.csv": "1,2,\n3,4,\n", "empty.txt": "", "comments.txt": "# x\n#y\n", "ignored.log": "1 2\n3 4\n",
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        good, bad = scan.text_matrices(spark, str(tmp_path))
+        got = {}
+        for r in good.collect():
+            assert r["time_s"] == r["t_idx"]
+            got.setdefault(r["capture_id"], {})[r["t_idx"]] = r["power_db"]
+        assert {r["capture_id"] for r in bad.collect()} == {"ragged", "onerow", "onecolumn", "words", "suffix", "open", "comments"}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = {k.split(".")[0]: np.loadtxt(str(tmp_path / k), delimiter="," if k.lower().endswith("csv") else None) for k in ("good.csv", "good2.txt", "Upper.CSV", "large.csv")}
+    assert set(got) == set(want)
+    for k, m in want.items():
+        np.testing.assert_array_equal([got[k][i] for i in range(len(got[k]))], m)
+
+
+def test_iq_source_reads_what_is_asked_for(spark, tmp_path):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, LessThanOrEqual, StringContains
+
+    rng = np.random.default_rng(5)
+    x = {c: (rng.normal(size=3000) + 1j * rng.normal(size=3000)).astype(np.complex64) for c in "ab"}
+    (tmp_path / "in").mkdir()
+    x["a"].tofile(tmp_path / "in" / "a.iq")
+    np.save(tmp_path / "in" / "b.npy", x["b"])
+    np.save(tmp_path / "in" / "matrix.npy", np.zeros((3, 4)))
+    (tmp_path / "in" / "note.md").write_text("no capture")
+    iq.register(spark)
+    options = {"path": str(tmp_path / "in"), "sample_rate": "1000", "nperseg": "64", "noverlap": "32", "frames": "20"}
+    df = spark.read.format("iq").options(**options).load()
+    want = {c: scan.power_db(v, 1000.0, 64, 32) for c, v in x.items()}
+    rows = df.collect()
+    assert len(rows) == sum(map(len, want.values())) and all(np.allclose(r["power_db"], want[r["capture_id"]][r["t_idx"]]) for r in rows)
+    some = df.filter("capture_id = 'b' and t_idx >= 25 and t_idx < 41")
+    assert sorted(r["t_idx"] for r in some.collect()) == list(range(25, 41)) and some.rdd.getNumPartitions() == 2
+    assert df.filter("capture_id = 'none'").count() == 0
+    reader, other = iq.IqReader(options), StringContains(("capture_id",), "a")
+    bounds = [GreaterThan(("t_idx",), 39), LessThanOrEqual(("t_idx",), 60)]
+    assert list(reader.pushFilters([EqualTo(("capture_id",), "a"), *bounds, other])) == [*bounds, other]
+    assert [(p.capture_id, p.lo, p.hi) for p in reader.partitions()] == [("a", 40, 60), ("a", 60, 80)]
+    (tmp_path / "in" / "a.iq").unlink()  # only the captures asked for are opened
+    (tmp_path / "in" / "a.npy").write_bytes(b"broken")
+    assert df.filter("capture_id = 'b'").count() == len(want["b"])
+
+
+def test_result_store_is_keyed(spark, tmp_path):
+    """A replayed capture leaves one row; a lookup reads its part of the table alone."""
+    path = str(tmp_path / "r")
+    old = store.migrate(spark.createDataFrame([("7x", "f", 1), ("7x", "f", 1), ("a1", "g", None)], "id string, input_file string, detection_result int"))
+    assert old.columns == list(store.RESULT_COLUMNS) and old.first()["rule_detection_result"] is None
+    for _ in range(2):
+        store.append_results(old, path)
+    captured = spark.createDataFrame([(f"f{i}", "2026", True, 0.5, "n", 0.5, 1.0, 2.0) for i in range(40)], "path string, timestamp_utc string, detected boolean, confidence double, notes string, valid_signal_ratio double, frequency_drift_hz double, smoothness_score double")
+    store.append_results(store.result_rows(captured.limit(30)), path)
+    store.append_results(store.result_rows(captured), path)
+    all_ = store.results(spark, path)
+    assert all_.count() == 42 and all_.select("id").distinct().count() == 42
+    one = store.get_result(spark, path, "7x")
+    assert one.count() == 1 and one.columns == list(store.RESULT_COLUMNS) and one.first()["input_file"] == "f"
+    assert store.get_result(spark, path, "7y").count() == 0 and store.get_result(spark, path, "zz").count() == 0
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(id,7x)" in plan and "id_part" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+
+
+def test_summaries_of_both_generations(spark, tmp_path):
+    import json
+
+    rows = spark.createDataFrame([("a.iq", "2026-01-02T03:04:05+0000", True, 0.5, 0.9, 10.0, float("inf"), "n", "SKIPPED", None, None, None)], "path string, timestamp_utc string, detected boolean, confidence double, valid_signal_ratio double, frequency_drift_hz double, smoothness_score double, notes string, ml_status string, ml_detection_result int, ml_confidence_score double, model_version string")
+    store.write_summaries(rows, str(tmp_path / "s"))
+    (tmp_path / "s" / "date=2025-01-01").mkdir()
+    (tmp_path / "s" / "date=2025-01-01" / "old.json").write_text(json.dumps({"input_file": "b", "timestamp_utc": "2025", "detection_result": False, "confidence_score": 0.25}))
+    new, old = store.read_summaries(spark, str(tmp_path / "s")).orderBy("input_file").collect()
+    assert (new["rule_detection_result"], new["rule_confidence_score"], new["smoothness_score"], new["ml_status"]) == (True, 0.5, None, "SKIPPED")
+    assert (old["rule_detection_result"], old["rule_confidence_score"], old["ml_status"]) == (False, 0.25, None)
+
+
+def test_manifest_of_files(spark, tmp_path):
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    for name, size in (("a.iq", 3), ("deep/b.x.NPY", 4), ("c.Csv", 5), ("d.wav", 6), ("noend", 7)):
+        (tmp_path / "in" / name).write_bytes(b"x" * size)
+    got = {(r["file_name"], r["stem"], r["kind"], r["length"]) for r in scan.manifest(spark, str(tmp_path / "in")).collect()}
+    assert got == {("a.iq", "a", "iq", 3), ("b.x.NPY", "b.x", "npy", 4), ("c.Csv", "c", "spectrogram", 5), ("d.wav", "d", "rejected", 6), ("noend", "noend", "rejected", 7)}
 
 
 def test_sidecar_with_null_rate_counts(spark):

@@ -32,6 +32,35 @@ def test_forests_have_all_trees_and_folds(spark, monkeypatch):
     assert seen == [("trees", 100), ("trees", 100), ("folds", 5, 100)]
 
 
+def test_report_metrics_follow_from_its_scores(spark):
+    """Recomputed in SQL from the scores of the test part; the parts are those of training_windows."""
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    r = training.training_report(spark, folder).first()
+    windows = training.training_windows(spark, folder).toPandas()
+    parts = TN.split(training.labelled_windows(spark, folder), "capture_id")
+    model = TN.fit_forest(TN.assemble(parts.filter("not is_test")))
+    scores = TN.score(parts.filter("is_test"), model).select("capture_id", "label", "ml_detection_result").toPandas()  # noqa: F841
+    got = duckdb.sql("""select count(*) filter (label = 0 and ml_detection_result = 0) as tn, count(*) filter (label = 0 and ml_detection_result = 1) as fp,
+        count(*) filter (label = 1 and ml_detection_result = 0) as fn, count(*) filter (label = 1 and ml_detection_result = 1) as tp from scores""").fetchone()
+    assert got == (r["tn"], r["fp"], r["fn"], r["tp"])
+    assert (r["n_test"], r["n_total"], r["positives"]) == (windows["is_test"].sum(), len(windows), windows["label"].sum()) and r["n"] == r["n_test"]
+    assert set(scores["capture_id"]) == set(windows["capture_id"][windows["is_test"]])
+
+
+def test_folds_fit_side_by_side(spark):
+    """The same figures as one fold after the other."""
+    rows = spark.createDataFrame([(i, float(i % 7), float(i * i % 11), int(i % 7 + i * i % 11 > 8)) for i in range(60)], "capture_id int, snr_db double, peak_power double, label int")
+    whole = TN.assemble(rows, ("snr_db", "peak_power"))
+    got = TN.cross_validate(whole, "capture_id", trees=5)
+    dealt, f1 = TN.folds(whole, "capture_id", 5), []
+    for i in range(5):
+        model = TN.fit_forest(dealt.filter(F.col("fold") != i), trees=5)
+        f1.append(TN.metrics(model.transform(dealt.filter(F.col("fold") == i)), "label", "prediction").first()["f1"])
+    assert got["folds"] == 5 and abs(got["mean_f1"] - sum(f1) / 5) < 1e-12
+
+
 def test_bundle_status_by_path(spark, tmp_path):
     from skytrace.sources import store
 
