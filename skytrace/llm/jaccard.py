@@ -5,12 +5,13 @@
    to all documents. Frequent shingles come last in that order, by a sketch of counts over all documents. The first
    pivots are the leaders of those shingles: of the documents that hold one, the one that shares most. A leader's
    region is every document that shares such a shingle with it or under it. Pivots drawn at random would lie at
-   distance 1 from nearly all documents, and no window would exclude anything; these don't. Counts of the hashes in
-   a few bins (a coarser metric, never above the distance) tell which members have no partner there.
-3. A region is joined exactly by pivots: distances to a few pivots give Voronoi cells; a document is at home with its
-   nearest pivot and is replicated to every other cell within the window of the triangle inequality, in which a
-   linked document may be at home; the cells are joined in the same way in turn. Documents of one component
-   needn't be compared any more, and a region of one component is done.
+   distance 1 from nearly all documents, and no window would exclude anything; these don't.
+3. A region is joined by pivots, twice. First under a coarser metric that never exceeds the distance, that of
+   the counts of the hashes in a few bins: members without anybody in reach there go, so that most texts aren't
+   needed. Then exactly. Either time, distances to a few pivots give Voronoi cells; a document is at home with its nearest pivot
+   and is replicated to every other cell within the window of the triangle inequality, in which a linked document may be
+   at home; the cells are joined in the same way in turn. Every link is one between a pivot and a member. Documents of
+   one component needn't be compared any more, and a region of one component is done.
 4. A region that fits a task is joined there. A larger one is dealt out in pieces: each piece meets the region's next
    pivots, the cells are the regions of the next round, and so on until no region holds two components.
 5. Links are contracted to components by star contractions. A region gives at most one link a document.
@@ -28,12 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, n_parts, slices, text_bytes
 from .components import absorb, connected, same_id
-from .regions import Region, voronoi
+from .regions import Region, partners, voronoi
 from .shingles import mix, shingle_sets
 
 #: Bits of the frequency sketch; a counter so many times the mean of its task counts as frequent there.
@@ -85,40 +87,32 @@ def bin_bits(n: int) -> int:
     return max(3, min(12, n.bit_length() - 2))
 
 
-def partners(n: np.ndarray, counts: list[bytes]) -> np.ndarray:
-    """Which sets may be linked with another one, by sizes and bins: counts of common bins bound the intersection from above."""
-    ok = np.zeros(len(n), bool)
+def with_partner(n: np.ndarray, counts: list[bytes]) -> np.ndarray:
+    """Which sets may be linked with another one, by their bins; see :func:`regions.partners`. Full bins tell only sizes."""
+    ok, full = np.zeros(len(n), bool), np.array([255 in c for c in counts])
+    for i in np.flatnonzero(full):
+        near = (100 * np.minimum(n, n[i]) >= 80 * np.maximum(n, n[i])) & (np.arange(len(n)) != i)
+        ok |= near
+        ok[i] |= near.any()
     bits = np.array([bin_bits(int(x)) for x in n])
-    rows = {int(b): np.flatnonzero(bits == b) for b in np.unique(bits)}
-    full = {b: np.frombuffer(b"".join([counts[i] for i in r]), np.uint8).reshape(len(r), -1).astype(np.int16) for b, r in rows.items()}
-    for b, own in rows.items():
-        for above in (b, b + 1):  # sizes within a fifth differ by one bit at most
-            if above not in rows:
-                continue
-            other = full[above] if above == b else full[above].reshape(len(rows[above]), -1, 2).sum(axis=2)
-            for k, i in enumerate(own.tolist()):
-                js = rows[above][k + 1 :] if above == b else rows[above]
-                near = (100 * np.minimum(n[js], n[i]) >= 80 * np.maximum(n[js], n[i])) & ~(ok[js] & ok[i])
-                js = np.flatnonzero(near) + (k + 1 if above == b else 0)
-                if len(js):
-                    most = np.minimum(other[js], full[b][k]).sum(axis=1)
-                    capped = (full[above][js] == 255).any(axis=1) | (full[b][k] == 255).any()
-                    js = rows[above][js]
-                    most = np.where(capped, np.minimum(n[js], n[i]), most)
-                    js = js[100 * most >= 80 * (n[js] + n[i] - most)]
-                    ok[js] = True
-                    ok[i] |= len(js) > 0
+    rows = {int(b): np.flatnonzero((bits == b) & ~full) for b in np.unique(bits)}
+    bins_of = {b: np.frombuffer(b"".join([counts[i] for i in r]), np.uint8).reshape(len(r), -1).astype(np.int32) for b, r in rows.items() if len(r)}
+    for b, own in bins_of.items():  # sizes within a fifth differ by one bit at most
+        above = rows[b + 1] if b + 1 in bins_of else np.empty(0, np.int64)
+        both = np.concatenate([rows[b], above])
+        folded = np.vstack([own, bins_of[b + 1].reshape(len(above), -1, 2).sum(axis=2)]) if len(above) else own
+        ok[both] |= partners(n[both], folded, np.arange(len(both)) >= len(own))
     return ok
 
 
 def _with_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (r, piece, whole, doc, n, weight, bins) sorted by region, without those that :func:`partners` excludes from a whole region."""
+    """Rows (r, piece, whole, doc, n, weight, bins) sorted by region, without those that :func:`with_partner` excludes from a whole region."""
     held: list[tuple] = []
 
     def done() -> pa.RecordBatch:
         rows = held
         if rows[0][2]:
-            ok = partners(np.array([x[4] for x in rows], np.int64), [x[6] for x in rows])
+            ok = with_partner(np.array([x[4] for x in rows], np.int64), [x[6] for x in rows])
             rows = [x for x, good in zip(rows, ok, strict=True) if good]
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in (0, 3, 4, 5)], ["r", "doc", "n", "weight"])
 
@@ -176,7 +170,7 @@ def _partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if end < len(tok):
             held[:] = t.slice(end).to_batches()
         tok, n, left = tok[:end], n[:end], left[:end]
-        ok = t.column("times").to_numpy()[:end] > FEW
+        ok = np.zeros(end, bool)
         for step in range(1, FEW):
             same = np.flatnonzero(tok[step:] == tok[:-step])
             same = same[~ok[same] | ~ok[same + step]]
@@ -188,6 +182,9 @@ def _partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from t.slice(0, end).select(["tok", "doc", "n", "times"]).filter(pa.array(ok)).to_batches()
 
     for batch in batches:
+        many = pc.greater(batch.column("times"), FEW)  # their documents are dealt over tasks, so nothing can be told here
+        yield batch.filter(many).select(["tok", "doc", "n", "times"])
+        batch = batch.filter(pc.invert(many))
         if batch.num_rows:
             held.append(batch)
             if sum(b.num_rows for b in held) > 50_000:

@@ -6,8 +6,8 @@ import numpy as np
 
 #: Two sets are linked at a Jaccard distance of REACH at most: 100 * common >= 80 * union.
 REACH, EPS = 0.2, 1e-9
-#: Pivots of one step inside a task; regions so small are compared set by set; pairs of a shingle and a pivot counted at once.
-PIVOTS, DIRECT, AT_ONCE = 8, 8, 2_000_000
+#: Pivots of one step inside a task; pairs of a shingle and a pivot counted at once.
+PIVOTS, AT_ONCE = 8, 2_000_000
 
 
 def linked(common: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -65,27 +65,30 @@ class Region:
             rows = todo.pop()
             if len(rows) < 2 or (self.comp[rows] == self.comp[rows[0]]).all():
                 continue
-            if len(rows) <= DIRECT:
-                self._direct(rows)
-                continue
-            pivots, rest = rows[:PIVOTS], rows[PIVOTS:]
-            self.measure(pivots, pivots)
-            d = self.measure(rest, pivots)
-            cells = voronoi(d)
-            cells[:, np.bincount(d.argmin(axis=1), minlength=len(pivots)) == 0] = False  # nobody is at home
-            parts = [rest[cells[:, j]] for j in range(len(pivots))]
-            if cells.sum() <= 1.5 * len(rest):
-                todo += parts
-            else:  # the pivots tell the others too little apart
-                todo.append(rest)
-
-    def _direct(self, rows: np.ndarray) -> None:
-        for k, i in enumerate(rows):
-            for j in rows[k + 1 :]:
-                n, m = self.n[i], self.n[j]
-                if self.comp[i] != self.comp[j] and 100 * min(n, m) >= 80 * max(n, m):
-                    if linked(len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True)), n, m):
-                        self.unite(i, j)
+            pivots, rest = chosen(rows)
+            if len(pivots) > 1:
+                self.measure(pivots, pivots)
+            todo += [rest[part] for part in parts(self.measure(rest, pivots))]
+
+
+def chosen(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pivots, others): one pivot for a small region."""
+    n = max(1, min(PIVOTS, len(rows) // 4))
+    return rows[:n], rows[n:]
+
+
+def parts(d: np.ndarray) -> list[np.ndarray]:
+    """Places of the rows of ``d`` (distances to the pivots) in parts that hold every linked pair: Voronoi cells with the rows in their windows,
+    or, where these overlap too much, stretches of the distance to the first pivot that lie further apart than a link reaches."""
+    if not len(d):
+        return []
+    if d.shape[1] > 1:
+        cells = voronoi(d)
+        cells[:, np.bincount(d.argmin(axis=1), minlength=d.shape[1]) == 0] = False  # nobody is at home
+        if cells.sum() <= 1.5 * len(d):
+            return [np.flatnonzero(c) for c in cells.T]
+    order = np.argsort(d[:, 0], kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(d[order, 0]) > REACH + EPS) + 1)
 
 
 def voronoi(d: np.ndarray) -> np.ndarray:
@@ -95,3 +98,26 @@ def voronoi(d: np.ndarray) -> np.ndarray:
     other pivot q.
     """
     return d <= d.min(axis=1)[:, None] + 2 * REACH + EPS
+
+
+def partners(n: np.ndarray, counts: np.ndarray, upper: np.ndarray) -> np.ndarray:
+    """Which sets may have a linked one, by the counts of their hashes in bins: a join under the coarser distance of these.
+
+    1 - (sum of the lesser counts) / (sum of the larger ones) is a metric and never above the sets' distance, so the same pivots,
+    cells and windows hold. Pairs of two ``upper`` sets don't count.
+    """
+    ok, todo = np.zeros(len(n), bool), [np.arange(len(n))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) < 2 or ok[rows].all():
+            continue
+        pivots, rest = chosen(rows)
+        d = np.empty((len(rows), len(pivots)))
+        for j, p in enumerate(pivots):
+            common = np.minimum(counts[rows], counts[p]).sum(axis=1)
+            d[:, j] = 1 - common / (n[rows] + n[p] - common)
+            near = rows[(d[:, j] <= REACH + EPS) & (rows != p) & ~(upper[rows] & upper[p])]
+            ok[near] = True
+            ok[p] |= len(near) > 0
+        todo += [rest[part] for part in parts(d[len(pivots) :])]
+    return ok

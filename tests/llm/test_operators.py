@@ -506,3 +506,14 @@ def test_region_join_links_every_component():
                     if 100 * both >= 80 * (len(x) + len(sets[j]) - both):
                         comp[i] = comp[j] = min(comp[i], comp[j])
         assert len(np.unique(np.stack([comp, region.comp]), axis=1).T) == len(np.unique(comp)) == len(np.unique(region.comp))
+        # the coarser metric keeps whoever is linked, and leaves out most of the others
+        spread = [(s * np.uint64(0x9E3779B97F4A7C15)) for s in sets]
+        spread = [np.sort(s) for s in spread]
+        alone = [np.sort(rng.integers(0, 1 << 64, rng.integers(40, 300), dtype=np.uint64)) for _ in range(30)]
+        every = spread + alone
+        ok = jaccard.with_partner(np.array([len(s) for s in every]), [jaccard.bins(s) for s in every])
+        for i, x in enumerate(sets):
+            for j in range(i):
+                both = len(np.intersect1d(x, sets[j]))
+                assert 100 * both < 80 * (len(x) + len(sets[j]) - both) or (ok[i] and ok[j])
+        assert ok[len(sets) :].sum() <= 15
