@@ -393,21 +393,63 @@ def test_classifier_separates_and_survives_no_labels(spark, docs):
     assert len(none) == docs.count() and all(r["keep"] for r in none)
 
 
-def test_classifier_learns_from_documents_without_label(spark, monkeypatch):
-    """The pool holds the unlabelled documents and only them, all labelled rows are fitted or held, and the views teach each other rows of it."""
-    good = [(i, prose(60), "en", "s", 300) for i in range(160)] + [(None, prose(60), "en", "s", 300)]
-    bad = [(1000 + i, prose(60).upper().replace(" ", "!! "), "en", "t", 900) for i in range(80)]
-    df = spark.createDataFrame(good + bad, "doc_id long, text string, lang string, source string, n_chars long")
-    labels = df.filter("doc_id % 4 = 0").select("doc_id", (F.col("doc_id") < 1000).cast("int").alias("quality")).union(spark.createDataFrame([(1, None)], "doc_id long, quality int"))
-    seen, fits, fit, own = [], [], cotrain.fit_logistic, cotrain.co_train
-    monkeypatch.setattr(cotrain, "co_train", lambda *a: seen.append(a) or own(*a))
-    monkeypatch.setattr(cotrain, "fit_logistic", lambda x, *a, **k: fits.append(len(x)) or fit(x, *a, **k))
+def layered(rnd):
+    """Good and bad documents, of which some show it in their words, some in their lines and some in both."""
+    rows = []
+    for i in range(420):
+        bad, how = i % 3 == 0, rnd.choice(["words", "lines", "both"])
+        words = prose(40)
+        if bad and how != "lines":
+            words = " ".join(w + rnd.choice(["###", "$$$", ""]) for w in words.split())
+        own = words.split()
+        lines = [" ".join(own[k : k + 8]) for k in range(0, 40, 8)]
+        if bad and how != "words":
+            lines = lines[:2] * 4
+        rows.append((i, "\n".join(lines), rnd.choice(["en", None]), f"s{i % 4}", len(words), int(not bad)))
+    return rows
+
+
+def test_views_teach_each_other_from_all_documents_without_label(spark, monkeypatch):
+    """Against a plain version that holds all documents; the table has clashing columns, repeated rows and null ids."""
+    monkeypatch.setattr(cotrain, "TAUGHT", 9)
+    rows = layered(random.Random(9))
+    rows += [rows[1], rows[2], (None, rows[0][1], None, None, None, 0), (None, None, None, None, None, 1), (1000, "", "en", "s", 0, 1)]
+    df = spark.createDataFrame([(*r[:5], 0.5, 1.0, True, r[5], b"x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, score double, m0 double, keep boolean, quality int, tx binary")
+    labels = spark.createDataFrame([(r[0], r[5]) for r in rows[:420] if r[0] % 4 == 1] + [(2, None), (2, 7), (None, 1)], "doc_id long, quality int")
+    known = {r[0] for r in rows[:420] if r[0] % 4 == 1}
+    f32 = lambda x: x.astype(np.float32).astype(float)
+    texts = [(r[1] or "").encode() for r in rows]
+    x = (f32(cotrain.text_features(texts)), f32(cotrain.meta_features(texts, [r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows])))
+    hashes = {r["doc_id"]: r["h"] for r in df.select("doc_id", F.xxhash64("doc_id", F.lit(5)).alias("h")).collect()}
+    order = [i for i in sorted(range(len(rows)), key=lambda i: (hashes[rows[i][0]], rows[i][0] or -1)) if rows[i][0] in known]
+    y = np.array([rows[i][5] for i in order], float)
+    held = np.arange(len(y)) % 4 == 0
+    views, pool = [v[order] for v in x], [i for i, r in enumerate(rows[:420] + rows[-1:]) if r[0] not in known]
+    pool = [i if i < 420 else len(rows) - 1 for i in pool]
+    models, learned = [cotrain.fit_logistic(v[~held], y[~held]) for v in views], [{}, {}]
+    for _ in range(cotrain.ROUNDS):
+        given = [{}, {}]
+        for v in (0, 1):
+            good, bad = cotrain.bounds(views[v][~held], y[~held])
+            m = {i: float(cotrain.decide(x[v][i : i + 1], models[v])[0]) for i in pool if i not in learned[1 - v]}
+            key = lambda i, s: (-s * m[i], hashes[rows[i][0]])  # noqa: B023, E731
+            for i in sorted((i for i in m if m[i] <= bad), key=lambda i: key(i, -1))[: cotrain.TAUGHT]:
+                given[1 - v][i] = 0.0
+            for i in sorted((i for i in m if m[i] >= good), key=lambda i: key(i, 1))[: cotrain.TAUGHT]:
+                given[1 - v][i] = 1.0
+        for v in (0, 1):
+            learned[v].update(given[v])
+            t = np.array(list(learned[v].values()))
+            models[v] = cotrain.fit_logistic(np.vstack([views[v][~held], x[v][list(learned[v])]]), np.append(y[~held], t), np.append(np.ones((~held).sum()), np.full(len(t), 0.5)))
+    model = cotrain.train(df, labels)
+    assert model["taught"] == [len(t) for t in learned] and min(model["taught"]) >= 2 * cotrain.TAUGHT
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(model["models"], models, strict=True))
     got = cotrain.classify(df, labels).collect()
-    (_, y, held, pool), = seen
-    assert len(y) == 60 and held.sum() == 15 and [len(v) for v in pool] == [181, 181]
-    assert max(fits) > 45 and all(r["keep"] == ((r["doc_id"] or 0) < 1000) for r in got)
-    few = cotrain.train(df.filter("doc_id % 4 = 0"), labels)
-    assert few is not None and len(seen[-1][3][0]) == 0
+    right = {r[0]: r[5] for r in rows}
+    assert len(got) == len(rows) and all(r["keep"] for r in got if r["doc_id"] is not None and right[r["doc_id"]])
+    assert sum(not r["keep"] for r in got) >= 120
+    kept = cotrain.good_documents(df, labels)
+    assert kept.columns == df.columns and kept.count() == sum(r["keep"] for r in got)
 
 
 def test_near_copies(docs):
