@@ -10,7 +10,7 @@ pieces by hash, a piece's distinct grams are joined with the table and brought t
 The base is the sum over words and one end of log10((c + 1) / (N + 1 * (V + 1))). Counts of frequent words (at most
 ``FREQUENT``) are sent to all tasks; all other words of a document are joined with the counts.
 
-Nulls: a null text is empty and still has its end; a null id counts as an empty text in the split. Rows that repeat
+Nulls: a null text is empty and still has its end, which is a zero byte, so that a zero byte in a text is scored as an end; a null id counts as an empty text in the split. Rows that repeat
 are separate documents. Without training documents all chances are even (1/256 a byte) and N = V = 0. An empty
 table gives no rows. Texts of any length are read whole. Other columns are ignored, whatever their names.
 """
@@ -31,8 +31,9 @@ from .common import discard, materialize, n_parts, slices, text_bytes
 ORDER, FREQUENT = 5, 100_000
 #: Bytes scored at once; words a task gathers before it hands them on; grams it gathers before it merges them; byte that ends a text.
 AT_ONCE, WORDS_HELD, GRAMS_HELD, END = 2_000_000, 400_000, 2_000_000, 0
-#: Least bytes of text a piece; more and smaller pieces would only repeat the frequent grams.
-PIECE = 3_000_000
+#: Bytes of text a piece at least (smaller ones would only repeat the frequent grams) and at most, on average: a piece is what a task
+#: scores at once, and pieces of one task come one after the other.
+PIECE, LARGEST = 3_000_000, 16_000_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -60,22 +61,29 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _piece_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(piece, text, held_out) to (piece, gram, occurrences in training texts) of the distinct grams of each piece."""
-    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    """(piece, text, held_out) sorted by piece to (piece, gram, occurrences in training texts) of the distinct grams of each piece."""
+    piece, held = None, []
+
+    def done() -> pa.RecordBatch:
+        g, n = _merged(held)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(g), piece, np.int64)), pa.array(g.view(np.int64)), pa.array(n)], ["piece", "g", "n"])
+
     for batch in batches:
         for part in slices(batch, "text", AT_ONCE):
             for own in pc.unique(part.column("piece")).to_pylist():
-                of_piece = held.setdefault(own, [])
+                if own != piece:
+                    if held:
+                        yield done()
+                    piece, held = own, []
                 for out in (False, True):
                     texts = part.filter(pc.and_(pc.equal(part.column("piece"), own), pc.equal(part.column("held_out"), out))).column("text")
                     if len(texts):
                         k, c = np.unique(grams([t.translate(_LOWER) for t in text_bytes(texts)])[0], return_counts=True)
-                        of_piece.append((k, np.zeros_like(c) if out else c))
-                if sum(len(k) for k, _ in of_piece) > GRAMS_HELD:
-                    of_piece[:] = [_merged(of_piece)]
-    for own, parts in held.items():
-        g, n = _merged(parts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), own, np.int64)), pa.array(g.view(np.int64)), pa.array(n)], ["piece", "g", "n"])
+                        held.append((k, np.zeros_like(c) if out else c))
+                if sum(len(k) for k, _ in held) > GRAMS_HELD:
+                    held[:] = [_merged(held)]
+    if held:
+        yield done()
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,47 +101,6 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-class Trie:
-    """The model of a small training set in memory, with the chances that :func:`chances` has. Chances as sorted arrays: for each depth the known grams with log10 chances, and the contexts with log10 escapes."""
-
-    def __init__(self, by_depth: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        """``by_depth[k]``: (gram of k + 1 bytes, its count, occurrences and distinct successors of its context)."""
-        self.grams, self.logs, self.contexts, self.escapes = [], [], [], []
-        for k, (g, c, n, d) in enumerate(by_depth):
-            order = np.argsort(g)
-            g, c, n, d = g[order], c[order].astype(float), n[order].astype(float), d[order].astype(float)
-            p = c / (n + d)
-            ctx, first, where = np.unique(g >> np.uint64(8), return_index=True, return_inverse=True)
-            left = 1 - np.bincount(where, weights=p, minlength=len(ctx))
-            below = np.full(len(g), 1 / 256) if k == 0 else 10 ** self.log(k - 1, g & np.uint64((1 << (8 * k)) - 1))
-            free = 1 - np.bincount(where, weights=below, minlength=len(ctx))
-            full = free < 1e-9  # every byte is known here: no escape is left to share
-            if full.any():
-                p = np.where(full[where], p / np.maximum(1e-12, 1 - left)[where], p)
-            self.grams.append(g)
-            self.logs.append(np.log10(p))
-            self.contexts.append(ctx)
-            self.escapes.append(np.log10(np.maximum(left, 1e-12) / np.maximum(free, 1e-9)))
-
-    def log(self, k: int, key: np.ndarray) -> np.ndarray:
-        """log10 chance of each gram of k + 1 bytes."""
-        if k < 0:
-            return np.full(len(key), -np.log10(256.0))
-        g, out = self.grams[k], np.empty(len(key))
-        at = np.minimum(np.searchsorted(g, key), max(0, len(g) - 1))
-        known = g[at] == key if len(g) else np.zeros(len(key), bool)
-        out[known] = self.logs[k][at[known]]
-        rest = np.flatnonzero(~known)
-        if len(rest):
-            low, ctx, c = key[rest], key[rest] >> np.uint64(8), self.contexts[k]
-            out[rest] = self.log(k - 1, low & np.uint64((1 << (8 * k)) - 1))
-            if len(c):
-                at = np.minimum(np.searchsorted(c, ctx), len(c) - 1)
-                seen = c[at] == ctx
-                out[rest[seen]] += self.escapes[k][at[seen]]
-        return out
-
-
 def _limit(counts: DataFrame, column: str, most: int) -> int:
     """Least power of two that at most ``most`` of the counts reach, above all counts if even the largest are too many."""
     rows = sorted(counts.groupBy(F.floor(F.log2(column)).cast("int").alias("b")).count().collect(), reverse=True)
@@ -146,19 +113,6 @@ def _limit(counts: DataFrame, column: str, most: int) -> int:
     return 1 << min(limit, 62)
 
 
-def train(training: DataFrame) -> Trie:
-    """The trie of a few training texts in memory."""
-    texts = [t.translate(_LOWER) for row in training.select(F.col("text").cast("binary")).collect() for t in [bytes(row[0] or b"")]]
-    full, n = np.unique(grams(texts)[0] if texts else np.empty(0, np.uint64), return_counts=True)
-    by_depth = []
-    for k in range(ORDER + 1):
-        g, where = np.unique(full & np.uint64((1 << (8 * (k + 1))) - 1), return_inverse=True)
-        c = np.bincount(where, weights=n, minlength=len(g))
-        _, ctx = np.unique(g >> np.uint64(8), return_inverse=True)
-        by_depth.append((g, c, np.bincount(ctx, weights=c)[ctx], np.bincount(ctx)[ctx]))
-    return Trie(by_depth)
-
-
 def chances(counted: DataFrame) -> DataFrame:
     """(g, n) of distinct grams of ORDER + 1 bytes, n = 0 where only texts to be scored hold them, to (g, log10 chance)."""
     below = None
@@ -184,10 +138,12 @@ def chances(counted: DataFrame) -> DataFrame:
     return below
 
 
-def _spread(spark: SparkSession, n: int) -> list[int]:
-    """A key for each of n partitions that the hash of a shuffle deals there, so that pieces are dealt evenly."""
-    rows = spark.range(40 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).collect()
-    return sorted(r["id"] for r in rows)
+def _spread(spark: SparkSession, parts: int, n: int) -> list[int]:
+    """Keys of ``n`` pieces that the hash of a shuffle deals evenly to ``parts`` partitions, several to each where there are more pieces."""
+    each = -(-n // parts)
+    order = Window.partitionBy("p").orderBy("id")
+    rows = spark.range(40 * parts * each).withColumn("p", F.pmod(F.hash("id"), F.lit(parts))).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= each)
+    return [r["id"] for r in rows.orderBy("k", "p").limit(n).collect()]
 
 
 def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_id") -> DataFrame:
@@ -205,10 +161,13 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: st
     frequent = dict(zip(common.column("w").to_pylist(), np.log10(common.column("n").to_numpy() + 1.0).tolist(), strict=True))
     shared = spark.sparkContext.broadcast(frequent)
     size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    keys = _spread(spark, n_parts(spark))[: 1 + size // PIECE]
-    place = F.pmod(F.xxhash64(id_col, "text"), F.lit(len(keys))).cast("int")
-    dealt = base.withColumn("piece", F.get(F.lit(keys).cast("array<bigint>"), place))
-    by_piece = materialize(dealt.select("piece", "text", "held_out").repartition(n_parts(spark), "piece").mapInArrow(_piece_grams, "piece long, g long, n long"), "grams")
+    # a piece for each task where that leaves them PIECE bytes, and more pieces than tasks where they would hold over LARGEST
+    n_pieces = max(min(n_parts(spark), 1 + size // PIECE), -(-size // LARGEST))
+    place = F.pmod(F.xxhash64(id_col, "text"), F.lit(n_pieces))
+    if n_pieces <= 8 * n_parts(spark):  # more are dealt evenly enough by their numbers
+        place = F.get(F.lit(_spread(spark, n_parts(spark), n_pieces)).cast("array<bigint>"), place.cast("int"))
+    dealt = base.withColumn("piece", place.cast("long"))
+    by_piece = materialize(dealt.select("piece", "text", "held_out").repartition(n_parts(spark), "piece").sortWithinPartitions("piece").mapInArrow(_piece_grams, "piece long, g long, n long"), "grams")
     counted = materialize(by_piece.groupBy("g").agg(F.sum("n").alias("n")), "counted")
     model = chances(counted)
     discard(counted)

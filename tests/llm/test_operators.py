@@ -219,33 +219,6 @@ def test_license_rules_hold_their_keyword():
     assert {brute_licences(t)[5] for t in LICENCE_TEXTS[:4]} == {"mit", "apache,apache-2.0", "gpl-2.0-or-later"} and brute_licences(LICENCE_TEXTS[4])[5] == "bsd-3-clause"
 
 
-def test_ppm_base_and_total_chance(spark, docs):
-    got = ppm.score_documents(docs.union(docs.filter("doc_id = 3"))).collect()
-    assert len(got) == docs.count() + 1 and all(r["score"] < 0 for r in got)
-    assert {r["n_tokens"] for r in got if r["doc_id"] in (7, 8)} == {1}
-    trie = ppm.train(docs.select("text"))
-    for ctx in (b"\n\n\n\n\n", b"ation", b"zzzzz"):
-        keys = np.array([int.from_bytes(ctx + bytes([b]), "big") for b in range(256)], np.uint64)
-        assert abs((10 ** trie.log(ppm.ORDER, keys)).sum() - 1) < 1e-6
-    assert ppm.score_documents(empty(docs)).count() == 0
-
-
-def test_ppm_keeps_every_gram(spark, docs):
-    """Scores by the joined table are those of the whole trie: over 420,000 grams a depth, no bound falls on them."""
-    rng = np.random.default_rng(3)
-    noise = ["".join(map(chr, rng.integers(97, 123, 60_000))) for _ in range(10)]
-    df = docs.unionByName(spark.createDataFrame([(900 + i, t, "en", None, len(t)) for i, t in enumerate(noise)] + [(None, noise[0], "en", None, 1)], docs.schema))
-    got = ppm.score_documents(df).collect()
-    trie = ppm.train(df.filter(~F.col("doc_id").isin([r["doc_id"] for r in got if r["held_out"]]) | F.col("doc_id").isNull()).select("text"))
-    assert len(trie.grams[ppm.ORDER]) > 420_000 and any(r["held_out"] for r in got)
-    want = {r["doc_id"]: (r["text"] or "").encode() for r in df.collect()}
-    for r in got:
-        keys, _ = ppm.grams([want[r["doc_id"]].translate(ppm._LOWER)])
-        assert abs(trie.log(ppm.ORDER, keys).sum() - r["score"]) < 1e-6 * len(keys)
-    alone = ppm.score_documents(docs.limit(0).unionByName(spark.createDataFrame([r for r in df.collect() if r["doc_id"] in {x["doc_id"] for x in got if x["held_out"]}], docs.schema))).collect()
-    assert alone and all(abs(r["score"] + (r["n_bytes"] + 1) * np.log10(256)) < 1e-6 * (r["n_bytes"] + 1) for r in alone)
-
-
 @pytest.mark.parametrize("many", [2, 2000])
 def test_suffix_repeats(docs, many, monkeypatch):
     monkeypatch.setattr(suffixes, "MANY_CLASSES", many)
