@@ -43,10 +43,10 @@ def slice_features(slices: DataFrame, threshold_db: float, f0: float | Column, d
     return peak_features(peak_rows(slices, threshold_db, f0, df), kernel)
 
 
-def peak_features(peaks: DataFrame, kernel: int = 7, length: str | None = None) -> DataFrame:
-    """Rows of ``peak_rows`` to features; ``length`` as in ``smooth``. Columns that features don't read go first, so that all passes of the smoothing read one shuffle."""
+def peak_features(peaks: DataFrame, kernel: int = 7, length: str | None = None, longest: int | None = None) -> DataFrame:
+    """Rows of ``peak_rows`` to features; ``length`` and ``longest`` as in ``smooth``. Columns that features don't read go first, so that all passes of the smoothing read one shuffle."""
     used = ("capture_id", "t_idx", "time_s", "valid", "strongest_db", "noise_db", "trace_hz", "width_hz", "power_sum", "n_bins")
-    return extract_features(T.smooth(peaks.select(*used, *([length] if length else [])), kernel, length=length))
+    return extract_features(T.smooth(peaks.select(*used, *([length] if length else [])), kernel, length=length, longest=longest))
 
 
 def detect(features: DataFrame, min_ratio: float = MIN_VALID_RATIO, min_drift: float = MIN_DRIFT_HZ, max_smoothness: float = MAX_SMOOTHNESS_HZ) -> DataFrame:

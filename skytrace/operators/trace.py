@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slices of a cell, cells of a block: a block is what one task smooths.
-CELL, CELLS = 1024, 64
+from skytrace.operators.order import carried
+
+#: Slices of a cell, cells of a block: a block is what one task smooths. Bins of a slice whose values one task may hold.
+CELL, CELLS, LONG = 1024, 64, 1 << 16
 
 
 def any_nan(p: Column) -> Column:
@@ -32,10 +34,29 @@ def strongest(slices: DataFrame, threshold_db: float, f0: float | Column, df: fl
     return out.withColumn("width_hz", F.when(F.col("valid"), (F.array_max(above) - F.array_min(above)) * F.lit(df)))
 
 
-def strongest_long(points: DataFrame, slice_col: str, bin_col: str, power_col: str) -> DataFrame:
-    """The same for one row per bin: slice, bin, strongest_db, noise_db."""
+def strongest_long(points: DataFrame, slice_col: str, bin_col: str, power_col: str, longest: int | None = None) -> DataFrame:
+    """The same for one row per bin: slice, bin, strongest_db, noise_db.
+
+    A percentile holds the values of a slice, so slices of more than ``LONG`` bins get their median from :func:`ranked_median`;
+    ``longest`` is the number of bins of the longest slice, where it has been counted.
+    """
     first = F.max_by(F.col(bin_col), F.struct(F.col(power_col), -F.col(bin_col)))
-    return points.groupBy(slice_col).agg(first.alias("bin"), F.max(power_col).alias("strongest_db"), F.percentile(power_col, F.lit(0.5)).alias("noise_db"))
+    figures = [first.alias("bin"), F.max(power_col).alias("strongest_db")]
+    noise = F.percentile(power_col, F.lit(0.5)).alias("noise_db")
+    if longest is not None and longest <= LONG:
+        return points.groupBy(slice_col).agg(*figures, noise)
+    long_ = points.groupBy(slice_col).agg(F.count(power_col).alias("n"), *figures).filter(F.col("n") > LONG).drop("n")
+    short = points.join(long_.select(slice_col), slice_col, "left_anti").groupBy(slice_col).agg(*figures, noise)
+    return short.unionByName(long_.join(ranked_median(points.join(long_.select(slice_col), slice_col, "left_semi"), slice_col, power_col), slice_col))
+
+
+def ranked_median(points: DataFrame, slice_col: str, power_col: str) -> DataFrame:
+    """(slice, noise_db): exact medians of slices of any size, by a segmented scan over the values; nulls don't count."""
+    p = points.select(slice_col, F.col(power_col).cast("double").alias("v")).dropna(subset=["v"])
+    n = p.groupBy(slice_col).agg(F.count(F.lit(1)).alias("n"))
+    ranked = carried(p, [slice_col], ["v"], below=("sum", F.lit(1).cast("long"))).join(n, slice_col)
+    middle = (F.col("below") == F.floor((F.col("n") - 1) / 2)) | (F.col("below") == F.floor(F.col("n") / 2))
+    return ranked.filter(middle).groupBy(slice_col).agg(F.avg("v").alias("noise_db"))
 
 
 def fill_gaps(trace: DataFrame, capture: str | list[str] = "capture_id", index: str = "t_idx", value: str = "trace_hz", before: str | None = None, after: str | None = None) -> DataFrame:
@@ -71,18 +92,20 @@ def jumps(trace: DataFrame, capture: str | list[str] = "capture_id", index: str
     return trace.withColumn("jump", F.col(value) - F.last(value, ignorenulls=True).over(before))
 
 
-def smooth(trace: DataFrame, kernel: int = 7, capture: str = "capture_id", index: str = "t_idx", value: str = "trace_hz", length: str | None = None, cell: int = CELL, cells: int = CELLS) -> DataFrame:
+def smooth(trace: DataFrame, kernel: int = 7, capture: str = "capture_id", index: str = "t_idx", value: str = "trace_hz", length: str | None = None, cell: int = CELL, cells: int = CELLS, longest: int | None = None) -> DataFrame:
     """Gap filling, median filter and jumps of captures of any length.
 
     ``length`` names a column with the slices of a row's capture, which is dropped: captures of one block or less then need one
-    window each, and only longer ones go through ``smooth_blocks``. Without it all do. The rows are the same either way.
+    window each, and only longer ones go through ``smooth_blocks``. Without it all do. ``longest`` is the length of the longest capture,
+    where it has been counted: if that is a block or less, blocks aren't even planned. The rows are the same either way.
     """
     if length is None:
         return smooth_blocks(trace, kernel, capture, index, value, cell, cells)
     is_long = F.col(length) > cell * cells
-    short = fill_gaps(trace.filter(~is_long).drop(length), capture, index, value)
+    none_long = longest is not None and longest <= cell * cells
+    short = fill_gaps((trace if none_long else trace.filter(~is_long)).drop(length), capture, index, value)
     short = jumps(median_filter(short, kernel, capture, index, mask=value), capture, index)
-    return short.unionByName(smooth_blocks(trace.filter(is_long).drop(length), kernel, capture, index, value, cell, cells))
+    return short if none_long else short.unionByName(smooth_blocks(trace.filter(is_long).drop(length), kernel, capture, index, value, cell, cells))
 
 
 def smooth_blocks(trace: DataFrame, kernel: int = 7, capture: str = "capture_id", index: str = "t_idx", value: str = "trace_hz", cell: int = CELL, cells: int = CELLS) -> DataFrame:

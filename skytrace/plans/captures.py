@@ -41,8 +41,13 @@ def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered(FT.peak_rows(spectra(spark, sf_dir), THRESHOLD, F0, DF))
 
 
+def longest(df: DataFrame, key: str) -> int:
+    """Rows of the commonest key: one count by key, which reads that column alone."""
+    return df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FT.peak_features(peaks(spark, sf_dir), length="n_slices")
+    return FT.peak_features(peaks(spark, sf_dir), length="n_slices", longest=longest(table(spark, sf_dir, "embeddings"), "label"))
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -54,7 +59,7 @@ def slice_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capture_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = TR.smooth(peaks(spark, sf_dir).select("capture_id", "t_idx", "trace_hz", "n_slices"), length="n_slices")
+    out = TR.smooth(peaks(spark, sf_dir).select("capture_id", "t_idx", "trace_hz", "n_slices"), length="n_slices", longest=longest(table(spark, sf_dir, "embeddings"), "label"))
     return rounded(out, "trace_hz", "filled", "smoothed", "jump")
 
 
@@ -83,11 +88,11 @@ def event_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(TR.smooth(event_trace(spark, sf_dir), length="n_slices"), "trace_hz", "filled", "smoothed", "jump")
+    return rounded(TR.smooth(event_trace(spark, sf_dir), length="n_slices", longest=longest(table(spark, sf_dir, "events"), "user_id")), "trace_hz", "filled", "smoothed", "jump")
 
 
 def event_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = TR.smooth(event_trace(spark, sf_dir), length="n_slices").withColumn("p", F.when(F.col("smoothed").isNotNull(), F.col("t_idx")))
+    t = TR.smooth(event_trace(spark, sf_dir), length="n_slices", longest=longest(table(spark, sf_dir, "events"), "user_id")).withColumn("p", F.when(F.col("smoothed").isNotNull(), F.col("t_idx")))
     drift = F.when(F.count("p") >= 2, F.abs(F.max_by("smoothed", "p") - F.min_by("smoothed", "p"))).otherwise(0.0)
     rough = F.when(F.count("p") >= 3, F.stddev_pop("jump")).otherwise(float("inf"))
     return rounded(t.groupBy("capture_id").agg(F.count("p").alias("points"), drift.alias("drift"), rough.alias("smoothness")), "drift", "smoothness")
@@ -96,7 +101,7 @@ def event_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lineitem_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast("double").alias("power"))
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "power")) - 1
-    return rounded(TR.strongest_long(li.withColumn("bin", n), "l_orderkey", "bin", "power"), "strongest_db", "noise_db")
+    return rounded(TR.strongest_long(li.withColumn("bin", n), "l_orderkey", "bin", "power", longest(li, "l_orderkey")), "strongest_db", "noise_db")
 
 
 def matrix_axes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,7 +81,7 @@ def labelled_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
     passes = table(spark, sf_dir, "events").filter("event_type = 'error'").select(F.concat(F.lit("SAT "), (F.col("user_id") % 10).cast("string")).alias("satellite"), ts.alias("aos"), F.timestamp_seconds(F.unix_seconds(ts) + 300).alias("los"))
     labels = C.pass_labels(recordings, passes, 60, 120).select("capture_id", "label")
-    return FT.peak_features(windows, length="n_slices").join(labels, "capture_id")
+    return FT.peak_features(windows, length="n_slices", longest=WINDOW).join(labels, "capture_id")
 
 
 def training_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

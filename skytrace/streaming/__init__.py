@@ -26,6 +26,24 @@ def ingest(spark: SparkSession, sidecar_dir: str, pipeline: Callable[[DataFrame]
     return arrived.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def rendezvous(sidecars: DataFrame, files: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Streams of sidecars and of data files (path, length, modificationTime) to one row a recording, whichever comes first.
+
+    Both sides are reduced to one row a file name and meet on it; a sidecar's creation and its file's time lie within ``delay`` of
+    one another, so either side is kept waiting so long and no longer. The same on tables, but for repeats further apart than that.
+    """
+    name = lambda path: F.regexp_extract(path, r"([^/]+)$", 1)
+    s = sidecars.withColumn("file_name", name(F.col("output_filename"))).filter("recording_status = 'SUCCESS' and creation_timestamp is not null")
+    f = files.select(name(F.col("path")).alias("data_name"), F.col("path").alias("data_path"), F.col("length").alias("data_length"), F.col("modificationTime").alias("data_time"))
+    if sidecars.isStreaming:
+        s = s.withWatermark("creation_timestamp", delay).dropDuplicatesWithinWatermark(["file_name"])
+        f = f.withWatermark("data_time", delay).dropDuplicatesWithinWatermark(["data_name"])
+    else:
+        s, f = s.dropDuplicates(["file_name"]), f.dropDuplicates(["data_name"])
+    near = F.expr(f"data_time between creation_timestamp - interval {delay} and creation_timestamp + interval {delay}")
+    return s.join(f, (F.col("file_name") == F.col("data_name")) & near).drop("data_name")
+
+
 class Monitor(StatefulProcessor):
     """Events to outcomes as in :mod:`skytrace.operators.monitor`, whatever the batches they come in.
 

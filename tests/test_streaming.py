@@ -4,6 +4,7 @@ import json
 import math
 import os
 import random
+import time
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from skytrace import streaming
 from skytrace.operators import monitor as monitoring
 from skytrace.operators.monitor import RANK
+from skytrace.sources.scan import SIDECAR
 
 
 class State:
@@ -180,3 +182,39 @@ def test_ingest_takes_finished_recordings_once(spark, tmp_path):
     (tmp_path / "side" / "9.json").write_text(json.dumps({"output_filename": "f9", "recording_status": "SUCCESS"}))
     assert run()
     assert sorted(r["output_filename"] for r in spark.read.parquet(out).collect()) == ["f0", "f2", "f9"]
+
+
+def test_sidecars_and_files_meet_in_either_order(spark, tmp_path):
+    side, data, out, mark = (tmp_path / x for x in ("side", "data", "out", "mark"))
+    side.mkdir()
+    data.mkdir()
+    now = int(time.time())
+    stamp = lambda s: time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime(now + s))
+
+    def sidecar(name, file, status="SUCCESS", at=0):
+        (side / f"{name}.json").write_text(json.dumps({"output_filename": f"/rec/{file}", "recording_status": status, "creation_timestamp": stamp(at)}))
+
+    def run():
+        s = spark.readStream.schema(SIDECAR).option("multiLine", True).option("timeZone", "UTC").json(str(side))
+        f = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(str(data))
+        met = streaming.rendezvous(s, f).select("file_name", "data_length")
+        q = met.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(mark)).outputMode("append").trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+
+    sidecar("1", "a.iq")
+    sidecar("2", "failed.iq", "FAILED")
+    (data / "b.iq").write_bytes(b"12345")
+    (data / "failed.iq").write_bytes(b"1")
+    run()
+    (data / "a.iq").write_bytes(b"123")
+    sidecar("3", "b.iq", at=5)
+    sidecar("4", "a.iq", at=9)  # a replayed sidecar
+    sidecar("5", "never.iq")
+    sidecar("6", "late.iq", at=-9000)
+    (data / "late.iq").write_bytes(b"1")
+    run()
+    got = sorted(map(tuple, spark.read.parquet(str(out)).collect()))
+    assert got == [("a.iq", 3), ("b.iq", 5)]
+    s = spark.read.schema(SIDECAR).option("multiLine", True).option("timeZone", "UTC").json(str(side))
+    batch = streaming.rendezvous(s, spark.read.format("binaryFile").load(str(data))).select("file_name", "data_length")
+    assert sorted(map(tuple, batch.collect())) == got

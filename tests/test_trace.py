@@ -36,7 +36,7 @@ def traces(rng):
     return rows, want
 
 
-@pytest.mark.parametrize("size", [{}, {"cell": 3, "cells": 1}, {"cell": 3, "cells": 2}, {"cell": 5, "cells": 4, "length": "n_slices"}])
+@pytest.mark.parametrize("size", [{}, {"cell": 3, "cells": 1}, {"cell": 3, "cells": 2}, {"cell": 5, "cells": 4, "length": "n_slices"}, {"length": "n_slices", "longest": 60}])
 def test_smoothing_equals_numpy(spark, size):
     rows, want = traces(np.random.default_rng(3))
     df = spark.createDataFrame([(*r, len(want[r[0]])) for r in rows], "capture_id string, t_idx long, trace_hz double, n_slices long")
@@ -90,3 +90,17 @@ def test_sanitising_and_unknown_feature(spark):
     assert [r[0] for r in FT.project_features(df, ("snr_db",)).collect()] == [-1e6, 1e6, -1e6, 2.0]
     with pytest.raises(ValueError):
         FT.project_features(df, ("nothing",))
+
+
+@pytest.mark.parametrize("long_", [1 << 16, 20])
+def test_long_form_of_any_slice(spark, monkeypatch, long_):
+    """Medians of short slices by a percentile, of long ones by ranks, and where the longest is known."""
+    monkeypatch.setattr(TR, "LONG", long_)
+    rng = np.random.default_rng(4)
+    rows = [(s, b, float(v)) for s, n in (("hot", 3001), ("even", 40), ("few", 4), ("one", 1)) for b, v in enumerate(np.round(rng.normal(size=n), 2))]
+    rows += [("ends", b, v) for b, v in enumerate([float("inf"), float("-inf")] * 15 + [1.0])]
+    df = spark.createDataFrame(rows, "s string, b int, p double")
+    want = {s: ([r[2] for r in rows if r[0] == s]) for s in ("hot", "even", "few", "one", "ends")}
+    for longest in (None, 3001):
+        got = {r["s"]: (r["bin"], r["strongest_db"], r["noise_db"]) for r in TR.strongest_long(df, "s", "b", "p", longest).collect()}
+        assert got == {s: (int(np.argmax(v)), max(v), float(np.median(v))) for s, v in want.items()}
