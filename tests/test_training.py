@@ -37,13 +37,14 @@ def test_report_metrics_follow_from_its_scores(spark):
     import duckdb
 
     folder = "/root/testdata/sf0.01"
-    r = training.training_report(spark, folder).first()
+    rows = training.labelled_windows(spark, folder).cache()
+    r = TN.report(rows, "capture_id", folder, trees=10).first()
     windows = training.training_windows(spark, folder).toPandas()
-    parts = TN.split(training.labelled_windows(spark, folder), "capture_id")
-    model = TN.fit_forest(TN.assemble(parts.filter("not is_test")))
+    parts = TN.split(rows, "capture_id")
+    model = TN.fit_forest(TN.assemble(parts.filter("not is_test")), trees=10)
     scores = TN.score(parts.filter("is_test"), model).select("capture_id", "label", "ml_detection_result").toPandas()  # noqa: F841
     got = duckdb.sql("""select count(*) filter (label = 0 and ml_detection_result = 0) as tn, count(*) filter (label = 0 and ml_detection_result = 1) as fp,
-        count(*) filter (label = 1 and ml_detection_result = 0) as fn, count(*) filter (label = 1 and ml_detection_result = 1) as tp from scores""").fetchone()
+        count(*) filter (label = 1 and ml_detection_result = 0) as fn, count(*) filter (label = 1 and ml_detection_result = 1) as tp from scores""").fetchall()[0]
     assert got == (r["tn"], r["fp"], r["fn"], r["tp"])
     assert (r["n_test"], r["n_total"], r["positives"]) == (windows["is_test"].sum(), len(windows), windows["label"].sum()) and r["n"] == r["n_test"]
     assert set(scores["capture_id"]) == set(windows["capture_id"][windows["is_test"]])
