@@ -53,9 +53,13 @@ def with_sidecar(manifest: DataFrame, sidecars: DataFrame) -> DataFrame:
 
 
 def verify(sidecars: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Adds file_size and verified: missing, empty or too small files fail; there is no upper bound. A file listed twice counts once, by its largest size."""
+    """Adds file_size and verified: missing, empty or too small files fail; there is no upper bound.
+
+    A file listed twice counts once, by its largest size; of several sidecars of a file the latest is judged. Those without a file all fail.
+    """
     files = manifest.groupBy("file_name").agg(F.max("length").alias("file_size"))
-    both = sidecars.join(files, "file_name", "left")
+    named = latest(sidecars.filter("file_name is not null")).unionByName(sidecars.filter("file_name is null"))
+    both = named.join(files, "file_name", "left").select(*sidecars.columns, "file_size")
     timed = ~F.col("simulated") & F.col("start").isNotNull() & F.col("stop").isNotNull() & (F.col("expected_size") > 0)
     short = timed & (F.try_divide(F.col("file_size"), F.col("expected_size")) < 1 - SIZE_TOLERANCE)
     bad = F.col("file_size").isNull() | (F.col("file_size") <= 0) | F.coalesce(short, F.lit(False))

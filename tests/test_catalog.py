@@ -61,6 +61,9 @@ def test_utc_in_any_session_zone(spark, zone, tmp_path):
         table = {"2026-03-08T02:30:00": "2026-03-08T02:30:00+00:00", "2026-01-01T12:00:00+05:30": "2026-01-01T06:30:00+00:00", "2026-01-01 00:00:00.5Z": "2026-01-01T00:00:00.500000+00:00", "1969-12-31T23:59:59": "1969-12-31T23:59:59+00:00", "nonsense": None, None: None}
         df = spark.createDataFrame(list(table.items()), "x string, want string").withColumn("got", FN.utc_iso(FN.to_utc(F.col("x"))))
         assert all(r["got"] == r["want"] for r in df.collect())
+        base = df.filter("want like '2026-03%'").select(FN.base_name(F.lit("A b"), FN.to_utc(F.col("x")), F.lit(5)).alias("b"))
+        row = base.select("b", FN.utc_iso(FN.parse_base_name(F.col("b"))["start"])).first()
+        assert tuple(row) == ("A_b_20260308_023000_5Hz", "2026-03-08T02:30:00+00:00")
         (tmp_path / "s.json").write_text('{"satellite_name": "A", "scheduled_aos": "2026-03-08T02:30:00", "recording_status": "SUCCESS"}')
         assert scan.sidecars(spark, str(tmp_path)).select(FN.utc_iso(F.col("scheduled_aos"))).first()[0] == "2026-03-08T02:30:00+00:00"
     finally:

@@ -55,6 +55,8 @@ def test_one_sidecar_a_file(spark):
     assert C.with_sidecar(files.limit(1), side.drop("creation_timestamp")).count() == 1
     recs = spark.createDataFrame([("b", True, None, None, 1)], "file_name string, simulated boolean, start timestamp, stop timestamp, expected_size long")
     assert [r["file_size"] for r in C.verify(recs, files).collect()] == [7]
+    twice = spark.createDataFrame([("a", True, T0, T0, 1, T0, ["x"]), ("a", False, T0, T0 + timedelta(1), 1000, T0 + timedelta(1), ["y"]), (None, True, T0, T0, 1, T0, None), (None, True, T0, T0, 1, T0, None)], "file_name string, simulated boolean, start timestamp, stop timestamp, expected_size long, creation_timestamp timestamp, command array<string>")
+    assert sorted((r["file_name"] or "", r["simulated"], r["verified"]) for r in C.verify(twice, files).collect()) == [("", True, "FAILED"), ("", True, "FAILED"), ("a", False, "FAILED")]
 
 
 def test_a_null_base_has_no_name(spark):
