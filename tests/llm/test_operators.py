@@ -99,6 +99,14 @@ def test_frequent_words_have_a_bound(spark):
     assert (ppm._limit(flat, "n", 10), ppm._limit(flat, "n", 2), ppm._limit(flat, "n", 100), ppm._limit(flat.filter("n = 1"), "n", 10), ppm._limit(flat.filter("n > 9"), "n", 1)) == (4, 8, 1, 2, 1)
 
 
+def test_rows_without_an_id_take_no_part_in_searches(spark):
+    rows = [(i, [float(i % 7), 1.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    more = df.union(spark.createDataFrame([(None, [99.0, 99.0]), (None, None)], df.schema))
+    for search in (lambda d: maxscore.maxscore_topk(d, F.col("id") % 20 == 0, 5), lambda d: kmtree.tree_search(d, F.col("id") % 20 == 0, 5, recall=1.0)):
+        assert sorted(map(tuple, search(more).collect())) == sorted(map(tuple, search(df).collect()))
+
+
 def test_tree_search_recall(spark):
     x, df = vectors(spark)
     hits, n = 0, 0
