@@ -6,16 +6,17 @@ id, or earlier in the same one.
 1. Every window of 100 bytes has an anchor: of its 32-byte substrings the one with the smallest hash, the leftmost
    of equal ones. Equal windows have equal anchors at the same place. Neighbouring windows with one anchor form
    a run. Runs whose anchor occurs once repeat nothing and are left out.
-2. Runs with equal contents are one class; all but its first occurrence repeat throughout. Where an anchor
-   has one class, nothing else is to be done.
-3. Else the first occurrences of its classes are compared: the texts right of the anchor, and those left of it read
-   backwards, are the suffixes to sort. Multikey quicksort, of all anchors at once with keys of 8 bytes, orders them to
-   a shallow depth; groups that still agree are ordered by blind tries. Neighbours' common prefixes then tell, for each place of a
-   window about the anchor, which windows are equal, and all but the earliest repeat.
-4. An anchor with very many classes (the edge of a passage that many documents share) isn't sorted in one task:
-   its windows are grouped by hash, with partial aggregation.
-
-Classes and windows of step 4 are equal by two 64-bit hashes. Nulls: a null text is empty. Rows with one id are the
+2. Runs of equal contents (by hash) are a class, found by partial aggregation before any text moves. Two members of each class are
+   sorted: its first, and its last in the name of all that come after the first.
+3. The texts right of the anchor, and those left of it read backwards, are the suffixes to sort. Multikey quicksort, of all
+   anchors at once with keys of 8 bytes, orders them to a shallow depth; groups that still agree are ordered by blind tries.
+   Neighbours' common prefixes then tell, for each place of a window about the anchor, which windows are equal, and all
+   but the earliest repeat. What is found of a class's last member holds for all but its first.
+4. An anchor with more members than one task should sort is dealt by halves of the places: windows with at most m bytes left of the
+   anchor agree in the 100 - m bytes right of it, the others in more than m bytes left of it, so each half is grouped by these bytes, and
+   halved again where a group is still too large. At a single place all of a group is equal, which an aggregate settles.
+
+Classes, and groups at a single place, are equal by two 64-bit hashes. Nulls: a null text is empty. Rows with one id are the
 same document: equal texts are at the same places, and what is first in one is first in the other; of different texts
 one comes before the other. A null id comes before all others. An empty table
 gives no rows. ``remove_repeats`` returns the id, the columns named in ``keep`` as they are, and its own; all others go.
@@ -29,18 +30,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, slices, text_bytes
+from .common import discard, materialize, n_parts, slices, text_bytes
 from .shingles import mix, prefix_hash
 
 WIDTH, GRAM = 100, 32
 PLACES = WIDTH - GRAM + 1
 #: Bytes sorted by multikey quicksort before blind tries take over.
 SHALLOW = 24
-#: Classes of an anchor beyond which its windows are grouped by hash; runs sorted at once.
-MANY_CLASSES, RUNS_AT_ONCE = 2000, 20_000
+#: Members of a group that one task sorts; larger groups are dealt again.
+RUNS_AT_ONCE = 20_000
 _CHUNK = 1 << 20
 
 
@@ -178,14 +180,13 @@ def deep_shallow(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nd
     counts = np.bincount(same, minlength=1)
     deep = np.flatnonzero(counts[same] > 1)
     if len(deep):
+        apart = (rows[order[deep[1:]]] != rows[order[deep[:-1]]]).any(axis=1) & (same[deep[1:]] == same[deep[:-1]])
+        deep = deep[np.isin(same[deep], same[deep[1:]][apart])]  # groups of equal rows are in order
         edges = np.flatnonzero(np.diff(same[deep])) + 1
-        for at in np.split(deep, edges):
+        for at in np.split(deep, edges) if len(deep) else ():
             members = order[at]
-            block = rows[members]
-            if (block == block[0]).all():
-                continue
             trie = BlindTrie(SHALLOW)
-            for i, s in zip(members.tolist(), block, strict=True):
+            for i, s in zip(members.tolist(), rows[members], strict=True):
                 trie.add(s.tobytes(), i)
             order[at] = trie.order()
     a, b = rows[order[1:]], rows[order[:-1]]
@@ -197,8 +198,11 @@ def deep_shallow(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nd
     return order, lcp
 
 
-def repeated_places(group: np.ndarray, age: np.ndarray, size: np.ndarray, place: np.ndarray, texts: list[bytes]) -> np.ndarray:
-    """Matrix runs x windows: whether an earlier run (by ``age``) of the group holds the same window. ``texts`` hold the runs' bytes."""
+def repeated_places(group: np.ndarray, age: np.ndarray, size: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """Matrix runs x windows: whether an earlier run (by ``age``) of the group holds the same window. ``texts`` hold the runs' bytes.
+
+    Only windows with ``low`` to ``high`` bytes left of the anchor are compared.
+    """
     n, wide = len(texts), WIDTH + (-WIDTH) % 8
     right, left = np.zeros((n, wide), np.uint8), np.zeros((n, wide), np.uint8)
     for i, (t, p) in enumerate(zip(texts, place.tolist(), strict=True)):
@@ -214,7 +218,7 @@ def repeated_places(group: np.ndarray, age: np.ndarray, size: np.ndarray, place:
         rclass[ro] = np.cumsum(rl < WIDTH - s)
         lclass[lo] = np.cumsum(ll < s)
         window = place - s
-        rows = old[(window[old] >= 0) & (window[old] < size[old])]
+        rows = old[((window >= 0) & (window < size) & (low <= s) & (s <= high))[old]]
         if len(rows) < 2:
             continue
         key = rclass[rows] * (n + 1) + lclass[rows]
@@ -224,22 +228,38 @@ def repeated_places(group: np.ndarray, age: np.ndarray, size: np.ndarray, place:
     return out
 
 
-def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs sorted by anchor (h, doc, at, bytes) to intervals (doc, lo, hi); whole anchors are taken together."""
+MEMBER = "h long, c long, doc long, at long, copy boolean, body binary"
+DEALT = f"{MEMBER}, g long, low int, high int"
+#: Intervals of a first member in its document; those of a copy count from the start of its run, and doc and at are the first member's.
+FOUND = "h long, c long, doc long, at long, lo long, hi long, copy boolean"
+
 
-    def flush(parts: list[pa.Table]) -> pa.RecordBatch:
-        t = pa.concat_tables(parts)
-        docs, at = t.column("doc").to_numpy(), t.column("at").to_numpy()
+def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members sorted by group (anchors, or groups dealt by places) to the intervals that repeat; whole groups are taken together."""
+
+    def flush(t: pa.Table) -> pa.RecordBatch:
+        group = t.column("g" if "g" in t.column_names else "h").to_numpy()
+        h, c, docs, at, copy = (t.column(x).to_numpy() for x in ("h", "c", "doc", "at", "copy"))
+        by = np.lexsort((at, docs, copy, c, group))
+        same_class = (c[by[1:]] == c[by[:-1]]) & (group[by[1:]] == group[by[:-1]])
+        again = same_class & (at[by[1:]] == at[by[:-1]]) & (docs[by[1:]] == docs[by[:-1]]) & (copy[by[1:]] == copy[by[:-1]])
+        first = np.maximum.accumulate(np.where(np.concatenate([[True], ~same_class]), np.arange(len(by)), 0))
+        lead, by = by[first][np.concatenate([[True], ~again])], by[np.concatenate([[True], ~again])]  # rows with one id hold a run once
+        lead_doc, lead_at = docs[lead], at[lead]
+        group, h, c, docs, at, copy = (x[by] for x in (group, h, c, docs, at, copy))
         start, size, place = at >> 16, (at >> 8) & 255, at & 255
+        low, high = (t.column(x).to_numpy()[by] if x in t.column_names else np.full(len(by), v) for x, v in (("low", 0), ("high", PLACES - 1)))
         age = np.empty(len(at), np.int64)
-        by = np.lexsort((start + place, docs))
-        ds, ps = docs[by], (start + place)[by]
-        age[by] = np.cumsum(np.concatenate([[False], (ds[1:] != ds[:-1]) | (ps[1:] != ps[:-1])]))
-        again = repeated_places(t.column("h").to_numpy(), age, size, place, t.column("body").to_pylist())
+        by_age = np.lexsort((start + place, docs))
+        ds, ps = docs[by_age], (start + place)[by_age]
+        age[by_age] = np.cumsum(np.concatenate([[False], (ds[1:] != ds[:-1]) | (ps[1:] != ps[:-1])]))
+        again = repeated_places(group, age, size, place, low, high, t.column("body").take(pa.array(by)).to_pylist())
         edge = np.diff(np.pad(again, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         row, lo = np.nonzero(edge == 1)
         hi = np.nonzero(edge == -1)[1]
-        return pa.RecordBatch.from_arrays([pa.array(docs[row]), pa.array(start[row] + lo), pa.array(start[row] + hi - 1 + WIDTH)], ["doc", "lo", "hi"])
+        base = np.where(copy[row], 0, start[row])
+        own = (h[row], c[row], np.where(copy, lead_doc, docs)[row], np.where(copy, lead_at, at)[row], base + lo, base + hi - 1 + WIDTH, copy[row])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in own], [x.split()[0] for x in FOUND.split(", ")])
 
     held, rows = [], 0
     for batch in batches:
@@ -250,13 +270,13 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         rows += t.num_rows
         if rows >= RUNS_AT_ONCE:
             whole = pa.concat_tables(held)
-            h = whole.column("h").to_numpy()
-            cut = int(np.flatnonzero(h != h[-1])[-1]) + 1 if (h != h[-1]).any() else 0
+            group = whole.column("g" if "g" in whole.column_names else "h").to_numpy()
+            cut = int(np.flatnonzero(group != group[-1])[-1]) + 1 if (group != group[-1]).any() else 0
             if cut:
-                yield flush([whole.slice(0, cut)])
+                yield flush(whole.slice(0, cut))
             held, rows = [whole.slice(cut)], whole.num_rows - cut
     if rows:
-        yield flush(held)
+        yield flush(pa.concat_tables(held))
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,24 +291,48 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if len(body) == size + WIDTH - 1:
                         total, _ = prefix_hash(np.frombuffer(body, np.uint8))
                         if mix(total[-1:] + np.uint64(size * 256 + place)).view(np.int64)[0] == r["c"]:
-                            out.append((r["h"], doc, r["at"], body, r["many"]))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["h", "doc", "at", "body", "many"])
+                            out.append((r["h"], r["c"], doc, r["at"], r["copy"], body))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], [x.split()[0] for x in MEMBER.split(", ")])
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of a run by hash."""
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members to the groups of both halves of their places, where they have windows there."""
     for batch in batches:
-        hs, docs, starts, hashes = [], [], [], []
-        for h, doc, at, body in zip(*(batch.column(c).to_pylist() for c in ("h", "doc", "at", "body")), strict=True):
-            total, inv = prefix_hash(np.frombuffer(body, np.uint8))
-            n = (at >> 8) & 255
-            hashes.append(mix((total[WIDTH : WIDTH + n] - total[:n]) * inv[:n] + np.uint64(at & 255) - np.arange(n, dtype=np.uint64)))
-            hs.append(np.full(n, h))
-            docs.append(np.full(n, doc))
-            starts.append((at >> 16) + np.arange(n))
-        if hs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(starts))], ["h", "w", "doc", "lo"])
+        low, high = batch.column("low").to_numpy(), batch.column("high").to_numpy()
+        middle = (low + high) // 2
+        for lo, hi in ((low, middle), (middle + 1, high)):
+            rows, groups = [], []
+            for i, (h, at, body, a, b) in enumerate(zip(batch.column("h").to_pylist(), batch.column("at").to_pylist(), batch.column("body").to_pylist(), lo.tolist(), hi.tolist(), strict=True)):
+                size, place = (at >> 8) & 255, at & 255
+                if place >= a and place - size < b:
+                    rows.append(i)
+                    groups.append(xxhash.xxh64_intdigest(body[place - a : place + WIDTH - b] + bytes((a, b)), h & 0xFFFFFFFF) - (1 << 63))
+            own = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns[:6], pa.array(groups, pa.int64()), pa.array(lo[rows], pa.int32()), pa.array(hi[rows], pa.int32())], schema=batch.schema)
+
+
+def _large_groups(rows: DataFrame, classes: DataFrame) -> list[DataFrame]:
+    """Intervals (FOUND) of the members of anchors that are too large for a task, dealt by halves of the places until they aren't."""
+    parts = n_parts(rows.sparkSession)
+    rows = rows.withColumns({"g": F.col("h"), "low": F.lit(0), "high": F.lit(PLACES - 1)})
+    out = []
+    while True:
+        dealt = materialize(rows.mapInArrow(_halves, DEALT), "dealt")
+        large = materialize(dealt.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > RUNS_AT_ONCE).select("g"), "large")
+        small = dealt.join(large, "g", "left_anti").select(dealt.columns)
+        out.append(materialize(small.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(_sorted_groups, FOUND), "repeats"))
+        rest = dealt.join(large, "g", "left_semi").select(dealt.columns)
+        place = F.col("at").bitwiseAND(255) - F.col("low")
+        single = rest.filter("low = high").select("h", "c", "doc", "at", "copy", "g", place.alias("w"), (F.shiftright("at", 16) + place).alias("lo"))
+        earliest = single.groupBy("h", "g").agg(F.min(F.struct("doc", "lo")).alias("f")).select("h", "g", F.col("f.doc").alias("d0"), F.col("f.lo").alias("l0"))
+        again = single.join(earliest, ["h", "g"]).filter("doc <> d0 or lo <> l0")
+        own = again.filter("not copy").select("h", "c", "doc", "at", "lo", (F.col("lo") + WIDTH).alias("hi"), "copy")
+        copies = again.filter("copy").select("h", "c", "w").distinct().join(classes, ["h", "c"]).select("h", "c", "first.doc", "first.at", F.col("w").alias("lo"), (F.col("w") + WIDTH).alias("hi"), F.lit(True).alias("copy"))
+        out.append(materialize(own.union(copies), "repeats"))
+        rows = rest.filter("low < high")
+        if rows.isEmpty():
+            return out
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -297,24 +341,32 @@ def repeats(docs: DataFrame) -> DataFrame:
     whence = F.xxhash64("doc", "at")
     shared = runs.select("h", whence.alias("o")).groupBy("h").agg(F.min("o").alias("a"), F.max("o").alias("b")).filter("a <> b").select("h")
     found = materialize(runs.join(shared, "h").select("h", "c", "doc", "at"), "runs")
-    firsts = materialize(found.groupBy("h", "c").agg(F.min(F.struct("doc", "at")).alias("f")).select("h", "c", "f.doc", "f.at"), "classes")
-    first = firsts.select("h", "c", F.col("doc").alias("d0"), F.col("at").alias("a0"))
-    copies = found.join(first, ["h", "c"]).filter("doc <> d0 or at <> a0").select("doc", F.shiftright("at", 16).alias("lo"), (F.shiftright("at", 16) + F.shiftright("at", 8).bitwiseAND(255) + WIDTH - 1).alias("hi"))
+    ends = found.groupBy("h", "c").agg(F.min(F.struct("doc", "at")).alias("first"), F.max(F.struct("doc", "at")).alias("last"))
+    classes = materialize(ends, "classes")
+    large = classes.groupBy("h").agg(F.sum(F.when(F.col("first") == F.col("last"), 1).otherwise(2)).alias("n")).filter(F.col("n") > RUNS_AT_ONCE).select("h")
+    large = materialize(large, "large")
+    some = not large.isEmpty()
+    texts = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "text")
+    member = lambda end, copy: F.struct("h", "c", F.col(f"{end}.doc").alias("doc"), F.col(f"{end}.at").alias("at"), F.lit(copy).alias("copy"))
+
+    def bodies(of: DataFrame) -> DataFrame:
+        both = F.when(F.col("first") == F.col("last"), F.array(member("first", False))).otherwise(F.array(member("first", False), member("last", True)))
+        todo = of.select(F.explode(both).alias("m")).groupBy("m.doc").agg(F.collect_list(F.struct("m.h", "m.c", "m.at", "m.copy")).alias("runs"))  # of one document each
+        return todo.join(texts, "doc").select("doc", "runs", "text").mapInArrow(_bodies, MEMBER)
+
+    few = bodies(classes.join(large, "h", "left_anti").select(classes.columns) if some else classes)
+    parts = n_parts(docs.sparkSession)
+    spans = materialize(few.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_sorted_groups, FOUND), "repeats")
+    if some:
+        for more in _large_groups(bodies(classes.join(large, "h", "left_semi").select(classes.columns)), classes):
+            spans = spans.union(more)
+    own = spans.filter("not copy").select("doc", "lo", "hi")
+    of = spans.filter("copy").select("h", "c", F.col("doc").alias("d0"), F.col("at").alias("a0"), "lo", "hi")
+    start = F.shiftright("at", 16)
+    copies = found.join(of, ["h", "c"]).filter("doc <> d0 or at <> a0").select("doc", (start + F.col("lo")).alias("lo"), (start + F.col("hi")).alias("hi"))
     copies = materialize(copies, "copies")
     discard(found)
-    several = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", (F.col("n") > MANY_CLASSES).alias("many"))
-    todo = firsts.join(several, "h").groupBy("doc").agg(F.collect_list(F.struct("h", "c", "at", "many")).alias("runs"))  # of one document each
-    texts = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "text")
-    bodies = todo.join(texts, "doc").select("doc", "runs", "text").mapInArrow(_bodies, "h long, doc long, at long, body binary, many boolean")
-    bodies = materialize(bodies, "bodies")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    few = bodies.filter("not many").select("h", "doc", "at", "body").repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_sorted_groups, "doc long, lo long, hi long")
-    windows = bodies.filter("many").mapInArrow(_windows, "h long, w long, doc long, lo long")
-    earliest = windows.groupBy("h", "w").agg(F.min(F.struct("doc", "lo")).alias("f")).select("h", "w", F.col("f.doc").alias("d0"), F.col("f.lo").alias("l0"))
-    again = windows.join(earliest, ["h", "w"]).filter("doc <> d0 or lo <> l0").select("doc", "lo", (F.col("lo") + WIDTH).alias("hi"))
-    more = materialize(few.union(again), "repeats")
-    discard(bodies)
-    return copies.union(more)
+    return copies.union(own)
 
 
 def _cut(digest: bool, names: list[str], schema: pa.Schema):

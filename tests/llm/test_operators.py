@@ -229,7 +229,7 @@ def test_license_rules_hold_their_keyword():
 
 @pytest.mark.parametrize("many", [2, 2000])
 def test_suffix_repeats(docs, many, monkeypatch):
-    monkeypatch.setattr(suffixes, "MANY_CLASSES", many)
+    monkeypatch.setattr(suffixes, "RUNS_AT_ONCE", many)
     seen = set()
     got = {r["doc_id"]: r for r in suffixes.remove_repeats(docs, digest=True).collect()}
     for r in sorted(docs.collect(), key=lambda r: r["doc_id"]):
