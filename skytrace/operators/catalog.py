@@ -99,17 +99,18 @@ def unique_names(names: DataFrame, base: str = "base", order: tuple[str, ...] =
     ``taken`` (name) holds names in use; a new base that looks like a numbered name of another new base counts as in use too.
     The k-th taken number s of a base leaves s - k free ones before it, so the n-th row's number is n plus the
     taken ones with s - k < n: one running count over rows and taken numbers together. All counts are segmented scans.
+    A scan reads its rows several times, so names are worked out once, before the scans that read them again.
     """
     number = r"_([1-9]\d{0,8})$"
-    bases = names.select(F.col(base).alias("_b")).filter("_b is not null").distinct()
+    bases = names.select(F.col(base).alias("_b")).filter("_b is not null").distinct().localCheckpoint()
     used = bases.select(F.col("_b").alias("name"))
-    as_is = None if taken is None else taken.select(F.col("name").alias("_b"), F.lit(1).alias("_s"))
-    used = used if taken is None else used.union(taken.select("name"))
+    as_is = None if taken is None else taken.select("name").distinct().localCheckpoint()
+    used = used if as_is is None else used.union(as_is)
     slots = used.filter(F.col("name").rlike(number)).select(F.regexp_replace("name", number, "").alias("_b"), F.regexp_extract("name", number, 1).cast("int").alias("_s")).filter("_s > 1")
-    slots = (slots if as_is is None else slots.union(as_is)).distinct().join(bases, "_b", "left_semi")
+    slots = (slots if as_is is None else slots.union(as_is.select(F.col("name").alias("_b"), F.lit(1).alias("_s")))).distinct().join(bases, "_b", "left_semi").localCheckpoint()
     one = F.lit(1).cast("long")
     gaps = carried(slots, ["_b"], ["_s"], _k=("sum", one)).select("_b", (F.col("_s") - F.col("_k") - 1).alias("_at"), one.alias("_taken"))
-    rows = carried(names.withColumn("_b", F.col(base)), ["_b"], list(order), _k=("sum", one)).withColumns({"_at": F.col("_k") + 1, "_taken": F.lit(0).cast("long")}).drop("_k")
+    rows = carried(names.withColumn("_b", F.col(base)), ["_b"], list(order), _k=("sum", one)).withColumns({"_at": F.col("_k") + 1, "_taken": F.lit(0).cast("long")}).drop("_k").localCheckpoint()
     # at one place rows come before taken numbers
     both = carried(rows.unionByName(gaps, allowMissingColumns=True), ["_b"], ["_at", "_taken"], _before=("sum", F.col("_taken"))).filter("_taken = 0")
     place = F.col("_at") + F.col("_before")

@@ -37,10 +37,15 @@ def range_bucket(df: DataFrame, order: list[str]) -> Column:
     """Number of each row's range of ``order``, as Spark cuts the whole table in ranges of like size; at most ``MOST_RANGES`` bounds come to the driver."""
     place = F.struct(*[_plain(df, c).alias(f"o{i}") for i, c in enumerate(order)])
     n = min(MOST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = df.select(place.alias("p")).repartitionByRange(n, "p").groupBy(F.spark_partition_id().alias("_")).agg(F.min("p").alias("p")).select("p.*")
-    kinds = dict(found.dtypes)
-    bounds = [F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(found.columns, r, strict=True)]) for r in sorted(found.collect(), key=lambda r: [(v is not None, v) for v in r])[1:]]
-    return F.size(F.filter(F.array(*bounds), lambda b: b <= place)) if bounds else F.lit(0)
+    firsts = df.select(place.alias("p")).repartitionByRange(n, "p").groupBy(F.spark_partition_id().alias("_")).agg(F.min("p").alias("p")).orderBy("p").select("p.*")
+    kinds = dict(firsts.dtypes)
+    bounds = [F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(firsts.columns, r, strict=True)]) for r in firsts.collect()[1:]]
+    if not bounds:
+        return F.lit(0)
+    # the bounds up to a place, by halving: so a row's work hardly grows with their number; the place is made once a row
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+    found = lambda p: F.aggregate(steps, F.lit(0), lambda k, step: F.when(F.get(F.array(*bounds), k + step - 1) <= p, k + step).otherwise(k))
+    return F.transform(F.array(place), found)[0]
 
 
 def carried(df: DataFrame, by: list[str], order: list[str], **running: tuple[str, Column]) -> DataFrame:

@@ -54,6 +54,20 @@ def test_first_free_name(spark):
         assert got[i] == want
 
 
+def test_names_are_worked_out_a_few_times(spark):
+    """However many passes the scans take; it was 14 times a name."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def name(i: int) -> str:
+        calls.add(1)
+        return "ab"[i % 2]
+
+    new = spark.range(100).select(F.col("id").alias("recording_id"), F.udf(name)("id").alias("base"))
+    taken = spark.createDataFrame([("a",), ("a_2",), ("b_3",)], "name string")
+    assert C.unique_names(new, taken=taken).filter("unique_name in ('a_3', 'b', 'b_2', 'b_4')").count() == 4
+    assert calls.value <= 500
+
+
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
 def test_utc_in_any_session_zone(spark, zone, tmp_path):
     spark.conf.set("spark.sql.session.timeZone", zone)

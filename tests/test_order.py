@@ -36,6 +36,21 @@ def test_scan_of_one_key_is_many_tasks(spark):
     assert order.carried(df.filter("false"), ["k"], ["id"], n=("sum", F.lit(1).cast("long"))).count() == 0
 
 
+def test_range_is_found_by_halving(spark):
+    """A row is compared with as many bounds as their number has digits, not with all; nulls come first."""
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        df = spark.range(5000).select(F.when(F.col("id") % 9 > 0, F.col("id") * 37 % 501).alias("o"), "id")
+        bucket = order.range_bucket(df, ["o", "id"])
+        plan = df.select(bucket)._jdf.queryExecution().analyzed().toString()
+        assert "filter(" not in plan and "aggregate(array(32, 16, 8, 4, 2, 1)" in plan
+        rows = df.select("o", "id", bucket.alias("b")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    rows.sort(key=lambda r: (r["o"] is not None, r["o"] or 0, r["id"]))
+    assert [r["b"] for r in rows] == sorted(r["b"] for r in rows) and {r["b"] for r in rows} == set(range(64))
+
+
 def test_pass_labels_of_long_and_short_intervals(spark):
     rnd = random.Random(3)
     t = lambda s: T0 + timedelta(seconds=s)
