@@ -72,7 +72,7 @@ WINDOW, SECONDS = 5, 20
 
 
 def labelled_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training rows: captures cut in windows of slices, the nine features of each, labelled by the passes (errors of the events) that they overlap."""
+    """Training rows: captures cut in windows of slices, the nine features of each, labelled by the passes (errors of the events) that they overlap. Made once: splits and forests read them many times."""
     rows = FT.peak_rows(spectra(spark, sf_dir), THRESHOLD, F0, DF).withColumn("at", F.col("vec_id"))
     cut = F.expr(f"t_idx div {WINDOW}")
     windows = ordered(rows).withColumns({"satellite": F.concat(F.lit("SAT "), "capture_id"), "capture_id": F.concat_ws("-", "capture_id", cut.cast("string")), "t_idx": F.col("t_idx") % WINDOW, "time_s": F.col("time_s") % WINDOW, "n_slices": F.lit(WINDOW).cast("long")})
@@ -81,7 +81,7 @@ def labelled_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
     passes = table(spark, sf_dir, "events").filter("event_type = 'error'").select(F.concat(F.lit("SAT "), (F.col("user_id") % 10).cast("string")).alias("satellite"), ts.alias("aos"), F.timestamp_seconds(F.unix_seconds(ts) + 300).alias("los"))
     labels = C.pass_labels(recordings, passes, 60, 120).select("capture_id", "label")
-    return FT.peak_features(windows, length="n_slices", longest=WINDOW).join(labels, "capture_id")
+    return FT.peak_features(windows, length="n_slices", longest=WINDOW).join(labels, "capture_id").localCheckpoint()
 
 
 def training_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

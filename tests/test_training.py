@@ -2,6 +2,7 @@
 
 import inspect
 
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
 from skytrace.operators import training as TN
@@ -106,3 +107,15 @@ def test_report_counts_and_labelled_append(spark, tmp_path):
     x = [(r["s"], r["y"]) for r in many.collect()]
     wins = [(a > b) + (a == b) / 2 for a, p in x for b, q in x if p == 1 and q == 0]
     assert abs(got - sum(wins) / len(wins)) < 1e-12
+
+
+def test_windows_are_made_once_and_forests_keep_nodes(spark):
+    """Splits and forests read rows that are there, not the tables again; the trees are those of a forest that is sent out with each group of nodes."""
+    windows = training.labelled_windows(spark, "/root/testdata/sf0.001")
+    assert "FileScan" not in windows._jdf.queryExecution().executedPlan().toString()
+    rows = TN.assemble(windows).persist()
+    model = TN.fit_forest(rows, trees=5)
+    assert model.getCacheNodeIds()
+    plain = RandomForestClassifier(numTrees=5, maxDepth=30, featureSubsetStrategy="sqrt", seed=42).fit(rows)
+    assert model.toDebugString.split("\n")[1:] == plain.toDebugString.split("\n")[1:]
+    rows.unpersist()
