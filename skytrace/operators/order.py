@@ -1,4 +1,4 @@
-"""Numbering of rows within keys that may hold any share of the table."""
+"""Numbering of rows within keys that may hold any share of the table; sums in a given order."""
 
 from __future__ import annotations
 
@@ -70,3 +70,15 @@ def carried(df: DataFrame, by: list[str], order: list[str], **running: tuple[str
         "max": lambda i, c: F.greatest(i, c), "sum": lambda i, c: F.coalesce(i, F.lit(0)) + F.coalesce(c, F.lit(0)), "last": lambda i, c: F.coalesce(i, c)["v"],
     }
     return out.select(*df.columns, *[both[how](F.col(f"_i_{n}"), F.col(f"_c_{n}")).alias(n) for n, (how, _) in running.items()])
+
+
+def summed(df: DataFrame, by: list[str], order: list[str], **sums: Column) -> DataFrame:
+    """One row a key: sums added row after row by ``order``; rows that it doesn't tell apart are added in any order.
+
+    groupBy adds up what the tasks have, so its sums of doubles change in the last bit with the cut of the input. Addition
+    in a given order can't be dealt out: a key is one task here, but its rows pass as a stream that spills, never as one value.
+    """
+    rows = Window.partitionBy(*by).orderBy(*order)
+    so_far = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = df.select(*by, *[F.sum(x).over(so_far).alias(n) for n, x in sums.items()], F.lead(F.lit(True)).over(rows).isNull().alias("_last"))
+    return out.filter("_last").drop("_last")

@@ -1,12 +1,18 @@
+import math
+import os
 from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from skytrace import functions as FN
 from skytrace.operators import catalog as C
 from skytrace.operators import training as TN
+from skytrace.operators.order import summed
+from skytrace.plans import recordings
 from skytrace.sources import iq, scan, store
 
 
@@ -99,6 +105,38 @@ def test_overlap_and_verification(spark):
     assert {x["file_name"]: x["verified"] for x in C.verify(side, files).collect()} == {"a": "SUCCESS", "b": "FAILED", "c": "SUCCESS", "e": "FAILED"}
 
 
+def test_sizes_are_sums_in_the_order_of_the_files(spark, tmp_path):
+    """Sums of doubles that are floored near whole numbers: the same however the files are cut in tasks, also for an order of many lines."""
+    rng = np.random.default_rng(5)
+    keys = np.append(rng.integers(1, 500, 6000), np.zeros(6000, int))
+    rng.shuffle(keys)
+    prices = rng.integers(2, 2000, 12000) * 0.05
+    os.mkdir(tmp_path / "lineitem.parquet")
+    for i in range(3):  # a folder of files, each of several row groups
+        part = slice(4000 * i, 4000 * (i + 1))
+        pq.write_table(pa.table({"l_orderkey": keys[part], "l_extendedprice": prices[part]}), tmp_path / "lineitem.parquet" / f"part-{i}.parquet", row_group_size=500)
+    pq.write_table(pa.table({"o_orderkey": np.arange(500), "o_custkey": np.ones(500, int), "o_orderdate": [datetime(2026, 1, 1)] * 500, "o_totalprice": np.ones(500), "o_orderstatus": ["F"] * 500}), tmp_path / "orders.parquet")
+    sums = {}
+    for k, price in zip(keys.tolist(), prices.tolist(), strict=True):
+        sums[k] = sums.get(k, 0.0) + price
+    want = {k: math.floor(v * 18) for k, v in sums.items()}
+    cut = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(cut)
+    try:
+        for size in ("1k", "16k", "128m"):
+            spark.conf.set(cut, size)
+            got = recordings.verified_recordings(spark, str(tmp_path)).collect()
+            assert {r["file_name"]: r["file_size"] for r in got if r["file_size"] is not None} == want
+    finally:
+        spark.conf.set(cut, before)
+
+
+def test_summed_keeps_the_order_and_skips_nulls(spark):
+    df = spark.createDataFrame([("a", 3, 1.0), ("a", 1, 1e16), ("a", 2, -1e16), ("b", 1, None), ("b", 2, 2.0), ("c", 1, None), (None, 1, 4.0)], "k string, n int, x double")
+    got = {r["k"]: r["s"] for r in summed(df, ["k"], ["n"], s=F.col("x")).collect()}
+    assert got == {"a": 1.0, "b": 2.0, "c": None, None: 4.0}
+
+
 def test_validation_and_splits(spark):
     names = ("snr_db",)
     rows = [("a", "1", "0"), ("b", None, "1"), ("c", "x", "1"), ("d", "inf", "2"), ("a", "1", "0"), ("a", "1", "0")]
