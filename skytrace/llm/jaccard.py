@@ -2,7 +2,7 @@
 
 1. Documents with equal shingle sets are one class, led by the smallest id; only leads go on.
 2. Two sets with similarity 0.8 or more share one of their rarest fifth of shingles (and one more), in any order common
-   to all documents. Frequent shingles come last in that order, by a sketch of counts over all documents. The first
+   to all documents. Frequent shingles come last in that order, by a sketch whose counts are added over all documents. The first
    pivots are the leaders of those shingles: of the documents that hold one, the one that shares most. A leader's
    region is every document that shares such a shingle with it or under it. Pivots drawn at random would lie at
    distance 1 from nearly all documents, and no window would exclude anything; these don't.
@@ -13,7 +13,8 @@
    at home; the cells are joined in the same way in turn. Every link is one between a pivot and a member. Documents of
    one component needn't be compared any more, and a region of one component is done.
 4. A region that fits a task is joined there. A larger one is dealt out in pieces: each piece meets the region's next
-   pivots, the cells are the regions of the next round, and so on until no region holds two components.
+   pivots, the cells are the regions of the next round, and so on until no region holds two components. Sets are
+   sent to regions in waves, so disk doesn't grow with the regions that a document is in.
 5. Links are contracted to components by star contractions. A region gives at most one link a document.
 
 Only ids and sets of hashes travel, never texts nor pairs of documents.
@@ -25,7 +26,9 @@ they belong to. A null id takes no part and gets a null component. An empty tabl
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +41,14 @@ from .components import absorb, connected, same_id
 from .regions import Region, partners, voronoi
 from .shingles import mix, shingle_sets
 
-#: Bits of the frequency sketch; a counter so many times the mean of its task counts as frequent there.
-SKETCH_BITS, FREQUENT, LEAST_FREQUENT = 22, 6, 12
+#: Bits of the frequency sketch and of a block of it; a counter so many standard deviations above its block's median over all documents counts as frequent.
+SKETCH_BITS, BLOCK_BITS, FREQUENT, LEAST_FREQUENT = 22, 16, 6, 12
 #: Documents and shingles of a piece of a region; pivots of a large region in a round, and those of them with a cell (bits of a long).
 PIECE_DOCS, PIECE_SHINGLES, ROUND_PIVOTS, CELLS = 400, 1_000_000, 256, 32
+#: Documents of a region that is looked through under the bins as a whole.
+BIN_DOCS = 2000
+#: Sets travel to their regions in waves: one shuffles at most this share of the hashes of all documents, or so many hashes if that is more.
+WAVE_SHARE, WAVE_LEAST = 0.25, 32_000_000
 #: Documents under one shingle, up to which those without a partner of the right size and place are told apart.
 FEW = 64
 #: Ids (8 bytes each) that are broadcast at most to pick the texts whose sets are needed; with more, the texts are shuffled.
@@ -51,24 +58,40 @@ SLICE = 1_000_000
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
-    """Level (0: not frequent, else about log2 of the count) of each counter, over all documents. At most 2^22 bytes."""
-    n = 1 << SKETCH_BITS
+    """Level (0: not frequent, else about log2 of what it has above the median) of each counter, over all documents. At most 2^22 bytes.
+
+    Only the counts of all documents tell: in what one task reads, a shingle of hundreds of documents may occur once.
+    """
+    n, size = 1 << SKETCH_BITS, 1 << BLOCK_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, total = np.zeros(n, np.int32), 0
+        counts = np.zeros(n, np.int32)
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 for s in shingle_sets(text_bytes(part.column("text"))):
                     np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int32), 1)
-                    total += len(s)
-        hot = np.flatnonzero(counts >= max(3, FREQUENT * total / n))
-        yield pa.RecordBatch.from_arrays([pa.array(hot, pa.int32()), pa.array(counts[hot], pa.int64())], ["counter", "n"])
+        for place in range(4):  # most counts are of one byte
+            part = ((counts >> (8 * place)) & 255).astype(np.uint8).reshape(-1, size)
+            some = np.flatnonzero(part.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([place] * len(some), pa.int32()), pa.array([part[i].tobytes() for i in some], pa.binary())], ["block", "place", "part"])
 
-    found = docs.select("text").mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n"))
-    found = found.filter(f"n >= {LEAST_FREQUENT}").select("counter", (F.floor(F.log2("n")) + 1).cast("byte").alias("level"))
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, place, part in zip(*(batch.column(c).to_pylist() for c in ("block", "place", "part")), strict=True):
+                sums.setdefault(block, np.zeros(size, np.int64))
+                sums[block] += np.frombuffer(part, np.uint8).astype(np.int64) << (8 * place)
+        for block, counts in sums.items():
+            usual = float(np.median(counts))
+            hot = np.flatnonzero(counts >= max(LEAST_FREQUENT, usual + FREQUENT * usual**0.5))
+            yield pa.RecordBatch.from_arrays([pa.array(block * size + hot, pa.int32()), pa.array(np.log2(counts[hot] - usual).astype(np.int8) + 1, pa.int8())], ["counter", "level"])
+
+    parts = docs.select("text").mapInArrow(run, "block int, place int, part binary").repartition(n_parts(docs.sparkSession), "block")
+    found = materialize(parts.mapInArrow(summed, "counter int, level byte"), "frequent")
     level = np.zeros(n, np.uint8)
     for b in found.toArrow().to_batches():
         level[b.column("counter").to_numpy()] = b.column("level").to_numpy()
+    discard(found)
     return level
 
 
@@ -232,9 +255,12 @@ def _joined_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield done()
 
 
-def _round(regions: DataFrame, sets: DataFrame) -> DataFrame:
+def _round(regions: DataFrame, sets: DataFrame, most: float) -> DataFrame:
     """One round of all open regions (r, doc, n, comp): links and cells, see :func:`_joined_regions`.
 
+    A document's set travels to each of its regions, and regions per document grow with the groups of near copies. So the pieces are
+    dealt over as many waves as keep what one shuffles at about ``most`` hashes; its files go before the next one begins.
+
     A region in pieces has as pivots ``ROUND_PIVOTS`` documents outside its commonest component, or any if all are alone.
     """
     parts = n_parts(regions.sparkSession)
@@ -246,14 +272,18 @@ def _round(regions: DataFrame, sets: DataFrame) -> DataFrame:
     order = Window.partitionBy("r").orderBy(F.desc("weight"), "doc")
     chosen = materialize(chosen.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= ROUND_PIVOTS).drop("at"), "pivots")
     piece = F.when(whole, 0).otherwise(F.pmod(F.xxhash64("doc"), F.col("pieces"))).cast("int")
+    waves = math.ceil(sum(x.agg(F.sum(F.col("n") * k)).first()[0] or 0 for x, k in ((dealt, F.lit(1)), (chosen, F.col("pieces")))) / most) or 1
     members = dealt.join(chosen.select("r", "doc"), ["r", "doc"], "left_anti").select("r", piece.alias("piece"), whole.alias("whole"), F.lit(False).alias("pivot"), "doc", "comp")
     copies = chosen.select("r", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.lit(False).alias("whole"), F.lit(True).alias("pivot"), "doc", "comp")
-    rows = members.union(copies).join(sets, "doc").select("r", "piece", "whole", "pivot", "doc", "comp", "set")
-    rows = rows.repartition(parts, "r", "piece").sortWithinPartitions("r", "piece", F.desc("pivot"), "doc", "set")
-    out = materialize(rows.mapInArrow(_joined_regions, "r long, a long, b long, n long, cells long"), "round")
-    discard(dealt)
-    discard(chosen)
-    return out
+    out = []
+    for wave in range(waves):
+        rows = members.union(copies).filter(F.pmod(F.xxhash64("r", "piece"), F.lit(waves)) == wave).join(sets, "doc").select("r", "piece", "whole", "pivot", "doc", "comp", "set")
+        rows = rows.repartition(parts, "r", "piece").sortWithinPartitions("r", "piece", F.desc("pivot"), "doc", "set")
+        out.append(materialize(rows.mapInArrow(_joined_regions, "r long, a long, b long, n long, cells long"), "round"))
+    whole_round = out[0] if waves == 1 else materialize(reduce(DataFrame.union, out), "round")
+    for x in (dealt, chosen, *(out if waves > 1 else ())):
+        discard(x)
+    return whole_round
 
 
 def _next_regions(found: DataFrame, comps: DataFrame, weights: DataFrame) -> DataFrame:
@@ -293,6 +323,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     regions = materialize(regions.join(weights, "doc").select("r", "doc", "n", "weight"), "regions")
     discard(members)
     regions, _ = _excluded(regions, leads.select(F.col("rep").alias("doc"), F.col("n").alias("of"), "bins")), discard(regions)
+    most = max(WAVE_LEAST, WAVE_SHARE * (leads.agg(F.sum("n")).first()[0] or 0))
     discard(leads)
 
     ids = materialize(regions.select(F.col("doc").alias("doc_id")).distinct(), "ids")
@@ -301,7 +332,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     comps, more = None, not regions.isEmpty()
     while more:
-        found = _round(regions, sets)
+        found = _round(regions, sets, most)
         discard(regions)
         new = found.filter("b is not null").select("a", "b")
         comps = materialize(connected(new.union(links)), "components") if comps is None else absorb(comps, new)
@@ -317,8 +348,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _excluded(regions: DataFrame, bins_of: DataFrame) -> DataFrame:
-    """Regions (r, doc, n, comp, weight) without the members whose bins leave no partner; regions of more than a piece stay whole."""
-    sizes = regions.groupBy("r").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").withColumn("pieces", F.ceil(F.col("k") / PIECE_DOCS).cast("int"))
+    """Regions (r, doc, n, comp, weight) without the members whose bins leave no partner; regions of more than ``BIN_DOCS`` stay whole."""
+    sizes = regions.groupBy("r").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").withColumn("pieces", F.when(F.col("k") <= BIN_DOCS, 1).otherwise(F.ceil(F.col("k") / PIECE_DOCS)).cast("int"))
     whole = F.col("pieces") == 1
     piece = F.when(whole, 0).otherwise(F.pmod(F.xxhash64("doc"), F.col("pieces"))).cast("int")
     # ids with several sets have several bins and stay where one of them has a partner

@@ -540,3 +540,42 @@ def test_region_join_links_every_component():
                 both = len(np.intersect1d(x, sets[j]))
                 assert 100 * both < 80 * (len(x) + len(sets[j]) - both) or (ok[i] and ok[j])
         assert ok[len(sets) :].sum() <= 15
+
+
+def test_frequent_shingles_show_over_all_documents(spark):
+    """A passage that each task meets once is as frequent as one that a single task meets all the time."""
+    passage, rnd = [f"p{i}" for i in range(9)], random.Random(4)
+    df = spark.createDataFrame([(" ".join([*(f"w{rnd.randrange(10**6)}" for _ in range(20)), *passage]),) for _ in range(40)], "text string")
+    from skytrace.llm.shingles import shingle_sets
+
+    at = (shingle_sets([" ".join(passage).encode()])[0] >> np.uint64(64 - jaccard.SKETCH_BITS)).astype(np.int64)
+    spread, alone = jaccard._frequent(df.repartition(40)), jaccard._frequent(df.coalesce(1))
+    assert (spread[at] > 0).all() and (spread == alone).all() and (spread > 0).sum() == len(set(at.tolist()))
+
+
+def test_bins_are_compared_in_regions_of_several_pieces(spark, monkeypatch):
+    """Members without a partner leave a region that is too large for a task of the exact join."""
+    monkeypatch.setattr(jaccard, "PIECE_DOCS", 8)
+    rng = np.random.default_rng(6)
+    sets = [np.sort(rng.integers(0, 1 << 64, 100, dtype=np.uint64)) for _ in range(30)]
+    sets.append(np.sort(np.append(sets[4][:-5], rng.integers(0, 1 << 64, 5, dtype=np.uint64))))
+    regions = spark.createDataFrame([(0, i, 100, 1) for i in range(31)], "r long, doc long, n long, weight long")
+    bins_of = spark.createDataFrame([(i, 100, bytearray(jaccard.bins(s))) for i, s in enumerate(sets)], "doc long, of long, bins binary")
+    assert {r["doc"] for r in jaccard._excluded(regions, bins_of).collect()} == {4, 30}
+
+
+def test_sets_travel_in_waves(spark, monkeypatch):
+    """However many regions documents are in, one wave shuffles about a share of all hashes; the components stay the same."""
+    rows = near_copy_rows(random.Random(12))
+    plain, joins = jaccard.materialize, []
+
+    def noted(df, name):
+        joins.append(name)
+        return plain(df, name)
+
+    for name, value in {"WAVE_LEAST": 3000, "WAVE_SHARE": 0.05, "PIECE_DOCS": 8, "ROUND_PIVOTS": 5, "CELLS": 4}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    monkeypatch.setattr(jaccard, "materialize", noted)
+    got = jaccard.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and joins.index("components") - joins.index("round") > 3  # waves of the first round
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == brute_components(rows)
