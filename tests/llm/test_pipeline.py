@@ -108,3 +108,23 @@ def test_null_id_row_survives_the_first_three_stages(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:3]:
         docs = stage(spark, docs, str(tmp_path))
     assert {r["doc_id"] for r in docs.collect()} == {None, 3}
+
+
+def test_near_duplicates_in_waves(spark, monkeypatch):
+    """The second stage keeps the same documents, whole rows, when the sets of its groups don't fit one wave."""
+    from skytrace.llm import jaccard
+
+    rnd, rows = random.Random(8), []
+    for group in range(12):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(150)]
+        for _ in range(4):
+            own = list(base)
+            own[rnd.randrange(150)] = "other"
+            rows.append((len(rows), " ".join(own), "en", f"s{group}", len(" ".join(own))))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for name, value in {"WAVE_LEAST": 800, "WAVE_SHARE": 0.0}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    names, plain = [], jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", lambda df, name: names.append(name) or plain(df, name))
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(map(tuple, got)) == rows[::4] and names.count("round") > 3
